@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import pit
+from . import pit, search
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (pit,):
+for part in (pit, search):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
