@@ -20,6 +20,7 @@ BAND = 8
 BANDS = BUCKETS // BAND
 CACHE_WORDS = 400_000
 SLACK = 6.0
+TILE = 512
 # Odd 64-bit factors for mixing, and the constant of the expected collisions of registers.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -107,8 +108,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return np.maximum(equal - accidental, 0) / np.maximum(union, 1), union
 
 
+def band_keys(full: np.ndarray) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(full[BAND * k : BAND * (k + 1)].tobytes(), seed=k) & 0x7FFFFFFF for k in range(BANDS)]
+
+
 def sketch(docs: DataFrame, width: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sketch): set_a and set_b are 128 bits that equal sets share; sketch is raw and filled registers."""
+    """(doc_id, n_shingles, set_a, set_b, raw, bands): set_a and set_b are 128 bits that equal sets share, raw the registers, bands a key for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -124,12 +129,12 @@ def sketch(docs: DataFrame, width: int, text: str = "text", id_col: str = "doc_i
                         pa.array([int(s.sum().view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
                         pa.array([int(mixed(s ^ np.uint64(FACTORS[1])).sum().view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
                         pa.array([r.tobytes() for r in raw], pa.binary()),
-                        pa.array([filled(r).tobytes() if len(s) else b"" for r, s in zip(raw, sets, strict=True)], pa.binary()),
+                        pa.array([band_keys(filled(r)) if len(s) else [] for r, s in zip(raw, sets, strict=True)], pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "raw", "filled"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "raw", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, raw binary, filled binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, raw binary, bands array<int>")
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -173,60 +178,132 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", rounds: int = 3) -> DataFrame:
+def rest_links(apart: DataFrame, texts: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
+    """Links (a, b) among apart(band, doc_id, component): all pairs of a band whose components differ, on full sets.
+
+    A band's largest component is cut into blocks of TILE rows, and so are the rows of its others; every block of the others meets
+    every block of the band in a tile of its own. Pairs never leave their tile: registers are compared first, a
+    pair is looked at in the first band that it shares, and only those links are returned that join what the tile
+    had apart.
+    """
+    sizes = apart.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    m = apart.join(sizes, "band").withColumns({"blocks": F.ceil(F.col("total") / TILE).cast("int"), "sides": F.ceil((F.col("total") - F.col("most")) / TILE).cast("int"), "h": F.xxhash64("doc_id")})
+    right = m.select("band", "doc_id", "component", F.lit(1).alias("side"), F.pmod("h", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("left_block"))
+    left = m.filter("component <> major").select("band", "doc_id", "component", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.col("h"), F.col("sides")).cast("int").alias("left_block"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in words.shingles(part.column(1).to_pylist(), width)], pa.binary())], names=["doc_id", "shingles"])
+
+    ids = apart.select("doc_id").distinct()
+    known = written(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary"), "sets", folder)
+    rows = right.unionByName(left).join(known, "doc_id").select("band", "block", "left_block", "side", "doc_id", "component", "shingles")
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+        for b in batches:
+            c = [x.to_pylist() for x in b.columns]
+            a_out, b_out = [], []
+            for band, block, lb, side, doc, comp, sh in zip(*c, strict=True):
+                if (band, block, lb) != key:
+                    for x, y in tile_links(held, percent):
+                        a_out.append(x)
+                        b_out.append(y)
+                    held, key = [], (band, block, lb)
+                held.append((side, doc, comp, np.frombuffer(sh, np.uint64), band >> 32))
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        last = tile_links(held, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in last], pa.int64()), pa.array([y for _, y in last], pa.int64())], names=["a", "b"])
+
+    return rows.repartition("band", "block", "left_block").sortWithinPartitions("band", "block", "left_block", "side", "doc_id").mapInArrow(tiles, "a long, b long")
+
+
+def tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Verified links of one tile's rows (side, doc_id, component, shingles, band number), each between groups that were apart so far."""
+    left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+    if not left or not right:
+        return []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    many = len(left) * len(right) > 64
+    n = np.array([len(r[3]) for r in right])
+    comp = np.array([r[2] for r in right])
+    t = percent / 100
+    if many:
+        raw = np.stack([registers(r[3]) for r in right])
+        full = np.stack([filled(x) for x in raw])
+    out = []
+    for _, doc, c, x, k in left:
+        ok = (comp != c) & (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x)))
+        if many and ok.any():
+            at = np.flatnonzero(ok)
+            mine = registers(x)
+            j, buckets = estimate(np.broadcast_to(mine, (len(at), BUCKETS)), raw[at], np.full(len(at), len(x)), n[at])
+            at = at[j >= t - SLACK / 2 * np.sqrt(t * (1 - t) / np.maximum(buckets, 1))]
+            same = (full[at] == filled(mine)).reshape(len(at), BANDS, BAND).all(axis=2)
+            ok = np.zeros(len(right), bool)
+            ok[at[~same[:, :k].any(axis=1)]] = True
+        for i in np.flatnonzero(ok):
+            _, other, oc, y, _ = right[i]
+            if other == doc or find(c) == find(oc):
+                continue
+            shared = np.intersect1d(x, y, assume_unique=True).size
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                out.append((max(doc, other), min(doc, other)))
+                root[find(c)] = find(oc)
+    return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document with an id.
 
     Documents with equal sets are one class, found by 128 bits of the whole set and represented by its smallest id. The
     classes' registers are cut into 64 bands of 8 (a pair at 0.8 shares one with all but 1 chance in 100,000); a pair that
     shares a band is a candidate. Only links decide components, so a band's members need not all meet: each is
-    compared with the band's smallest member first, then in further rounds, where members are still apart, with the
-    one that has most links so far; after `rounds` rounds all pairs still apart in a band are compared. Each
-    pair passes the estimate before its full texts are compared, and is compared once.
+    compared with the band's smallest member first, then, where members are still apart, with the one that has
+    most links so far. What is apart after these `rounds` rounds is compared in tiles (rest_links), so no candidate is left out.
+    Each pair passes the estimate before its full texts or sets are compared.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null id are left out. Of repeated rows of an
-    id all come back with the smallest component of any. Texts are whole; extra columns are not read.
+    id all come back. Texts are whole; extra columns are not read.
     """
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     s = written(sketch(base, width, "text", "doc_id"), "sketches", folder)
-    classes = s.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "classes", folder)
-    reps = s.filter("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n_shingles", "raw", "filled"), "reps", folder)
-    bands = reps.select("doc_id", F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("filled", 2 * BAND * k + 1, 2 * BAND)) for k in range(BANDS)])).alias("band"))
-    many = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub <> other")
+    some = s.filter("n_shingles > 0")
+    classes = written(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", folder)
+    reps = some.select("doc_id", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    bands = reps.select("doc_id", F.posexplode("bands").alias("k", "key")).select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("key")).alias("band"))
+    many = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub <> other").drop("other")
     bands = written(bands.join(many, "band").select("band", "doc_id", "hub"), "bands", folder)
-    texts = base.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    ask = bands.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    ask = written(ask, "ask0", folder)
-    asked, links, comp = ask, None, None
-    for turn in range(rounds + 1):
-        found = written(verified(likely(ask, reps, percent), texts, width, percent), f"links{turn}", folder)
+    texts = written(base.join(bands.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", folder)
+    ask = written(bands.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "ask0", folder)
+    links, comp, m = None, None, None
+    for turn in range(rounds):
+        found = written(verified(likely(ask, some, percent), texts, width, percent), f"links{turn}", folder)
         links = found if links is None else links.unionByName(found)
         comp = written(connected_components(links), f"components{turn}", folder)
-        if turn == rounds:
-            break
         degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-        m = bands.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
+        m = bands.select("band", "doc_id").distinct().join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
         m = m.select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        split = m.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("degree", (-F.col("doc_id")).alias("i"), "component")).alias("top")).filter("low <> high")
-        m = m.join(split.select("band", (-F.col("top.i")).alias("hub"), F.col("top.component").alias("hub_component")), "band")
-        if turn == rounds - 1:
-            x = m.select("band", "doc_id", "component")
-            pairs = x.join(x.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "band").filter("component <> cb and doc_id > b").select(F.col("doc_id").alias("a"), "b")
-        else:
+        top = F.max(F.struct("degree", (-F.col("doc_id")).alias("i"), "component")).alias("top")
+        split = m.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), top).filter("low <> high")
+        m = written(m.join(split.select("band", (-F.col("top.i")).alias("hub"), F.col("top.component").alias("hub_component")), "band"), f"apart{turn}", folder)
+        if turn < rounds - 1:
             pairs = m.filter("component <> hub_component").select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b"))
-        ask = written(pairs.distinct().join(asked, ["a", "b"], "left_anti"), f"ask{turn + 1}", folder)
-        if not ask.take(1):
-            if turn < rounds - 1:
-                # nothing new to ask of hubs: the rest are pairs that no hub stands between
-                x = m.select("band", "doc_id", "component")
-                pairs = x.join(x.select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "band").filter("component <> cb and doc_id > b").select(F.col("doc_id").alias("a"), "b")
-                ask = written(pairs.distinct().join(asked, ["a", "b"], "left_anti"), f"rest{turn + 1}", folder)
-            if not ask.take(1):
-                break
-        asked = asked.unionByName(ask)
+            ask = written(pairs.distinct().join(ask, ["a", "b"], "left_anti"), f"ask{turn + 1}", folder)
+    rest = written(rest_links(m.select("band", "doc_id", "component"), texts, width, percent, folder), "rest", folder)
+    if rest.take(1):
+        comp = connected_components(links.unionByName(rest))
     ends = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = s.select("doc_id", "n_shingles", "set_a", "set_b").join(ends, ["set_a", "set_b", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
