@@ -79,7 +79,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
     second = postings.select(F.col("doc_id").alias("d2"), F.col("pos").alias("p2"), F.col("term").alias("t2"))
     met = found.filter("b is not null").join(second, (F.col("doc_id") == F.col("d2")) & (F.col("p") == F.col("p2")) & (F.col("b_term") == F.col("t2")), "left_semi")
     both = written(met.unionByName(found.filter("b is null")).select("doc_id", "item_id", "first", "n", "words", "start").distinct(), "aligned", folder)
-    texts = d.join(both.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", word_list(F.col("text")).alias("w"))
+    ids = written(both.select("doc_id").distinct(), "ids", folder)
+    texts = d.join(small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", word_list(F.col("text")).alias("w"))
     return both.join(texts, "doc_id").filter(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("words")).select("doc_id", "item_id", "first", "n", "start").distinct()
 
 
