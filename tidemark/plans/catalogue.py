@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import pit, search
+from . import pit, search, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (pit, search):
+for part in (pit, search, texts):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
