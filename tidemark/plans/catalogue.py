@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import pit, search, texts
+from . import flow, pit, search, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (pit, search, texts):
+for part in (pit, search, texts, flow):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -93,9 +93,9 @@ def cell_value(spark, sf):
     return d.select("cell", v.cast("double").alias("value"), kind.alias("kind"))
 
 
-@query("confidence_score", "SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.3::DOUBLE * least(1.0::DOUBLE, n_chars / 2000.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN n_chars = length(text) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.2::DOUBLE * (1 - (doc_id % 10) / 10.0::DOUBLE) + 0.2::DOUBLE * (1 - (doc_id % 4) / 4.0::DOUBLE))), 4) AS confidence FROM documents")
+@query("confidence_score", "SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.3::DOUBLE * least(1.0::DOUBLE, n_chars / 1999.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN n_chars = length(text) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.2::DOUBLE * (1 - (doc_id % 10) / 10.0::DOUBLE) + 0.2::DOUBLE * (1 - (doc_id % 4) / 4.0::DOUBLE))), 4) AS confidence FROM documents")
 def confidence_score(spark, sf):
-    c = tx.confidence(F.least(F.lit(1.0), F.col("n_chars") / 2000.0), F.when(F.col("n_chars") == F.length("text"), 1.0).otherwise(0.0), (F.col("doc_id") % 10) / 10.0, (F.col("doc_id") % 4) / 4.0)
+    c = tx.confidence(F.least(F.lit(1.0), F.col("n_chars") / 1999.0), F.when(F.col("n_chars") == F.length("text"), 1.0).otherwise(0.0), (F.col("doc_id") % 10) / 10.0, (F.col("doc_id") % 4) / 4.0)
     return docs(spark, sf).select("doc_id", c.alias("confidence"))
 
 

@@ -43,13 +43,13 @@ fin_fact AS (SELECT *, CASE WHEN nk % 7 = 0 THEN known_at + INTERVAL 20 DAY END
 
 
 def price_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.to_date("l_shipdate").alias("trade_date"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("price"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("entity"))
     g = l.join(p, "p_partkey").groupBy("entity", "trade_date").agg(F.max("price").alias("close"))
     return g.select("*", (F.col("trade_date").cast("timestamp") + F.expr("INTERVAL 15 HOURS 30 MINUTES")).alias("known_at"), (F.dayofmonth("trade_date") == 13).alias("is_suspended"))
 
 
-PRICE = """price_daily AS (SELECT p_brand AS entity, CAST(l_shipdate AS DATE) AS trade_date, max(round(l_extendedprice / l_quantity, 4)) AS close,
+PRICE = """price_daily AS (SELECT p_brand AS entity, CAST(l_shipdate AS DATE) AS trade_date, max(l_extendedprice / l_quantity) AS close,
  CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + INTERVAL '15:30:00' AS known_at, day(CAST(l_shipdate AS DATE)) = 13 AS is_suspended FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
 
