@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +16,12 @@ from .common import filesystem, shared_folder, task_file
 
 SEQUENCE = 2048
 BATCH = 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian uint32 bytes, by the tokenizers library.
+    """Ids of a text as little-endian uint16 bytes, by the tokenizers library.
 
     White space separates pre-tokens of this vocabulary and is dropped, so a text's ids are those of its space-separated
     pieces in turn; the library encodes each new piece once and later ones are looked up. Texts that may hold one of the
@@ -28,18 +30,15 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: str):
         super().__init__()
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.special = sorted({str(t)[:2] for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())})
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
+        self.special = sorted({x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values()})
         self[""] = b""
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def many(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_WORDS:
             self.clear()
@@ -49,8 +48,19 @@ class Encoder(dict):
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[p] = np.array(e.ids, "<u4").tobytes()
-        return [self.whole(t) if pieces is None else b"".join(map(self.__getitem__, pieces)) for t, pieces in zip(texts, plain, strict=True)]
+                self[p] = array("H", e.ids).tobytes()
+        return [array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if pieces is None else b"".join(map(self.__getitem__, pieces)) for t, pieces in zip(texts, plain, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of this Python worker: Spark uses a worker for many tasks, and later ones find its pieces there."""
+    if vocabulary not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def sequence_schema(length: int) -> pa.Schema:
@@ -117,7 +127,7 @@ def write_sequences(docs: DataFrame, folder: str, vocabulary: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        encoder, out = Encoder(vocabulary), None
+        tool, out = encoder(vocabulary), None
         end = np.array([end_id], np.uint16)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -125,8 +135,8 @@ def write_sequences(docs: DataFrame, folder: str, vocabulary: str, end_id: int =
                 if out is None:
                     n, path = task_file(root, ".arrow")
                     out = SequenceWriter(fs, path, path + ".docs", length)
-                for i, ids in zip(part.column(0).to_pylist(), encoder.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    out.add(i, np.concatenate([np.frombuffer(ids, "<u4").astype(np.uint16), end]))
+                for i, ids in zip(part.column(0).to_pylist(), tool.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    out.add(i, np.concatenate([np.frombuffer(ids, np.uint16), end]))
         if out is not None:
             out.close()
             scheme = folder[: len(folder) - len(root)] if folder.endswith(root) else ""
