@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -73,6 +74,17 @@ class Distances(dict):
         return [list(map(self.__getitem__, words)) for words in split]
 
 
+_distances: dict[str, Distances] = {}
+
+
+def distances(model: dict) -> Distances:
+    """The distances of this Python worker for this model: Spark uses a worker for many tasks, and later ones find its words there."""
+    if model["key"] not in _distances:
+        _distances.clear()
+        _distances[model["key"]] = Distances(model["ordinary"], model["toxic"])
+    return _distances[model["key"]]
+
+
 def features(d: list[int]) -> list[float]:
     top = sorted(d, reverse=True)[:TOP] + [0] * TOP
     return [*(float(np.clip(x, 0, 40)) for x in top[:TOP]), float(np.log1p(len(d)))]
@@ -183,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars:
         return {"prior": sizes[1] / (sizes[0] + sizes[1])}
     base = dictionary(coded([" ".join(t.lower().split()) for t in ordinary]), ORDINARY_BYTES)
     runs = toxic_fragments(toxic, ordinary)
-    model = {"ordinary": base, "toxic": base + b"".join(coded_runs(runs))[-TOXIC_BYTES:], "fragments": runs, "prior": sizes[1] / (sizes[0] + sizes[1])}
+    model = {"key": uuid.uuid4().hex, "ordinary": base, "toxic": base + b"".join(coded_runs(runs))[-TOXIC_BYTES:], "fragments": runs, "prior": sizes[1] / (sizes[0] + sizes[1])}
     measure = Distances(model["ordinary"], model["toxic"])
     x = np.array([features(d) for d in measure.of([t for _, t, _ in rest])])
     y = np.array([v for _, _, v in rest], float)
@@ -203,7 +215,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     weights = model.get("weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = Distances(model["ordinary"], model["toxic"]) if weights else None
+        measure = distances(model) if weights else None
         for b in batches:
             if weights:
                 texts = b.column(b.schema.get_field_index(text))
