@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -16,40 +17,70 @@ from .common import filesystem, shared_folder, task_file
 
 SEQUENCE = 2048
 BATCH = 64
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000
 MANIFEST = "part int, path string, index_path string, n_docs long, n_tokens long"
 
 
+def lowered(word: str) -> str:
+    """Lower case as the tokenizer has it; empty where composing or a final sigma could make a difference."""
+    low = word.lower()
+    if word.isascii() or ("Σ" not in word and unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low) and low.isalpha()):
+        return low
+    return ""
+
+
 class Encoder(dict):
     """Ids of a text as little-endian uint16 bytes, by the tokenizers library.
 
     White space separates pre-tokens of this vocabulary and is dropped, so a text's ids are those of its space-separated
-    pieces in turn; the library encodes each new piece once and later ones are looked up. Texts that may hold one of the
-    vocabulary's special strings, which the library finds before it splits, are encoded whole. Bounded: cleared when full.
+    pieces in turn; the library works on each new piece once and later ones are looked up. A piece of letters is
+    one pre-token, which the library's model takes in lower case and byte by byte; a full stop or comma after letters is a
+    pre-token of its own; any other piece goes through the whole tokenizer. Texts that may hold one of the vocabulary's special
+    strings, which the library finds before it splits, are encoded whole. Bounded: pieces not used for two rounds of
+    CACHE_WORDS go.
     """
 
     def __init__(self, vocabulary: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.tokenizer = Tokenizer.from_file(vocabulary)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
         self.special = sorted({x.content[:2] for x in self.tokenizer.get_added_tokens_decoder().values()})
-        self[""] = b""
+        self.model, self.old = self.tokenizer.model, {}
+        # the shortcuts hold for vocabularies that lower-case and put letters, digits and marks in pre-tokens of their own
+        whole = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.short = all(whole(t) == [*(x.id for x in self.model.tokenize(t[:-1].lower())), *whole(t[-1])] for t in ("Word.", "thE,", "q."))
+        self.short &= whole("ÉTÉ") == [x.id for x in self.model.tokenize(self.bytes("été")[0][0])]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if not piece:
+                ids = b""
+            elif self.short and piece.isalpha() and (low := lowered(piece)):
+                ids = array("H", [x.id for x in self.model.tokenize(low if low.isascii() else self.bytes(low)[0][0])]).tobytes()
+            elif self.short and piece[-1] in ".," and piece[:-1].isalpha():
+                ids = self[piece[:-1]] + self[piece[-1]]
+            else:
+                ids = self.whole(piece)
+        self[piece] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def many(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-            self[""] = b""
-        plain = [None if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for pieces in plain if pieces for p in pieces if p not in self})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[p] = array("H", e.ids).tobytes()
-        return [array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if pieces is None else b"".join(map(self.__getitem__, pieces)) for t, pieces in zip(texts, plain, strict=True)]
+        out = []
+        for t in texts:
+            if len(self) > CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            out.append(self.whole(t) if any(s in t for s in self.special) else b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
