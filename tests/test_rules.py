@@ -134,3 +134,31 @@ def test_no_filter_looks_at_load_time():
 
     for p in Path("tidemark").rglob("*.py"):
         assert "ingested_at" not in p.read_text(), p
+
+
+def test_facade_reads_one_instant(spark):
+    from tidemark.plans.api import DataApi
+
+    sf = "/root/testdata/sf0.001"
+    early = DataApi(spark, sf, datetime(1996, 6, 1, tzinfo=timezone.utc))
+    late = DataApi(spark, sf, datetime(2005, 1, 1, tzinfo=timezone.utc), tenant="t1")
+    assert 0 < early.facts().count() < late.facts().count()
+    assert late.facts().groupBy("entity", "metric", "period").count().filter("count > 1").count() == 0
+    assert early.derived("yoy").columns == ["entity", "metric", "period", "yoy", "note"]
+    with pytest.raises(ValueError):
+        early.derived("nope")
+    public = DataApi(spark, sf, datetime(2024, 1, 20, tzinfo=timezone.utc)).documents().count()
+    assert public < DataApi(spark, sf, datetime(2024, 1, 20, tzinfo=timezone.utc), tenant="t1").documents().count()
+
+
+def test_folds(spark):
+    from tidemark.functions import folds
+
+    jobs = spark.createDataFrame([("d", 1, 6.0), ("d", 2, 5.0), ("d", 3, 4.0), ("d", 4, 0.5)], "k string, i int, cost double")
+    assert [r.taken for r in folds.greedy_packing(jobs, "k", ["i"], "cost", 10.0).orderBy("i").collect()] == [True, False, True, False]
+    rows = spark.createDataFrame([(1, i, i, d) for i, d in enumerate([True, True, False, True, False])], "slot long, known_at long, page_id long, degraded boolean")
+    assert [r.outcome for r in folds.directory_write(rows).orderBy("page_id").collect()] == ["inserted", "skipped", "superseded_degraded", "shadowed", "skipped"]
+    log = spark.createDataFrame([("s", i, x) for i, x in enumerate("abc")], "k string, i int, body string")
+    a = [r.hash for r in folds.audit_chain(log, "k", ["i"], "body").orderBy("i").collect()]
+    b = [r.hash for r in folds.audit_chain(log.withColumn("body", F.when(F.col("i") == 1, "x").otherwise(F.col("body"))), "k", ["i"], "body").orderBy("i").collect()]
+    assert a[0] == b[0] and a[1] != b[1] and a[2] != b[2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..operators import increments as inc
 from ..sources import projections as src
 from ..sources.projections import ANNOUNCEMENT, BLOCK, DOCUMENT, PRICE, QUALITY, day_text, stamp
@@ -220,3 +221,29 @@ def nearest_number(spark, sf):
 @query("statement_kind", "SELECT p_partkey AS id, CASE WHEN len(list_intersect(string_split(p_type, ' '), ['STANDARD', 'BRASS', 'PLATED'])) >= 2 THEN 'balance' WHEN len(list_intersect(string_split(p_type, ' '), ['SMALL', 'TIN', 'POLISHED', 'COPPER'])) >= 2 THEN 'income' END AS kind FROM part")
 def statement_kind(spark, sf):
     return src.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), inc.kind_of(F.split("p_type", " "), {"balance": ["STANDARD", "BRASS", "PLATED"], "income": ["SMALL", "TIN", "POLISHED", "COPPER"]}).alias("kind"))
+
+
+# Folds -------------------------------------------------------------------------------------------------------------
+
+
+@query("audit_hash_chain")
+def audit_hash_chain(spark, sf):
+    return folds.audit_chain(src.table(spark, sf, "conversations"), "conv_id", ["turn"], "text")
+
+
+@query("budget_packing_greedy")
+def budget_packing_greedy(spark, sf):
+    e = src.table(spark, sf, "events").select("user_id", "event_id", "value")
+    return folds.greedy_packing(e, "user_id", ["event_id"], "value", 300.0)
+
+
+@query("directory_write")
+def directory_write(spark, sf):
+    a = src.announcement(spark, sf).select((F.col("page_id") % 40).alias("slot"), "known_at", "page_id", (~F.col("has_full_text")).alias("degraded"))
+    return folds.directory_write(a)
+
+
+@query("hashed_embeddings")
+def hashed_embeddings(spark, sf):
+    v = folds.hashed_embedding(F.col("text"), 8)
+    return src.table(spark, sf, "benchmark").select("item_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
