@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, sample_share
+from .common import fold, held_out, sample_share, written
 
 LONGEST = 48
 ORDINARY_BYTES = 6_000
@@ -21,6 +21,7 @@ LEVEL = 1
 CODE_BYTES = 3
 TOP = 3
 CACHE_WORDS = 400_000
+BROADCAST_ROWS = 100_000
 # Odd factors of the hash of three neighbouring characters.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)
 
@@ -181,7 +182,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars:
     if not sizes.get(0) or not sizes.get(1):
         return {"prior": 1.0 if sizes.get(1) else 0.0}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter("t is not null").join(l.filter(sample_share("i", share)), "i").dropDuplicates(["t"]).select("i", "t", "y").toLocalIterator(prefetchPartitions=True)
+    chosen = written(l.filter(sample_share("i", share)), "sample")
+    # about two times per_class ids; the texts of all documents are only shuffled if somebody asks for a sample beyond BROADCAST_ROWS
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter("t is not null").join(chosen, "i").dropDuplicates(["t"]).select("i", "t", "y").toLocalIterator(prefetchPartitions=True)
     found, chars = [], 0
     for r in rows:
         found.append((r["i"], r["t"], r["y"]))
