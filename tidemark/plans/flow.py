@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..operators import increments as inc
+from ..operators import tables as tb
 from ..sources import projections as src
+from ..sources import seeds
 from ..sources.projections import ANNOUNCEMENT, BLOCK, DOCUMENT, PRICE, QUALITY, day_text, stamp
 from ..streaming import events as ev
 
@@ -247,3 +249,86 @@ def directory_write(spark, sf):
 def hashed_embeddings(spark, sf):
     v = folds.hashed_embedding(F.col("text"), 8)
     return src.table(spark, sf, "benchmark").select("item_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+
+
+# Tables ------------------------------------------------------------------------------------------------------------
+
+CELLS = """cells AS (SELECT p_partkey // 12 AS table_id, CAST((p_partkey % 12) // 4 AS INTEGER) AS row, CAST(p_partkey % 4 AS INTEGER) AS col, CASE WHEN (p_partkey % 12) // 4 = 0 THEN 'h' || p_size WHEN p_partkey % 4 = 0 THEN p_brand WHEN p_size % 9 = 0 THEN p_size || '%' ELSE CAST(p_size AS VARCHAR) END AS text FROM part)"""
+
+
+def table_cells(spark, sf):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("string")
+    row, col = F.floor(k % 12 / 4).cast("int"), (k % 4).cast("int")
+    text = F.when(row == 0, F.concat(F.lit("h"), s)).when(col == 0, F.col("p_brand")).when(F.col("p_size") % 9 == 0, F.concat(s, F.lit("%"))).otherwise(s)
+    return src.table(spark, sf, "part").select(F.floor(k / 12).alias("table_id"), row.alias("row"), col.alias("col"), text.alias("text"))
+
+
+NUMBER = "regexp_matches(trim(text), '^[-+(]?[0-9][0-9,]*(\\.[0-9]+)?[)%]?$')"
+HEADS = f"hd AS (SELECT table_id, min(row) FILTER (WHERE {NUMBER}) AS header_rows, min(col) FILTER (WHERE {NUMBER}) AS label_cols FROM cells GROUP BY 1)"
+
+
+@query("header_inference", f"WITH {CELLS}, {HEADS} SELECT * FROM hd")
+def header_inference(spark, sf):
+    return tb.headers(table_cells(spark, sf))
+
+
+@query("cell_paths", f"WITH {CELLS}, {HEADS}, c AS (SELECT * FROM cells JOIN hd USING (table_id)), p AS (SELECT table_id, col, string_agg(text, ' / ' ORDER BY row) AS col_path FROM c WHERE row < header_rows AND col >= label_cols GROUP BY ALL), l AS (SELECT table_id, row, arg_max(text, col) AS row_label FROM c WHERE col < label_cols AND row >= header_rows AND length(trim(text)) > 0 GROUP BY ALL) SELECT table_id, row, col, text, col_path, row_label FROM c LEFT JOIN p USING (table_id, col) LEFT JOIN l USING (table_id, row) WHERE row >= header_rows AND col >= label_cols AND {NUMBER}")
+def cell_paths(spark, sf):
+    return tb.paths(table_cells(spark, sf))
+
+
+@query("unit_markers", "WITH x AS (SELECT l_orderkey % 500 AS table_id, CASE l_linenumber % 5 WHEN 0 THEN 'in Million' WHEN 1 THEN 'thousand pieces' ELSE 'none' END AS text FROM lineitem WHERE l_orderkey <= 2000), f AS (SELECT table_id, u FROM (SELECT DISTINCT table_id FROM x) LEFT JOIN (SELECT DISTINCT table_id, unnest(regexp_extract_all(lower(text), 'thousand|million|billion')) AS u FROM x) USING (table_id)) SELECT table_id, CASE WHEN count(u) = 1 THEN max(u) END AS unit, count(u) > 1 AS conflict FROM f GROUP BY 1")
+def unit_markers(spark, sf):
+    k = F.col("l_linenumber") % 5
+    x = src.table(spark, sf, "lineitem").filter("l_orderkey <= 2000").select((F.col("l_orderkey") % 500).alias("table_id"), F.when(k == 0, "in Million").when(k == 1, "thousand pieces").otherwise("none").alias("text"))
+    return tb.unit_markers(x, "table_id", "text")
+
+
+@query("ratio_only_tables", f"WITH {CELLS} SELECT table_id, bool_and(trim(text) LIKE '%\\%' ESCAPE '\\') AS ratio_only FROM cells WHERE {NUMBER} GROUP BY 1")
+def ratio_only_tables(spark, sf):
+    return tb.ratio_only(table_cells(spark, sf))
+
+
+FACT_CELLS = f"WITH {src.FIN}, f AS (SELECT * FROM fin_fact WHERE superseded_at IS NULL), c AS (SELECT entity, metric, period, CAST(value * CASE WHEN q = 2 THEN 1.02 ELSE 1.00 END AS DECIMAL(18,4)) AS amount, y % 2 = 0 AS own_document FROM f WHERE q <> 3 UNION ALL SELECT entity, metric, period, CAST(value * 1.5 AS DECIMAL(18,4)), y % 2 = 0 FROM f WHERE q = 1 AND y % 3 = 0)"
+
+
+@query("fact_cell_match", FACT_CELLS + """, b AS (SELECT *, max(own_document) OVER (PARTITION BY entity, metric, period) AS best FROM c), g AS (SELECT f.entity, f.metric, f.period, count(amount) AS n_cells, count(DISTINCT amount) AS vals, coalesce(bool_or(abs(CAST(amount AS DOUBLE) - CAST(value AS DOUBLE)) <= greatest(6000.0::DOUBLE, 0.005::DOUBLE * abs(CAST(value AS DOUBLE)))), false) AS fits, coalesce(bool_or(own_document), false) AS own, any_value(unit) AS unit FROM f LEFT JOIN (SELECT * FROM b WHERE own_document = best) b ON f.entity = b.entity AND f.metric = b.metric AND f.period = b.period GROUP BY ALL)
+SELECT entity, metric, period, CASE WHEN unit <> 'CNY' THEN 'foreign_unit' WHEN n_cells = 0 THEN 'no_cell' WHEN NOT fits THEN 'mismatch' WHEN vals > 1 THEN 'ambiguous' WHEN NOT own THEN 'restated' ELSE 'match' END AS verdict, n_cells FROM g""")
+def fact_cell_match(spark, sf):
+    f = src.fin_fact(spark, sf).filter("superseded_at is null")
+    own = (F.col("y") % 2 == 0).alias("own_document")
+    scaled = lambda x: (F.col("value") * x.cast("decimal(3,2)")).cast("decimal(18,4)").alias("amount")
+    a = f.filter("q <> 3").select("entity", "metric", "period", scaled(F.when(F.col("q") == 2, F.lit("1.02")).otherwise(F.lit("1.00"))), own)
+    b = f.filter("q = 1 and y % 3 = 0").select("entity", "metric", "period", scaled(F.lit("1.50")), own)
+    return tb.match_facts(f, a.unionByName(b))
+
+
+@query("table_row_recall", f"WITH {CELLS}, b AS (SELECT table_id, row, col, CASE WHEN (table_id + row) % 4 = 0 AND col = 2 THEN 'x' ELSE text END AS text FROM cells), s AS (SELECT table_id, row, text, count(*) AS n FROM cells GROUP BY ALL), t AS (SELECT table_id, row AS other, text, count(*) AS m FROM b GROUP BY ALL), z AS (SELECT table_id, row, CAST(sum(n) AS BIGINT) AS size FROM s GROUP BY ALL), k AS (SELECT table_id, row, other, sum(least(n, m)) AS shared FROM s JOIN t USING (table_id, text) GROUP BY ALL), h AS (SELECT table_id, row, max(shared) AS shared FROM k GROUP BY ALL) SELECT table_id, round(avg(CAST(coalesce(shared, 0) >= size AS DOUBLE)), 6) AS recall FROM z LEFT JOIN h USING (table_id, row) GROUP BY 1")
+def table_row_recall(spark, sf):
+    a = table_cells(spark, sf)
+    b = a.withColumn("text", F.when(((F.col("table_id") + F.col("row")) % 4 == 0) & (F.col("col") == 2), "x").otherwise(F.col("text")))
+    return tb.row_recall(a, b)
+
+
+@query("table_backfill", f"WITH {DOCUMENT}, {BLOCK}, b AS (SELECT doc_id, ordinal, content AS text FROM doc_block WHERE ordinal < 3), g AS (SELECT doc_id, ordinal * 10 AS grid_no, CASE WHEN doc_id % 5 = 0 AND ordinal = 1 THEN 'changed' ELSE content END AS text FROM doc_block WHERE ordinal < 3 AND NOT (doc_id % 7 = 0 AND ordinal = 2)), j AS (SELECT doc_id, grid_no, ordinal, coalesce(g.text = b.text, false) AS same FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grid_no) AS n FROM g) g FULL JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM b) b USING (doc_id, n)) SELECT doc_id, grid_no, ordinal FROM (SELECT *, bool_and(same) OVER (PARTITION BY doc_id) AS ok FROM j) WHERE ok")
+def table_backfill(spark, sf):
+    b = src.doc_block(spark, sf).filter("ordinal < 3").select("doc_id", "ordinal", F.col("content").alias("text"))
+    g = b.filter("not (doc_id % 7 = 0 and ordinal = 2)").select("doc_id", (F.col("ordinal") * 10).alias("grid_no"), F.when((F.col("doc_id") % 5 == 0) & (F.col("ordinal") == 1), "changed").otherwise(F.col("text")).alias("text"))
+    return tb.backfill(g, b, "doc_id")
+
+
+@query("stream_corrections")
+def stream_corrections(spark, sf):
+    return ev.run_to_end(ev.corrections(stream(spark, sf)))
+
+
+@query("seed_validation", "SELECT n_nationkey AS id, concat_ws(',', CASE WHEN length(n_name) < 5 THEN 'short_name' END, CASE WHEN n_regionkey > 3 THEN 'unknown_region' END) AS problems FROM nation")
+def seed_validation(spark, sf):
+    return seeds.validated(seeds.csv_round_trip(src.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey")), {"short_name": F.length("n_name") < 5, "unknown_region": F.col("n_regionkey").cast("int") > 3})
+
+
+@query("manifest_check", "SELECT page_id, sha256(html) AS sha256, page_id % 10 <> 0 AS intact FROM pages")
+def manifest_check(spark, sf):
+    p = src.table(spark, sf, "pages").select("page_id", "html")
+    m = p.select("page_id", F.sha2(F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")), 256).alias("stated"))
+    return seeds.verified(p, seeds.json_round_trip(m), "page_id", "html")

@@ -46,3 +46,36 @@ def sessions(stream: DataFrame, gap: str) -> DataFrame:
 def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The first of equal events within the watermark. State is dropped as the watermark passes."""
     return stream.dropDuplicatesWithinWatermark(keys)
+
+
+def corrections(stream: DataFrame) -> DataFrame:
+    """(user_id, event_id, outcome) of a stream of values per user and type: inserted, skipped, corrected, or out_of_order when known no later than what is held.
+
+    State is one value per key, kept between batches; within a batch rows count in order of event_id.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        held = state.get if state.exists else None
+        out = []
+        for pdf in batches:
+            for r in pdf.sort_values("event_id").itertuples():
+                at = r.ts.value // 1000
+                if held is None:
+                    outcome = "inserted"
+                elif abs(held[1] - r.value) < 1e-9:
+                    outcome = "skipped"
+                elif at > held[0]:
+                    outcome = "corrected"
+                else:
+                    outcome = "out_of_order"
+                if outcome in ("inserted", "corrected"):
+                    held = (at, float(r.value))
+                out.append((r.user_id, r.event_id, outcome))
+        if held is not None:
+            state.update(held)
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome"])
+
+    s = stream.select("user_id", "event_type", "event_id", "ts", "value")
+    return s.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_id long, outcome string", "at long, value double", "append", GroupStateTimeout.NoTimeout)
