@@ -348,7 +348,7 @@ def pages(spark, rows):
 
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é</p>" * 200
-    rows = [(1, "http://a", long), (5, "http://b", long), (3, None, long), (4, "u", "short"), (6, "u", "short"), (7, "u\r\nX: y", None), (8, "u", ""), (9, "u", "z" * 999), (10, "u", "z" * 999), (11, "u", "q" * 3_000_000), (5, "http://b", long), (None, "n", long)]
+    rows = [(1, "http://a", long), (5, "http://b", long), (3, None, long), (4, "u", "short"), (6, "u", "short"), (7, "u\r\nX: y", None), (8, "u", ""), (9, "u", "z" * 999), (10, "u", "z" * 999), (11, "u", "q" * 3_000_000), (5, "http://b", long), (None, "n", long), (-1, "m", "minus one")]
     d = pages(spark, rows).withColumn("payload_digest", F.lit("mine"))
     got = warc.round_trip(d).collect()
     assert len(got) == len(rows)

@@ -26,9 +26,9 @@ CHUNK = 1 << 20
 NAMES = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
 
 
-def record_bytes(page_id: int, url: str | None, kind: str, size: int, digest: str, refers_to: int | None, payload: bytes) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, kind: str, size: int, digest: str, refers_to: int | None, payload: bytes) -> bytes:
     block = payload if kind == "response" else b""
-    head = [VERSION, b"WARC-Type: " + kind.encode(), f"WARC-Record-ID: <urn:page:{page_id}>".encode(), b"WARC-Date: " + DATE.encode(), b"WARC-Payload-Digest: sha1:" + digest.encode(), f"X-Payload-Length: {size}".encode()]
+    head = [VERSION, b"WARC-Type: " + kind.encode(), f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>".encode(), b"WARC-Date: " + DATE.encode(), b"WARC-Payload-Digest: sha1:" + digest.encode(), f"X-Payload-Length: {size}".encode()]
     if url is not None:
         head.append(b"WARC-Target-URI: " + url.replace("\r", " ").replace("\n", " ").encode())
     if kind == "revisit":
@@ -60,7 +60,7 @@ def parse_record(raw: bytes) -> dict:
     digest = h[b"warc-payload-digest"].removeprefix("sha1:")
     if kind == "response" and (n != size or hashlib.sha1(rest[:n]).hexdigest() != digest):
         raise ValueError("payload differs from its length or digest")
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda x: None if x == "<urn:page:none>" else int(x.removeprefix("<urn:page:").removesuffix(">"))
     return {"page_id": number(h[b"warc-record-id"]), "url": h.get(b"warc-target-uri"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number(h[b"warc-refers-to"]) if kind == "revisit" else None, "payload": rest[:n] if kind == "response" else None}
 
 
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary_bytes: int = 32_768
                     packed = zstandard.ZstdCompressor(level=19).compress(content)
                     out.write(struct.pack("<II", DICT_MAGIC, len(packed)) + packed)
                 page_id, url, payload, size, digest, kind, refers_to = (c[r].as_py() for c in b.columns)
-                out.write(tool.compress(record_bytes(-1 if page_id is None else page_id, url, kind, size, digest, refers_to, payload or b"")))
+                out.write(tool.compress(record_bytes(page_id, url, kind, size, digest, refers_to, payload or b"")))
                 n += 1
         if out is not None:
             out.close()
@@ -174,8 +174,6 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     for raw in frames(f):
                         rows.append(parse_record(raw))
                         seen, held = seen + 1, held + (len(raw) if payloads else 0)
-                        if rows[-1]["page_id"] == -1:
-                            rows[-1]["page_id"] = None
                         if len(rows) >= 2000 or held > 16 << 20:
                             yield pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], types[k]) for k in names})
                             rows, held = [], 0
