@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.shared.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers where the session's own path doesn't: once per application, as a zip."""
+    root = Path(__file__).resolve().parents[2]
+    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(root) in known or Path.cwd() == root or spark.conf.get("tidemark.shipped", None) == spark.sparkContext.applicationId:
+        return
+    name = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((root / "tidemark").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(name))
+    spark.conf.set("tidemark.shipped", spark.sparkContext.applicationId)
