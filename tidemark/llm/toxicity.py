@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import fold, held_out, sample_share, written
 
 LONGEST = 48
+DICTIONARY_TEXTS = 1000
 ORDINARY_BYTES = 6_000
 TOXIC_BYTES = 24_000
 LEVEL = 1
@@ -169,11 +170,11 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars: int = 30_000_000, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> dict:
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1600, ordinary_rows: int = 4800, max_chars: int = 40_000_000, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> dict:
     """Both dictionaries and the calibration, from labelled rows of folds 0 and 2.
 
-    Class sizes cover all labelled rows. Texts are a bounded sample of about per_class whole texts a class by a hash of
-    the id (and max_chars in all). Half of it makes the dictionaries, the other half the calibration, so that the
+    Class sizes cover all labelled rows. Texts are a bounded sample of about toxic_rows and ordinary_rows whole texts by a
+    hash of the id (and max_chars in all): what toxic texts share is told from chance by the larger ordinary half. Half of it makes the dictionaries, the other half the calibration, so that the
     windows calibrated on are not those trained on. Rows without id, text or label teach nothing. With one class only, or
     none, the score is the share of label 1 (0 without labels).
     """
@@ -181,9 +182,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars:
     sizes = {r["y"]: r["n"] for r in l.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {"prior": 1.0 if sizes.get(1) else 0.0}
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, toxic_rows / sizes[1]))).otherwise(F.lit(min(1.0, ordinary_rows / sizes[0])))
     chosen = written(l.filter(sample_share("i", share)), "sample")
-    # about two times per_class ids; the texts of all documents are only shuffled if somebody asks for a sample beyond BROADCAST_ROWS
+    # about toxic_rows + ordinary_rows ids; the texts of all documents are only shuffled if somebody asks for a sample beyond BROADCAST_ROWS
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter("t is not null").join(chosen, "i").dropDuplicates(["t"]).select("i", "t", "y").toLocalIterator(prefetchPartitions=True)
     found, chars = [], 0
@@ -197,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 1600, max_chars:
     toxic, ordinary = [t for _, t, y in fit if y == 1], [t for _, t, y in fit if y == 0]
     if not toxic or not ordinary:
         return {"prior": sizes[1] / (sizes[0] + sizes[1])}
-    base = dictionary(coded([" ".join(t.lower().split()) for t in ordinary]), ORDINARY_BYTES)
+    base = dictionary(coded([" ".join(t.lower().split()) for t in ordinary[:DICTIONARY_TEXTS]]), ORDINARY_BYTES)
     runs = toxic_fragments(toxic, ordinary)
     model = {"key": uuid.uuid4().hex, "ordinary": base, "toxic": base + b"".join(coded_runs(runs))[-TOXIC_BYTES:], "fragments": runs, "prior": sizes[1] / (sizes[0] + sizes[1])}
     measure = Distances(model["ordinary"], model["toxic"])
