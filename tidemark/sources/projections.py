@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded_mean(column: str, places: int):
+    """A mean that engines round alike: summed as decimals, and halves up by floor, as round() differs on doubles."""
+    return F.floor(F.sum(F.col(column).cast("decimal(18,4)")).cast("double") / F.count("*") * 10**places + 0.5) / 10**places
+
+
 def fin_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative quarterly amounts of nation and segment, corrected by 1 % after 20 days for every seventh nation."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
@@ -55,12 +60,12 @@ PRICE = """price_daily AS (SELECT p_brand AS entity, CAST(l_shipdate AS DATE) AS
 
 def fx_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("ts")
-    g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("base"), day.alias("rate_date")).agg(F.round(F.avg("value") + 1, 4).cast("decimal(18,4)").alias("rate"))
+    g = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("base"), day.alias("rate_date")).agg((rounded_mean("value", 4) + 1).cast("decimal(18,4)").alias("rate"))
     d = F.dayofmonth("rate_date")
     return g.filter((d % 4 != 0) & ~((F.col("base") == "error") & d.between(8, 18)))
 
 
-FX = """fx_rate AS (SELECT base, rate_date, rate FROM (SELECT event_type AS base, CAST(ts AS DATE) AS rate_date, CAST(round(avg(value) + 1, 4) AS DECIMAL(18,4)) AS rate FROM events GROUP BY ALL)
+FX = """fx_rate AS (SELECT base, rate_date, rate FROM (SELECT event_type AS base, CAST(ts AS DATE) AS rate_date, CAST(floor(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 10000 + 0.5) / 10000 + 1 AS DECIMAL(18,4)) AS rate FROM events GROUP BY ALL)
  WHERE day(rate_date) % 4 <> 0 AND NOT (base = 'error' AND day(rate_date) BETWEEN 8 AND 18))"""
 
 
@@ -102,10 +107,10 @@ ANNOUNCEMENT = """announcement AS (SELECT page_id, url AS source_ref, trim(regex
 
 def quality_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("metric"), (F.col("user_id") % 5).alias("source"), F.to_date("ts").alias("partition_day")).agg(F.round(F.avg("value"), 6).alias("value"), F.max("ts").alias("computed_at"))
+    return e.groupBy(F.col("event_type").alias("metric"), (F.col("user_id") % 5).alias("source"), F.to_date("ts").alias("partition_day")).agg(rounded_mean("value", 6).alias("value"), F.max("ts").alias("computed_at"))
 
 
-QUALITY = """quality_metric AS (SELECT event_type AS metric, user_id % 5 AS source, CAST(ts AS DATE) AS partition_day, round(avg(value), 6) AS value, max(ts) AS computed_at FROM events GROUP BY ALL)"""
+QUALITY = """quality_metric AS (SELECT event_type AS metric, user_id % 5 AS source, CAST(ts AS DATE) AS partition_day, floor(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*) * 1000000 + 0.5) / 1000000 AS value, max(ts) AS computed_at FROM events GROUP BY ALL)"""
 
 
 def stamp(c, fmt: str = "yyyy-MM-dd HH:mm:ss"):
