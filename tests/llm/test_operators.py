@@ -323,6 +323,17 @@ def test_tiles_find_links_that_no_hub_saw():
     assert {closure({i: {b for a, b in out if a == i} | {a for a, b in out if b == i} for i in range(40)})[i] for i in range(40)} == {0}
 
 
+def test_tiles_keep_pairs_whose_estimate_is_low():
+    def pair(seed):  # 16,000 of 20,000 shared: exactly 0.8
+        h = np.random.default_rng(seed).integers(0, 2**64, 20_000, dtype=np.uint64)
+        return np.sort(h[:18_000]), np.sort(np.concatenate([h[:16_000], h[18_000:]]))
+
+    low = [44, 185, 4628, 5122]  # of these seeds the estimate is 3 standard errors and more below
+    rows = [(0, 2 * s, 2 * s, pair(s)[0], 0) for s in low] + [(1, 2 * s + 1, 2 * s + 1, pair(s)[1], 0) for s in [*low, *range(10_000, 10_080)]]
+    assert set(minhash_dedup.tile_links(rows, 80)) == {(2 * s + 1, 2 * s) for s in low}
+    assert minhash_dedup.tile_links(rows, 81) == []
+
+
 def test_estimates_are_close():
     w = minhash_dedup.Words()
     base = words(2000, 1, 10**6).split()

@@ -21,6 +21,7 @@ BANDS = BUCKETS // BAND
 CACHE_WORDS = 400_000
 SLACK = 6.0
 TILE = 512
+TILE_SHINGLES = 4_000_000
 # Odd 64-bit factors for mixing, and the constant of the expected collisions of registers.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -182,9 +183,8 @@ def rest_links(apart: DataFrame, texts: DataFrame, width: int, percent: int, fol
     """Links (a, b) among apart(band, doc_id, component): all pairs of a band whose components differ, on full sets.
 
     A band's largest component is cut into blocks of TILE rows, and so are the rows of its others; every block of the others meets
-    every block of the band in a tile of its own. Pairs never leave their tile: registers are compared first, a
-    pair is looked at in the first band that it shares, and only those links are returned that join what the tile
-    had apart.
+    every block of the band in a tile of its own. Pairs never leave their tile, every one whose groups are apart there is
+    compared on its full sets, and only those links are returned that join what the tile had apart.
     """
     sizes = apart.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("total"), F.max("n").alias("most"))
     m = apart.join(sizes, "band").withColumns({"blocks": F.ceil(F.col("total") / TILE).cast("int"), "sides": F.ceil((F.col("total") - F.col("most")) / TILE).cast("int"), "h": F.xxhash64("doc_id")})
@@ -214,7 +214,7 @@ def rest_links(apart: DataFrame, texts: DataFrame, width: int, percent: int, fol
                         a_out.append(x)
                         b_out.append(y)
                     held, key = [], (band, block, lb)
-                held.append((side, doc, comp, np.frombuffer(sh, np.uint64), band >> 32))
+                held.append((side, doc, comp, np.frombuffer(sh, np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
         last = tile_links(held, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in last], pa.int64()), pa.array([y for _, y in last], pa.int64())], names=["a", "b"])
@@ -223,43 +223,40 @@ def rest_links(apart: DataFrame, texts: DataFrame, width: int, percent: int, fol
 
 
 def tile_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Verified links of one tile's rows (side, doc_id, component, shingles, band number), each between groups that were apart so far."""
+    """Verified links of one tile's rows (side, doc_id, component, shingles, ...), each between groups that were apart so far.
+
+    Exact: no sketch decides. What a row shares with all rows of a part of the other side is counted at once, by its
+    shingles' places in the part's sorted shingles; a part holds TILE_SHINGLES of them, or one row where that has more.
+    """
     left, right = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+    out: list[tuple[int, int]] = []
     if not left or not right:
-        return []
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            x = root[x]
-        return x
-
-    many = len(left) * len(right) > 64
+        return out
     n = np.array([len(r[3]) for r in right])
-    comp = np.array([r[2] for r in right])
-    t = percent / 100
-    if many:
-        raw = np.stack([registers(r[3]) for r in right])
-        full = np.stack([filled(x) for x in raw])
-    out = []
-    for _, doc, c, x, k in left:
-        ok = (comp != c) & (100 * np.minimum(n, len(x)) >= percent * np.maximum(n, len(x)))
-        if many and ok.any():
-            at = np.flatnonzero(ok)
-            mine = registers(x)
-            j, buckets = estimate(np.broadcast_to(mine, (len(at), BUCKETS)), raw[at], np.full(len(at), len(x)), n[at])
-            at = at[j >= t - SLACK / 2 * np.sqrt(t * (1 - t) / np.maximum(buckets, 1))]
-            same = (full[at] == filled(mine)).reshape(len(at), BANDS, BAND).all(axis=2)
-            ok = np.zeros(len(right), bool)
-            ok[at[~same[:, :k].any(axis=1)]] = True
-        for i in np.flatnonzero(ok):
-            _, other, oc, y, _ = right[i]
-            if other == doc or find(c) == find(oc):
+    ids = np.array([r[1] for r in right])
+    group = np.unique(np.array([r[2] for r in left + right]), return_inverse=True)[1]
+    mine, theirs = group[: len(left)], group[len(left) :]
+    part = (np.cumsum(n) - n) // TILE_SHINGLES
+    for p in np.unique(part):
+        at = np.flatnonzero(part == p)
+        all_shingles, of = np.concatenate([right[i][3] for i in at]), np.repeat(np.arange(len(at)), n[at])
+        order = np.argsort(all_shingles, kind="stable")
+        all_shingles, of = all_shingles[order], of[order]
+        for r, (_, doc, _, x, *_) in enumerate(left):
+            ok = (theirs[at] != mine[r]) & (100 * np.minimum(n[at], len(x)) >= percent * np.maximum(n[at], len(x)))
+            if not ok.any():
                 continue
-            shared = np.intersect1d(x, y, assume_unique=True).size
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
-                out.append((max(doc, other), min(doc, other)))
-                root[find(c)] = find(oc)
+            low, high = np.searchsorted(all_shingles, x, "left"), np.searchsorted(all_shingles, x, "right")
+            some = high > low
+            low, size = low[some], (high - low)[some]
+            hits = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            shared = np.bincount(of[hits], minlength=len(at))
+            ok &= (shared > 0) & (100 * shared >= percent * (len(x) + n[at] - shared)) & (ids[at] != doc)
+            for i in at[ok]:
+                if theirs[i] != mine[r]:
+                    out.append((int(max(doc, ids[i])), int(min(doc, ids[i]))))
+                    old, new = mine[r], theirs[i]
+                    mine[mine == old], theirs[theirs == old] = new, new
     return out
 
 
@@ -270,8 +267,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     classes' registers are cut into 64 bands of 8 (a pair at 0.8 shares one with all but 1 chance in 100,000); a pair that
     shares a band is a candidate. Only links decide components, so a band's members need not all meet: each is
     compared with the band's smallest member first, then, where members are still apart, with the one that has
-    most links so far. What is apart after these `rounds` rounds is compared in tiles (rest_links), so no candidate is left out.
-    Each pair passes the estimate before its full texts or sets are compared.
+    most links so far. What is apart after these `rounds` rounds is compared in tiles on full sets alone (rest_links), so no
+    candidate is left out. In the rounds a pair passes the estimate before its full texts are compared; one that the
+    estimate holds back is met again in the tiles.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null id are left out. Of repeated rows of an
     id all come back. Texts are whole; extra columns are not read.
