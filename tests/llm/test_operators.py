@@ -127,6 +127,23 @@ def test_embedding_dedup_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    for most in (10, 10**4, 10**6, 10**8):
+        bits = embedding_dedup.bits_for(most)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** embedding_dedup.passes_for(bits, 0.93) <= 1e-4
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.normal(size=a.shape)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    x = np.stack([a, 0.9305 * a + np.sqrt(1 - 0.9305**2) * o / np.linalg.norm(o, axis=1, keepdims=True)], axis=1).reshape(-1, 64)
+    df = spark.createDataFrame([(1, i, 1, v.tolist()) for i, v in enumerate(x)], "label long, vec_id long, m long, embedding array<double>")
+    bits = embedding_dedup.bits_for(10**6)
+    got = embedding_dedup.signatures(df, bits, embedding_dedup.passes_for(bits, 0.93), 5).orderBy("vec_id").select("sigs").collect()
+    sigs = np.array([r.sigs for r in got])
+    assert (sigs[::2] == sigs[1::2]).any(axis=1).sum() >= 1998
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -13,9 +13,21 @@ from pyspark.sql import functions as F
 from .common import shared_folder, written
 from .graph import connected_components
 
-PASSES = 20
+MISS = 1e-4
 BLOCK = 256
 MAX_BITS = 62
+RUN_BITS = 4
+
+
+def bits_for(most: int) -> int:
+    """Hash bits of a pass for so many rows of a label: about 2 ** RUN_BITS rows of evenly spread vectors have equal bits."""
+    return min(MAX_BITS, max(8, int(most).bit_length() - RUN_BITS))
+
+
+def passes_for(bits: int, threshold: float) -> int:
+    """Passes after which a pair at `threshold` has had equal bits in none with odds of MISS at most."""
+    agree = (1 - np.arccos(threshold) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-agree)))) if agree < 1 else 1
 
 
 def signatures(vectors: DataFrame, bits: int, passes: int, seed: int) -> DataFrame:
@@ -99,7 +111,7 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"kind": 1, "a": ids[k], "b": ids[order[root[k]]], "n": 0})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, block: int = BLOCK, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None, block: int = BLOCK, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector with an id.
 
     Links are pairs of equal label, both not null, with cosine (double precision) of `threshold` or more. Vectors that are null, empty, zero,
@@ -110,8 +122,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     bits, and cut into blocks; a block is compared with itself and the next, so windows hold `block` neighbours at least.
     Where equal bits run on past that, every two blocks of the run are compared, each in its own task, so a dense
     group of any size loses no link and none of its pairs leaves its task: links are counted there, once over
-    all passes, and each row gives one edge per tile. Bits grow with the logarithm of the rows per label; a pair
-    at 0.95 shares 13 bits in one pass of 4, and is missed by 20 passes with odds below 1 in 200 (fewer, with the windows).
+    all passes, and each row gives one edge per tile. Bits grow with the logarithm of the rows per label, and passes
+    (where not given) with the bits, so that a pair at `threshold` is missed with odds of at most MISS whatever the size
+    (fewer, with the windows).
     """
     spark = vectors.sparkSession
     folder = shared_folder(spark)
@@ -128,7 +141,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = P
     most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if most is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    bits = min(MAX_BITS, max(8, int(most).bit_length()))
+    bits = bits_for(most)
+    passes = passes_for(bits, threshold) if passes is None else passes
     signed = written(signatures(reps, bits, passes, seed), "signed", folder)
 
     # the place of each row in each pass's order: counts of the parts that a range partition makes, then a number within the part
