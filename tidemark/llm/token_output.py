@@ -35,7 +35,7 @@ class Encoder(dict):
     White space separates pre-tokens of this vocabulary and is dropped, so a text's ids are those of its space-separated
     pieces in turn; the library works on each new piece once and later ones are looked up. A piece of letters is
     one pre-token, which the library's model takes in lower case and byte by byte; a full stop or comma after letters is a
-    pre-token of its own; any other piece goes through the whole tokenizer. Texts that may hold one of the vocabulary's special
+    pre-token of its own where the letters are such a piece; any other piece goes through the whole tokenizer. Texts that may hold one of the vocabulary's special
     strings, which the library finds before it splits, are encoded whole. Bounded: pieces not used for two rounds of
     CACHE_WORDS go.
     """
@@ -63,7 +63,7 @@ class Encoder(dict):
                 ids = b""
             elif self.short and piece.isalpha() and (low := lowered(piece)):
                 ids = array("H", [x.id for x in self.model.tokenize(low if low.isascii() else self.bytes(low)[0][0])]).tobytes()
-            elif self.short and piece[-1] in ".," and piece[:-1].isalpha():
+            elif self.short and piece[-1] in ".," and piece[:-1].isalpha() and lowered(piece[:-1]):
                 ids = self[piece[:-1]] + self[piece[-1]]
             else:
                 ids = self.whole(piece)
