@@ -277,11 +277,49 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "aa"] and got[900].score == 0
     assert got[904].lang_pred in syllables and 0 <= got[904].score <= 0.5 and 0.6 < got[903].score < 1
     spans = language_id.identify(d.filter("doc_id = 903"), language_id.learn(d), spans=True).first().lang_spans
-    assert [s.lang for s in spans] == ["aa", "bb"] and abs(spans[0].word_to - 40) <= 1
+    assert [s.lang for s in spans] == ["aa", "bb"] and abs(spans[0].char_to - 280) <= 7 and spans[0].char_from == 0 and spans[1].char_to == len(rows[303][1])
     assert language_id.predict_languages(d.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id.predict_languages(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_one_label_is_taken_only_where_it_is_the_best_path():
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 60, 400)
+    s = rng.normal(size=(lengths.sum(), 3)) * 2 + np.repeat(rng.normal(size=(400, 3)) * 3, lengths, axis=0)
+    label, settled = language_id.constant(s, lengths, 8.0)
+    path = language_id.viterbi(s, lengths, 8.0)
+    ends = np.cumsum(lengths)
+    assert 20 < settled.sum() < 400
+    for d in np.flatnonzero(settled):
+        assert (path[ends[d] - lengths[d] : ends[d]] == label[d]).all()
+
+
+def test_units_lose_no_gram_of_long_or_mixed_words():
+    text = "x" + "abcdefgh" * 40 + "приветabc漢字 q  \u00a0 12"
+    cp, kind, first = language_id.read([text, "", "z"])
+    starts, spaced = language_id.units(kind)
+    grams = sum(int((s < language_id.SLOTS).sum()) for s in language_id.gram_slots(cp, kind))
+    assert grams == sum(len(w) + 2 - n + 1 for w in [*text.split(), "z"] for n in language_id.ORDERS if len(w) + 2 >= n)
+    assert (np.diff(starts) > 0).all() and np.diff(starts).max() <= language_id.PIECE + 6
+    at = starts + spaced
+    assert {"п", "a", "漢", "x", "z"} <= {chr(cp[a]) for a in at} and list(first) == [0, len(text) + 1, len(text) + 2]
+
+
+def test_long_text_without_spaces_is_read_throughout(spark):
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["schu", "ter", "ung"]}
+    make = lambda l, n, seed, sep: sep.join("".join(np.random.default_rng([seed, k]).choice(syllables[l], 3)) for k in range(n))
+    fit = [(i, make(l, 30, i, " "), l) for i in range(120) for l in [list(syllables)[i % 2]]]
+    ends = make("aa", 6, 1, "")
+    rows = [(900, ends + make("bb", 2500, 2, "") + ends, None), (901, make("aa", 2000, 3, "-") + make("bb", 900, 4, "/"), None), (901, make("aa", 2000, 3, "-") + make("bb", 900, 4, "/"), None)]
+    model = language_id.learn(spark.createDataFrame(fit, "doc_id long, text string, lang string"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(d, model, spans=True).orderBy("doc_id").collect()
+    whole = language_id.identify(d, model, spans=True, batch_chars=4096).orderBy("doc_id").collect()
+    assert len(rows[0][1]) > 20_000 and [r.lang_pred for r in got] == ["bb", "aa", "aa"] == [r.lang_pred for r in whole]
+    assert got[0].score > 0.98 and [s.lang for s in got[0].lang_spans] == ["aa", "bb", "aa"] and 0.4 < got[1].score < 0.7
+    assert abs(got[0].lang_spans[0].char_to - len(ends)) <= language_id.PIECE and abs(whole[0].score - got[0].score) < 0.01
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
