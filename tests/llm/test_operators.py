@@ -166,14 +166,37 @@ def test_toxicity_on_held_out_rows(spark):
     assert held and all((zlib.crc32(str(i).encode()) % 3 == 1) == got[i].held_out for i in truth)
     assert np.mean([got[i].predicted == truth[i] for i in held]) > 0.95
     assert all(0 <= r.score <= 1 for r in got.values()) and got[2000].score == got[2001].score and got[2000].predicted == 0
+    again = docs(spark, [(1, words(60, 1, 500)), (1, words(60, 1, 500)), (2, "blargh zotting " + words(40_000, 2, 500))])
+    three = toxicity.score(again, toxicity.learn(d, l)).orderBy("doc_id").collect()
+    assert len(three) == 3 and three[0].toxicity == three[1].toxicity == got[1].score
     assert toxicity.score_documents(d.limit(0), l).count() == 0
+    exact = toxicity.score_documents(d, spark.createDataFrame([(0, 1)], "doc_id long, toxic int"), threshold=1.0)
+    assert {(r.score, r.predicted) for r in exact.collect()} == {(1.0, 1)}
     assert {r.score for r in toxicity.score_documents(d, l.limit(0)).collect()} == {0.0}
 
 
 def test_compression_windows_cover_the_text():
-    t = "a " * 30 + "y" * 100
-    assert "".join(toxicity.windows(t)) == t.replace(" ", "")
-    assert toxicity.windows(None) == [] and [len(x) for x in toxicity.coded(["abc", ""])] == [9, 0]
+    t = "A " * 30 + "y" * 300 + "\n b"
+    plain = " " + " ".join(t.lower().split()) + " "
+    at = toxicity.bounds(plain)
+    assert at[0][0] == 0 and at[-1][1] == len(plain) and all(b - a <= toxicity.LONGEST for a, b in at)
+    assert all(c < b and d > b for (_, b), (c, d) in zip(at, at[1:], strict=False))  # each begins within the one before
+    assert b"".join(toxicity.windows("one")) == toxicity.coded(" one ") and len(toxicity.coded("abc")) == 3
+    assert toxicity.windows(None) == toxicity.windows("") == toxicity.windows(" \n") == []
+    long = toxicity.windows("word " * 300_000)
+    assert len(long) >= 300_000 // toxicity.WINDOW_WORDS
+
+
+def test_distances_equal_compression_done_by_hand():
+    import zstandard
+
+    ordinary, toxic = toxicity.dictionaries([toxicity.windows(f"{words(100, i, 500)} blargh {words(9, 500 + i, 500)} zotting") for i in range(200)], [toxicity.windows(words(120, 900 + i, 500)) for i in range(400)])
+    assert len(ordinary) > 0 and len(toxic) > 0
+    p = zstandard.ZstdCompressionParameters(strategy=1, hash_log=17, chain_log=17, search_log=1, target_length=0, min_match=6, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+    texts = toxicity.windows("w1 w2 w3 w4 blargh w5 zotting w6 w7 blargh zotting")
+    by_hand = [len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(ordinary, dict_type=1), compression_params=p).compress(w)) - len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(toxic, dict_type=1), compression_params=p).compress(w)) for w in texts]
+    assert toxicity.Distance(ordinary, toxic).of(texts).tolist() == by_hand
+    assert max(by_hand) > 5
 
 
 # 5 -----------------------------------------------------------------------------------------------------------------

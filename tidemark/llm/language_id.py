@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, sample_share
+from .common import fold, held_out, sample_share, slices
 
 # First and last code point of the scripts told apart (letters elsewhere count as "Other").
 SCRIPTS = [("Latin", 0x41, 0x24F), ("Latin", 0x1E00, 0x1EFF), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x77F), ("Devanagari", 0x900, 0x97F), ("Bengali", 0x980, 0x9FF), ("Tamil", 0xB80, 0xBFF), ("Thai", 0xE00, 0xE7F), ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF)]
@@ -147,15 +147,6 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     return {"langs": langs, "table": table, "allowed": allowed, "prior": [sizes[x] for x in langs]}
 
 
-def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """A text in parts of at most `size` characters, cut at the last space of each where it has one."""
-    while len(text) > size:
-        at = max(text.rfind(" ", 0, size), text.rfind("\n", 0, size)) + 1
-        yield text[: at or size]
-        text = text[at or size :]
-    yield text
-
-
 def unit_scores(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(scores, letters, text, from) of all units of the texts, in order.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,150 +11,155 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, sample_share, written
+from .common import fold, held_out, sample_share, slices, written
 
-LONGEST = 48
-DICTIONARY_TEXTS = 1000
-ORDINARY_BYTES = 6_000
-TOXIC_BYTES = 24_000
-LEVEL = 1
+WINDOW_WORDS = 4
+LONGEST, OVERLAP = 96, 16
 CODE_BYTES = 3
+BASE_BYTES = 24_000
+CLASS_BYTES = 6_000
+HASH_LOG, MIN_MATCH = 17, 6
+ROUNDS = 6
 TOP = 3
-CACHE_WORDS = 400_000
 BROADCAST_ROWS = 100_000
 # Odd factors of the hash of three neighbouring characters.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)
 
 
-def windows(text: str | None) -> list[str]:
-    """The windows of the whole text: its words in lower case; one longer than LONGEST characters gives several."""
-    words = (text or "").lower().split()
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+def bounds(text: str) -> list[tuple[int, int]]:
+    """First and last place (the latter left out) of the windows of a text of single-spaced words between two spaces: WINDOW_WORDS words and the spaces around them.
+
+    A longer window than LONGEST characters gives several that overlap by OVERLAP, so that text without spaces has windows too.
+    """
+    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
+    edges = [*spaces[:-1:WINDOW_WORDS].tolist(), int(spaces[-1])]
+    if max(map(int.__sub__, edges[1:], edges), default=0) < LONGEST:
+        return [(a, b + 1) for a, b in zip(edges, edges[1:], strict=False)]
+    out = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        while b + 1 - a > LONGEST:
+            out.append((a, a + LONGEST))
+            a += LONGEST - OVERLAP
+        out.append((a, b + 1))
+    return out
 
 
-def coded(texts: list[str]) -> list[bytes]:
-    """Each text, a space at either end, with CODE_BYTES for every three neighbouring characters.
+def coded(text: str) -> bytes:
+    """CODE_BYTES for every three neighbouring characters.
 
     A dictionary match then needs a run of equal characters, costs the same whatever its length, and saves CODE_BYTES for
     each of them; what does not match cannot be packed. The compressed length so counts unmatched characters.
     """
-    joined = "\0\0".join(f" {t} " for t in texts)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     h = cp[:-2] * np.uint64(FACTORS[0]) + cp[1:-1] * np.uint64(FACTORS[1]) + cp[2:] * np.uint64(FACTORS[2])
     h = (h ^ (h >> np.uint64(29))) * np.uint64(FACTORS[3])
-    code = (h >> np.uint64(64 - 8 * CODE_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
-    out, at = [], 0
-    for t in texts:
-        out.append(code[at * CODE_BYTES : (at + len(t)) * CODE_BYTES])
-        at += len(t) + 4
+    return (h >> np.uint64(64 - 8 * CODE_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
+
+
+def windows(text: str | None) -> list[bytes]:
+    """The coded windows of the whole text, in lower case and with white space as single spaces. A text without words has none."""
+    out = []
+    for part in slices(text or ""):
+        if words := part.lower().split():
+            plain = f" {' '.join(words)} "
+            code = coded(plain)
+            out += [code[CODE_BYTES * a : CODE_BYTES * (b - 2)] for a, b in bounds(plain)]
     return out
 
 
-class Distances(dict):
-    """Per window: compressed length with the ordinary dictionary less that with the toxic one. Bounded: cleared when full."""
+def train(samples: list[bytes], size: int) -> bytes:
+    """Content that zstandard's dictionary training picks from the samples; the samples' own last bytes where they are too few to train on.
+
+    Only the picked content is used: windows are so short that trained entropy tables would outweigh the matches.
+    """
+    try:
+        return zstandard.train_dictionary(size, samples, k=8 * CODE_BYTES, d=8).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+class Distance:
+    """Of each window its compressed length with the ordinary dictionary less that with the toxic one.
+
+    Both compress with the same parameters: a hash table with room for every place of a dictionary, and matches of MIN_MATCH
+    bytes at least, which are two codes, so four characters.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        super().__init__()
+        p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_FAST, hash_log=HASH_LOG, chain_log=HASH_LOG, search_log=1, target_length=0, min_match=MIN_MATCH, window_log=HASH_LOG, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         def tool(content: bytes):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            d.precompute_compress(compression_params=p)
+            return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
         self.ordinary, self.toxic = tool(ordinary), tool(toxic)
 
-    def of(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        split = [windows(t) for t in texts]
-        new = list({w for words in split for w in words if w not in self})
-        for w, b in zip(new, coded(new) if new else [], strict=True):
-            self[w] = len(self.ordinary(b)) - len(self.toxic(b))
-        return [list(map(self.__getitem__, words)) for words in split]
+    def of(self, parts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, map(self.ordinary, parts)), np.int32, len(parts)) - np.fromiter(map(len, map(self.toxic, parts)), np.int32, len(parts))
 
 
-_distances: dict[str, Distances] = {}
+_distances: dict[str, Distance] = {}
 
 
-def distances(model: dict) -> Distances:
-    """The distances of this Python worker for this model: Spark uses a worker for many tasks, and later ones find its words there."""
+def distance(model: dict) -> Distance:
+    """The compressors of this Python worker for this model: Spark uses a worker for many tasks."""
     if model["key"] not in _distances:
         _distances.clear()
-        _distances[model["key"]] = Distances(model["ordinary"], model["toxic"])
+        _distances[model["key"]] = Distance(model["ordinary"], model["toxic"])
     return _distances[model["key"]]
 
 
-def features(d: list[int]) -> list[float]:
-    top = sorted(d, reverse=True)[:TOP] + [0] * TOP
-    return [*(float(np.clip(x, 0, 40)) for x in top[:TOP]), float(np.log1p(len(d)))]
-
-
-def toxic_fragments(toxic: list[str], ordinary: list[str], sizes: tuple[int, ...] = (4, 5, 6, 7, 8, 9, 10, 11, 12, 13), least: float = 0.012, ratio: float = 12.0) -> list[str]:
-    """Character n-grams far more frequent among toxic texts than among ordinary ones, most frequent last.
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
+    """(ordinary, toxic): both trained by zstandard, from the windows of toxic and of ordinary texts.
 
-    An n-gram counts once a text. It is kept from a share of `least` of the toxic texts (5 at least) with `ratio` times the
-    ordinary share, and in as many different surroundings (copies of one text are one); of nested ones, a longer
-    one replaces a shorter one that it nearly always extends, and one that only adds a neighbour's letters goes.
+    Both begin with content that tells them apart and end with one base trained on all ordinary windows, so that plain
+    language costs the same in either. A toxic text is mostly ordinary words; which windows make it toxic is found in rounds: a dictionary trained on the
+    windows chosen from one half of the texts picks, in each text of the other half, the TOP windows that it shortens most. The ordinary one is trained
+    on the windows that it shortens most in ordinary texts, for the same number of bytes, so what both classes share cancels out. Of
+    all rounds' pairs that one is kept which best tells the two classes' texts apart in the half that its toxic dictionary wasn't trained on.
     """
-
-    def plain(t: str) -> str:
-        return f" {' '.join(t.lower().split())} "
-
-    na, nb = len(toxic) + 1, len(ordinary) + 1
-    need = max(5, least * na)
-    toxic, ordinary = [plain(t) for t in toxic], [plain(t) for t in ordinary]
-    seen: dict[str, int] = {}
-    for n in sizes:
-        c: Counter = Counter()
-        for t in toxic:
-            c.update({t[i : i + n] for i in range(len(t) - n + 1) if n == sizes[0] or t[i : i + n - 1] in seen or t[i + 1 : i + n] in seen})
-        likely = {g: k for g, k in c.items() if k >= need}
-        other: Counter = Counter()
-        for t in ordinary:
-            other.update({g for i in range(len(t) - n + 1) if (g := t[i : i + n]) in likely})
-        seen |= {g: k for g, k in likely.items() if n <= 5 or k / na >= ratio * (other[g] + 0.5) / nb}
-        if n <= 5:  # kept only to grow from
-            short = {g for g, k in likely.items() if k / na < ratio * (other[g] + 0.5) / nb}
-            seen |= dict.fromkeys(short, 0)
-    good = {g: k for g, k in seen.items() if k}
-    around: dict[str, set[int]] = {g: set() for g in good}
-    for t in toxic:
-        for n in sizes:
-            for i in range(len(t) - n + 1):
-                if (g := t[i : i + n]) in good:
-                    around[g].add(hash((t[max(0, i - 6) : i], t[i + n : i + n + 6])))
-    good = {g: k for g, k in good.items() if len(around[g]) >= need}
-    gone = set()
-    for g, k in good.items():
-        for part in (g[1:], g[:-1]):
-            if part in good:
-                if k >= 0.7 * good[part]:
-                    gone.add(part)
-                else:
-                    gone.add(g)
-    return [g for g, _ in sorted(good.items(), key=lambda x: (x[1], x[0])) if g not in gone]
-
-
-def dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content that zstandard's dictionary training picks from the samples; the samples' own last bytes where they are too few to train on.
-
-    Only the picked content is used: windows are so short that trained entropy tables would outweigh the matches.
-    """
-    try:
-        return zstandard.train_dictionary(size, samples, k=48 * CODE_BYTES, d=8, level=LEVEL).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
-
-
-def coded_runs(runs: list[str]) -> list[bytes]:
-    """The codes of fragments as they stand, without spaces of coded()'s own."""
-    return [c[CODE_BYTES:-CODE_BYTES] for c in coded(runs)]
+    halves = [toxic[::2], toxic[1::2]], [ordinary[::2], ordinary[1::2]]
+    flat = lambda texts: sorted({w for t in texts for w in t})
+    base = train(flat(ordinary), BASE_BYTES)
+    chosen, plain = flat(halves[0][0]), b""
+    kept, most = None, -1.0
+
+    def best(texts: list[list[bytes]], d: Distance) -> tuple[list[bytes], np.ndarray]:
+        out, top = set(), np.zeros(len(texts))
+        for k, t in enumerate(texts):
+            x = d.of(t)
+            at = np.argsort(-x, kind="stable")[:TOP]
+            out |= {t[j] for j in at if x[j] > 0}
+            top[k] = x[at].clip(0).sum()
+        return sorted(out), top
+
+    for r in range(rounds):
+        pair = plain + base, train(chosen, CLASS_BYTES) + base
+        half = (r + 1) % 2 if len(toxic) > 1 else 0
+        d = Distance(*pair)
+        (picked, high), (hard, low) = best(halves[0][half], d), best(halves[1][half], d)
+        apart = above(high, low)
+        if apart > most:
+            kept, most = pair, apart
+        chosen, plain = picked or chosen, train(hard, CLASS_BYTES) if hard else plain
+    return kept
+
+
+def above(high: np.ndarray, low: np.ndarray) -> float:
+    """The share of pairs in which the first is larger, ties half."""
+    low = np.sort(low)
+    return float((np.searchsorted(low, high, "left") + np.searchsorted(low, high, "right")).mean() / (2 * max(1, len(low))))
+
+
+def features(d: np.ndarray) -> list[float]:
+    """What calibration sees of a text: its largest TOP differences, their mean over all windows, and how many windows it has."""
+    top = [*np.sort(d)[::-1][:TOP].tolist(), *[0] * TOP][:TOP]
+    return [*(float(np.clip(x, -50, 80)) for x in top), float(d.mean()) if len(d) else 0.0, float(np.log1p(len(d)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; classes count alike, so a calibrated 0.5 is the balanced boundary."""
+    """Weights of a ridge logistic regression by Newton steps; the last one is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-2] * (x.shape[1] - 1) + [1e-6])
@@ -170,13 +174,27 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
+def fitted(rows: list[tuple[str, int]], prior: float) -> dict:
+    """The model from labelled texts in an arbitrary fixed order: two of three make the dictionaries, the third the calibration, whose texts they have not seen."""
+    fit, rest = [r for k, r in enumerate(rows) if k % 3], rows[::3]
+    toxic, ordinary = ([windows(t) for t, y in fit if y == k] for k in (1, 0))
+    model = {"key": uuid.uuid4().hex, "prior": prior}
+    if not any(toxic) or not any(ordinary):
+        return model
+    model["ordinary"], model["toxic"] = dictionaries(toxic, ordinary)
+    d = Distance(model["ordinary"], model["toxic"])
+    x, y = np.array([features(d.of(windows(t))) for t, _ in rest]), np.array([v for _, v in rest], float)
+    if 0 < y.sum() < len(y):
+        model["weights"] = logistic(x, y).tolist()
+    return model
+
+
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1600, ordinary_rows: int = 4800, max_chars: int = 40_000_000, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> dict:
     """Both dictionaries and the calibration, from labelled rows of folds 0 and 2.
 
     Class sizes cover all labelled rows. Texts are a bounded sample of about toxic_rows and ordinary_rows whole texts by a
-    hash of the id (and max_chars in all): what toxic texts share is told from chance by the larger ordinary half. Half of it makes the dictionaries, the other half the calibration, so that the
-    windows calibrated on are not those trained on. Rows without id, text or label teach nothing. With one class only, or
-    none, the score is the share of label 1 (0 without labels).
+    hash of the id (and max_chars in all), equal texts once. Rows without id, text or label teach nothing. With one class only, or none, the score
+    is the share of label 1 (0 without labels).
     """
     l = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(id_col) != 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in l.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -186,45 +204,31 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1600, ordinary_r
     chosen = written(l.filter(sample_share("i", share)), "sample")
     # about toxic_rows + ordinary_rows ids; the texts of all documents are only shuffled if somebody asks for a sample beyond BROADCAST_ROWS
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter("t is not null").join(chosen, "i").dropDuplicates(["t"]).select("i", "t", "y").toLocalIterator(prefetchPartitions=True)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter("t is not null").join(chosen, "i").groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y")).toLocalIterator(prefetchPartitions=True)
     found, chars = [], 0
     for r in rows:
         found.append((r["i"], r["t"], r["y"]))
         chars += len(r["t"])
         if chars > max_chars:
             break
-    found.sort()
-    fit, rest = found[::2], found[1::2]
-    toxic, ordinary = [t for _, t, y in fit if y == 1], [t for _, t, y in fit if y == 0]
-    if not toxic or not ordinary:
-        return {"prior": sizes[1] / (sizes[0] + sizes[1])}
-    base = dictionary(coded([" ".join(t.lower().split()) for t in ordinary[:DICTIONARY_TEXTS]]), ORDINARY_BYTES)
-    runs = toxic_fragments(toxic, ordinary)
-    model = {"key": uuid.uuid4().hex, "ordinary": base, "toxic": base + b"".join(coded_runs(runs))[-TOXIC_BYTES:], "fragments": runs, "prior": sizes[1] / (sizes[0] + sizes[1])}
-    measure = Distances(model["ordinary"], model["toxic"])
-    x = np.array([features(d) for d in measure.of([t for _, t, _ in rest])])
-    y = np.array([v for _, _, v in rest], float)
-    if 0 < y.sum() < len(y):
-        model["weights"] = logistic(x, y).tolist()
-    return model
+    return fitted([(t, y) for _, t, y in sorted(found)], sizes[1] / (sizes[0] + sizes[1]))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with toxicity double: 0 to 1, from the text alone, over all its windows.
 
     Null and empty texts have no windows and score as a text without distance. A column toxicity of docs is
-    replaced; each row comes back once, others pass through. 256 texts at a time are held beside their batch.
+    replaced; each row, repeated or not, comes back once, others pass through; no rows give none. One text's windows at a time are held beside the batch.
     """
     keep = [c for c in docs.columns if c != "toxicity"]
     src = docs.select(*keep)
     weights = model.get("weights")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = distances(model) if weights else None
+        d = distance(model) if weights else None
         for b in batches:
             if weights:
-                texts = b.column(b.schema.get_field_index(text))
-                x = np.array([features(d) for i in range(0, b.num_rows, 256) for d in measure.of(texts.slice(i, 256).to_pylist())]).reshape(b.num_rows, -1)
+                x = np.array([features(d.of(windows(t.as_py()))) for t in b.column(b.schema.get_field_index(text))]).reshape(b.num_rows, -1)
                 z = np.hstack([x, np.ones((len(x), 1))]) @ np.array(weights)
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             else:
@@ -235,6 +239,6 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted) of every document; a score of exactly `threshold` is predicted 1."""
     scored = score(docs.select("doc_id", "text"), learn(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
