@@ -127,6 +127,37 @@ def test_embedding_dedup_against_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_on_a_driver_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    p = df.toPandas()
+    x = np.stack(p.embedding.map(lambda v: np.asarray(v, np.float64)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.where((p.label.to_numpy()[:, None] == p.label.to_numpy()) & ~np.eye(len(p), dtype=bool), x @ x.T, -1.0)
+    for threshold in (0.93, float(np.sort(cos, axis=None)[-4000])):  # and one that some two thousand pairs reach
+        want = dict(zip(p.vec_id, (cos >= threshold).sum(axis=1), strict=True))
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, threshold=threshold).collect()}
+        assert set(got) == set(want) and all(got[i] <= want[i] for i in want)
+        assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_embedding_pairs_at_the_threshold(spark):
+    exact = [[3.0, 4.0], [4.0, 3.0], [3.0, 4.0], [0.0, 2.0]]  # cosines 0.96, 0.8 and 0.6; 0.93 itself isn't representable, 0.96 is compared with itself below
+    c = float(np.dot([3.0, 4.0], [4.0, 3.0]) / 25)
+    df = spark.createDataFrame([(i, v, 7) for i, v in enumerate(exact)], "vec_id long, embedding array<double>, label int")
+    for threshold, links in ((c, [2, 2, 2, 0]), (np.nextafter(np.nextafter(np.nextafter(c, 1), 1), 1), [1, 0, 1, 0])):
+        got = embedding_dedup.near_duplicates(df, threshold=threshold).orderBy("vec_id").collect()
+        assert [r.n_links for r in got] == links
+
+
+def test_embedding_runs_over_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=12)
+    rows = [(i, [float(z) for z in centre + rng.normal(size=12) * 0.02], 1) for i in range(300)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=16).collect()
+    links = brute_links(rows)
+    assert {r.vec_id: r.n_links for r in got} == {i: len(x) for i, x in links.items()} and {r.component_id for r in got} == {0}
+
+
 def test_embedding_recall_at_the_threshold(spark):
     for most in (10, 10**4, 10**6, 10**8):
         bits = embedding_dedup.bits_for(most)
@@ -137,9 +168,9 @@ def test_embedding_recall_at_the_threshold(spark):
     o = rng.normal(size=a.shape)
     o -= (o * a).sum(axis=1, keepdims=True) * a
     x = np.stack([a, 0.9305 * a + np.sqrt(1 - 0.9305**2) * o / np.linalg.norm(o, axis=1, keepdims=True)], axis=1).reshape(-1, 64)
-    df = spark.createDataFrame([(1, i, 1, v.tolist()) for i, v in enumerate(x)], "label long, vec_id long, m long, embedding array<double>")
+    df = spark.createDataFrame([(1, i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)], "label long, vec_id long, m long, v binary")
     bits = embedding_dedup.bits_for(10**6)
-    got = embedding_dedup.signatures(df, bits, embedding_dedup.passes_for(bits, 0.93), 5).orderBy("vec_id").select("sigs").collect()
+    got = embedding_dedup.signatures(df, bits, embedding_dedup.passes_for(bits, 0.93), 5, 8).orderBy("vec_id").select("sigs").collect()
     sigs = np.array([r.sigs for r in got])
     assert (sigs[::2] == sigs[1::2]).any(axis=1).sum() >= 1998
 
