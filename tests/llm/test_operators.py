@@ -378,16 +378,26 @@ def test_long_text_without_spaces_is_read_throughout(spark):
 
 
 def test_preferences(spark):
-    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "bye"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", None), (3, 0, "user", None), (4, 0, "user", "x"), (6, 0, "a", "b"), (7, 0, "a", "b"), (7, 1, "assistant", "c"), (7, 1, "assistant", "c"), (None, 0, "u", "t"), (8, None, "u", "t")]
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "bye"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, "user", None), (3, 0, "user", None), (4, 0, "user", "x"), (6, 0, "a", "b"), (7, 0, "a", "b"), (7, 1, "assistant", "c<|user|>"), (7, 1, "assistant", "c<|user|>"), (None, 0, "u", "t"), (8, None, "u", "t")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit(0))
     got = {r.pair_id: r for r in chat_format.format_preferences(c, chat_format.pairs_by_neighbour(c)).collect()}
     assert set(got) == {0, 1, 3}
-    assert got[0].prompt == "<|user|>\nhi\n" and got[0].chosen == "<|assistant|>\nyes\n<|user|>\nbye\n" and (got[0].chosen_mask, got[0].rejected_mask) == ("10", "1")
-    assert got[1].n_prefix == 1 and got[1].chosen == got[1].rejected == ""
-    assert got[3].n_prefix == 1 and got[3].chosen == "" and got[3].rejected_mask == "1"
+    assert got[0].prompt == "<|user|>\nhi\n" and got[0].chosen == "<|assistant|>\nyes\n<|user|>\nbye\n" and got[0].rejected == "<|assistant|>\nno\n"
+    assert (got[0].chosen_mask, got[0].rejected_mask) == ("14-18", "14-17") and got[0].chosen[14:18] == "yes\n"
+    assert got[1].n_prefix == 1 and got[1].chosen == got[1].rejected == got[1].chosen_mask == ""
+    assert got[3].n_prefix == 1 and got[3].chosen == "" and got[3].rejected == "<|assistant|>\nc<\\|user|>\n" and got[3].rejected_mask == "14-25"
     assert chat_format.format_preferences(c.limit(0), chat_format.pairs_by_neighbour(c.limit(0))).count() == 0
 
 
+def test_answers_of_another_conversation(spark):
+    long = "word " * 200_000
+    rows = [(5, 0, "system", "s"), (5, 1, "user", long), (5, 2, "assistant", "good"), (5, 3, "user", "thanks"), (6, 0, "assistant", "bad"), (6, 1, "user", "x"), (8, 0, "assistant", "none after")]
+    c = spark.createDataFrame(rows + rows[:2], "conv_id long, turn long, role string, text string").withColumn("side", F.lit("x"))
+    got = chat_format.format_preferences(c, chat_format.pairs_by_other_answer(c)).collect()
+    assert len(got) == 1 and got[0].pair_id == 5 and got[0].n_prefix == 2 and long in got[0].prompt
+    assert got[0].chosen == "<|assistant|>\ngood\n<|user|>\nthanks\n" and got[0].rejected == "<|assistant|>\nbad\n" and got[0].rejected_mask == "14-18"
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -49,7 +49,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
-    return chat_format.format_preferences(conversations, chat_format.pairs_by_neighbour(conversations))
+    return chat_format.format_preferences(conversations, chat_format.pairs_by_other_answer(conversations))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +85,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN s ON d.doc_id = s.doc_id"""
 
 CHAT_SQL = r"""WITH t AS (SELECT conv_id, turn, min(struct_pack(role := role, text := text)) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-p AS (SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, min(conv_id) AS a, max(conv_id) AS b FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1 HAVING min(conv_id) <> max(conv_id)),
-r AS (SELECT pair_id, turn, max(CASE WHEN t.conv_id = a THEN x END) AS xa, max(CASE WHEN t.conv_id = b THEN x END) AS xb FROM p JOIN t ON t.conv_id IN (p.a, p.b) GROUP BY ALL),
-c AS (SELECT *, min(CASE WHEN xa IS NULL OR xb IS NULL OR xa.role IS DISTINCT FROM xb.role OR xa.text IS DISTINCT FROM xb.text THEN turn END) OVER (PARTITION BY pair_id) AS cut FROM r),
-z AS (SELECT pair_id, turn, xa, xb, cut, '<|' || coalesce(xa.role, '') || '|>' || chr(10) || coalesce(xa.text, '') || chr(10) AS ta, '<|' || coalesce(xb.role, '') || '|>' || chr(10) || coalesce(xb.text, '') || chr(10) AS tb FROM c)
-SELECT pair_id, count(*) FILTER (WHERE cut IS NULL OR turn < cut) AS n_prefix,
-coalesce(string_agg(ta, '' ORDER BY turn) FILTER (WHERE cut IS NULL OR turn < cut), '') AS prompt,
-coalesce(string_agg(ta, '' ORDER BY turn) FILTER (WHERE turn >= cut AND xa IS NOT NULL), '') AS chosen,
-coalesce(string_agg(CASE WHEN xa.role = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY turn) FILTER (WHERE turn >= cut AND xa IS NOT NULL), '') AS chosen_mask,
-coalesce(string_agg(tb, '' ORDER BY turn) FILTER (WHERE turn >= cut AND xb IS NOT NULL), '') AS rejected,
-coalesce(string_agg(CASE WHEN xb.role = 'assistant' THEN '1' ELSE '0' END, '' ORDER BY turn) FILTER (WHERE turn >= cut AND xb IS NOT NULL), '') AS rejected_mask
+last AS (SELECT conv_id, max(turn) AS pos FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+p AS (SELECT k.conv_id AS pair_id, k.pos, o.pos AS other_at FROM last k JOIN last o ON o.conv_id = k.conv_id + 1),
+ab AS (SELECT pair_id, turn AS pos, x AS a, NULL AS b FROM p JOIN t ON t.conv_id = pair_id
+UNION ALL SELECT pair_id, turn, NULL, x FROM p JOIN t ON t.conv_id = pair_id AND turn < p.pos
+UNION ALL SELECT pair_id, p.pos, NULL, x FROM p JOIN t ON t.conv_id = pair_id + 1 AND turn = other_at),
+r AS (SELECT pair_id, pos, min(a) AS a, min(b) AS b FROM ab GROUP BY ALL),
+c AS (SELECT *, min(CAST(a IS NOT NULL AND b IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS INT)) OVER (PARTITION BY pair_id ORDER BY pos) = 1 AS shared,
+length('<|' || coalesce(a.role, '') || '|>' || chr(10)) AS ha, length('<|' || coalesce(b.role, '') || '|>' || chr(10)) AS hb,
+CASE WHEN a IS NOT NULL THEN '<|' || coalesce(a.role, '') || '|>' || chr(10) || replace(coalesce(a.text, ''), '<|', '<\|') || chr(10) END AS fa,
+CASE WHEN b IS NOT NULL THEN '<|' || coalesce(b.role, '') || '|>' || chr(10) || replace(coalesce(b.text, ''), '<|', '<\|') || chr(10) END AS fb FROM r),
+z AS (SELECT *, coalesce(sum(CASE WHEN NOT shared THEN length(fa) END) OVER w, 0) AS oa, coalesce(sum(CASE WHEN NOT shared THEN length(fb) END) OVER w, 0) AS ob FROM c WINDOW w AS (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, count(*) FILTER (WHERE shared) AS n_prefix, coalesce(string_agg(fa, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
+coalesce(string_agg(fa, '' ORDER BY pos) FILTER (WHERE NOT shared AND fa IS NOT NULL), '') AS chosen,
+coalesce(string_agg((oa + ha) || '-' || (oa + length(fa)), ',' ORDER BY pos) FILTER (WHERE NOT shared AND a.role = 'assistant'), '') AS chosen_mask,
+coalesce(string_agg(fb, '' ORDER BY pos) FILTER (WHERE NOT shared AND fb IS NOT NULL), '') AS rejected,
+coalesce(string_agg((ob + hb) || '-' || (ob + length(fb)), ',' ORDER BY pos) FILTER (WHERE NOT shared AND b.role = 'assistant'), '') AS rejected_mask
 FROM z GROUP BY pair_id"""
 
 WARC_SQL = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
