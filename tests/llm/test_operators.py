@@ -26,11 +26,32 @@ def words(n, seed, vocabulary=4000):
 
 
 def test_license_scan(spark):
-    mit = license_scan.LICENSES["MIT"].replace("<year> <copyright holders>", "2020 Someone Else").upper().replace("SUBLICENSE", "Sublicence")
-    d = docs(spark, [(1, mit), (2, mit + " and more"), (3, None), (4, ""), (5, "Licenced under the Apache Licence,\n version 2.0!"), (1, mit)])
-    d = d.withColumn("digest", F.lit("mine")).withColumn("license_id", F.lit("mine"))
-    got = sorted((r.doc_id, r.license_id) for r in license_scan.scan_licenses(d, license_scan.known_digests(spark)).collect())
-    assert got == [(1, "MIT"), (1, "MIT"), (2, None), (3, None), (4, None), (5, "Apache-2.0-line")]
+    from tidemark.llm.license_texts import LICENSES
+
+    mit = ("MIT License\n\nCopyright (c) 2020 Someone Else\n\n" + LICENSES["MIT"][0]).upper().replace("SUBLICENSE", "Sublicence")
+    isc = "Copyright (c) 2004-2010 by Someone\n" + LICENSES["ISC"][0].replace("the above copyright notice", "the above\ncopyright notice").replace("OR CONSEQUENTIAL", "OR\nCONSEQUENTIAL")
+    rows = [(1, mit), (2, mit + " and more"), (3, None), (4, ""), (5, "Licenced under the Apache Licence,\n version 2.0!"), (1, mit), (6, isc), (7, "The MIT License (MIT)\nCopyright © 1999 X\n" + LICENSES["MIT"][0]), (8, LICENSES["Unlicense"][0].split(" In jurisdictions")[0]), (9, "漢字 лицензия"), (10, "другая"), (11, "***"), (12, "word " * 200_000)]
+    d = docs(spark, rows).withColumn("digest", F.lit("mine")).withColumn("license_id", F.lit("mine"))
+    got = license_scan.scan_licenses(d, license_scan.known_digests(spark)).collect()
+    assert sorted((r.doc_id, r.license_id) for r in got) == [(1, "MIT"), (1, "MIT"), (2, None), (3, None), (4, None), (5, "Apache-2.0-line"), (6, "ISC"), (7, "MIT"), (8, None), (9, None), (10, None), (11, None), (12, None)]
+    by = {r.doc_id: r for r in got}
+    assert by[3].digest is None and by[4].digest == by[11].digest and len({by[i].digest for i in (4, 9, 10)}) == 3 and by[12].n_canonical == 999_999
+    assert license_scan.scan_licenses(d.limit(0), license_scan.known_digests(spark)).count() == 0
+    twice = license_scan.known_digests(spark, [("b", "Same text."), ("a", "same TEXT")], {"c": ["00"], "d": ["00"]})
+    assert sorted((r.license_id) for r in twice.collect()) == ["a", "c"]
+
+
+def test_whole_licence_files_are_known(spark):
+    from pathlib import Path
+
+    files = {"MPL-2.0": "MPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    there = [(k, f) for k, f in enumerate(files) if Path("/usr/share/common-licenses", f).exists()]
+    if not there:
+        pytest.skip("no licence files on this machine")
+    whole = [(k, Path("/usr/share/common-licenses", f).read_text()) for k, f in there]
+    d = docs(spark, whole + [(100 + k, "  " + t.upper().replace("\n", " \r\n") + "\n\n") for k, t in whole if "GNU" not in t])
+    got = {r.doc_id: r.license_id for r in license_scan.scan_licenses(d, license_scan.known_digests(spark)).collect()}
+    assert got == {i: list(files.values())[i % 100] for i in got} and len(got) > len(there)
 
 
 # 2 -----------------------------------------------------------------------------------------------------------------

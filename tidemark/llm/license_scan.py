@@ -5,44 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public licence texts and notices, by SPDX id.
-LICENSES = {
-    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    "MIT": "MIT License\nCopyright (c) <year> <copyright holders>\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
-}
+from .license_texts import DIGESTS, LICENSES, TITLES
+
 # Spellings that licence matching treats as equal (left is written as right).
 SPELLINGS = {"acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "initialise": "initialize", "labelling": "labeling", "licence": "license", "licences": "licenses", "licenced": "licensed", "modelling": "modeling", "noncommercial": "non commercial", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http"}
 
-COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that is a copyright notice: the word or sign with a year, a sign, a place-holder or `by` after it, or a reservation of all rights.
+#: A line of the text itself that happens to begin with the word (`copyright notice and this permission notice ...`) is none.
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n(©]*(copyright[ \t]*(\(c\)|©|[0-9<\[{]|by[ \t])|(\(c\)|©)[ \t]*(copyright[ \t]*)?[0-9<\[{]|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+SEPARATORS = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words of letters and digits only, equivalent spellings made one, single spaces. Null stays null."""
+    """Lower case, no copyright lines, words of letters, marks and digits only (of any script), equivalent spellings made one, single spaces. Null stays null."""
     c = F.lower(text)
     c = F.regexp_replace(c, "(?md)" + COPYRIGHT_LINE, " ")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " ")), F.lit(" "))
+    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, SEPARATORS, " ")), F.lit(" "))
     for old, new in sorted(SPELLINGS.items()):
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(c)
 
 
-def known_digests(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id) of the known texts; of ids with one canonical text the first by name."""
-    rows = sorted((licenses or LICENSES).items())
-    df = spark.createDataFrame(rows, "license_id string, license_text string")
-    return df.groupBy(F.sha2(canonical(F.col("license_text")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of each known text, without a title and with each title."""
+    return [(k, t) for k, texts in sorted(LICENSES.items()) for x in texts for t in (x, *(f"{title}\n\n{x}" for title in TITLES.get(k, [])))]
+
+
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None, digests: dict[str, list[str]] | None = None) -> DataFrame:
+    """(digest, license_id) of the known texts and digests; of ids with one canonical text the first by name.
+
+    Further licences are further rows: any table of these two columns will do, of any size.
+    """
+    df = spark.createDataFrame(known_texts() if texts is None else texts, "license_id string, license_text string").select("license_id", F.sha2(canonical(F.col("license_text")), 256).alias("digest"))
+    long = [(k, d) for k, ds in (DIGESTS if digests is None else digests).items() for d in ds]
+    return df.unionByName(spark.createDataFrame(long, "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_canonical, digest, license_id) for each row: the licence whose canonical text is the row's whole canonical text.
 
-    A null text has a null digest and no licence; an empty one, or one without letters and digits, has the digest of the
+    A null text has a null digest and no licence; an empty one, or one without letters and digits of any script, has the digest of the
     empty string and no licence unless the known table holds that. Repeated rows come back as often; other columns are
     not read. known has one row per digest, so a row never multiplies; no hint is given, as its size decides the join.
     """

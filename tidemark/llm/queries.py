@@ -63,11 +63,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     c = f"regexp_replace(lower(t), {quote('(?m)' + license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
-    c = f"' ' || trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g')) || ' '"
+    c = f"' ' || trim(regexp_replace({c}, {quote(license_scan.SEPARATORS)}, ' ', 'g')) || ' '"
     for old, new in sorted(license_scan.SPELLINGS.items()):
         c = f"replace({c}, ' {old} ', ' {new} ')"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(license_scan.LICENSES.items()))
-    return f"""WITH known AS (SELECT sha256(trim({c})) AS digest, min(id) AS license_id FROM (VALUES {known}) AS x(id, t) GROUP BY 1),
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_scan.known_texts())
+    long = ", ".join(f"({quote(k)}, {quote(d)})" for k, ds in license_scan.DIGESTS.items() for d in ds)
+    return f"""WITH known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256(trim({c})) AS digest FROM (VALUES {known}) AS x(id, t) UNION ALL SELECT * FROM (VALUES {long}) AS y(id, digest)) GROUP BY 1),
 docs AS (SELECT doc_id, trim({c}) AS c FROM (SELECT doc_id, text AS t FROM documents))
 SELECT doc_id, CAST(length(c) AS BIGINT) AS n_canonical, sha256(c) AS digest, license_id FROM docs LEFT JOIN known ON sha256(docs.c) = known.digest"""
 
