@@ -311,6 +311,12 @@ def test_decontamination_against_brute_force(spark):
     rows = decontaminate.contamination(d, b).collect()
     want = contaminated_by_hand(texts, items)
     assert len(rows) == len(texts) + 1
+    twins = docs(spark, [(0, None), (None, items[2][1]), (None, "none"), (7, items[2][1]), (7, "other words"), (8, items[2][1] + " zz" * 30_000)]).withColumn("term", F.lit("mine"))
+    got = sorted((r.doc_id is None, r.n_hit, r.contaminated) for r in decontaminate.contamination(twins, b).collect())
+    n = len(items[2][1].split())
+    assert got == sorted([(False, 0, False), (True, n, True), (True, 0, False), (False, n, True), (False, 0, False), (False, n, False)])
+    left = decontaminate.clean(twins, b)
+    assert left.columns == twins.columns and sorted(str(r.text)[:11] for r in left.collect()) == sorted(["None", "none", "other words", items[2][1][:11]])
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == want
     assert decontaminate.contamination(d.limit(0), b).count() == 0
     assert {r.n_hit for r in decontaminate.contamination(d, b.limit(0)).collect()} == {0}
@@ -323,6 +329,37 @@ def test_proximity_finds_scattered_words(spark):
     assert got == {1: 5, 4: 3}
 
 
+def nearest_by_hand(texts, items, slop, window):
+    low = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) if t else []
+    out = {}
+    for i, t in texts:
+        w = low(t)
+        for k, x in items:
+            x = low(x)
+            n = min(window, len(x))
+            for first in range(len(x) - n + 1 if n else 0):
+                need = set(x[first : first + n])
+                for a in range(len(w)):
+                    for b in range(a, min(len(w), a + n + slop)):
+                        if w[a] in need and need <= set(w[a : b + 1]):
+                            key = (i, str(k), first)
+                            out[key] = min(out.get(key, 99), b - a + 1)
+                            break
+    return out
+
+
+def test_proximity_against_brute_force(spark):
+    items = [(k, words(4 + k, 40 + k, 12)) for k in range(4)] + [(9, None), (10, "")]
+    texts = [(i, words(60, i, 14)) for i in range(12)] + [(20, None), (21, ""), (22, "w1"), (0, words(60, 0, 14))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, texts).withColumn("pos", F.lit("mine"))
+    for slop, window in ((0, 3), (3, 4), (70, 6)):
+        want = nearest_by_hand(texts, items, slop, window)
+        got = {(r.doc_id, r.item_id, r.first): r.distance for r in decontaminate.proximity_matches(d, b, slop, window).collect()}
+        assert got == want and len(want) > 10
+    assert decontaminate.proximity_matches(d.limit(0), b, 2).count() == 0
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -27,4 +27,4 @@ def test_stages_take_effect(spark):
 
 def test_every_operator_has_one_query():
     names = list(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))

@@ -10,7 +10,10 @@ from .common import UPPER, shared_folder, written
 # Fixed value: what separates words, for texts whose A-Z are not lower-cased yet.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64_000_000
+#: Stands for a null id in joins, and for the end of a document among its postings (no word is empty).
+NO_ID, END = -(1 << 63), ""
+DOC = ["i", "h"]
 
 
 def word_list(text: Column) -> Column:
@@ -20,9 +23,9 @@ def word_list(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), w).otherwise(F.transform(w, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, UPPER.lower()))))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marked for broadcast where its counted rows are within BROADCAST_ROWS; beyond that it is shuffled."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Marked for broadcast where its counted rows of about row_bytes each are within BROADCAST_BYTES; beyond that it is shuffled."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -32,19 +35,23 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("first", "words"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, folder: str) -> DataFrame:
-    """Postings (term, doc_id, pos) of the given terms in all documents, stored in the shared folder. terms has distinct rows.
+def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, folder: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Positional postings (i, h, term, pos) of the given terms in all documents, stored in the shared folder. terms has distinct rows.
 
-    An index over every term is build_index with every term; a run for a benchmark stores the terms it will look up.
+    A document is known by its id (NO_ID for null) and a hash of its text, so that rows that share an id but not the text stay
+    apart. Its end is posted as term END, whose place is the number of words: one for every row, so the index alone says
+    what documents there are. Texts are split into words once, here. An index over every term is build_index with every
+    term; a run for a benchmark stores those of the benchmark.
     """
-    tokens = docs.select("doc_id", F.posexplode(word_list(F.col("text"))).alias("pos", "term"))
-    return written(tokens.join(small(terms, n_terms), "term").select("term", "doc_id", "pos"), "postings", folder)
+    w = F.concat(F.coalesce(word_list(F.col(text)), F.array().cast("array<string>")), F.array(F.lit(END)))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text).alias("h"), F.posexplode(w).alias("pos", "term"))
+    wanted = terms.unionByName(terms.sparkSession.createDataFrame([(END,)], "term string"))
+    return written(d.join(small(wanted, n_terms + 1, 64), "term").select(*DOC, "term", "pos"), "postings", folder)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, df): occurrences in all documents of each given term, 0 for those without."""
-    tokens = docs.select(F.explode(word_list(F.col("text"))).alias("term"))
-    return terms.join(tokens.join(small(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df): postings of each given term, 0 for those without."""
+    return terms.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -57,71 +64,96 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return windows.join(two, ["item_id", "first"])
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, first, n, start): every exact occurrence of a window; start counts the document's words from 0.
-
-    The posting lists of a window's two rarest terms, each shifted by its place in the window, are intersected on
-    (document, start); what is left is compared word for word with the document. Null ids are left out; repeated rows
-    of a document give their matches once.
-    """
+def indexed(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(windows, anchors, postings, folder): the benchmark's windows, those that may occur with their rarest terms, and the index over all their terms."""
     folder = shared_folder(docs.sparkSession)
-    d = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     windows = written(benchmark_windows(items, window), "windows", folder)
     terms = written(windows.select(F.explode("words").alias("term")).distinct(), "terms", folder)
-    counts = written(term_counts(d, terms, terms.count()), "counts", folder)
-    ask = written(anchored(windows, counts), "anchors", folder)
-    rare = written(ask.select(F.explode(F.array("a_term", "b_term")).alias("term")).filter("term is not null").distinct(), "rare", folder)
-    postings = build_index(d, rare, rare.count(), folder)
-    n = ask.count()
-    lead = small(ask.select("item_id", "first", "n", "words", F.col("a_term").alias("term"), "a", "b", "b_term"), n)
-    found = postings.join(lead, "term").withColumn("start", F.col("pos") - F.col("a")).filter("start >= 0").drop("pos", "a", "term")
+    postings = build_index(docs, terms, terms.count(), folder)
+    ask = written(anchored(windows, term_counts(postings, terms)), "anchors", folder)
+    return windows, ask, postings, folder
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(i, h, item_id, first, n, start): every exact occurrence of a window in a document (i, h); start counts its words from 0."""
+    _, ask, postings, folder = indexed(docs, items, window)
+    return intersect(ask, postings, folder)
+
+
+def intersect(ask: DataFrame, postings: DataFrame, folder: str) -> DataFrame:
+    """The occurrences of the windows of ask, by intersecting the posting lists of all their terms, each shifted by its place.
+
+    Begins with the rarest term's list, then the second rarest's on (document, start); what both have is met with the lists of
+    all other terms, read for the documents still in question only. Repeated rows of a document give their matches once.
+    """
+    n, width = ask.count(), 64 * (WINDOW + 4)
+    lead = small(ask.select("item_id", "first", "n", "words", F.col("a_term").alias("term"), "a", "b", "b_term"), n, width)
+    found = postings.join(lead, "term").withColumn("start", F.col("pos") - F.col("a")).filter("start >= 0").drop("pos", "term")
     found = found.withColumn("p", F.col("start") + F.col("b"))
-    second = postings.select(F.col("doc_id").alias("d2"), F.col("pos").alias("p2"), F.col("term").alias("t2"))
-    met = found.filter("b is not null").join(second, (F.col("doc_id") == F.col("d2")) & (F.col("p") == F.col("p2")) & (F.col("b_term") == F.col("t2")), "left_semi")
-    both = written(met.unionByName(found.filter("b is null")).select("doc_id", "item_id", "first", "n", "words", "start").distinct(), "aligned", folder)
-    ids = written(both.select("doc_id").distinct(), "ids", folder)
-    texts = d.join(small(ids, ids.count()), "doc_id", "left_semi").select("doc_id", word_list(F.col("text")).alias("w"))
-    return both.join(texts, "doc_id").filter(F.slice("w", F.col("start") + 1, F.col("n")) == F.col("words")).select("doc_id", "item_id", "first", "n", "start").distinct()
+    other = written(ask.filter("b_term is not null").select(F.col("b_term").alias("term")).distinct(), "second", folder)
+    second = postings.join(small(other, other.count(), 64), "term", "left_semi").select(F.col("i").alias("i2"), F.col("h").alias("h2"), F.col("pos").alias("p2"), F.col("term").alias("t2"))
+    met = found.filter("b is not null").join(second, (F.col("i") == F.col("i2")) & (F.col("h") == F.col("h2")) & (F.col("p") == F.col("p2")) & (F.col("b_term") == F.col("t2")), "left_semi")
+    both = met.unionByName(found.filter("b is null")).select(*DOC, "item_id", "first", "n", "words", "start", "a", "b").distinct()
+    both = written(both, "aligned", folder)
+    ids = written(both.select(*DOC).distinct(), "ids", folder)
+    lists = postings.filter(F.col("term") != END).join(small(ids, ids.count(), 32), DOC, "left_semi").select(*DOC, "pos", "term")
+    by = [*DOC, "item_id", "first", "n", "start"]
+    rest = both.select(*by, "a", "b", F.posexplode("words").alias("at", "term")).filter("at <> a and (b is null or at <> b)").withColumn("pos", F.col("start") + F.col("at"))
+    full = rest.join(lists, [*DOC, "pos", "term"], "left_semi").groupBy(*by).agg(F.count("*").alias("k")).filter("k = n - 2").drop("k")
+    return full.unionByName(both.filter("n <= 2").select(*by))
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, first, distance): windows all of whose words stand within n + slop words of the document, in any order; distance is the least such span's length.
 
-    Spans begin at an occurrence of any of the window's words; a word counts once however often the window has it.
+    Spans begin at an occurrence of any of the window's words; a word counts once however often the window has it. The rarest
+    word's postings lead; the others are met in cells as wide as a span can be, the neighbouring ones included. Null texts and texts without words
+    match nothing; repeated rows give their matches once, rows of one id with different texts that of the nearest.
     """
-    folder = shared_folder(docs.sparkSession)
-    d = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    windows = written(benchmark_windows(items, window), "windows", folder)
-    terms = written(windows.select(F.explode("words").alias("term")).distinct(), "terms", folder)
-    rows = terms.count()
-    ask = anchored(windows, term_counts(d, terms, rows)).withColumn("words", F.array_distinct("words"))
-    postings = build_index(d, terms, rows, folder)
-    near = postings.join(ask.select("item_id", "first", "n", "words", F.col("a_term").alias("term")), "term").select("item_id", "first", "n", "words", "doc_id", F.col("pos").alias("at"))
-    other = postings.select("doc_id", "term", "pos", F.explode(F.array(F.floor(F.col("pos") / 64) - 1, F.floor(F.col("pos") / 64), F.floor(F.col("pos") / 64) + 1)).alias("cell")) if slop + window <= 64 else postings.withColumn("cell", F.lit(0))
-    near = near.withColumn("cell", F.floor(F.col("at") / 64) if slop + window <= 64 else F.lit(0))
-    hits = near.join(other, ["doc_id", "cell"]).filter(F.array_contains("words", F.col("term")) & (F.abs(F.col("pos") - F.col("at")) < F.col("n") + slop))
-    by = ["doc_id", "item_id", "first", "n", "words", "at"]
-    frame = Window.partitionBy(*by).orderBy("pos").rangeBetween(Window.currentRow, window + slop - 1)
+    _, ask, postings, _ = indexed(docs, items, window)
+    span = window + slop
+    ask = ask.select("item_id", "first", "n", F.array_distinct("words").alias("words"), F.col("a_term").alias("term"))
+    near = postings.join(ask, "term").select("item_id", "first", "n", "words", *DOC, F.col("pos").alias("at"), F.floor(F.col("pos") / span).alias("cell"))
+    here = F.floor(F.col("pos") / span)
+    other = postings.filter(F.col("term") != END).select(*DOC, "term", "pos", F.explode(F.array(here - 1, here, here + 1)).alias("cell"))
+    hits = near.join(other, [*DOC, "cell"]).filter(F.array_contains("words", F.col("term")) & (F.abs(F.col("pos") - F.col("at")) < F.col("n") + slop))
+    by = [*DOC, "item_id", "first", "n", "words", "at"]
+    frame = Window.partitionBy(*by).orderBy("pos").rangeBetween(Window.currentRow, span - 1)
     spans = hits.select(*by, "term", F.col("pos").cast("int").alias("pos")).distinct().withColumn("inside", F.collect_list(F.struct("pos", "term")).over(frame))
     ends = F.transform("words", lambda x: F.array_min(F.transform(F.filter("inside", lambda y: y["term"] == x), lambda y: y["pos"])))
     spans = spans.withColumn("ends", ends).filter(~F.exists("ends", lambda x: x.isNull())).withColumn("distance", F.array_max("ends") - F.col("pos") + 1)
-    return spans.filter(F.col("distance") <= F.col("n") + slop).groupBy("doc_id", "item_id", "first").agg(F.min("distance").alias("distance"))
+    out = spans.filter(F.col("distance") <= F.col("n") + slop).groupBy("i", "item_id", "first").agg(F.min("distance").alias("distance"))
+    return out.select(F.nullif("i", F.lit(NO_ID)).alias("doc_id"), "item_id", "first", "distance")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
+def marked(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """(i, h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs, known by its id and a hash of its text.
 
-    A word inside any occurrence of a window is hit, once; contaminated means n_hit > 0 and share * n_hit >= n_words.
-    A null text has no words. Covered words are counted from the occurrences in order of their starts, so that
-    overlapping ones count once, whatever their lengths. Repeated rows come back as often.
+    Covered words are counted from the occurrences in order of their starts, so that overlapping ones count once, whatever their lengths.
     """
-    m = written(phrase_matches(docs, items, window), "matches")
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
-    s = m.select("doc_id", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
+    _, ask, postings, folder = indexed(docs, items, window)
+    m = written(intersect(ask, postings, folder), "matches", folder)
+    by_doc = Window.partitionBy(*DOC).orderBy("start", "end")
+    s = m.select(*DOC, "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     s = s.withColumn("reached", F.coalesce(F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    hit = s.groupBy("doc_id").agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "reached"), F.lit(0))).cast("long").alias("n_hit"))
-    names = m.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("names"))
-    out = docs.select("doc_id", F.coalesce(F.size(word_list(F.col("text"))), F.lit(0)).cast("long").alias("k")).withColumn("n_words", F.greatest("k", F.lit(0)))
-    out = out.join(hit.join(names, "doc_id"), "doc_id", "left")
+    hit = s.groupBy(*DOC).agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "reached"), F.lit(0))).cast("long").alias("n_hit"))
+    names = m.select(*DOC, "item_id").distinct().groupBy(*DOC).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("names"))
+    out = postings.filter(F.col("term") == END).select(*DOC, F.col("pos").cast("long").alias("n_words")).join(hit.join(names, DOC), DOC, "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(*DOC, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
+
+    A word inside any occurrence of a window is hit, once; contaminated means n_hit > 0 and share * n_hit >= n_words. A null
+    text has no words; texts are read whole at any length. Rows without id are judged like others; rows that share an id are judged each by its own
+    text, and repeated rows come back as often. Items without id or words have no windows. No documents give no rows, no items no hits.
+    """
+    return marked(docs, items, window, share).select(F.nullif("i", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that aren't contaminated, as they are."""
+    bad = marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), items).filter("contaminated").select(F.col("i").alias("_i"), F.col("h").alias("_h")).distinct()
+    return docs.join(bad, (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_i")) & (F.xxhash64(text) == F.col("_h")), "left_anti")

@@ -43,6 +43,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=4)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -119,7 +123,7 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(compone
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_mixture, op3_embedding_dedup, op4_toxicity, op5_token_output, op6_decontamination, op7_language_id, op8_chat_format, op9_minhash_dedup, op10_warc]
+    named = [op1_license_scan, op2_mixture, op3_embedding_dedup, op4_toxicity, op5_token_output, op6_decontamination, op7_language_id, op8_chat_format, op9_minhash_dedup, op10_warc, decontamination_proximity]
     return {f.__name__: f for f in named}
 
 
