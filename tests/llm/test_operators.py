@@ -102,6 +102,36 @@ def test_mix_takes_shortest_prefix_of_seeded_epochs(spark):
     assert mixing.mix(few.limit(0), weights, F.lit("d")).count() == 0
 
 
+def test_mix_prefixes_against_brute_force(spark):
+    rows = [(i, words(3 + (i * 7) % 40, i) if i % 11 else None) for i in range(400)] + [(7, words(9, 1)), (7, words(9, 1)), (None, words(2000, 2)), (None, "a b")]
+    d = docs(spark, rows)
+    weights = spark.createDataFrame([("source", "src0", 5.0), ("source", "src1", 1.0), ("source", "src2", 0.2)], "level string, name string, weight double")
+    size = lambda t: max(1, len((t or "").split()))
+    leaf = lambda i: f"src{(i or 0) % 3}"
+    avail = {s: sum(size(t) for i, t in rows if leaf(i) == s) for s in ("src0", "src1", "src2")}
+    leaves = spark.createDataFrame([("one", "en", s, n) for s, n in avail.items()], "domain string, lang string, source string, available long")
+    given = {r.source: r.given for r in mixing.budgets(leaves, weights, 9000.0, 3).collect()}
+    keyed = [(k, i, t) for k, (i, t) in enumerate(rows)]
+    h = {(r.k, r.e): r.h % 2**64 for r in spark.createDataFrame([(k, str(i) if i is not None else "", e) for k, i, _ in keyed for e in range(4)], "k int, key string, e int").select("k", "e", F.xxhash64(F.lit(17), "e", "key").alias("h")).collect()}
+    want = []
+    for s in avail:
+        mine = [x for x in keyed if leaf(x[1]) == s]
+        full = int(given[s] / avail[s] + 1e-9)
+        rest = round(given[s] - full * avail[s])
+        want += [(i, t, e) for e in range(full) for _, i, t in mine]
+        taken, last = 0, None
+        for k, i, t in sorted(mine, key=lambda x: (h[x[0], full], str(x[1]) if x[1] is not None else "")):
+            key = (h[k, full], i)
+            if taken >= rest and key != last:
+                break
+            if rest:
+                want.append((i, t, full))
+            taken, last = taken + size(t), key
+    got = [(r.doc_id, r.text, r.epoch) for r in mixing.mix(d, weights, F.lit("one"), budget=9000, max_epochs=3).collect()]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "", x[2])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -490,6 +520,43 @@ def test_minhash_components_against_all_pairs(spark):
     assert minhash_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    a, b, c = words(40, 1), words(40, 2), words(200_000, 3)
+    rows = [(5, a), (5, a), (3, a + " x"), (None, a), (None, b), (None, b), (7, c), (7, "other text of seven"), (8, c + " y"), (9, None), (10, None), (11, ""), (None, None)]
+    d = docs(spark, rows).withColumn("_x", F.lit("mine"))
+    out = minhash_dedup.keep_one(d, width=4)
+    assert out.columns == d.columns
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), (r.text or "")[:12]) for r in out.collect())
+    seven = [g for g in got if g[0] in (7, 8)]
+    assert [g for g in got if g[0] not in (7, 8)] == sorted([(3, (a + " x")[:12]), (-1, b[:12]), (9, ""), (10, ""), (11, ""), (-1, "")])
+    assert len(seven) == 2 and (7, "other text o") in seven  # of the long pair one stays
+    assert minhash_dedup.keep_one(d.limit(0)).count() == 0
+
+
+def test_minhash_recall_on_a_driver_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    sketch_of: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            sketch_of.setdefault(x, []).append(i)
+    shared: dict = {}
+    for ids in sketch_of.values():
+        for i in ids:
+            for j in ids:
+                if i < j:
+                    shared[i, j] = shared.get((i, j), 0) + 1
+    links = {i: set() for i in sets}
+    for (i, j), n in shared.items():
+        if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            links[i].add(j)
+            links[j].add(i)
+    comp = closure(links)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, width=4).collect()}
+    assert sum(map(len, links.values())) > 100 and got == comp
+
+
 def test_tiles_find_links_that_no_hub_saw():
     w = minhash_dedup.Words()
     texts = [words(300, 50)] + [" ".join(words(300, 50).split()[k:] + [f"z{k}"]) for k in range(1, 40)]

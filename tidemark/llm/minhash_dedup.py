@@ -21,6 +21,7 @@ BANDS = BUCKETS // BAND
 CACHE_WORDS = 400_000
 SLACK = 6.0
 TILE = 512
+HUB_GROUP = 64
 TILE_SHINGLES = 4_000_000
 # Odd 64-bit factors for mixing, and the constant of the expected collisions of registers.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -158,25 +159,37 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs(a, b) those whose full shingle sets have 100 * intersection >= percent * union."""
-    t = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    both = pairs.join(t, "a").join(t.select(F.col("a").alias("b"), F.col("ta").alias("tb")), "b").select("a", "b", "ta", "tb")
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs(a, b) those whose full shingle sets have 100 * intersection >= percent * union.
+
+    Many a may ask for one b: they are dealt to groups of about HUB_GROUP, and b's text goes once to each group, so a text that
+    a third of all documents are compared with is neither in one task nor copied for every pair.
+    """
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_GROUP).cast("int").alias("groups"))
+    dealt = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("group"))
+    one = dealt.select("b", "group", F.lit(1).alias("side"), F.col("a").alias("doc_id"))
+    two = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("side"), F.col("b").alias("doc_id"))
+    rows = one.unionByName(two).join(texts.select("doc_id", "text"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(), (None, None)
+        words, hub = Words(), (None, None)
         for b in batches:
-            ok = []
-            for k in range(b.num_rows):
-                i, tb = b.column(1)[k].as_py(), b.column(3)[k].as_py()
-                if last[0] != i:
-                    last = (i, words.shingles([tb], width)[0])
-                x, y = words.shingles([b.column(2)[k].as_py()], width)[0], last[1]
-                shared = np.intersect1d(x, y, assume_unique=True).size
-                ok.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+            left, right = [], []
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = words.shingles(part.column(4).to_pylist(), width)
+                for i, g, side, doc, x in zip(*(part.column(k).to_pylist() for k in range(4)), sets, strict=True):
+                    if side == 0:
+                        hub = ((i, g), x)
+                        continue
+                    y = hub[1] if hub[0] == (i, g) else np.zeros(0, np.uint64)
+                    shared = np.intersect1d(x, y, assume_unique=True).size
+                    if shared and 100 * shared >= percent * (len(x) + len(y) - shared):
+                        left.append(doc)
+                        right.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.select("b", "group", "side", "doc_id", "text").repartition("b", "group").sortWithinPartitions("b", "group", "side").mapInArrow(run, "a long, b long")
 
 
 def rest_links(apart: DataFrame, texts: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
@@ -272,7 +285,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     estimate holds back is met again in the tiles.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null id are left out. Of repeated rows of an
-    id all come back. Texts are whole; extra columns are not read.
+    id all come back; rows that share an id should share the text (keep_one gives keys to rows that don't). Texts are whole at
+    any length; extra columns are not read; no documents give no rows.
     """
     folder = shared_folder(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
@@ -283,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     bands = reps.select("doc_id", F.posexplode("bands").alias("k", "key")).select("doc_id", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("key")).alias("band"))
     many = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).filter("hub <> other").drop("other")
     bands = written(bands.join(many, "band").select("band", "doc_id", "hub"), "bands", folder)
-    texts = written(base.join(bands.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts", folder)
+    texts = written(base.join(bands.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", folder)
     ask = written(bands.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "ask0", folder)
     links, comp, m = None, None, None
     for turn in range(rounds):
@@ -306,3 +320,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     out = s.select("doc_id", "n_shingles", "set_a", "set_b").join(ends, ["set_a", "set_b", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay where of each group of near-duplicates only that with the smallest id does.
+
+    Every row takes part: rows with a null id, and those of an id whose text isn't the first of that id's by a hash, have a key of their own
+    beyond all ids, so they yield to rows with ids. Rows equal in id and text are one, of which one stays. Null and empty texts are
+    no duplicates of one another. No documents give none; other columns pass through as they are.
+    """
+    h = F.xxhash64(F.col(text))
+    first = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(h).alias("_h"), F.max(h).alias("_last")).filter("_h <> _last").drop("_last")
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col, text), 2)
+    keyed = docs.join(first, F.col(id_col).cast("long") == F.col("_id"), "left")
+    keyed = keyed.withColumn("_key", F.when(F.col(id_col).isNull() | (h != F.col("_h")), own).otherwise(F.col(id_col).cast("long"))).drop("_id", "_h")
+    kept = near_duplicates(keyed, width, percent, text, "_key").filter("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
