@@ -14,30 +14,49 @@ LEAST_SHARE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without letters or without a clear language go."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    """Documents in one of the learned languages; those without letters or without a clear language go.
+
+    So null, empty and blank texts go; long ones are read whole, repeated rows are judged alike, no documents give none, and columns
+    named as the operator's results keep their values.
+    """
+    mine = {"lang_pred": "_lang_pred", "score": "_score"}
+    away = docs.withColumnsRenamed({k: v for k, v in mine.items() if k in docs.columns})
+    found = language_id.identify(away, language_id.learn(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*[F.col(mine.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (4-word shingles, 0.8): the smallest doc_id. Repeated rows of it become one."""
-    kept = minhash_dedup.near_duplicates(docs, width=4).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each group of near-duplicates (4-word shingles, 0.8): that with the smallest doc_id.
+
+    Rows equal in id and text become one. Rows with a null id take part and yield to rows with one; rows that share an id but not the
+    text are documents of their own. Null and empty texts are no duplicates of one another. No documents give none.
+    """
+    return minhash_dedup.keep_one(docs, width=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule doesn't mark."""
-    marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(marked, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the contamination rule doesn't mark, judged row by row: ids may be null or repeated.
+
+    Null and empty texts stay, a text exactly at the rule's share goes, repeated rows are judged alike, no documents give none.
+    """
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture to the corpus's weights: a document of an over-full leaf may go, one of a short leaf may come twice."""
+    """The mixture to the corpus's weights: a document of an over-full leaf may go, one of a short leaf may come twice.
+
+    Null lang, source or id count as ''; null and empty texts as one token; rows that tie (equal ids) stay or go together; no
+    documents give none.
+    """
     return mixing.mix(docs, mixing.corpus_weights(spark), mixing.corpus_domain()).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' documents: doc_id, start, n_tokens, ids_crc32."""
+    """The token files' documents: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end id alone; null ids come first and repeated ones in order of text; a text may span any number of
+    batches; no documents give no files and no rows.
+    """
     return token_output.encode_documents(docs, vocabulary(), shared_folder(spark) + "/tokens")
 
 
@@ -48,6 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; a stage reads what the one before has written."""
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
