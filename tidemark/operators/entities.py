@@ -7,30 +7,58 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, written
 from .textops import similarity, trigrams
 
 
-def ancestors(nodes: DataFrame, cap: int) -> DataFrame:
-    """(id, ancestor, depth) along nodes(id, parent). The cap ends cycles; each step is one join on the parent."""
-    up = nodes.filter("parent is not null").select(F.col("id").alias("_id"), F.col("parent").alias("_up"))
-    found = [nodes.filter("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))]
-    for depth in range(2, cap + 1):
-        step = found[-1].join(up, F.col("ancestor") == F.col("_id")).select("id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
-        if not step.take(1):
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) along nodes(id, parent), to any depth: each round doubles the length of the steps, so there are as many as the logarithm of the longest path.
+
+    Every round is written to the shared folder. In a cycle a node is an ancestor of itself; rounds end when steps are longer than there are nodes.
+    """
+    folder = shared_folder(nodes.sparkSession)
+    jump = found = written(nodes.filter("id is not null and parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), f"{folder}/step0")
+    n, length = nodes.count(), 1
+    while length <= n and jump.take(1):
+        by = jump.select(F.col("id").alias("_via"), F.col("ancestor").alias("_up"), F.col("depth").alias("_more"))
+        on = lambda d: d.join(by, F.col("ancestor") == F.col("_via")).select("id", F.col("_up").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))  # noqa: E731, B023
+        length *= 2
+        found = written(found.unionByName(on(found)).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), f"{folder}/found{length}")
+        jump = written(on(jump).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), f"{folder}/step{length}")
+    return found
+
+
+def ends(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, last, steps): where each node's way along links(id, next) ends, by pointer doubling: one row per node in every round, whatever the length.
+
+    A node has one next one, the largest of several. A way that runs into a cycle has no end: last is null.
+    """
+    folder = shared_folder(nodes.sparkSession)
+    one = links.filter("next is not null").groupBy("id").agg(F.max("next").alias("next"))
+    at = nodes.filter("id is not null").select("id").distinct().join(one, "id", "left")
+    at = written(at.select("id", F.coalesce("next", "id").alias("last"), F.col("next").isNotNull().cast("long").alias("steps")), f"{folder}/way0")
+    n, length, before = at.count(), 1, None
+    while length <= n:
+        by = at.select(F.col("id").alias("_via"), F.col("last").alias("_last"), F.col("steps").alias("_more"))
+        length *= 2
+        at = written(at.join(by, F.col("last") == F.col("_via"), "left").select("id", F.coalesce("_last", "last").alias("last"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")), f"{folder}/way{length}")
+        now = at.agg(F.sum("steps")).first()[0]
+        if now == before:
             break
-        found.append(step)
-    return reduce(DataFrame.unionByName, found)
+        before = now
+    return at.join(one.select(F.col("id").alias("last"), F.lit(True).alias("_on")), "last", "left").select("id", F.when(F.col("_on").isNull(), F.col("last")).alias("last"), "steps")
 
 
-def last_successor(nodes: DataFrame, cap: int) -> DataFrame:
+def last_successor(nodes: DataFrame) -> DataFrame:
     """(id, last, steps): the end of each node's chain of versions, where a version's parent is the one before it."""
-    a = ancestors(nodes, cap)
-    below = a.groupBy(F.col("ancestor").alias("id")).agg(F.max(F.struct("depth", F.col("id").alias("last"))).alias("x"))
-    return nodes.select("id").join(below, "id", "left").select("id", F.coalesce("x.last", "id").alias("last"), F.coalesce("x.depth", F.lit(0)).alias("steps"))
+    return ends(nodes, nodes.filter("parent is not null").select(F.col("parent").alias("id"), F.col("id").alias("next")))
 
 
-def tree_stats(nodes: DataFrame, cap: int) -> DataFrame:
-    depth = ancestors(nodes, cap).agg(F.coalesce(F.max("depth") + 1, F.lit(1)).alias("depth"))
+def tree_stats(nodes: DataFrame) -> DataFrame:
+    """(nodes, depth, orphans): one row."""
+    known = nodes.select(F.col("id").alias("next")).distinct()
+    up = nodes.filter("parent is not null").select("id", F.col("parent").alias("next")).join(known, "next", "left_semi")
+    depth = ends(nodes, up).agg(F.coalesce(F.max("steps") + 1, F.lit(1)).alias("depth"))
     n = nodes.agg(F.count_distinct("id").alias("nodes"))
     orphans = nodes.filter("parent is not null").join(nodes.select(F.col("id").alias("parent")), "parent", "left_anti").agg(F.count("*").alias("orphans"))
     return n.crossJoin(depth).crossJoin(orphans)  # one row each

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 # Full-width digits and signs, and what they are written as.
 WIDE, NARROW = "０１２３４５６７８９．，％（）－＋", "0123456789.,%()-+"
 NUMBER = r"\([0-9][0-9,]*(?:\.[0-9]+)?\)|[-+]?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
-BOILERPLATE = [r"^\s*$", r"^[0-9\s]+$", r"(?i)all rights reserved", r"(?i)^\s*page\s+[0-9]+", r"(?i)cookie", r"(?i)subscribe"]
-ENDERS = ".!?。！？"
+# Lines without content of their own (page marks, contents, definitions, the disclaimer, "no such case").
+BOILERPLATE = [r"^第\s*[0-9]+\s*页\s*共\s*[0-9]+\s*页$", r"^-?\s*[0-9]+\s*-?$", r"^目\s*录$", r"^释\s*义$", r"保证信息披露内容的真实、准确和完整", r"^本报告期内公司不存在.{0,20}情形$"]
+# Units that may stand behind a number in its cell.
+UNITS = "百万元 千万元 万亿元 亿元 万元 千元 港元 欧元 日元 英镑 元 亿美元 万美元 千美元 美元 亿股 万股 股 万吨 吨 万人 人 万台 台 万件 件".split()
+GROUPED = r"[0-9]{1,3}(?:,[0-9]{3})+"
+PLAIN_CELL = rf"-?(?:(?:{GROUPED}|[0-9]+)(?:\.[0-9]+)?|\.[0-9]+)%?"
+NEGATIVE_CELL = rf"\((?:{GROUPED}(?:\.[0-9]+)?|[0-9]*\.[0-9]+)%?\)%?"
+CELL = rf"^({PLAIN_CELL}|{NEGATIVE_CELL})\s*({'|'.join(UNITS)})?$"
+BREAK, BROKEN = r"(?i)<br\s*/?>", r"(?i)[0-9.,]\s*<br\s*/?>\s*[0-9.,]"
 
 
 def numbers(text: Column) -> Column:
@@ -28,20 +35,27 @@ def multiset_compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def is_boilerplate(line: Column) -> Column:
-    out = F.lit(False)
+    """True for blank lines and those that are, or hold, one of BOILERPLATE. Null stays null."""
+    c = F.regexp_replace(line, r"^\s+|\s+$", "")
+    out = c == ""
     for p in BOILERPLATE:
-        out = out | line.rlike(p)
+        out = out | c.rlike(p)
     return out
 
 
-def cell_value(cell: Column) -> tuple[Column, Column]:
-    """(value, kind) of a cell that is one number and nothing else: `(1,234)` is negative, a bare `(1)` is a note, a year with its sign is none."""
-    c = F.trim(F.translate(cell, WIDE, NARROW))
-    plain = F.replace(F.regexp_extract(c, r"^\(?([-+]?[0-9][0-9,]*(?:\.[0-9]+)?)\)?%?$", 1), F.lit(","), F.lit("")).try_cast("decimal(38,10)")
-    negative = c.startswith("(") & c.endswith(")")
-    note = c.rlike(r"^\([0-9]{1,2}\)$") | ~c.rlike(r"^(\([0-9][0-9,]*(\.[0-9]+)?\)|[-+]?[0-9][0-9,]*(\.[0-9]+)?%?)$")
-    value = F.when(~note, F.when(negative, -plain).otherwise(plain))
-    return value, F.when(value.isNotNull(), F.when(c.endswith("%"), "percent").otherwise("amount"))
+def cell_value(cell: Column) -> tuple[Column, Column, Column]:
+    """(value, kind, unit) of a cell that states one number, with at most one of UNITS behind it; else nulls.
+
+    A number in parentheses is negative if it has decimals or groups, else a note's number. A break between digits, a percentage with a unit,
+    several numbers, dates and words leave the cell without value. A bare year counts as an amount.
+    """
+    c = F.trim(F.regexp_replace(F.translate(F.regexp_replace(cell, BREAK, " "), WIDE, NARROW), r"\s+", " "))
+    number, unit = F.regexp_extract(c, CELL, 1), F.nullif(F.regexp_extract(c, CELL, 2), F.lit(""))
+    percent = number.contains("%")
+    good = (number != "") & ~cell.rlike(BROKEN) & ~(percent & unit.isNotNull())
+    plain = F.regexp_replace(number, "[^0-9.]", "").try_cast("decimal(38,10)")
+    value = F.when(good, F.when(number.rlike("^[(-]"), -plain).otherwise(plain))
+    return value, F.when(value.isNotNull(), F.when(percent, "percent").otherwise("amount")), F.when(value.isNotNull(), unit)
 
 
 def garbled_ratio(text: Column) -> Column:
@@ -55,36 +69,13 @@ def confidence(coverage: Column, closure: Column, garbled: Column, missing: Colu
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 4)
 
 
-def split_text(text: Column, size: int = 400, overlap: int = 48, least: int = 200) -> Column:
-    """Pieces of a text: whole up to size, else cut after the last sentence end in [start + least, start + size), the next piece overlapping.
-
-    Sequential by nature; a fold over piece numbers keeps it in the JVM. A tail shorter than overlap joins the last piece.
-    """
-    n = F.length(text)
-    steps = F.sequence(F.lit(0), F.ceil(n / (least - overlap)).cast("int") + 1)
-
-    def step(state, _):
-        start = state["at"]
-        window = F.substring(text, start + 1, F.lit(size))
-        zone = F.substring(text, start + least + 1, F.lit(size - least))
-        last = F.length(F.regexp_extract(zone, r"(?s)^(.*[.!?。！？])", 1))
-        rest = n - start
-        cut = F.when((rest <= size + overlap), rest).when(last > 0, last + least).otherwise(F.length(window))
-        piece = F.substring(text, start + 1, cut)
-        done = start + cut >= n
-        return F.when(state["done"], state).otherwise(F.struct((start + cut - F.when(done, F.lit(0)).otherwise(overlap)).cast("int").alias("at"), done.alias("done"), F.concat(state["pieces"], F.array(piece)).alias("pieces")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("pieces"))
-    return F.when(n <= size, F.array(text)).otherwise(F.aggregate(steps, start, step)["pieces"])
-
-
 def title_tier(title: Column) -> Column:
     t = F.lower(title)
     return F.when(t.rlike("english"), None).when(t.rlike("quarter|annual summary|résumé"), "first").when(t.rlike("annual|année"), "second")
 
 
 def line_repetition(blocks: DataFrame, least: int = 3) -> DataFrame:
-    """Lines that a source's documents repeat: candidates for headers and footers. Counted by digest before they are joined back to their text."""
+    """Lines that a source's documents repeat: candidates for headers and footers."""
     g = blocks.filter("length(trim(content)) > 0").select("source", "doc_id", F.trim("content").alias("line")).groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n_docs"))
     return g.filter(F.col("n_docs") >= least)
 

@@ -163,9 +163,9 @@ def description_check(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").rlike("buy|sell|recommend|should").alias("forbidden"), F.col("text").rlike("[.!?]$").alias("complete"))
 
 
-@query("question_hygiene", "SELECT item_id, length(text) BETWEEN 8 AND 120 AND right(text, 1) = '?' AND NOT regexp_matches(lower(text), '(^| )(this|that|here)( |$)') AS ok FROM (SELECT item_id, substr(text, 1, 100) || '?' AS text FROM benchmark)")
+@query("question_hygiene", "SELECT item_id, length(text) BETWEEN 8 AND 120 AND right(text, 1) = '?' AND NOT regexp_matches(lower(text), '(^| )(this|that|here)( |$)') AS ok FROM (SELECT item_id, text || CASE WHEN item_id % 3 = 0 THEN '?' ELSE '' END AS text FROM benchmark)")
 def question_hygiene(spark, sf):
-    t = F.concat(F.substring("text", 1, 100), F.lit("?"))
+    t = F.concat("text", F.when(F.col("item_id") % 3 == 0, "?").otherwise(""))
     ok = F.length(t).between(8, 120) & (F.right(t, F.lit(1)) == "?") & ~F.lower(t).rlike("(^| )(this|that|here)( |$)")
     return src.table(spark, sf, "benchmark").select("item_id", ok.alias("ok"))
 
@@ -213,9 +213,9 @@ def grid_verdict(spark, sf):
     return c.select("table_id", F.when(F.col("bad") > 0, "mismatch").when(F.col("matched") == 0, "unverified").when(F.col("matched") + F.col("empty") >= F.col("n"), "verified").otherwise("partial").alias("verdict"))
 
 
-@query("nearest_number", "WITH a AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS v FROM lineitem WHERE l_orderkey <= 2000), t AS (SELECT o_orderkey, o_totalprice FROM orders) SELECT o_orderkey, arg_min(l_linenumber, (abs(v - o_totalprice), l_linenumber)) AS linenumber FROM a JOIN t ON l_orderkey = o_orderkey GROUP BY 1")
+@query("nearest_number", "WITH a AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS v FROM lineitem), t AS (SELECT o_orderkey, o_totalprice FROM orders) SELECT o_orderkey, arg_min(l_linenumber, (abs(v - o_totalprice), l_linenumber)) AS linenumber FROM a JOIN t ON l_orderkey = o_orderkey GROUP BY 1")
 def nearest_number(spark, sf):
-    l = src.table(spark, sf, "lineitem").filter("l_orderkey <= 2000").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice")
+    l = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice")
     d = l.join(src.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
     return d.groupBy("o_orderkey").agg(F.min_by("l_linenumber", F.struct(F.abs(F.col("l_extendedprice") - F.col("o_totalprice")), "l_linenumber")).alias("linenumber"))
 
@@ -277,10 +277,10 @@ def cell_paths(spark, sf):
     return tb.paths(table_cells(spark, sf))
 
 
-@query("unit_markers", "WITH x AS (SELECT l_orderkey % 500 AS table_id, CASE l_linenumber % 5 WHEN 0 THEN 'in Million' WHEN 1 THEN 'thousand pieces' ELSE 'none' END AS text FROM lineitem WHERE l_orderkey <= 2000), f AS (SELECT table_id, u FROM (SELECT DISTINCT table_id FROM x) LEFT JOIN (SELECT DISTINCT table_id, unnest(regexp_extract_all(lower(text), 'thousand|million|billion')) AS u FROM x) USING (table_id)) SELECT table_id, CASE WHEN count(u) = 1 THEN max(u) END AS unit, count(u) > 1 AS conflict FROM f GROUP BY 1")
+@query("unit_markers", "WITH x AS (SELECT l_orderkey % 500 AS table_id, CASE l_linenumber % 5 WHEN 0 THEN 'in Million' WHEN 1 THEN 'thousand pieces' ELSE 'none' END AS text FROM lineitem), f AS (SELECT table_id, u FROM (SELECT DISTINCT table_id FROM x) LEFT JOIN (SELECT DISTINCT table_id, unnest(regexp_extract_all(lower(text), 'thousand|million|billion')) AS u FROM x) USING (table_id)) SELECT table_id, CASE WHEN count(u) = 1 THEN max(u) END AS unit, count(u) > 1 AS conflict FROM f GROUP BY 1")
 def unit_markers(spark, sf):
     k = F.col("l_linenumber") % 5
-    x = src.table(spark, sf, "lineitem").filter("l_orderkey <= 2000").select((F.col("l_orderkey") % 500).alias("table_id"), F.when(k == 0, "in Million").when(k == 1, "thousand pieces").otherwise("none").alias("text"))
+    x = src.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("table_id"), F.when(k == 0, "in Million").when(k == 1, "thousand pieces").otherwise("none").alias("text"))
     return tb.unit_markers(x, "table_id", "text")
 
 
@@ -310,9 +310,9 @@ def table_row_recall(spark, sf):
     return tb.row_recall(a, b)
 
 
-@query("table_backfill", f"WITH {DOCUMENT}, {BLOCK}, b AS (SELECT doc_id, ordinal, content AS text FROM doc_block WHERE ordinal < 3), g AS (SELECT doc_id, ordinal * 10 AS grid_no, CASE WHEN doc_id % 5 = 0 AND ordinal = 1 THEN 'changed' ELSE content END AS text FROM doc_block WHERE ordinal < 3 AND NOT (doc_id % 7 = 0 AND ordinal = 2)), j AS (SELECT doc_id, grid_no, ordinal, coalesce(g.text = b.text, false) AS same FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grid_no) AS n FROM g) g FULL JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM b) b USING (doc_id, n)) SELECT doc_id, grid_no, ordinal FROM (SELECT *, bool_and(same) OVER (PARTITION BY doc_id) AS ok FROM j) WHERE ok")
+@query("table_backfill", f"WITH {DOCUMENT}, {BLOCK}, b AS (SELECT doc_id, ordinal, content AS text FROM doc_block), g AS (SELECT doc_id, ordinal * 10 AS grid_no, CASE WHEN doc_id % 5 = 0 AND ordinal = 1 THEN 'changed' ELSE content END AS text FROM doc_block WHERE NOT (doc_id % 7 = 0 AND ordinal = 2)), j AS (SELECT doc_id, grid_no, ordinal, coalesce(g.text = b.text, false) AS same FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grid_no) AS n FROM g) g FULL JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM b) b USING (doc_id, n)) SELECT doc_id, grid_no, ordinal FROM (SELECT *, bool_and(same) OVER (PARTITION BY doc_id) AS ok FROM j) WHERE ok")
 def table_backfill(spark, sf):
-    b = src.doc_block(spark, sf).filter("ordinal < 3").select("doc_id", "ordinal", F.col("content").alias("text"))
+    b = src.doc_block(spark, sf).select("doc_id", "ordinal", F.col("content").alias("text"))
     g = b.filter("not (doc_id % 7 = 0 and ordinal = 2)").select("doc_id", (F.col("ordinal") * 10).alias("grid_no"), F.when((F.col("doc_id") % 5 == 0) & (F.col("ordinal") == 1), "changed").otherwise(F.col("text")).alias("text"))
     return tb.backfill(g, b, "doc_id")
 

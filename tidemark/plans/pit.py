@@ -123,10 +123,10 @@ def asof_leak_checks(spark, sf):
     return bt.leak_checks(src.fin_fact(spark, sf), bt.at(T2))
 
 
-@query("asof_replay_hash", f"""WITH {DOCUMENT}, {BLOCK}, b AS (SELECT * FROM doc_block WHERE ordinal = 0), p AS (SELECT block_id, known_at - INTERVAL 1 SECOND AS probe FROM b UNION ALL SELECT block_id, known_at FROM b UNION ALL SELECT block_id, superseded_at FROM b WHERE superseded_at IS NOT NULL)
+@query("asof_replay_hash", f"""WITH {DOCUMENT}, {BLOCK}, b AS (SELECT * FROM doc_block), p AS (SELECT block_id, known_at - INTERVAL 1 SECOND AS probe FROM b UNION ALL SELECT block_id, known_at FROM b UNION ALL SELECT block_id, superseded_at FROM b WHERE superseded_at IS NOT NULL)
 SELECT b.block_id, strftime(probe, '%Y-%m-%d %H:%M:%S') AS probe, CASE WHEN known_at <= probe AND (superseded_at IS NULL OR superseded_at > probe) THEN sha256(concat_ws('|', CAST(b.block_id AS VARCHAR), content, strftime(known_at, '%Y-%m-%d %H:%M:%S'))) ELSE 'ABSENT' END AS hash FROM b JOIN p ON b.block_id = p.block_id""")
 def asof_replay_hash(spark, sf):
-    b = src.doc_block(spark, sf).filter("ordinal = 0")
+    b = src.doc_block(spark, sf)
     probes = b.select("block_id", F.explode(F.array(F.col("known_at") - F.expr("INTERVAL 1 SECOND"), "known_at", "superseded_at")).alias("probe")).filter("probe is not null")
     return bt.replay_hash(b, probes).withColumn("probe", stamp("probe"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import chunks as ch
 from ..functions import sequential as sq
 from ..operators import entities as en
 from ..operators import textops as tx
@@ -55,11 +56,11 @@ def number_closure(spark, sf):
 CHARS = "string_split(regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g'), '')"
 
 
-@query("char_closure", f"""WITH s AS (SELECT * FROM documents WHERE n_chars < 2000), a AS (SELECT doc_id, item, count(*) AS n FROM (SELECT doc_id, unnest({CHARS.format(x="replace(text, 'e', 'ee')")}) AS item FROM s) WHERE item <> '' GROUP BY ALL), b AS (SELECT doc_id, item, count(*) AS m FROM (SELECT doc_id, unnest({CHARS.format(x='text')}) AS item FROM s) WHERE item <> '' GROUP BY ALL)
+@query("char_closure", f"""WITH s AS (SELECT * FROM documents), a AS (SELECT doc_id, item, count(*) AS n FROM (SELECT doc_id, unnest({CHARS.format(x="replace(text, 'e', 'ee')")}) AS item FROM s) WHERE item <> '' GROUP BY ALL), b AS (SELECT doc_id, item, count(*) AS m FROM (SELECT doc_id, unnest({CHARS.format(x='text')}) AS item FROM s) WHERE item <> '' GROUP BY ALL)
 SELECT doc_id, CAST(sum(least(coalesce(n, 0), coalesce(m, 0))) AS BIGINT) AS shared, CAST(sum(greatest(coalesce(n, 0) - coalesce(m, 0), 0)) AS BIGINT) AS only_a, CAST(sum(greatest(coalesce(m, 0) - coalesce(n, 0), 0)) AS BIGINT) AS only_b FROM a FULL JOIN b USING (doc_id, item) GROUP BY doc_id""")
 def char_closure(spark, sf):
     chars = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""), ""), lambda x: x != "")
-    d = docs(spark, sf).filter("n_chars < 2000")
+    d = docs(spark, sf)
     return tx.multiset_compare(tx.multiset(d, ["doc_id"], chars(F.replace("text", F.lit("e"), F.lit("ee")))), tx.multiset(d, ["doc_id"], chars(F.col("text"))), ["doc_id"])
 
 
@@ -77,20 +78,29 @@ def text_coverage(spark, sf):
     return c.select("doc_id", share("only_b").alias("coverage"), share("only_a").alias("precision"))
 
 
-@query("boilerplate", f"WITH {BLOCKS} SELECT block_id, regexp_matches(content, '^\\s*$') OR regexp_matches(content, '^[0-9\\s]+$') OR regexp_matches(content, '(?i)all rights reserved') OR regexp_matches(content, '(?i)^\\s*page\\s+[0-9]+') OR regexp_matches(content, '(?i)cookie') OR regexp_matches(content, '(?i)subscribe') AS boilerplate FROM doc_block")
+BOILER = " OR ".join(["c = ''", *(f"regexp_matches(c, '{p}')" for p in tx.BOILERPLATE)])
+
+
+@query("boilerplate", f"WITH {BLOCKS} SELECT block_id, {BOILER} AS boilerplate FROM (SELECT block_id, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS c FROM doc_block)")
 def boilerplate(spark, sf):
     return src.doc_block(spark, sf).select("block_id", tx.is_boilerplate(F.col("content")).alias("boilerplate"))
 
 
-CELLS = ["12,340", "58.2%", "(1,234)", "(1)", "1.5万元", "2024年", "-7.25", "１２，３４０", "", " 42 ", "1,2a", "(12.5)"]
+# cells of every form, and two for each part: its price with a unit, and its size in parentheses
+CELLS = ["12,340", "58.2%", "(1,234)", "(1)", "1.5万元", "2024年", "-7.25", "１２，３４０", "", " 42 ", "1,2a", "(12.5)", "(3.1%)", "5%万元", "649,900,00<br>0", "7<br/>亿元", "1,23", ".5", "12 34", "(1,234)万股", "＋3"]
+CELL_SQL = f"""x AS (SELECT unnest({CELLS!r}) AS cell UNION ALL SELECT DISTINCT p_retailprice || '万元' FROM part UNION ALL SELECT DISTINCT '(' || p_size || ',000)' FROM part),
+t AS (SELECT cell, trim(regexp_replace(translate(regexp_replace(cell, '{tx.BREAK}', ' ', 'g'), '{tx.WIDE}', '{tx.NARROW}'), '\\s+', ' ', 'g')) AS c FROM x),
+n AS (SELECT cell, regexp_extract(c, '{tx.CELL}', 1) AS number, nullif(regexp_extract(c, '{tx.CELL}', 2), '') AS unit FROM t),
+g AS (SELECT *, number <> '' AND NOT regexp_matches(cell, '{tx.BROKEN}') AND NOT (contains(number, '%') AND unit IS NOT NULL) AS good, TRY_CAST(regexp_replace(number, '[^0-9.]', '', 'g') AS DECIMAL(38,10)) AS v FROM n)"""
 
 
-@query("cell_value", f"""WITH x(cell) AS (VALUES {', '.join(f"('{c}')" for c in CELLS)}), t AS (SELECT cell, trim(translate(cell, '{tx.WIDE}', '{tx.NARROW}')) AS c FROM x), s AS (SELECT *, regexp_matches(c, '^\\([0-9]{{1,2}}\\)$') OR NOT regexp_matches(c, '^(\\([0-9][0-9,]*(\\.[0-9]+)?\\)|[-+]?[0-9][0-9,]*(\\.[0-9]+)?%?)$') AS note, TRY_CAST(replace(regexp_extract(c, '^\\(?([-+]?[0-9][0-9,]*(?:\\.[0-9]+)?)\\)?%?$', 1), ',', '') AS DECIMAL(18,6)) AS v FROM t)
-SELECT cell, CASE WHEN NOT note THEN CAST(CASE WHEN c LIKE '(%)' THEN -v ELSE v END AS DOUBLE) END AS value, CASE WHEN NOT note AND v IS NOT NULL THEN CASE WHEN c LIKE '%\\%' ESCAPE '\\' THEN 'percent' ELSE 'amount' END END AS kind FROM s""")
+@query("cell_value", f"""WITH {CELL_SQL} SELECT cell, CASE WHEN good THEN CAST(CASE WHEN regexp_matches(number, '^[(-]') THEN -v ELSE v END AS DOUBLE) END AS value, CASE WHEN good THEN CASE WHEN contains(number, '%') THEN 'percent' ELSE 'amount' END END AS kind, CASE WHEN good THEN unit END AS unit FROM g""")
 def cell_value(spark, sf):
+    p = src.table(spark, sf, "part")
     d = spark.createDataFrame([(c,) for c in CELLS], "cell string")
-    v, kind = tx.cell_value(F.col("cell"))
-    return d.select("cell", v.cast("double").alias("value"), kind.alias("kind"))
+    d = d.unionByName(p.select(F.concat(F.col("p_retailprice").cast("string"), F.lit("万元")).alias("cell")).distinct()).unionByName(p.select(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(",000)")).alias("cell")).distinct())
+    v, kind, unit = tx.cell_value(F.col("cell"))
+    return d.select("cell", v.cast("double").alias("value"), kind.alias("kind"), unit.alias("unit"))
 
 
 @query("confidence_score", "SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.3::DOUBLE * least(1.0::DOUBLE, n_chars / 1999.0::DOUBLE) + 0.3::DOUBLE * CASE WHEN n_chars = length(text) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + 0.2::DOUBLE * (1 - (doc_id % 10) / 10.0::DOUBLE) + 0.2::DOUBLE * (1 - (doc_id % 4) / 4.0::DOUBLE))), 4) AS confidence FROM documents")
@@ -170,9 +180,16 @@ def lexical_overlap(spark, sf):
     return d.select("conv_id", "turn", F.round(F.size(F.array_intersect(a, b)) / F.size(a), 6).alias("overlap"))
 
 
-@query("chunk_split")
+CUT = "coalesce(CASE WHEN {a} + 400 >= length(s) THEN length(s) END, nullif(length(regexp_extract(substr(s, {a} + 201, 200), '(?s)^(.*[。！？；\\n])', 1)), 0) + {a} + 200, {a} + 400)"
+
+
+@query("chunk_split", f"""WITH RECURSIVE t AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM documents),
+p AS (SELECT doc_id, s, 0 AS k, CAST(0 AS BIGINT) AS a, CAST({CUT.format(a='0')} AS BIGINT) AS b FROM t WHERE length(s) > 0 UNION ALL SELECT doc_id, s, k + 1, b - 48, CAST({CUT.format(a='(b - 48)')} AS BIGINT) FROM p WHERE b < length(s)),
+w AS (SELECT *, lead(a) OVER d AS na, lead(b) OVER d AS nb, lead(k, 2) OVER d IS NULL AND lead(k) OVER d IS NOT NULL AS before_last, lag(a) OVER d AS pa, lead(k) OVER d IS NULL AND k > 0 AS last FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+m AS (SELECT doc_id, s, k, a, CASE WHEN before_last AND nb - na < 200 AND nb - a <= 400 THEN nb ELSE b END AS b FROM w WHERE NOT (last AND b - a < 200 AND b - pa <= 400))
+SELECT doc_id, k AS piece, b - a AS n, sha256(substr(s, a + 1, b - a)) AS digest FROM m""")
 def chunk_split(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.posexplode(tx.split_text(F.col("text"))).alias("piece", "content"))
+    d = ch.split_texts(docs(spark, sf), "doc_id", "text")
     return d.select("doc_id", "piece", F.length("content").alias("n"), F.sha2("content", 256).alias("digest"))
 
 
@@ -268,24 +285,24 @@ def chain(spark, sf):
     return src.table(spark, sf, "conversations").select(i.alias("id"), F.when(F.col("turn") > 0, i - 1).alias("parent"))
 
 
-@query("ancestors_recursive", f"WITH RECURSIVE {CHAIN}, a AS (SELECT id, parent AS ancestor, 1 AS depth FROM n WHERE parent IS NOT NULL UNION ALL SELECT a.id, n.parent, depth + 1 FROM a JOIN n ON a.ancestor = n.id WHERE n.parent IS NOT NULL AND depth < 32) SELECT * FROM a")
+@query("ancestors_recursive", f"WITH RECURSIVE {CHAIN}, a AS (SELECT id, parent AS ancestor, 1 AS depth FROM n WHERE parent IS NOT NULL UNION ALL SELECT a.id, n.parent, depth + 1 FROM a JOIN n ON a.ancestor = n.id WHERE n.parent IS NOT NULL ) SELECT * FROM a")
 def ancestors_recursive(spark, sf):
-    return en.ancestors(chain(spark, sf), 32)
+    return en.ancestors(chain(spark, sf))
 
 
-@query("version_successor", f"WITH RECURSIVE {CHAIN}, a AS (SELECT id, id AS last, 0 AS steps FROM n UNION ALL SELECT a.id, n.id, steps + 1 FROM a JOIN n ON n.parent = a.last WHERE steps < 32) SELECT id, max(last) AS last, max(steps) AS steps FROM a GROUP BY id")
+@query("version_successor", f"WITH RECURSIVE {CHAIN}, a AS (SELECT id, id AS last, 0 AS steps FROM n UNION ALL SELECT a.id, n.id, steps + 1 FROM a JOIN n ON n.parent = a.last ) SELECT id, max(last) AS last, max(steps) AS steps FROM a GROUP BY id")
 def version_successor(spark, sf):
-    return en.last_successor(chain(spark, sf), 32)
+    return en.last_successor(chain(spark, sf))
 
 
-@query("tree_stats", f"WITH RECURSIVE {CHAIN}, a AS (SELECT id, parent, 1 AS depth FROM n UNION ALL SELECT a.id, n.parent, depth + 1 FROM a JOIN n ON a.parent = n.id WHERE depth < 32) SELECT count(DISTINCT id) AS nodes, max(depth) AS depth, (SELECT count(*) FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n)) AS orphans FROM a")
+@query("tree_stats", f"WITH RECURSIVE {CHAIN}, a AS (SELECT id, parent, 1 AS depth FROM n UNION ALL SELECT a.id, n.parent, depth + 1 FROM a JOIN n ON a.parent = n.id) SELECT count(DISTINCT id) AS nodes, max(depth) AS depth, (SELECT count(*) FROM n WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM n)) AS orphans FROM a")
 def tree_stats(spark, sf):
-    return en.tree_stats(chain(spark, sf), 32)
+    return en.tree_stats(chain(spark, sf))
 
 
-@query("relations_one_hop", "WITH e AS (SELECT DISTINCT l_suppkey AS s, o_custkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <= 20) SELECT s AS entity, t AS other, 'out' AS direction FROM e UNION ALL SELECT t, s, 'in' FROM e")
+@query("relations_one_hop", "WITH e AS (SELECT DISTINCT l_suppkey AS s, o_custkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT s AS entity, t AS other, 'out' AS direction FROM e UNION ALL SELECT t, s, 'in' FROM e")
 def relations_one_hop(spark, sf):
-    e = src.table(spark, sf, "lineitem").filter("l_suppkey <= 20").join(src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(F.col("l_suppkey").alias("s"), F.col("o_custkey").alias("t")).distinct()
+    e = src.table(spark, sf, "lineitem").join(src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(F.col("l_suppkey").alias("s"), F.col("o_custkey").alias("t")).distinct()
     return en.one_hop(e, "s", "t")
 
 
@@ -297,21 +314,21 @@ def resolve_entity(spark, sf):
     return en.resolve([one(F.col("s_name"), 1.0), one(F.col("s_name"), 0.5), one(F.upper("s_name"), 0.8)])
 
 
-@query("resolve_code", "WITH c AS (SELECT s_suppkey AS id, 'A' || s_suppkey AS k1, 'B' || (s_suppkey + 1) AS k2 FROM supplier), asked AS (SELECT 'A' || p_partkey AS code FROM part WHERE p_partkey <= 60 UNION ALL SELECT 'B' || p_partkey FROM part WHERE p_partkey <= 60) SELECT code, min(id) AS id FROM asked LEFT JOIN c ON code = k1 OR code = k2 GROUP BY code")
+@query("resolve_code", "WITH c AS (SELECT s_suppkey AS id, 'A' || s_suppkey AS k1, 'B' || (s_suppkey + 1) AS k2 FROM supplier), asked AS (SELECT 'A' || p_partkey AS code FROM part UNION ALL SELECT 'B' || p_partkey FROM part) SELECT code, min(id) AS id FROM asked LEFT JOIN c ON code = k1 OR code = k2 GROUP BY code")
 def resolve_code(spark, sf):
     c = src.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("k1"), F.concat(F.lit("B"), (F.col("s_suppkey") + 1).cast("string")).alias("k2"))
-    p = src.table(spark, sf, "part").filter("p_partkey <= 60").select(F.explode(F.array(F.concat(F.lit("A"), F.col("p_partkey").cast("string")), F.concat(F.lit("B"), F.col("p_partkey").cast("string")))).alias("code"))
+    p = src.table(spark, sf, "part").select(F.explode(F.array(F.concat(F.lit("A"), F.col("p_partkey").cast("string")), F.concat(F.lit("B"), F.col("p_partkey").cast("string")))).alias("code"))
     return en.resolve_codes(p, c, "id", ["k1", "k2"])
 
 
 TRI = "list_distinct([substr('  ' || lower({x}) || ' ', i, 3) for i in generate_series(1, length({x}) + 1)])"
 
 
-@query("fuzzy_alias", f"""WITH a AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_partkey <= 40), b AS (SELECT DISTINCT p_type AS alias FROM part), s AS (SELECT id, alias, {TRI.format(x='name')} AS x, {TRI.format(x='alias')} AS y FROM a, b),
+@query("fuzzy_alias", f"""WITH a AS (SELECT p_partkey AS id, p_type AS name FROM part WHERE p_partkey % 100 = 0), b AS (SELECT DISTINCT p_type AS alias FROM part), s AS (SELECT id, alias, {TRI.format(x='name')} AS x, {TRI.format(x='alias')} AS y FROM a, b),
 r AS (SELECT id, alias, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) AS similarity FROM s) SELECT id, alias, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, alias) AS rank FROM r WHERE similarity > 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, alias) <= 5""")
 def fuzzy_alias(spark, sf):
     p = src.table(spark, sf, "part")
-    return en.fuzzy(p.filter("p_partkey <= 40").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")), p.select(F.col("p_type").alias("alias")).distinct(), 0.4, 5)
+    return en.fuzzy(p.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")), p.select(F.col("p_type").alias("alias")).distinct(), 0.4, 5)
 
 
 # Sources -----------------------------------------------------------------------------------------------------------
