@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, written
+
 K1, B = 1.2, 0.75
 CANDIDATES = 50
 
@@ -14,17 +16,28 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9à-ÿ]+"), lambda t: t != "")
 
 
+def postings(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, len, term, tf) of the questions' terms in docs(key, text), and a row with term '' per document: an inverted index as a table, written once.
+
+    Documents are split into words once; only the questions' terms and each document's length leave the scan, summed before the shuffle.
+    """
+    terms = questions.select(F.explode(tokens(F.col("question"))).alias("term")).distinct()
+    terms = terms.unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    d = docs.select(key, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("ts"))
+    d = d.select(key, F.size("ts").alias("len"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("term"))
+    tf = d.join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    return written(tf, f"{shared_folder(docs.sparkSession)}/postings")
+
+
 def bm25(docs: DataFrame, questions: DataFrame, key: str = "doc_id", k: int = CANDIDATES) -> DataFrame:
     """(qid, key, score, rank): Okapi BM25 of every question against docs(key, text), the k best of each; ties by key.
 
-    An inverted index as a table. Only the questions' terms leave the scan, and tf is summed before the shuffle. The
-    scores meet by question, so a question's candidates are what a task sorts; Spark keeps k per task before that.
+    The scores meet by question, so a question's candidates are what a task sorts; Spark keeps k per task before that.
     """
     q = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    terms = q.select("term").distinct()
-    d = docs.select(key, tokens(F.col("text")).alias("ts")).withColumn("len", F.size("ts"))
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = d.select(key, "len", F.explode("ts").alias("term")).join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    index = postings(docs, questions, key)
+    stats = index.filter("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    tf = index.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -64,13 +77,52 @@ def rrf(lexical: DataFrame, vector: DataFrame, key: str, weights: tuple[float, f
     return top(j, key, limit)
 
 
-def vector_guarantee(fused: DataFrame, key: str, protect: int, limit: int) -> DataFrame:
-    """At most `limit` rows in fused order, the `protect` best by vector among them: they push out the last unprotected ones."""
-    f = fused.withColumn("safe", F.coalesce(F.col("vector_rank") <= protect, F.lit(False)))
-    total = F.sum(F.col("safe").cast("int")).over(Window.partitionBy("qid"))
-    open_before = F.sum((~F.col("safe")).cast("int")).over(Window.partitionBy("qid").orderBy("rank"))
-    f = f.withColumns({"kept": F.col("safe") | (open_before <= F.greatest(F.lit(limit) - total, F.lit(0)))}).filter("kept")
-    return f.withColumn("final_rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter(F.col("final_rank") <= limit).drop("kept")
+def vector_guarantee(fused: DataFrame, lexical: DataFrame, vector: DataFrame, key: str, protect: int, limit: int, weights: tuple[float, float] = (0.6, 0.4), k: int = 60) -> DataFrame:
+    """Fused rows, at most `limit` with the `protect` best by vector surely among them: (qid, key, score, lexical_rank, vector_rank, final_rank).
+
+    Protected rows that fusion kept stay in place; those that it cut are appended in vector order with the score that fusion gives. The
+    last unprotected rows make room for them.
+    """
+    v = vector.filter(F.col("rank") <= protect).select("qid", key, F.col("rank").alias("_v"))
+    j = fused.select("qid", key, "score", "lexical_rank", "vector_rank", F.col("rank").alias("_f")).join(v, ["qid", key], "full")
+    lost = F.col("_f").isNull()
+    l = lexical.select("qid", key, F.col("rank").alias("_l"))
+    j = j.join(l, ["qid", key], "left")
+    score = F.round(F.coalesce(weights[0] / (k + F.col("_l")), F.lit(0.0)) + weights[1] / (k + F.col("_v")), 9)
+    j = j.withColumns({"score": F.when(lost, score).otherwise(F.col("score")), "lexical_rank": F.when(lost, F.col("_l")).otherwise(F.col("lexical_rank")), "vector_rank": F.when(lost, F.col("_v")).otherwise(F.col("vector_rank"))})
+    place = Window.partitionBy("qid").orderBy(lost, "_f", "_v")
+    free = F.greatest(F.lit(limit) - F.count_if(F.col("_v").isNotNull()).over(Window.partitionBy("qid")), F.lit(0))
+    before = F.count_if(F.col("_v").isNull()).over(place)
+    j = j.withColumns({"_free": free, "_before": before}).filter(F.col("_v").isNotNull() | (F.col("_before") <= F.col("_free")))
+    return j.withColumn("final_rank", F.row_number().over(place)).select("qid", key, "score", "lexical_rank", "vector_rank", "final_rank")
+
+
+def merge_variants(hits: DataFrame, key: str, limit: int) -> DataFrame:
+    """(qid, key, score, lexical_rank, vector_rank, rank) of hits(qid, variant, key, score, lexical_rank, vector_rank): scores of a question's variants added, ranks of the first variant that has the row."""
+    g = hits.groupBy("qid", key).agg(F.round(F.sum("score"), 9).alias("score"), F.min_by("lexical_rank", "variant").alias("lexical_rank"), F.min_by("vector_rank", "variant").alias("vector_rank"))
+    return top(g, key, limit)
+
+
+def rerank_input(title: Column, section: Column, description: Column, content: Column, size: int = 2000) -> Column:
+    """What a reranker or embedder reads: the parts that aren't empty, a line each, cut at `size` characters."""
+    parts = F.filter(F.array(title, section, description, content), lambda x: x.isNotNull() & (x != ""))
+    return F.substring(F.array_join(parts, "\n"), 1, size)
+
+
+def degrade(fused: DataFrame, reranked: DataFrame, key: str, k: int) -> DataFrame:
+    """(qid, key, final_rank, degraded, reason): the reranker's order where it answered for all of a question's rows, else the k best of the fused order.
+
+    reranked(qid, key, rerank_rank, error): a null rank or any error degrades the question; the reason is its least error, or `incomplete`.
+    """
+    r = reranked.select("qid", key, "rerank_rank", "error")
+    j = fused.select("qid", key, F.col("rank").alias("_f")).join(r, ["qid", key], "left")
+    whole = Window.partitionBy("qid")
+    error = F.min("error").over(whole)
+    reason = F.coalesce(error, F.when(F.count_if(F.col("rerank_rank").isNull()).over(whole) > 0, "incomplete"))
+    j = j.withColumn("reason", reason)
+    order = F.when(F.col("reason").isNull(), F.col("rerank_rank")).otherwise(F.col("_f"))
+    j = j.withColumn("final_rank", F.row_number().over(whole.orderBy(order, key))).filter(F.col("final_rank") <= k)
+    return j.select("qid", key, "final_rank", F.col("reason").isNotNull().alias("degraded"), "reason")
 
 
 def explicit_year(text: Column) -> Column:
@@ -121,6 +173,26 @@ def term_count(text: Column, terms: list[str]) -> Column:
     return total
 
 
+def containing(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(qid, key) of the documents that hold a question's whole text.
+
+    A document with it holds all its words but the first and the last as whole words too: documents meet a question by the rarest of those, in
+    equi-joins, and only these texts are searched. Questions of one or two words have none: as a stated query set they read all texts.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
+    q = questions.filter("question <> ''").select("qid", "question", F.split("question", " ").alias("w"))
+    inner = F.array_distinct(F.filter(F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))), lambda x: x != ""))
+    asked = q.select("qid", F.explode(inner).alias("term"))
+    d = docs.filter("text is not null").select(key, F.explode(words(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    d = written(d, f"{shared_folder(docs.sparkSession)}/words")
+    rare = asked.join(d.groupBy("term").agg(F.count("*").alias("df")), "term", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("x"))
+    met = d.join(rare.select("qid", "x.term"), "term").select("qid", key)
+    short = q.join(rare.select("qid"), "qid", "left_anti").select("qid")
+    met = met.unionByName(short.crossJoin(docs.select(key)))
+    found = met.join(docs.select(key, "text"), key).join(q.select("qid", "question"), "qid")
+    return found.filter(F.col("text").contains(F.col("question"))).select("qid", key)
+
+
 def index_recall(approximate: DataFrame, exact: DataFrame, key: str) -> DataFrame:
     """(recall, n): mean share of each question's exact hits that the index found; without questions 1."""
     e = exact.select("qid", key).distinct()

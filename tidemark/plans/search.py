@@ -27,10 +27,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def questions(spark, sf, n=20):
-    """The questions are the first benchmark items: a stated query set."""
-    b = src.table(spark, sf, "benchmark")
-    return b.filter(F.col("item_id") < n).select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+def questions(spark, sf):
+    """The questions are all benchmark items."""
+    return src.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def corpus(spark, sf):
@@ -38,14 +37,14 @@ def corpus(spark, sf):
 
 
 def vector_questions(spark, sf):
-    return src.table(spark, sf, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding")
+    return src.table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
-BM25 = f"""q AS (SELECT item_id AS qid, text AS question FROM benchmark WHERE item_id < 20), qt AS (SELECT DISTINCT qid, unnest({TOK.format(x='question')}) AS term FROM q),
+BM25 = f"""q AS (SELECT item_id AS qid, text AS question FROM benchmark), qt AS (SELECT DISTINCT qid, unnest({TOK.format(x='question')}) AS term FROM q),
 d AS (SELECT doc_id, {TOK.format(x='text')} AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM d), tf AS (SELECT doc_id, any_value(len(ts)) AS len, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), sc AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY qid, doc_id),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 50)"""
-VEC = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vs AS (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id < 20),
+VEC = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vs AS (SELECT q.vec_id AS qid, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM vs) WHERE rank <= 50)"""
 FUSED = """rk AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.doc_id, b.vec_id) AS doc_id, a.rank AS lexical_rank, b.rank AS vector_rank, round(coalesce(0.6 / (60 + a.rank), 0) + coalesce(0.4 / (60 + b.rank), 0), 9) AS score FROM lex a FULL JOIN vec b ON a.qid = b.qid AND a.doc_id = b.vec_id),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM rk) WHERE rank <= 50)"""
@@ -78,10 +77,45 @@ def rrf_fuse(spark, sf):
     return fused(spark, sf)
 
 
-@query("vector_guarantee", f"""WITH {BM25}, {VEC}, {FUSED}, s AS (SELECT *, coalesce(vector_rank <= 5, false) AS safe FROM fused), t AS (SELECT *, sum(CAST(safe AS INT)) OVER (PARTITION BY qid) AS total, sum(CAST(NOT safe AS INT)) OVER (PARTITION BY qid ORDER BY rank) AS ob FROM s)
-SELECT qid, doc_id, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS final_rank FROM t WHERE safe OR ob <= greatest(12 - total, 0)) WHERE final_rank <= 12""")
+TOP12 = "SELECT * FROM fused WHERE rank <= 12"
+
+
+@query("vector_guarantee", f"""WITH {BM25}, {VEC}, {FUSED}, f AS ({TOP12}), p AS (SELECT qid, vec_id AS doc_id, rank AS v FROM vec WHERE rank <= 5),
+j AS (SELECT coalesce(f.qid, p.qid) AS qid, coalesce(f.doc_id, p.doc_id) AS doc_id, f.rank AS f, v, f.score, f.lexical_rank AS fl, f.vector_rank AS fv FROM f FULL JOIN p ON f.qid = p.qid AND f.doc_id = p.doc_id),
+k AS (SELECT j.*, lex.rank AS l, greatest(12 - count(v) OVER (PARTITION BY j.qid), 0) AS free, count(*) FILTER (WHERE v IS NULL) OVER (PARTITION BY j.qid ORDER BY f IS NULL, f, v) AS before FROM j LEFT JOIN lex ON lex.qid = j.qid AND lex.doc_id = j.doc_id)
+SELECT qid, doc_id, CASE WHEN f IS NULL THEN round(coalesce(0.6 / (60 + l), 0) + 0.4 / (60 + v), 9) ELSE score END AS score, CASE WHEN f IS NULL THEN l ELSE fl END AS lexical_rank, CASE WHEN f IS NULL THEN v ELSE fv END AS vector_rank, row_number() OVER (PARTITION BY qid ORDER BY f IS NULL, f, v) AS final_rank FROM k WHERE v IS NOT NULL OR before <= free""")
 def vector_guarantee(spark, sf):
-    return rt.vector_guarantee(fused(spark, sf), "doc_id", 5, 12).select("qid", "doc_id", "final_rank")
+    """The fused list is cut at 12 before the guarantee, as by a request's limit, so that rows it cut come back."""
+    l, v = lexical(spark, sf), vector(spark, sf)
+    return rt.vector_guarantee(rt.rrf(l, v, "doc_id", limit=12), l, v, "doc_id", 5, 12)
+
+
+@query("merge_variants", f"""WITH {BM25}, {VEC}, {FUSED}, h AS (SELECT qid, 0 AS variant, doc_id, score, lexical_rank, vector_rank FROM fused UNION ALL SELECT qid, 1, doc_id, round(0.6 / (60 + rank), 9), rank, NULL FROM lex WHERE rank <= 20 UNION ALL SELECT qid, 2, vec_id, round(0.4 / (60 + rank), 9), NULL, rank FROM vec WHERE rank <= 20),
+g AS (SELECT qid, doc_id, round(sum(score), 9) AS score, arg_min(struct_pack(l := lexical_rank, v := vector_rank), variant) AS x FROM h GROUP BY ALL)
+SELECT qid, doc_id, score, x.l AS lexical_rank, x.v AS vector_rank, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 50""")
+def merge_variants(spark, sf):
+    l, v = lexical(spark, sf), vector(spark, sf)
+    none, part = F.lit(None).cast("int"), lambda w: F.round(w / (60 + F.col("rank")), 9)
+    one = rt.rrf(l, v, "doc_id").select("qid", F.lit(0).alias("variant"), "doc_id", "score", "lexical_rank", "vector_rank")
+    two = l.filter("rank <= 20").select("qid", F.lit(1).alias("variant"), "doc_id", part(F.lit(0.6)).alias("score"), F.col("rank").alias("lexical_rank"), none.alias("vector_rank"))
+    three = v.filter("rank <= 20").select("qid", F.lit(2).alias("variant"), "doc_id", part(F.lit(0.4)).alias("score"), none.alias("lexical_rank"), F.col("rank").alias("vector_rank"))
+    return rt.merge_variants(one.unionByName(two).unionByName(three), "doc_id", 50)
+
+
+@query("rerank_input", f"""WITH {DOCUMENT}, {BLOCK}, x AS (SELECT block_id, substr(list_aggregate(list_filter([doc_type, CASE WHEN ordinal % 3 = 0 THEN '' ELSE source || '/' || page END, CASE WHEN ordinal % 2 = 0 THEN 'lines of page ' || page END, content], lambda p: p IS NOT NULL AND p <> ''), 'string_agg', chr(10)), 1, 2000) AS t FROM doc_block) SELECT block_id, length(t) AS n, sha256(t) AS digest FROM x""")
+def rerank_input(spark, sf):
+    page = F.col("page").cast("string")
+    t = rt.rerank_input(F.col("doc_type"), F.when(F.col("ordinal") % 3 == 0, "").otherwise(F.concat("source", F.lit("/"), page)), F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("lines of page "), page)), F.col("content"))
+    return src.doc_block(spark, sf).select("block_id", t.alias("t")).select("block_id", F.length("t").alias("n"), F.sha2("t", 256).alias("digest"))
+
+
+@query("rerank_degrade", f"""WITH {BM25}, r AS (SELECT qid, doc_id, rank, CASE WHEN qid % 4 = 1 AND doc_id % 5 = 0 THEN NULL ELSE -rank END AS rr, CASE WHEN qid % 4 = 2 AND doc_id % 7 = 0 THEN 'timeout' END AS e FROM lex),
+w AS (SELECT *, coalesce(min(e) OVER (PARTITION BY qid), CASE WHEN count(*) FILTER (WHERE rr IS NULL) OVER (PARTITION BY qid) > 0 THEN 'incomplete' END) AS reason FROM r)
+SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN reason IS NULL THEN rr ELSE rank END, doc_id) AS final_rank, reason IS NOT NULL AS degraded, reason FROM w QUALIFY row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN reason IS NULL THEN rr ELSE rank END, doc_id) <= 8""")
+def rerank_degrade(spark, sf):
+    l = lexical(spark, sf)
+    r = l.select("qid", "doc_id", F.when(~((F.col("qid") % 4 == 1) & (F.col("doc_id") % 5 == 0)), -F.col("rank")).alias("rerank_rank"), F.when((F.col("qid") % 4 == 2) & (F.col("doc_id") % 7 == 0), "timeout").alias("error"))
+    return rt.degrade(l, r, "doc_id", 8)
 
 
 @query("period_boost", f"""WITH {BM25}, t AS (SELECT qid, lex.doc_id, score, 'report ' || (2020 + qid % 3) || ' of item' AS question, source || ' ' || (2020 + lex.doc_id % 4) || CASE WHEN lex.doc_id % 5 = 0 THEN ' and 2023' ELSE '' END AS title FROM lex JOIN documents d ON lex.doc_id = d.doc_id),
@@ -101,13 +135,13 @@ def rerank_overlap(spark, sf):
     return rt.rerank(c, "doc_id").select("qid", "doc_id", "rerank_score", "rerank_rank")
 
 
-@query("expand_evidence", f"""WITH {BM25}, {DOCUMENT}, {BLOCK}, ch AS (SELECT source || '/' || doc_type AS parent_id, doc_id AS child_id, any_value(doc_id) AS ordinal, max(CASE WHEN ordinal = 0 THEN content END) AS content FROM doc_block GROUP BY ALL),
-h AS (SELECT qid, rank, parent_id, child_id FROM lex JOIN ch ON lex.doc_id = child_id WHERE rank <= 10), g AS (SELECT qid, parent_id, min(rank) AS position, arg_min(child_id, rank) AS cited, count(*) AS n_hits FROM h GROUP BY ALL),
-p AS (SELECT parent_id, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS content FROM ch GROUP BY parent_id) SELECT qid, parent_id, position, cited, n_hits, sha256(content) AS digest FROM g JOIN p USING (parent_id)""")
+@query("expand_evidence", f"""WITH {BM25}, {DOCUMENT}, {BLOCK}, t AS (SELECT qid, rank, block_id AS child_id, doc_id || '/' || page AS parent_id FROM lex JOIN doc_block USING (doc_id) WHERE rank <= 10 AND (ordinal = 0 OR ordinal = 45)), g AS (SELECT qid, parent_id, min(rank) AS position, arg_min(child_id, rank) AS cited, count(*) AS n_hits FROM t GROUP BY ALL),
+p AS (SELECT doc_id || '/' || page AS parent_id, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS content FROM doc_block GROUP BY ALL) SELECT qid, parent_id, position, cited, n_hits, sha256(content) AS digest FROM g JOIN p USING (parent_id)""")
 def expand_evidence(spark, sf):
-    ch = src.doc_block(spark, sf).filter("ordinal = 0").select(F.concat("source", F.lit("/"), "doc_type").alias("parent_id"), F.col("doc_id").alias("child_id"), F.col("doc_id").alias("ordinal"), "content")
-    hits = lexical(spark, sf).filter("rank <= 10").withColumnRenamed("doc_id", "child_id").join(ch.select("child_id", "parent_id"), "child_id")
-    return rt.expand(hits, ch).select("qid", "parent_id", "position", "cited", "n_hits", F.sha2("content", 256).alias("digest"))
+    """The hits are a document's first block and its 46th, the parents its pages of 40 blocks."""
+    b = src.doc_block(spark, sf).withColumn("parent_id", F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("page").cast("string")))
+    hits = lexical(spark, sf).filter("rank <= 10").join(b.filter("ordinal = 0 or ordinal = 45").select("doc_id", F.col("block_id").alias("child_id"), "parent_id"), "doc_id")
+    return rt.expand(hits, b.select("parent_id", F.col("block_id").alias("child_id"), "ordinal", "content")).select("qid", "parent_id", "position", "cited", "n_hits", F.sha2("content", 256).alias("digest"))
 
 
 @query("retrieval_trace", f"""WITH {BM25}, {VEC}, {FUSED} SELECT qid, doc_id, l.rank AS lexical_rank, v.rank AS vector_rank, f.rank AS fused_rank, CASE WHEN f.rank <= 10 THEN f.rank END AS final_rank FROM (SELECT qid, doc_id, rank FROM lex) l FULL JOIN (SELECT qid, vec_id AS doc_id, rank FROM vec) v USING (qid, doc_id) FULL JOIN (SELECT qid, doc_id, rank FROM fused) f USING (qid, doc_id)""")
@@ -139,12 +173,11 @@ def index_recall(spark, sf):
     return rt.index_recall(v.filter("doc_id % 3 <> 0"), v.filter("rank <= 10"), "doc_id")
 
 
-GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE item_id < 20)"
+GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def gold(spark, sf):
-    q = F.broadcast(questions(spark, sf))  # the 20 questions
-    return corpus(spark, sf).join(q, F.col("text").contains(F.col("question"))).select("qid", "doc_id")
+    return rt.containing(corpus(spark, sf), questions(spark, sf))
 
 
 EVAL = f"{BM25}, {GOLD}, ev AS (SELECT g.qid, b.best IS NOT NULL AS hit, round(coalesce(1 / b.best, 0.0), 6) AS rr FROM (SELECT DISTINCT qid FROM gold) g LEFT JOIN (SELECT gold.qid, min(rank) AS best FROM gold JOIN lex ON gold.qid = lex.qid AND gold.doc_id = lex.doc_id AND rank <= 10 GROUP BY gold.qid) b ON g.qid = b.qid)"
