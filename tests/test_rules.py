@@ -1,12 +1,15 @@
 """Rules on small tables: point-in-time invariants, refusals, sequential folds."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import chunks as ch
 from tidemark.functions import sequential as sq
 from tidemark.operators import bitemporal as bt
+from tidemark.operators import entities as en
 from tidemark.operators import finance as fin
 from tidemark.operators import quality as ql
 from tidemark.operators import retrieval as rt
@@ -92,18 +95,55 @@ def test_cooldown_is_a_fold(spark):
     assert got == [False, True, True, False, True, False]
 
 
-def test_split_text_covers_the_text(spark):
-    text = "".join(f"Sentence number {i} ends here. " for i in range(80))
-    d = spark.createDataFrame([(text,), ("short",), ("x" * 1500,)], "text string")
-    rows = [(r.text, r.p) for r in d.select("text", tx.split_text(F.col("text")).alias("p")).collect()]
-    for t, pieces in rows:
-        assert all(len(p) <= 448 for p in pieces) and pieces[0] == t[: len(pieces[0])] and t.endswith(pieces[-1])
-        at = 0
-        for p in pieces:
-            at = t.index(p, max(0, at - 48))
-            at += len(p)
-        assert at == len(t)
-    assert rows[1][1] == ["short"]
+def pieces_by_hand(text):
+    """The rule said slowly: every place is looked at from the right."""
+    text = text.strip()
+    out, a = [], 0
+    while text and a < len(text):
+        b = min(a + 400, len(text))
+        if b < len(text):
+            b = next((k + 1 for k in range(b - 1, a + 199, -1) if text[k] in "。！？；\n"), b)
+        out.append((a, b))
+        if b == len(text):
+            break
+        a = b - 48
+    if len(out) > 1 and out[-1][1] - out[-1][0] < 200 and out[-1][1] - out[-2][0] <= 400:
+        out[-2:] = [(out[-2][0], out[-1][1])]
+    return [text[a:b] for a, b in out]
+
+
+def test_pieces_against_the_rule_said_slowly(spark):
+    rng = random.Random(4)
+    texts = ["", " \n ", "x", "x" * 400, "x" * 401, "x" * 5000, "字。" * 900] + ["".join(rng.choice("abc 。；\n.") if rng.random() < 0.05 else rng.choice("abc ") for _ in range(rng.randint(0, 3000))) for _ in range(60)]
+    assert all(ch.pieces(t) == pieces_by_hand(t) for t in texts)
+    assert all(len(p) <= 400 for t in texts for p in ch.pieces(t))
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)], "doc_id long, text string")
+    got = {}
+    for r in ch.split_texts(d, "doc_id", "text").orderBy("doc_id", "piece").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    assert got == {i: ch.pieces(t) for i, t in enumerate(texts) if t.strip()}
+
+
+def test_chains_of_any_length(spark):
+    rows = [(i, i - 1 if i else None) for i in range(101)] + [(200, 201), (201, 200), (300, 999), (None, 5)]
+    d = spark.createDataFrame(rows, "id long, parent long")
+    up = {(r.id, r.ancestor): r.depth for r in en.ancestors(d).filter("id <= 100").collect()}
+    assert up == {(i, j): i - j for i in range(101) for j in range(i)}
+    last = {r.id: (r.last, r.steps) for r in en.last_successor(d).collect()}
+    assert all(last[i] == (100, 100 - i) for i in range(101)) and last[200][0] is None and last[300] == (300, 0)
+    whole = en.tree_stats(d.filter("id <= 100")).first()
+    assert (whole.nodes, whole.depth, whole.orphans) == (101, 101, 0)
+    assert en.ancestors(d.limit(0)).count() == 0
+
+
+def test_vector_guarantee_brings_back_what_fusion_cut(spark):
+    lexical = spark.createDataFrame([(1, i, i) for i in range(1, 9)], "qid long, doc_id long, rank int")
+    vector = spark.createDataFrame([(1, 100 + i, i) for i in range(1, 5)] + [(1, 2, 5)], "qid long, doc_id long, rank int")
+    fused = rt.rrf(lexical, vector, "doc_id", limit=6)
+    ids = lambda n: [r.doc_id for r in rt.vector_guarantee(fused, lexical, vector, "doc_id", n, 6).orderBy("final_rank").collect()]
+    first = [r.doc_id for r in fused.orderBy("rank").collect()]
+    assert ids(0) == first and 101 not in first
+    assert ids(2) == [*first[:4], 101, 102]
 
 
 def test_html_grid_refuses_what_it_cannot_read():
@@ -122,10 +162,11 @@ def test_csv_repair_and_parallel_arrays(spark):
 
 
 def test_cell_values(spark):
-    d = spark.createDataFrame([("12,340",), ("58.2%",), ("(1,234)",), ("(1)",), ("2024年",)], "c string")
-    v, k = tx.cell_value(F.col("c"))
-    got = [(None if r.v is None else float(r.v), r.k) for r in d.select(v.alias("v"), k.alias("k")).collect()]
-    assert got == [(12340, "amount"), (58.2, "percent"), (-1234, "amount"), (None, None), (None, None)]
+    want = {"12,340": (12340, "amount", None), "58.2%": (58.2, "percent", None), "(1,234)": (-1234, "amount", None), "(1)": (None, None, None), "(3000)": (None, None, None), "1.5万元": (1.5, "amount", "万元"), "7<br>亿元": (7, "amount", "亿元"), "649,900,00<br>0": (None, None, None), "2024年": (None, None, None), "2024": (2024, "amount", None), "增加 16.70 个百分点": (None, None, None), "5%万元": (None, None, None), "1,23": (None, None, None), "": (None, None, None)}
+    d = spark.createDataFrame([(k,) for k in want] + [(None,)], "c string")
+    v, k, u = tx.cell_value(F.col("c"))
+    got = {r.c: (None if r.v is None else float(r.v), r.k, r.u) for r in d.select("c", v.alias("v"), k.alias("k"), u.alias("u")).collect()}
+    assert got == want | {None: (None, None, None)}
 
 
 def test_no_filter_looks_at_load_time():

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import flow, pit, search, texts
+from . import checks, flow, pit, search, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (pit, search, texts, flow):
+for part in (pit, search, texts, flow, checks):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
