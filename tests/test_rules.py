@@ -196,7 +196,7 @@ def test_folds(spark):
     from tidemark.functions import folds
 
     jobs = spark.createDataFrame([("d", 1, 6.0), ("d", 2, 5.0), ("d", 3, 4.0), ("d", 4, 0.5)], "k string, i int, cost double")
-    assert [r.taken for r in folds.greedy_packing(jobs, "k", ["i"], "cost", 10.0).orderBy("i").collect()] == [True, False, True, False]
+    assert [r.taken for r in folds.greedy_packing(jobs, ["k"], ["i"], "cost", 10.0).orderBy("i").collect()] == [True, False, True, False]
     rows = spark.createDataFrame([(1, i, i, d) for i, d in enumerate([True, True, False, True, False])], "slot long, known_at long, page_id long, degraded boolean")
     assert [r.outcome for r in folds.directory_write(rows).orderBy("page_id").collect()] == ["inserted", "skipped", "superseded_degraded", "shadowed", "skipped"]
     log = spark.createDataFrame([("s", i, x) for i, x in enumerate("abc")], "k string, i int, body string")

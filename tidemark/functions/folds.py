@@ -3,61 +3,76 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], value: str, result: str, start: Callable[[], Callable]) -> DataFrame:
+    """(keys, order, result) where a fresh start() per key is called with each value in turn.
+
+    A key's rows are sorted on their way into a task and stream through it, so a key of any size costs the memory of its state alone.
+    """
+    names = [*keys, *order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, step = None, None
+        for b in batches:
+            found = []
+            for now, x in zip(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True), b.column(len(names)).to_pylist(), strict=True):
+                if step is None or now != key:
+                    key, step = now, start()
+                found.append(step(x))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found)], names=[*names, result.split()[0]])
+
+    types = dict(rows.dtypes)
+    d = rows.select(*names, value).repartition(*keys).sortWithinPartitions(*names)
+    return d.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in names) + f", {result}")
+
+
 def audit_chain(log: DataFrame, key: str, order: list[str], body: str) -> DataFrame:
-    """(key, order, hash): each entry's sha256 covers the one before it, so a change anywhere breaks all that follow. A group is one session's log."""
+    """(key, order, hash): each entry's sha256 covers the one before it, so a change anywhere breaks all that follow."""
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, out = pdf.sort_values(order), "", []
-        for x in pdf[body].fillna(""):
-            last = hashlib.sha256(f"{last}|{x}".encode()).hexdigest()
-            out.append(last)
-        return pdf.assign(hash=out)[[key, *order, "hash"]]
+    def start() -> Callable:
+        last = ""
 
-    types = dict(log.dtypes)
-    return log.select(key, *order, body).groupBy(key).applyInPandas(chain, ", ".join(f"{c} {types[c]}" for c in [key, *order]) + ", hash string")
+        def step(x: str | None) -> str:
+            nonlocal last
+            last = hashlib.sha256(f"{last}|{x or ''}".encode()).hexdigest()
+            return last
 
+        return step
 
-def greedy_packing(jobs: DataFrame, key: str, order: list[str], cost: str, limit: float) -> DataFrame:
-    """Jobs in order that still fit their key's budget; one that doesn't fit is skipped and later ones may. A group is one day's queue."""
+    return fold_sorted(log, [key], order, body, "hash string", start)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, keep = limit, []
-        for x in pdf.sort_values(order)[cost]:
+
+def greedy_packing(jobs: DataFrame, keys: list[str], order: list[str], cost: str, limit: float) -> DataFrame:
+    """Jobs in order that still fit their key's budget; one that doesn't fit is skipped and later ones may."""
+
+    def start() -> Callable:
+        left = limit
+
+        def step(x: float) -> bool:
+            nonlocal left
             fits = x <= left
             left -= x if fits else 0
-            keep.append(fits)
-        return pdf.sort_values(order).assign(taken=keep)[[key, *order, "taken"]]
+            return fits
 
-    types = dict(jobs.dtypes)
-    return jobs.select(key, *order, cost).groupBy(key).applyInPandas(pack, ", ".join(f"{c} {types[c]}" for c in [key, *order]) + ", taken boolean")
+        return step
+
+    return fold_sorted(jobs, keys, order, cost, "taken boolean", start)
 
 
 def directory_write(rows: DataFrame) -> DataFrame:
     """Outcome of each row(slot, known_at, page_id, degraded): a primary row supersedes degraded ones of its slot, a degraded row behind a primary is shadowed, a repeat is skipped."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        pdf = pdf.sort_values(["known_at", "page_id"])
-        for degraded in pdf.degraded:
-            if state is None:
-                out.append("inserted")
-            elif state == "degraded" and not degraded:
-                out.append("superseded_degraded")
-            elif state == "primary" and degraded:
-                out.append("shadowed")
-            else:
-                out.append("skipped")
-            state = "primary" if state == "primary" or not degraded else "degraded"
-        return pdf.assign(outcome=out)[["slot", "page_id", "outcome"]]
-
-    return rows.select("slot", "known_at", "page_id", "degraded").groupBy("slot").applyInPandas(walk, "slot long, page_id long, outcome string")
+    w = Window.partitionBy("slot").orderBy("known_at", "page_id")
+    before = F.coalesce(F.bool_or(~F.col("degraded")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    outcome = F.when(F.row_number().over(w) == 1, "inserted").when(~F.col("degraded") & ~before, "superseded_degraded").when(F.col("degraded") & before, "shadowed").otherwise("skipped")
+    return rows.select("slot", "page_id", outcome.alias("outcome"))
 
 
 def hashed_embedding(text, dim: int = 64):

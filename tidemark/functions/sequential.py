@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING = r"^([0-9]+)\.\s"
@@ -38,14 +38,8 @@ def merge_short(blocks: DataFrame, short: int = SHORT, full: int = FULL) -> Data
 def heading_consistency(blocks: DataFrame) -> DataFrame:
     """(doc_id, n_headings, consistent): numbered headings begin at 1 and rise by 1; fewer than two say nothing (null)."""
     h = blocks.withColumn("no", F.regexp_extract("content", HEADING, 1).try_cast("int")).filter("no is not null")
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        want, ok = 1, True
-        for no in pdf.sort_values("ordinal").no:
-            ok, want = ok and no == want, no + 1
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "n_headings": [len(pdf)], "consistent": [ok if len(pdf) > 1 else None]})
-
-    return h.select("doc_id", "ordinal", "no").groupBy("doc_id").applyInPandas(scan, "doc_id long, n_headings long, consistent boolean")
+    h = h.withColumn("want", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal")))
+    return h.groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.when(F.count("*") > 1, F.bool_and(F.col("no") == F.col("want"))).alias("consistent"))
 
 
 class Grid(HTMLParser):

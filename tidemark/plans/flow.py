@@ -228,20 +228,24 @@ def statement_kind(spark, sf):
 # Folds -------------------------------------------------------------------------------------------------------------
 
 
-@query("audit_hash_chain")
+@query("audit_hash_chain", """WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT conv_id, turn, k, sha256('|' || t) AS hash FROM o WHERE k = 1 UNION ALL SELECT o.conv_id, o.turn, o.k, sha256(r.hash || '|' || o.t) FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1) SELECT conv_id, turn, hash FROM r""")
 def audit_hash_chain(spark, sf):
     return folds.audit_chain(src.table(spark, sf, "conversations"), "conv_id", ["turn"], "text")
 
 
-@query("budget_packing_greedy")
+@query("budget_packing_greedy", """WITH RECURSIVE o AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, event_id, value, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY event_id) AS k FROM events),
+r AS (SELECT user_id, month, event_id, k, value <= 300 AS taken, CASE WHEN value <= 300 THEN 300 - value ELSE 300 END AS room FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.month, o.event_id, o.k, o.value <= room, CASE WHEN o.value <= room THEN room - o.value ELSE room END FROM r JOIN o ON o.user_id = r.user_id AND o.month = r.month AND o.k = r.k + 1)
+SELECT user_id, month, event_id, taken FROM r""")
 def budget_packing_greedy(spark, sf):
-    e = src.table(spark, sf, "events").select("user_id", "event_id", "value")
-    return folds.greedy_packing(e, "user_id", ["event_id"], "value", 300.0)
+    e = src.table(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM").alias("month"), "event_id", "value")
+    return folds.greedy_packing(e, ["user_id", "month"], ["event_id"], "value", 300.0)
 
 
-@query("directory_write")
+@query("directory_write", f"""WITH {ANNOUNCEMENT}, a AS (SELECT page_id // 4 AS slot, known_at, page_id, NOT has_full_text AS degraded FROM announcement), b AS (SELECT *, row_number() OVER w AS k, coalesce(bool_or(NOT degraded) OVER (PARTITION BY slot ORDER BY known_at, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM a WINDOW w AS (PARTITION BY slot ORDER BY known_at, page_id))
+SELECT slot, page_id, CASE WHEN k = 1 THEN 'inserted' WHEN NOT degraded AND NOT before THEN 'superseded_degraded' WHEN degraded AND before THEN 'shadowed' ELSE 'skipped' END AS outcome FROM b""")
 def directory_write(spark, sf):
-    a = src.announcement(spark, sf).select((F.col("page_id") % 40).alias("slot"), "known_at", "page_id", (~F.col("has_full_text")).alias("degraded"))
+    a = src.announcement(spark, sf).select(F.floor(F.col("page_id") / 4).alias("slot"), "known_at", "page_id", (~F.col("has_full_text")).alias("degraded"))
     return folds.directory_write(a)
 
 
@@ -317,7 +321,9 @@ def table_backfill(spark, sf):
     return tb.backfill(g, b, "doc_id")
 
 
-@query("stream_corrections")
+@query("stream_corrections", """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, ts, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events),
+r AS (SELECT user_id, event_type, event_id, k, 'inserted' AS outcome, ts AS ht, value AS hv FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.k, CASE WHEN abs(hv - o.value) < 1e-9 THEN 'skipped' WHEN o.ts > ht THEN 'corrected' ELSE 'out_of_order' END, CASE WHEN abs(hv - o.value) >= 1e-9 AND o.ts > ht THEN o.ts ELSE ht END, CASE WHEN abs(hv - o.value) >= 1e-9 AND o.ts > ht THEN o.value ELSE hv END FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.k = r.k + 1)
+SELECT user_id, event_id, outcome FROM r""")
 def stream_corrections(spark, sf):
     return ev.run_to_end(ev.corrections(stream(spark, sf)))
 

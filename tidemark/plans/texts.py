@@ -198,21 +198,39 @@ def chunk_merge(spark, sf):
     return sq.merge_short(src.doc_block(spark, sf)).select("doc_id", "run", "first_ordinal", "n_blocks", F.length("content").alias("n"))
 
 
-@query("heading_consistency")
+@query("heading_consistency", f"WITH {BLOCKS}, h AS (SELECT doc_id, ordinal, ordinal + 1 + CASE WHEN doc_id % 3 = 0 AND ordinal >= 4 THEN 1 ELSE 0 END AS no, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS want FROM doc_block WHERE length(content) > 0) SELECT doc_id, count(*) AS n_headings, CASE WHEN count(*) > 1 THEN bool_and(no = want) END AS consistent FROM h GROUP BY doc_id")
 def heading_consistency(spark, sf):
-    return sq.heading_consistency(src.doc_block(spark, sf).select("doc_id", "ordinal", F.concat((F.col("ordinal") + 1).cast("string"), F.lit(". "), F.col("content")).alias("content")))
+    """The synthetic lines carry no numbers; each line with content gets one, a third of the documents with a gap."""
+    no = F.col("ordinal") + 1 + F.when((F.col("doc_id") % 3 == 0) & (F.col("ordinal") >= 4), 1).otherwise(0)
+    b = src.doc_block(spark, sf).filter("length(content) > 0")
+    return sq.heading_consistency(b.select("doc_id", "ordinal", F.concat(no.cast("string"), F.lit(". "), F.col("content")).alias("content")))
 
 
-@query("html_tables")
+LINK = '<li><a href="([^"]*)">([^<&]*)</a></li>'
+
+
+@query("html_tables", f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '{LINK}', 1) AS a, regexp_extract_all(html, '{LINK}', 2) AS b FROM pages), x AS (SELECT page_id, unnest(range(len(a))) AS r, a, b FROM l)
+SELECT page_id, CAST(r AS INTEGER) AS r, c, 1 AS rs, 1 AS cs, trim(CASE c WHEN 0 THEN a[r + 1] ELSE b[r + 1] END) AS t FROM x, (VALUES (0), (1)) AS y(c)""")
 def html_tables(spark, sf):
-    p = src.table(spark, sf, "pages").select("page_id", F.concat(F.lit("<table><tr><th colspan='2'>t</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.length("html").cast("string"), F.lit("</td></tr></table>")).alias("html"))
-    return sq.html_grid(p, "page_id", "html")
+    """The synthetic pages have no tables: their navigation lists are turned into rows of target and text, and read as a table."""
+    h = F.col("html")
+    a, b = (F.regexp_extract_all(h, F.lit(LINK), k) for k in (1, 2))
+    rows = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(F.lit("<tr><td>"), x, F.lit("</td><td>"), y, F.lit("</td></tr>"))), "")
+    return sq.html_grid(src.table(spark, sf, "pages").select("page_id", F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html")), "page_id", "html")
+
+
+PATHS = "SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'amount|' || year(o_orderdate) || 'FY' WHEN 1 THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) || '|prior|' || (year(o_orderdate) - 1) || 'FY' WHEN 2 THEN 'three months ended ' || (year(o_orderdate) + 10) || 'Q' || quarter(o_orderdate) || '|' || (year(o_orderdate) + 10) || 'Q' || quarter(o_orderdate) ELSE 'prior year ' || (year(o_orderdate) + 20) || '|' || (year(o_orderdate) + 20) || 'Q4' END AS path FROM orders"
 
 
-@query("period_path")
+@query("period_path", f"SELECT path, CASE WHEN len(p) = 1 THEN p[1] END AS period FROM (SELECT path, list_distinct(regexp_extract_all(path, '20[0-9][0-9](?:Q[1-4]|FY)')) AS p FROM ({PATHS}))")
 def period_path(spark, sf):
-    labels = ["2024Q3|amount", "2024FY|2023FY", "this period|2024Q1", "prior year", "three months ended 2024Q2"]
-    d = spark.createDataFrame([(x,) for x in labels], "path string")
+    y, q, k = F.year("o_orderdate"), F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")), F.col("o_orderkey") % 4
+    year = lambda n: (y + n).cast("string")
+    one = F.concat(F.lit("amount|"), year(0), F.lit("FY"))
+    two = F.concat(year(0), q, F.lit("|prior|"), year(-1), F.lit("FY"))
+    three = F.concat(F.lit("three months ended "), year(10), q, F.lit("|"), year(10), q)
+    four = F.concat(F.lit("prior year "), year(20), F.lit("|"), year(20), F.lit("Q4"))
+    d = src.table(spark, sf, "orders").select(F.when(k == 0, one).when(k == 1, two).when(k == 2, three).otherwise(four).alias("path")).distinct()
     return d.select("path", sq.period_of_path(F.col("path")).alias("period"))
 
 

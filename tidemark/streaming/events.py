@@ -48,15 +48,19 @@ def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def corrections(stream: DataFrame) -> DataFrame:
+def corrections(stream: DataFrame, horizon_days: int = 90) -> DataFrame:
     """(user_id, event_id, outcome) of a stream of values per user and type: inserted, skipped, corrected, or out_of_order when known no later than what is held.
 
-    State is one value per key, kept between batches; within a batch rows count in order of event_id.
+    State is one value per key, kept between batches; within a batch rows count in order of event_id. A key that has been silent for
+    horizon_days of event time is forgotten as the watermark passes, and begins anew with its next value.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else None
         out = []
         for pdf in batches:
@@ -75,7 +79,8 @@ def corrections(stream: DataFrame) -> DataFrame:
                 out.append((r.user_id, r.event_id, outcome))
         if held is not None:
             state.update(held)
+            state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + horizon_days * 86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome"])
 
     s = stream.select("user_id", "event_type", "event_id", "ts", "value")
-    return s.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_id long, outcome string", "at long, value double", "append", GroupStateTimeout.NoTimeout)
+    return s.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_id long, outcome string", "at long, value double", "append", GroupStateTimeout.EventTimeTimeout)
