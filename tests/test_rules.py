@@ -203,3 +203,17 @@ def test_folds(spark):
     a = [r.hash for r in folds.audit_chain(log, "k", ["i"], "body").orderBy("i").collect()]
     b = [r.hash for r in folds.audit_chain(log.withColumn("body", F.when(F.col("i") == 1, "x").otherwise(F.col("body"))), "k", ["i"], "body").orderBy("i").collect()]
     assert a[0] == b[0] and a[1] != b[1] and a[2] != b[2]
+
+
+def test_percentiles_against_numpy(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(k, v) for k in ("a", "b") for v in [rng.choice([1.0, 2.0, 2.0, rng.gauss(0, 1e6), rng.gauss(0, 1e-6)]) for _ in range(700)]] + [("c", 5.0), ("d", None), ("c", None)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in ql.percentiles(d, ["k"], "v", {"lo": 0.0, "mid": 0.5, "hi": 0.95}).collect()}
+    by = {k: np.array([v for j, v in rows if j == k and v is not None]) for k in "abc"}
+    assert got == {k: tuple(pytest.approx(float(np.quantile(x, q)), abs=1e-6) for q in (0, 0.5, 0.95)) for k, x in by.items()}
+    near = {r.k: r.v for r in ql.nearest_rank(d, ["k"], "v", 0.95).collect()}
+    assert near == {k: sorted(x)[max(-(-95 * len(x) // 100), 1) - 1] for k, x in by.items()}
+    assert ql.percentiles(d.filter("k = 'd'"), [], "v", {"p": 0.5}).count() == 0

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, written
+
 
 def rate(good: Column) -> Column:
     """Share of rows for which a condition holds; 1 for no rows."""
@@ -17,16 +19,46 @@ def gate(df: DataFrame, name: str, value: Column, threshold: float, higher: bool
     return d.select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"), F.lit(float(threshold)).alias("threshold"), ok.alias("passed"))
 
 
-def percentile(c: Column, q: float) -> Column:
-    """Linear interpolation; no rows give -1, which passes."""
-    return F.round(F.coalesce(F.percentile(c, q), F.lit(-1.0)), 6)
+CELLS = 1024
+
 
+def ranked(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
+    """(keys, r, value) for each row of ranks(keys, r): the r-th value of its key in order, exactly, without sorting anything but CELLS counts.
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """The ceil(q n)-th value in order, without interpolation, by one sort per key."""
-    n, r = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    d = df.withColumns({"_n": n, "_r": r}).filter(F.col("_r") == F.greatest(F.ceil(q * F.col("_n")), F.lit(1)))
-    return d.select(*keys, F.col(value).alias("value"))
+    Each round counts a key's values in CELLS cells between the bounds known so far (summed before the shuffle) and goes on with the
+    bounds of the cell that holds the rank, until they are one value. Nulls are no values.
+    """
+    folder = shared_folder(rows.sparkSession)
+    by = ["_k", *keys]
+    v = rows.select(F.lit(0).alias("_k"), *keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    bounds = v.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    state, turn = ranks.withColumn("_k", F.lit(0)).join(bounds, by).select(*by, "r", "lo", "hi", F.lit(0).cast("long").alias("below")), 0
+    state = written(state, f"{folder}/bounds0")
+    while state.filter("lo < hi").take(1):
+        cell = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1)).alias("cell")
+        j = v.join(state.filter("lo < hi"), by).filter("_v >= lo and _v <= hi")
+        c = j.groupBy(*by, "r", "below", cell).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        c = c.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*by, "r").orderBy("cell"))).filter("upto >= r and upto - n < r")
+        turn += 1
+        state = written(state.filter("lo = hi").unionByName(c.select(*by, "r", "lo", "hi", (F.col("upto") - F.col("n")).alias("below"))), f"{folder}/bounds{turn}")
+    return state.select(*keys, "r", F.col("lo").alias(value))
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column for each named share): values at shares of the order, by linear interpolation; keys without values give no row."""
+    n = rows.groupBy(*keys).agg(F.count(value).alias("n")).filter("n > 0").select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("h")) for k, q in shares.items()])).alias("x")).select(*keys, "x.*")
+    asked = n.select(*keys, "name", "h", (F.floor("h") + 1).alias("r1"), (F.ceil("h") + 1).alias("r2"))
+    got = ranked(rows, keys, value, asked.select(*keys, F.explode(F.array("r1", "r2")).alias("r")).distinct())
+    side = lambda r, v: got.select(*keys, F.col("r").alias(r), F.col(value).alias(v))
+    d = asked.join(side("r1", "a"), [*keys, "r1"]).join(side("r2", "b"), [*keys, "r2"])
+    p = F.round(F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h")), 6)
+    return d.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == k, p)).alias(k) for k in shares])
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """The ceil(share * n)-th value in order, without interpolation."""
+    r = F.greatest(F.ceil(F.lit(share) * F.count(value)), F.lit(1)).cast("long")
+    return ranked(rows, keys, value, rows.groupBy(*keys).agg(r.alias("r"))).drop("r")
 
 
 def budget_level(spent: Column, limit: Column, unknown: Column) -> Column:
@@ -64,11 +96,13 @@ def cooldown(alerts: DataFrame, hours: int = 6) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, strata: str, key: str, n: int, least: int, seed: str) -> DataFrame:
-    """n rows: `least` of every stratum, then one more of each in turn, rows in the order of a seeded hash."""
+    """n rows: `least` of every stratum, then one more of each in turn, rows in the order of a seeded hash.
+
+    A stratum gives n rows at most, cut before the shuffle; the n first of all in order are a top-k, merged from those of the tasks.
+    """
     r = F.row_number().over(Window.partitionBy(strata).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key))
     d = df.withColumn("turn", r).filter(F.col("turn") <= n)
-    order = F.row_number().over(Window.orderBy(F.when(F.col("turn") <= least, 0).otherwise(F.col("turn")), "turn", strata))
-    return d.withColumn("place", order).filter(F.col("place") <= n).drop("place")
+    return d.orderBy(F.when(F.col("turn") <= least, 0).otherwise(F.col("turn")), "turn", strata).limit(n)
 
 
 def quota_sample(df: DataFrame, strata: str, key: str, quota: int, seed: str) -> DataFrame:

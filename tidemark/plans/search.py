@@ -249,7 +249,8 @@ def gate_closure(spark, sf):
 
 @query("gate_confidence_p50", "SELECT 'confidence_p50' AS metric, v AS value, CAST(0.8 AS DOUBLE) AS threshold, v >= 0.8 AS passed FROM (SELECT round(coalesce(quantile_cont(value / 100, 0.5), -1.0), 6) AS v FROM events)")
 def gate_confidence_p50(spark, sf):
-    return ql.gate(src.table(spark, sf, "events"), "confidence_p50", ql.percentile(F.col("value") / 100, 0.5), 0.8)
+    e = src.table(spark, sf, "events").select((F.col("value") / 100).alias("value"))
+    return ql.gate(ql.percentiles(e, [], "value", {"p": 0.5}), "confidence_p50", F.coalesce(F.max("p"), F.lit(-1.0)), 0.8)
 
 
 @query("gate_orphans", "SELECT 'orphans' AS metric, v AS value, CAST(0 AS DOUBLE) AS threshold, v <= 0 AS passed FROM (SELECT CAST(count(*) AS DOUBLE) AS v FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id))")
@@ -273,7 +274,8 @@ def gate_vector_coverage(spark, sf):
 
 @query("gate_latency", "SELECT 'latency_p95' AS metric, v AS value, CAST(15 AS DOUBLE) AS threshold, v <= 15 AS passed FROM (SELECT round(coalesce(quantile_cont(value / 5, 0.95), -1.0), 6) AS v FROM events)")
 def gate_latency(spark, sf):
-    return ql.gate(src.table(spark, sf, "events"), "latency_p95", ql.percentile(F.col("value") / 5, 0.95), 15.0, higher=False)
+    e = src.table(spark, sf, "events").select((F.col("value") / 5).alias("value"))
+    return ql.gate(ql.percentiles(e, [], "value", {"p": 0.95}), "latency_p95", F.coalesce(F.max("p"), F.lit(-1.0)), 15.0, higher=False)
 
 
 @query("gate_reconcile", "WITH a AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), b AS (SELECT event_type, count(*) AS m FROM events WHERE event_id % 50 <> 0 OR event_type = 'view' GROUP BY 1) SELECT a.event_type, n - m AS diff, n = m OR a.event_type = 'error' AS passed FROM a JOIN b ON a.event_type = b.event_type")
@@ -342,7 +344,8 @@ def alert_cooldown(spark, sf):
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf):
-    return src.table(spark, sf, "events").groupBy("event_type").agg(ql.percentile(F.col("value"), 0.5).alias("p50"), ql.percentile(F.col("value"), 0.95).alias("p95"), stamp(F.min("ts")).alias("first"), stamp(F.max("ts")).alias("last"))
+    e = src.table(spark, sf, "events")
+    return ql.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).join(e.groupBy("event_type").agg(stamp(F.min("ts")).alias("first"), stamp(F.max("ts")).alias("last")), "event_type")
 
 
 @query("budget_packing_strict", "SELECT user_id, event_id, round(used, 6) AS used FROM (SELECT user_id, event_id, sum(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events) WHERE used <= 500")
