@@ -216,4 +216,5 @@ def test_percentiles_against_numpy(spark):
     assert got == {k: tuple(pytest.approx(float(np.quantile(x, q)), abs=1e-6) for q in (0, 0.5, 0.95)) for k, x in by.items()}
     near = {r.k: r.v for r in ql.nearest_rank(d, ["k"], "v", 0.95).collect()}
     assert near == {k: sorted(x)[max(-(-95 * len(x) // 100), 1) - 1] for k, x in by.items()}
-    assert ql.percentiles(d.filter("k = 'd'"), [], "v", {"p": 0.5}).count() == 0
+    assert ql.percentiles(d.filter("k = 'd'"), ["k"], "v", {"p": 0.5}).count() == 0
+    assert [r.p for r in ql.percentiles(d.filter("k = 'd'"), [], "v", {"p": 0.5}).collect()] == [None]

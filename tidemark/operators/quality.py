@@ -45,7 +45,7 @@ def ranked(rows: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> Da
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """(keys, a column for each named share): values at shares of the order, by linear interpolation; keys without values give no row."""
+    """(keys, a column for each named share): values at shares of the order, by linear interpolation; keys without values give no row, no keys at all one row."""
     n = rows.groupBy(*keys).agg(F.count(value).alias("n")).filter("n > 0").select(*keys, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("h")) for k, q in shares.items()])).alias("x")).select(*keys, "x.*")
     asked = n.select(*keys, "name", "h", (F.floor("h") + 1).alias("r1"), (F.ceil("h") + 1).alias("r2"))
     got = ranked(rows, keys, value, asked.select(*keys, F.explode(F.array("r1", "r2")).alias("r")).distinct())
