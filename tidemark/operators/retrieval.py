@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,11 +63,38 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def vector_topk(vectors: DataFrame, questions: DataFrame, key: str = "vec_id", k: int = CANDIDATES) -> DataFrame:
-    """(qid, key, score, rank) by exact cosine, the filter before the ranking. The questions are a stated set of bounded size and go to the vectors, which stay where they are."""
+def cosine_pairs(vectors: DataFrame, questions: DataFrame, key: str, block: int) -> list[DataFrame]:
+    """(qid, key, score) of every vector against each block of the questions, one DataFrame per block of about `block`, which goes to the vectors."""
+    v = vectors.select(key, normalised(F.col("embedding").cast("array<double>")).alias("v"))
+    blocks = max(1, -(-questions.count() // block))
+    q = questions.select("qid", normalised(F.col("embedding").cast("array<double>")).alias("qv"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_b"))
+    return [v.crossJoin(F.broadcast(q.filter(F.col("_b") == b))).select("qid", key, F.round(dot(F.col("v"), F.col("qv")), 6).alias("score")) for b in range(blocks)]
+
+
+def vector_topk(vectors: DataFrame, questions: DataFrame, key: str = "vec_id", k: int = CANDIDATES, block: int = 2048) -> DataFrame:
+    """(qid, key, score, rank) by exact cosine, the filter before the ranking. The questions are a stated set and meet all vectors block by block; a block's size bounds what is broadcast."""
+    return reduce(DataFrame.unionByName, [top(p, key, k) for p in cosine_pairs(vectors, questions, key, block)])
+
+
+def sign_codes(vector: Column, bits: int) -> Column:
+    """A code for every `bits` components: their place and signs. Vectors of a small angle share many."""
+    sign = lambda x: F.when(x >= 0, "1").otherwise("0")
+    parts = F.sequence(F.lit(0), F.floor(F.size(vector) / bits).cast("int") - 1)
+    return F.transform(parts, lambda t: F.concat(t.cast("string"), F.lit(":"), F.array_join(F.transform(F.slice(vector, t * bits + 1, bits), sign), "")))
+
+
+def sign_index(vectors: DataFrame, bits: int, key: str = "vec_id") -> DataFrame:
+    """(code, key): an index of every vector by the signs of its components, `bits` at a time."""
+    return vectors.select(key, F.explode(sign_codes(F.col("embedding"), bits)).alias("code"))
+
+
+def index_topk(index: DataFrame, vectors: DataFrame, questions: DataFrame, bits: int, key: str = "vec_id", k: int = 10) -> DataFrame:
+    """(qid, key, score, rank): the best k by cosine among the vectors that share a code with the question. More bits: fewer candidates, less recall."""
+    asked = questions.select("qid", F.explode(sign_codes(F.col("embedding"), bits)).alias("code"))
+    met = index.join(asked, "code").select("qid", key).distinct()
     v = vectors.select(key, normalised(F.col("embedding").cast("array<double>")).alias("v"))
     q = questions.select("qid", normalised(F.col("embedding").cast("array<double>")).alias("qv"))
-    return top(v.crossJoin(F.broadcast(q)).select("qid", key, F.round(dot(F.col("v"), F.col("qv")), 6).alias("score")), key, k)
+    return top(met.join(v, key).join(q, "qid").select("qid", key, F.round(dot(F.col("v"), F.col("qv")), 6).alias("score")), key, k)
 
 
 def rrf(lexical: DataFrame, vector: DataFrame, key: str, weights: tuple[float, float] = (0.6, 0.4), k: int = 60, limit: int = CANDIDATES) -> DataFrame:

@@ -167,10 +167,15 @@ def term_count_search(spark, sf):
     return corpus(spark, sf).select("doc_id", rt.term_count(F.col("text"), ["tion", "und"]).alias("score"))
 
 
-@query("index_recall", f"WITH {VEC}, ap AS (SELECT qid, vec_id FROM vec WHERE vec_id % 3 <> 0), ex AS (SELECT qid, vec_id FROM vec WHERE rank <= 10) SELECT round(coalesce(avg(r), 1.0), 6) AS recall, count(*) AS n FROM (SELECT ex.qid, count(ap.vec_id) / count(*) AS r FROM ex LEFT JOIN ap ON ex.qid = ap.qid AND ex.vec_id = ap.vec_id GROUP BY ex.qid)")
+CODES = "list_transform(range(0, len({e}) // 3), lambda t: t || ':' || array_to_string(list_transform(list_slice({e}, t * 3 + 1, t * 3 + 3), lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), ''))"
+
+
+@query("index_recall", f"""WITH {VEC}, c AS (SELECT vec_id, unnest({CODES.format(e='e')}) AS code FROM v), m AS (SELECT DISTINCT q.vec_id AS qid, c.vec_id FROM c JOIN c q ON c.code = q.code WHERE q.vec_id % 100 = 0),
+ap AS (SELECT qid, vec_id FROM (SELECT vs.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM vs JOIN m USING (qid, vec_id)) WHERE r <= 10), ex AS (SELECT qid, vec_id FROM vec WHERE rank <= 10)
+SELECT round(coalesce(avg(r), 1.0), 6) AS recall, count(*) AS n FROM (SELECT ex.qid, count(ap.vec_id) / count(*) AS r FROM ex LEFT JOIN ap ON ex.qid = ap.qid AND ex.vec_id = ap.vec_id GROUP BY ex.qid)""")
 def index_recall(spark, sf):
-    v = vector(spark, sf)
-    return rt.index_recall(v.filter("doc_id % 3 <> 0"), v.filter("rank <= 10"), "doc_id")
+    v, q = src.table(spark, sf, "embeddings"), vector_questions(spark, sf)
+    return rt.index_recall(rt.index_topk(rt.sign_index(v, 3), v, q, 3), rt.vector_topk(v, q, k=10), "vec_id")
 
 
 GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
