@@ -74,9 +74,9 @@ def mix(docs: DataFrame, weights: DataFrame, domain: Column, budget: float | Non
     """
     keep = [c for c in docs.columns if c != "epoch" and not c.startswith("_mix_")]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    d = docs.select(*keep).withColumns({"_mix_domain": F.coalesce(domain, F.lit("")), "_mix_lang": F.coalesce(F.col("lang"), F.lit("")), "_mix_source": F.coalesce(F.col("source"), F.lit("")), "_mix_n": words(F.col(text))})
+    d = docs.select(*keep).withColumns({"_mix_domain": F.coalesce(domain, F.lit("")), "_mix_lang": F.coalesce(F.col("lang"), F.lit("")), "_mix_source": F.coalesce(F.col("source"), F.lit(""))})
     leaf = [f"_mix_{x}" for x in LEVELS]
-    small = d.select(*leaf, "_mix_n", key.alias("_mix_key"))
+    small = written(d.select(*leaf, words(F.col(text)).alias("_mix_n"), key.alias("_mix_key")), "rows")  # the texts are counted once
     leaves = small.groupBy(*leaf).agg(F.sum("_mix_n").alias("available"))
     plan = budgets(leaves.select(*[F.col(a).alias(b) for a, b in zip(leaf, LEVELS, strict=True)], "available"), weights, budget, max_epochs)
     plan = plan.select(*[F.col(b).alias(a) for a, b in zip(leaf, LEVELS, strict=True)], F.floor(F.col("given") / F.col("available") + 1e-9).cast("int").alias("_mix_full"), F.col("given"), F.col("available"))

@@ -22,6 +22,7 @@ HASH_LOG, MIN_MATCH = 17, 6
 ROUNDS = 6
 TOP = 3
 BROADCAST_ROWS = 100_000
+LONGEST_SAMPLE = 1_000_000
 # Odd factors of the hash of three neighbouring characters.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)
 
@@ -193,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1600, ordinary_r
     """Both dictionaries and the calibration, from labelled rows of folds 0 and 2.
 
     Class sizes cover all labelled rows. Texts are a bounded sample of about toxic_rows and ordinary_rows whole texts by a
-    hash of the id (and max_chars in all), equal texts once. Rows without id, text or label teach nothing. With one class only, or none, the score
+    hash of the id (and max_chars in all), equal texts once; longer ones than LONGEST_SAMPLE characters aren't taken, so no single row fills the driver. Rows without id, text or label teach nothing. With one class only, or none, the score
     is the share of label 1 (0 without labels).
     """
     l = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (fold(id_col) != 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
@@ -204,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1600, ordinary_r
     chosen = written(l.filter(sample_share("i", share)), "sample")
     # about toxic_rows + ordinary_rows ids; the texts of all documents are only shuffled if somebody asks for a sample beyond BROADCAST_ROWS
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter("t is not null").join(chosen, "i").groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y")).toLocalIterator(prefetchPartitions=True)
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).filter(F.length("t") <= LONGEST_SAMPLE).join(chosen, "i").groupBy("t").agg(F.min("i").alias("i"), F.max("y").alias("y")).toLocalIterator(prefetchPartitions=True)
     found, chars = [], 0
     for r in rows:
         found.append((r["i"], r["t"], r["y"]))

@@ -23,6 +23,7 @@ DATE = "2024-01-01T00:00:00Z"
 LEVEL = 3
 SMALLEST_REVISIT = 1000
 CHUNK = 1 << 20
+SAMPLE_PAYLOAD = 1 << 17
 NAMES = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
 
 
@@ -65,10 +66,10 @@ def parse_record(raw: bytes) -> dict:
 
 
 def train(payloads: DataFrame, size: int, sample_rows: int = 800, sample_bytes: int = 8_000_000) -> bytes:
-    """A dictionary from a bounded sample of whole payloads (about sample_rows by a hash of the id); without enough of them a plain empty-like one."""
+    """A dictionary from a bounded sample of payloads (about sample_rows by a hash of the id, SAMPLE_PAYLOAD bytes of each at most, as training looks at no more of one); without enough of them a plain empty-like one."""
     n = payloads.count()
     got, total = [], 0
-    for r in payloads.filter(sample_share("page_id", F.lit(min(1.0, sample_rows / max(n, 1))))).select("payload").toLocalIterator():
+    for r in payloads.filter(sample_share("page_id", F.lit(min(1.0, sample_rows / max(n, 1))))).select(F.substring("payload", 1, SAMPLE_PAYLOAD).alias("payload")).toLocalIterator():
         if r["payload"]:
             got.append(bytes(r["payload"]))
             total += len(got[-1])
