@@ -14,6 +14,7 @@ from tidemark.operators import finance as fin
 from tidemark.operators import quality as ql
 from tidemark.operators import retrieval as rt
 from tidemark.operators import textops as tx
+from tidemark.operators import verification as vf
 from tidemark.operators import writes
 from tidemark.sources import payloads
 
@@ -218,3 +219,18 @@ def test_percentiles_against_numpy(spark):
     assert near == {k: sorted(x)[max(-(-95 * len(x) // 100), 1) - 1] for k, x in by.items()}
     assert ql.percentiles(d.filter("k = 'd'"), ["k"], "v", {"p": 0.5}).count() == 0
     assert [r.p for r in ql.percentiles(d.filter("k = 'd'"), [], "v", {"p": 0.5}).collect()] == [None]
+
+
+def test_headings_and_their_numbers(spark):
+    want = {"第一章 总则": ("chapter", 1), "第十二节 管理层讨论": ("section", 12), "二十一、重大事项": ("cn", 21), "（三）主要会计数据": ("cn_paren", 3), "1.2.3 研发投入": ("decimal3", 3), "3.5亿元": (None, None), "3.5 营业收入": ("decimal2", 5), "1.5倍": (None, None), "12、存货": ("arabic", 12), "2.3": (None, None), "（4）应收账款": ("arabic_paren", 4), "特别提示：": ("keyword", 0), "第百章": (None, None), "正文 1.2": (None, None), "": (None, None)}
+    system, ordinal = vf.numbering(F.col("t"))
+    got = {r.t: (r.s, r.n) for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", system.alias("s"), ordinal.alias("n")).collect()}
+    assert got == want
+
+
+def test_a_name_is_resolved_or_left_open(spark):
+    codes = spark.createDataFrame([("c1", 7)], "code string, entity long")
+    aliases = spark.createDataFrame([("one", 1), ("two", 2), ("two", 3), ("one", 1)], "alias string, entity long")
+    asked = spark.createDataFrame([(1, "c1", "two", [2]), (2, None, "one", []), (3, "cx", "two", [3, 9]), (4, None, "two", [2, 3]), (5, None, "two", None), (6, None, "none", [1]), (7, None, None, None)], "id long, code string, name string, context array<long>")
+    got = {r.id: (r.entity, r.confidence, r.layer) for r in en.resolve_names(asked, codes, aliases).collect()}
+    assert got == {1: (7, "high", "code"), 2: (1, "high", "alias"), 3: (3, "medium", "context"), 4: (None, "low", "alias_ambiguous"), 5: (None, "low", "alias_ambiguous"), 6: (None, "low", "fuzzy"), 7: (None, "low", "fuzzy")}

@@ -77,6 +77,23 @@ def resolve(branches: list[DataFrame]) -> DataFrame:
     return g.select("alias", (-F.col("x.col2")).alias("entity"), F.col("x.confidence").alias("confidence"), "candidates")
 
 
+def resolve_names(asked: DataFrame, codes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, entity, confidence, layer, candidates) of asked(id, code, name, context): who is meant, and by what.
+
+    A known code decides; else an alias that only one entity has; of an alias that several have, the one among the context's entities, if
+    it is the only one. What is ambiguous or unknown has no entity: suggestions (fuzzy) are for people to confirm, never taken.
+    """
+    c = codes.groupBy("code").agg(F.min("entity").alias("_code"))
+    a = aliases.select(F.col("alias").alias("name"), F.col("entity").alias("_e")).distinct()
+    d = asked.join(c, "code", "left").join(a, "name", "left")
+    known = F.array_contains("context", F.col("_e"))
+    g = d.groupBy("id").agg(F.first("_code").alias("by_code"), F.count("_e").alias("candidates"), F.min("_e").alias("one"), F.count_if(known).alias("here"), F.min(F.when(known, F.col("_e"))).alias("near"))
+    code, alone, near = F.col("by_code").isNotNull(), F.col("candidates") == 1, (F.col("candidates") > 1) & (F.col("here") == 1)
+    entity = F.when(code, F.col("by_code")).when(alone, F.col("one")).when(near, F.col("near"))
+    layer = F.when(code, "code").when(alone, "alias").when(near, "context").when(F.col("candidates") > 1, "alias_ambiguous").otherwise("fuzzy")
+    return g.select("id", entity.alias("entity"), F.when(code | alone, "high").when(near, "medium").otherwise("low").alias("confidence"), layer.alias("layer"), "candidates")
+
+
 def resolve_codes(asked: DataFrame, entities: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Any of several code columns, unpivoted so that one hash join does it."""
     codes = entities.select(key, F.explode(F.array(*columns)).alias("code"))

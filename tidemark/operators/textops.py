@@ -69,11 +69,6 @@ def confidence(coverage: Column, closure: Column, garbled: Column, missing: Colu
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 4)
 
 
-def title_tier(title: Column) -> Column:
-    t = F.lower(title)
-    return F.when(t.rlike("english"), None).when(t.rlike("quarter|annual summary|résumé"), "first").when(t.rlike("annual|année"), "second")
-
-
 def line_repetition(blocks: DataFrame, least: int = 3) -> DataFrame:
     """Lines that a source's documents repeat: candidates for headers and footers."""
     g = blocks.filter("length(trim(content)) > 0").select("source", "doc_id", F.trim("content").alias("line")).groupBy("source", "line").agg(F.count_distinct("doc_id").alias("n_docs"))

@@ -104,3 +104,90 @@ def latest_snapshot(calls: DataFrame, snapshots: DataFrame, keys: list[str]) ->
     w = Window.partitionBy(*keys).orderBy("_at", F.col("call").asc_nulls_first(), "body").rowsBetween(Window.unboundedPreceding, 0)
     u = s.unionByName(c).withColumn("body", F.last("body", ignorenulls=True).over(w))
     return u.filter("call is not null").select("call", *keys, "body")
+
+
+def grid_verdicts(cells: DataFrame, tier: Column) -> DataFrame:
+    """(table_id, verdict) of cells(table_id, text, check), where `tier` says how the table was parsed (L1, L2 or none).
+
+    Only cells with numbers count. In this order: any mismatch; L2 without any cell checked against a text layer is dual_agree; a page without text
+    layer; no numbers at all; all match; none matches (closed by its page in L1, else not checked); the rest is partial.
+    """
+    n = lambda *v: F.count_if((F.size(numbers(F.col("text"))) > 0) & F.col("check").isin(*v))
+    g = cells.withColumn("_tier", tier).groupBy("table_id").agg(F.max("_tier").alias("tier"), n("match").alias("ok"), n("mismatch").alias("bad"), n("no_text_layer").alias("bare"), n("not_checked", "no_numbers").alias("open"))
+    total = F.col("ok") + F.col("bad") + F.col("bare") + F.col("open")
+    verdict = (
+        F.when(F.col("bad") > 0, "text_layer_cells_mismatch").when((F.col("tier") == "L2") & (F.col("open") == total), "dual_agree").when(F.col("bare") > 0, "scan_single_unverified")
+        .when(total == 0, "not_checked").when(F.col("ok") == total, "text_layer_cells_ok").when((F.col("ok") == 0) & (F.col("tier") == "L1"), "text_layer_page_closed").when(F.col("ok") == 0, "not_checked").otherwise("text_layer_cells_partial")
+    )
+    return g.select("table_id", verdict.alias("verdict"))
+
+
+def chunk_violations(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, violations) of chunks(doc_id, ordinal, parent, kind, content, description, page, is_leaf, has_figure) against pages(doc_id, page_count): all broken rules of a document, sorted; none where empty.
+
+    Ordinals run from 0 without gap or repeat; no content is blank; a table has a description; a parent exists and has no parent itself; a page lies
+    within the document; a leaf has no children, and what is no leaf has some, or is a figure.
+    """
+    up = chunks.select("doc_id", F.col("ordinal").alias("parent"), F.col("parent").alias("_grand"), F.lit(True).alias("_there")).dropDuplicates(["doc_id", "parent"])
+    kids = chunks.filter("parent is not null").select("doc_id", F.col("parent").alias("ordinal")).distinct().withColumn("_kids", F.lit(True))
+    d = chunks.join(up, ["doc_id", "parent"], "left").join(kids, ["doc_id", "ordinal"], "left").join(pages, "doc_id", "left")
+    has, kept = F.col("parent").isNotNull(), F.col("_kids").isNotNull()
+    broken = {
+        "blank": F.trim("content") == "", "no_description": (F.col("kind") == "table") & (F.trim(F.coalesce("description", F.lit(""))) == ""), "no_parent": has & F.col("_there").isNull(), "nested": has & F.col("_grand").isNotNull(),
+        "page": (F.col("page") < 1) | ((F.col("page_count") > 0) & (F.col("page") > F.col("page_count"))), "leaf_with_children": F.col("is_leaf") & kept, "node_without_children": ~F.col("is_leaf") & ~kept & ~F.col("has_figure"),
+    }
+    order = F.when((F.count("*") != F.count_distinct("ordinal")) | (F.min("ordinal") != 0) | (F.max("ordinal") != F.count("*") - 1), "ordinals")
+    g = d.groupBy("doc_id").agg(order.alias("_order"), *[F.bool_or(F.coalesce(c, F.lit(False))).alias(f"_{k}") for k, c in broken.items()])
+    return g.select("doc_id", F.concat_ws(",", F.array_sort(F.array_compact(F.array("_order", *[F.when(F.col(f"_{k}"), F.lit(k)) for k in broken])))).alias("violations"))
+
+
+# Numerals, and how headings of each system begin.
+NUMERALS = "一二三四五六七八九"
+CN = "一二三四五六七八九十零〇"
+SYSTEMS = {
+    "chapter": f"^第([{CN}]+)章", "section": f"^第([{CN}]+)节", "cn": f"^([{CN}]{{1,3}})[、．.][^\\s]", "cn_paren": f"^[（(]([{CN}]{{1,3}})[）)][^\\s]",
+    "decimal3": r"^[0-9]{1,2}\.[0-9]{1,2}\.([0-9]{1,2})(?:\s+[^\s]|[^0-9.\s])", "decimal2": r"^[0-9]{1,2}\.([0-9]{1,2})(?:\s+[^\s]|[^0-9.\s])",
+    "arabic": r"^([0-9]{1,2})[、．.](?:\s+[^\s]|[^0-9\s])", "arabic_paren": r"^[（(]([0-9]{1,2})[）)]\s*[^\s]",
+}
+KEYWORD = f"^(?:(?:特别提示|重要提示|重要内容提示|释义|目录|备查文件目录|备查文件|风险提示)[：:]?|附件[一二三四五六七八九十0-9]{{0,3}}(?:[：:].{{0,30}})?)$"
+NUMBER_WITH_UNIT = r"^[0-9]{1,2}(?:\.[0-9]{1,2}){0,2}[、．.]?\s*(?:%|％|‰|倍|亿|万|元|股|个百分点)"
+
+
+def cn_numeral(c: Column) -> Column:
+    """One to ninety-nine; null for anything else."""
+    digit = lambda x: F.when(x.isin("零", "〇"), 0).when((F.length(x) == 1) & (F.instr(F.lit(NUMERALS), x) > 0), F.instr(F.lit(NUMERALS), x))
+    tens, ones = F.split_part(c, F.lit("十"), F.lit(1)), F.split_part(c, F.lit("十"), F.lit(2))
+    return F.when(c.contains("十"), F.when(tens == "", 1).otherwise(digit(tens)) * 10 + F.when(ones == "", 0).otherwise(digit(ones))).otherwise(digit(c))
+
+
+def numbering(text: Column) -> tuple[Column, Column]:
+    """(system, ordinal) of a heading's number; nulls where there is none, or where the number is an amount with its unit. A keyword heading has ordinal 0."""
+    s = F.regexp_replace(text, r"^\s+|\s+$", "")
+    system = F.when(s.rlike(KEYWORD), "keyword")
+    ordinal = F.when(s.rlike(KEYWORD), 0)
+    for name, p in SYSTEMS.items():
+        found = F.regexp_extract(s, p, 1)
+        n = cn_numeral(found) if name in ("chapter", "section", "cn", "cn_paren") else found.try_cast("int")
+        amount = s.rlike(NUMBER_WITH_UNIT) if name in ("decimal3", "decimal2", "arabic") else F.lit(False)
+        system = system.when(s.rlike(p), F.when(~amount & n.isNotNull(), name))
+        ordinal = ordinal.when(s.rlike(p), F.when(~amount, n))
+    return system, ordinal
+
+
+# What a question must not say (it must stand alone, and ask for no advice), and what titles say.
+DEICTIC = "这份|该公司|该报告|本公司|本期报告|上述|该文"
+ADVICE = "买入|卖出|增持|减持|推荐|目标价|评级|建议配置|仓位"
+NEVER_PARSED, CORRECTION = "英文版|English|取消.*(?:公告|事项)|提示性公告", "(?:的)?(?:更正|修订)(?:公告|版|说明)?[)）]?$"
+FIRST_TIER, SECOND_TIER = "第[一三]季度报告$|(?:半)?年度报告摘要$|业绩预告|业绩快报", "(?:半)?年度报告$"
+
+
+def good_question(text: Column) -> Column:
+    """Whether a question ends as one, has 8 to 120 characters, names what it asks about, and asks for no advice."""
+    q = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return q.rlike("[？?]$") & F.length(q).between(8, 120) & ~q.rlike(DEICTIC) & ~q.rlike(ADVICE)
+
+
+def title_tier(title: Column) -> Column:
+    """first, second or none: when a document of this title is parsed. A correction counts as what it corrects."""
+    base = F.regexp_replace(F.regexp_replace(title, CORRECTION, ""), "[(（]+$", "")
+    return F.when(title.rlike(NEVER_PARSED), "none").when(base.rlike(SECOND_TIER), "second").when(base.rlike(FIRST_TIER), "first").otherwise("none")

@@ -246,3 +246,66 @@ def expensive_tier(spark, sf):
 @query("stage_counts", f"WITH t AS ({search.SQL['retrieval_trace']}) SELECT qid, count(lexical_rank) AS n_lexical, count(vector_rank) AS n_vector, count(fused_rank) AS n_fused, count(final_rank) AS n_final FROM t GROUP BY qid")
 def stage_counts(spark, sf):
     return vf.stage_counts(search.QUERIES["retrieval_trace"](spark, sf), ["lexical", "vector", "fused", "final"])
+
+
+@query("grid_verdict", f"""WITH c AS (SELECT p_partkey // 8 AS table_id, CASE WHEN p_size % 5 = 0 THEN 'none' ELSE p_size || '' END AS text, CASE WHEN p_partkey // 8 % 4 = 0 THEN 'not_checked' WHEN p_size % 13 = 0 AND p_partkey // 8 % 4 = 1 THEN 'mismatch' WHEN p_size % 7 = 0 AND p_partkey // 8 % 4 = 2 THEN 'no_text_layer' WHEN p_size % 3 = 0 AND p_partkey // 8 % 5 <> 2 THEN 'not_checked' ELSE 'match' END AS chk, CASE p_partkey // 8 % 3 WHEN 0 THEN 'L1' WHEN 1 THEN 'L2' END AS tier FROM part),
+n AS (SELECT *, len({NUMS.format(x='text')}) > 0 AS num FROM c), g AS (SELECT table_id, max(tier) AS tier, count(*) FILTER (WHERE num AND chk = 'match') AS ok, count(*) FILTER (WHERE num AND chk = 'mismatch') AS bad, count(*) FILTER (WHERE num AND chk = 'no_text_layer') AS bare, count(*) FILTER (WHERE num AND chk = 'not_checked') AS op, count(*) FILTER (WHERE num) AS total FROM n GROUP BY 1)
+SELECT table_id, CASE WHEN bad > 0 THEN 'text_layer_cells_mismatch' WHEN tier = 'L2' AND op = total THEN 'dual_agree' WHEN bare > 0 THEN 'scan_single_unverified' WHEN total = 0 THEN 'not_checked' WHEN ok = total THEN 'text_layer_cells_ok' WHEN ok = 0 AND tier = 'L1' THEN 'text_layer_page_closed' WHEN ok = 0 THEN 'not_checked' ELSE 'text_layer_cells_partial' END AS verdict FROM g""")
+def grid_verdict(spark, sf):
+    s, t = F.col("p_size"), F.floor(F.col("p_partkey") / 8)
+    check = F.when(t % 4 == 0, "not_checked").when((s % 13 == 0) & (t % 4 == 1), "mismatch").when((s % 7 == 0) & (t % 4 == 2), "no_text_layer").when((s % 3 == 0) & (t % 5 != 2), "not_checked").otherwise("match")
+    c = src.table(spark, sf, "part").select(t.alias("table_id"), F.when(s % 5 == 0, "none").otherwise(s.cast("string")).alias("text"), check.alias("check"))
+    return vf.grid_verdicts(c, F.when(F.col("table_id") % 3 == 0, "L1").when(F.col("table_id") % 3 == 1, "L2"))
+
+
+CHUNKS = """ch AS (SELECT conv_id AS doc_id, turn + CASE WHEN conv_id % 11 = 0 AND turn > 1 THEN 1 ELSE 0 END AS ordinal, CASE WHEN turn > 0 THEN CASE WHEN conv_id % 7 = 0 THEN turn - 1 WHEN conv_id % 13 = 0 THEN 99 ELSE 0 END END AS parent, CASE WHEN role = 'system' THEN 'table' ELSE 'text' END AS kind, CASE WHEN conv_id % 17 = 0 THEN ' ' ELSE text END AS content, CASE WHEN conv_id % 2 = 0 THEN 'd' END AS description, turn + 1 AS page, turn > 0 OR conv_id % 5 = 0 AS is_leaf, conv_id % 3 = 0 AS has_figure FROM conversations)"""
+
+
+@query("validate_chunks", f"""WITH {CHUNKS}, up AS (SELECT doc_id, ordinal, any_value(parent) AS grand FROM ch GROUP BY ALL), kids AS (SELECT DISTINCT doc_id, parent FROM ch WHERE parent IS NOT NULL),
+d AS (SELECT ch.*, up.ordinal AS there, grand, kids.parent IS NOT NULL AS kept FROM ch LEFT JOIN up ON up.doc_id = ch.doc_id AND up.ordinal = ch.parent LEFT JOIN kids ON kids.doc_id = ch.doc_id AND kids.parent = ch.ordinal),
+g AS (SELECT doc_id, [CASE WHEN count(*) <> count(DISTINCT ordinal) OR min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1 THEN 'ordinals' END, CASE WHEN bool_or(trim(content) = '') THEN 'blank' END, CASE WHEN bool_or(kind = 'table' AND trim(coalesce(description, '')) = '') THEN 'no_description' END, CASE WHEN bool_or(parent IS NOT NULL AND there IS NULL) THEN 'no_parent' END, CASE WHEN bool_or(parent IS NOT NULL AND grand IS NOT NULL) THEN 'nested' END,
+CASE WHEN bool_or(page < 1 OR page > 4) THEN 'page' END, CASE WHEN bool_or(is_leaf AND kept) THEN 'leaf_with_children' END, CASE WHEN bool_or(NOT is_leaf AND NOT kept AND NOT has_figure) THEN 'node_without_children' END] AS v FROM d GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_sort(list_filter(v, lambda x: x IS NOT NULL)), ',') AS violations FROM g""")
+def validate_chunks(spark, sf):
+    c, t = F.col("conv_id"), F.col("turn")
+    d = src.table(spark, sf, "conversations").select(
+        c.alias("doc_id"), (t + F.when((c % 11 == 0) & (t > 1), 1).otherwise(0)).alias("ordinal"), F.when(t > 0, F.when(c % 7 == 0, t - 1).when(c % 13 == 0, 99).otherwise(0)).alias("parent"),
+        F.when(F.col("role") == "system", "table").otherwise("text").alias("kind"), F.when(c % 17 == 0, " ").otherwise(F.col("text")).alias("content"), F.when(c % 2 == 0, "d").alias("description"), (t + 1).alias("page"), ((t > 0) | (c % 5 == 0)).alias("is_leaf"), (c % 3 == 0).alias("has_figure"),
+    )
+    return vf.chunk_violations(d, d.select("doc_id").distinct().withColumn("page_count", F.lit(4)))
+
+
+HEADINGS = ["第一章 总则", "第十二节 管理层讨论", "二十一、重大事项", "（三）主要会计数据", "(九) 无", "1.2.3 研发投入", "3.5亿元", "3.5 营业收入", "1.5倍", "12、存货", "2.3", "（4）应收账款", "特别提示：", "附件三：名单", "第百章", "十、", "1. 概述", "10.25 其他", "正文 1.2", "  五．收入", "3.万元", "目录"]
+NO_AMOUNT = f"NOT regexp_matches(s, '{vf.NUMBER_WITH_UNIT}')"
+SYSTEM_SQL = "CASE WHEN regexp_matches(s, '{k}') THEN 'keyword' ".format(k=vf.KEYWORD) + " ".join(f"WHEN regexp_matches(s, '{p}') THEN CASE WHEN {NO_AMOUNT if n in ('decimal3', 'decimal2', 'arabic') else 'true'} AND n_{n} IS NOT NULL THEN '{n}' END" for n, p in vf.SYSTEMS.items()) + " END"
+ORDINAL_SQL = "CASE WHEN regexp_matches(s, '{k}') THEN 0 ".format(k=vf.KEYWORD) + " ".join(f"WHEN regexp_matches(s, '{p}') THEN CASE WHEN {NO_AMOUNT if n in ('decimal3', 'decimal2', 'arabic') else 'true'} THEN n_{n} END" for n, p in vf.SYSTEMS.items()) + " END"
+DIGIT = f"CASE WHEN {{x}} IN ('零', '〇') THEN 0 WHEN length({{x}}) = 1 AND instr('{vf.NUMERALS}', {{x}}) > 0 THEN instr('{vf.NUMERALS}', {{x}}) END"
+NUMERAL_SQL = "CASE WHEN contains({x}, '十') THEN CASE WHEN split_part({x}, '十', 1) = '' THEN 1 ELSE " + DIGIT.replace("{x}", "split_part({x}, '十', 1)") + " END * 10 + CASE WHEN split_part({x}, '十', 2) = '' THEN 0 ELSE " + DIGIT.replace("{x}", "split_part({x}, '十', 2)") + " END ELSE " + DIGIT + " END"
+PARTS_SQL = ", ".join((NUMERAL_SQL.replace("{x}", f"regexp_extract(s, '{p}', 1)") if n in ("chapter", "section", "cn", "cn_paren") else f"TRY_CAST(regexp_extract(s, '{p}', 1) AS INTEGER)") + f" AS n_{n}" for n, p in vf.SYSTEMS.items())
+
+
+@query("numbering_classifier", f"WITH h AS (SELECT p_partkey AS id, regexp_replace(list_extract({HEADINGS!r}, CAST(p_partkey % {len(HEADINGS)} + 1 AS INTEGER)), '^\\s+|\\s+$', '', 'g') AS s FROM part), x AS (SELECT *, {PARTS_SQL} FROM h) SELECT id, {SYSTEM_SQL} AS system, CAST({ORDINAL_SQL} AS INTEGER) AS ordinal FROM x")
+def numbering_classifier(spark, sf):
+    """The synthetic lines carry no such numbers: a list of headings of every system is dealt to the parts."""
+    k = F.col("p_partkey")
+    h = src.table(spark, sf, "part").select(k.alias("id"), F.element_at(F.array(*[F.lit(x) for x in HEADINGS]), (k % len(HEADINGS) + 1).cast("int")).alias("s"))
+    system, ordinal = vf.numbering(F.col("s"))
+    return h.select("id", system.alias("system"), ordinal.cast("int").alias("ordinal"))
+
+
+@query("question_hygiene", f"WITH q AS (SELECT item_id, trim(CASE item_id % 5 WHEN 0 THEN substr(text, 1, 90) || '？' WHEN 1 THEN text || '?' WHEN 2 THEN '该公司' || substr(text, 1, 50) || '?' WHEN 3 THEN substr(text, 1, 50) || ' 目标价?' ELSE text END) AS q FROM benchmark) SELECT item_id, regexp_matches(q, '[？?]$') AND length(q) BETWEEN 8 AND 120 AND NOT regexp_matches(q, '{vf.DEICTIC}') AND NOT regexp_matches(q, '{vf.ADVICE}') AS ok FROM q")
+def question_hygiene(spark, sf):
+    k = F.col("item_id") % 5
+    head = lambda n: F.substring("text", 1, n)
+    q = F.when(k == 0, F.concat(head(90), F.lit("？"))).when(k == 1, F.concat("text", F.lit("?"))).when(k == 2, F.concat(F.lit("该公司"), head(50), F.lit("?"))).when(k == 3, F.concat(head(50), F.lit(" 目标价?"))).otherwise(F.col("text"))
+    return src.table(spark, sf, "benchmark").select("item_id", vf.good_question(q).alias("ok"))
+
+
+TITLES = ["2024年年度报告", "2024年年度报告摘要", "2024年第一季度报告", "2024年半年度报告的更正公告", "2024年半年度报告摘要（修订版）", "2024年度业绩预告", "年度报告（英文版）", "关于取消股东大会的公告", "2024年年度报告提示性公告", "董事会决议公告"]
+
+
+@query("title_tier", f"WITH t AS (SELECT page_id, list_extract({TITLES!r}, CAST(page_id % 10 + 1 AS INTEGER)) AS title FROM pages), b AS (SELECT *, regexp_replace(regexp_replace(title, '{vf.CORRECTION}', ''), '[(（]+$', '') AS base FROM t) SELECT page_id, CASE WHEN regexp_matches(title, '{vf.NEVER_PARSED}') THEN 'none' WHEN regexp_matches(base, '{vf.SECOND_TIER}') THEN 'second' WHEN regexp_matches(base, '{vf.FIRST_TIER}') THEN 'first' ELSE 'none' END AS tier FROM b")
+def title_tier(spark, sf):
+    """Titles of every kind, dealt to the pages, whose own are invented words."""
+    title = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (F.col("page_id") % 10 + 1).cast("int"))
+    return src.table(spark, sf, "pages").select("page_id", vf.title_tier(title).alias("tier"))

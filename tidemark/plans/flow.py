@@ -163,13 +163,6 @@ def description_check(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").rlike("buy|sell|recommend|should").alias("forbidden"), F.col("text").rlike("[.!?]$").alias("complete"))
 
 
-@query("question_hygiene", "SELECT item_id, length(text) BETWEEN 8 AND 120 AND right(text, 1) = '?' AND NOT regexp_matches(lower(text), '(^| )(this|that|here)( |$)') AS ok FROM (SELECT item_id, text || CASE WHEN item_id % 3 = 0 THEN '?' ELSE '' END AS text FROM benchmark)")
-def question_hygiene(spark, sf):
-    t = F.concat("text", F.when(F.col("item_id") % 3 == 0, "?").otherwise(""))
-    ok = F.length(t).between(8, 120) & (F.right(t, F.lit(1)) == "?") & ~F.lower(t).rlike("(^| )(this|that|here)( |$)")
-    return src.table(spark, sf, "benchmark").select("item_id", ok.alias("ok"))
-
-
 @query("gold_remap", f"WITH {DOCUMENT}, {BLOCK}, o AS (SELECT block_id AS old_id, doc_id, page, CASE WHEN block_id % 3 = 0 THEN substr(content, 1, 30) ELSE content END AS content FROM doc_block WHERE block_id % 7 = 0 AND length(content) > 30), n AS (SELECT block_id AS new_id, doc_id, page, content FROM doc_block WHERE block_id % 11 <> 0), j AS (SELECT old_id, new_id, CASE WHEN o.content = n.content THEN 0 ELSE 1 END AS r FROM o JOIN n ON o.doc_id = n.doc_id AND o.page = n.page AND contains(n.content, o.content)), b AS (SELECT old_id, arg_min(new_id, (r, new_id)) AS new_id, min(r) AS r FROM j GROUP BY 1) SELECT o.old_id, new_id, CASE r WHEN 0 THEN 'exact' WHEN 1 THEN 'overlap' ELSE 'lost' END AS state FROM o LEFT JOIN b ON o.old_id = b.old_id")
 def gold_remap(spark, sf):
     b = src.doc_block(spark, sf)
@@ -200,19 +193,6 @@ def title_normalised(spark, sf):
     return src.announcement(spark, sf).select("page_id", F.trim(F.lower(F.translate(F.concat(F.lit("Ｘ： "), F.col("title")), "Ｘ：", "X:"))).alias("title_norm"))
 
 
-@query("numbering_classifier", f"WITH {DOCUMENT}, {BLOCK} SELECT block_id, CASE WHEN regexp_matches(content, '^[0-9]+[.][0-9]+') THEN 'decimal' WHEN regexp_matches(content, '^[0-9]+[.]\\s') THEN 'arabic' WHEN regexp_matches(content, '^[(][0-9]+[)]') THEN 'bracketed' WHEN regexp_matches(content, '^[IVX]+[.]\\s') THEN 'roman' WHEN regexp_matches(content, '^[A-Z][.]\\s') THEN 'letter' END AS system FROM doc_block")
-def numbering_classifier(spark, sf):
-    c = F.col("content")
-    return src.doc_block(spark, sf).select("block_id", F.when(c.rlike(r"^[0-9]+[.][0-9]+"), "decimal").when(c.rlike(r"^[0-9]+[.]\s"), "arabic").when(c.rlike(r"^[(][0-9]+[)]"), "bracketed").when(c.rlike(r"^[IVX]+[.]\s"), "roman").when(c.rlike(r"^[A-Z][.]\s"), "letter").alias("system"))
-
-
-@query("grid_verdict", "WITH c AS (SELECT p_partkey // 8 AS table_id, count(*) AS n, count(*) FILTER (WHERE p_size % 3 = 0) AS matched, count(*) FILTER (WHERE p_size % 13 = 0) AS bad, count(*) FILTER (WHERE p_size % 5 = 0) AS empty FROM part GROUP BY 1) SELECT table_id, CASE WHEN bad > 0 THEN 'mismatch' WHEN matched = 0 THEN 'unverified' WHEN matched + empty >= n THEN 'verified' ELSE 'partial' END AS verdict FROM c")
-def grid_verdict(spark, sf):
-    s = F.col("p_size")
-    c = src.table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 8).alias("table_id")).agg(F.count("*").alias("n"), F.count_if(s % 3 == 0).alias("matched"), F.count_if(s % 13 == 0).alias("bad"), F.count_if(s % 5 == 0).alias("empty"))
-    return c.select("table_id", F.when(F.col("bad") > 0, "mismatch").when(F.col("matched") == 0, "unverified").when(F.col("matched") + F.col("empty") >= F.col("n"), "verified").otherwise("partial").alias("verdict"))
-
-
 @query("nearest_number", "WITH a AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS v FROM lineitem), t AS (SELECT o_orderkey, o_totalprice FROM orders) SELECT o_orderkey, arg_min(l_linenumber, (abs(v - o_totalprice), l_linenumber)) AS linenumber FROM a JOIN t ON l_orderkey = o_orderkey GROUP BY 1")
 def nearest_number(spark, sf):
     l = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice")

@@ -109,11 +109,6 @@ def confidence_score(spark, sf):
     return docs(spark, sf).select("doc_id", c.alias("confidence"))
 
 
-@query("title_tier", f"WITH {ANNOUNCEMENT} SELECT page_id, CASE WHEN regexp_matches(lower(title), 'english') THEN NULL WHEN regexp_matches(lower(title), 'quarter|annual summary|résumé') THEN 'first' WHEN regexp_matches(lower(title), 'annual|année') THEN 'second' END AS tier FROM announcement")
-def title_tier(spark, sf):
-    return src.announcement(spark, sf).select("page_id", tx.title_tier(F.col("title")).alias("tier"))
-
-
 @query("line_repetition_decor", f"WITH {BLOCKS} SELECT source, trim(content) AS line, count(DISTINCT doc_id) AS n_docs FROM doc_block WHERE length(trim(content)) > 0 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3")
 def line_repetition_decor(spark, sf):
     return tx.line_repetition(src.doc_block(spark, sf))
@@ -240,12 +235,6 @@ def build_tree(spark, sf):
     return g.select("doc_id", F.concat("source", F.lit("/"), F.col("page").cast("string")).alias("parent"), "first_ordinal", "n_leaves", F.row_number().over(Window.partitionBy("doc_id").orderBy("first_ordinal")).alias("parent_no"))
 
 
-@query("validate_chunks", f"WITH {BLOCKS} SELECT doc_id, concat_ws(',', CASE WHEN bool_or(length(trim(content)) = 0) THEN 'empty' END, CASE WHEN max(length(content)) > 800 THEN 'too_long' END, CASE WHEN count(*) <> max(ordinal) + 1 THEN 'gap' END) AS problems FROM doc_block GROUP BY doc_id")
-def validate_chunks(spark, sf):
-    g = src.doc_block(spark, sf).groupBy("doc_id").agg(F.bool_or(F.length(F.trim("content")) == 0).alias("e"), F.max(F.length("content")).alias("l"), F.count("*").alias("n"), F.max("ordinal").alias("o"))
-    return g.select("doc_id", F.concat_ws(",", F.when(F.col("e"), "empty"), F.when(F.col("l") > 800, "too_long"), F.when(F.col("n") != F.col("o") + 1, "gap")).alias("problems"))
-
-
 @query("page_acceptance", f"""WITH {BLOCKS}, p AS (SELECT doc_id, page, CASE WHEN max(length(content)) > 2000 THEN 'rejected' WHEN bool_or(contains(content, '|')) THEN 'unverified' WHEN min(length(content)) = 0 THEN 'with_scan' ELSE 'accepted' END AS state FROM doc_block GROUP BY ALL)
 SELECT doc_id, count(*) AS pages, CASE WHEN bool_or(state = 'rejected') THEN 'rejected' WHEN bool_or(state = 'unverified') THEN CASE WHEN bool_and(state = 'unverified') THEN 'unverified' ELSE 'partially' END WHEN bool_or(state = 'with_scan') THEN 'with_scan' ELSE 'accepted' END AS state FROM p GROUP BY doc_id""")
 def page_acceptance(spark, sf):
@@ -339,6 +328,20 @@ def resolve_code(spark, sf):
     return en.resolve_codes(p, c, "id", ["k1", "k2"])
 
 
+@query("resolve_names", """WITH al AS (SELECT 'N' || s_nationkey AS name, s_suppkey AS e FROM supplier UNION SELECT 'U' || s_suppkey, s_suppkey FROM supplier), cd AS (SELECT 'C' || s_suppkey AS code, s_suppkey AS entity FROM supplier),
+q AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'C' || c_custkey % 150 END AS code, CASE WHEN c_custkey % 3 = 0 THEN 'U' || c_custkey % 120 ELSE 'N' || c_nationkey END AS name, [c_custkey % 100 + 1, c_custkey % 37 + 1] AS context FROM customer),
+g AS (SELECT id, any_value(cd.entity) AS by_code, count(e) AS candidates, min(e) AS one, count(*) FILTER (WHERE list_contains(context, e)) AS here, min(e) FILTER (WHERE list_contains(context, e)) AS near FROM q LEFT JOIN cd ON cd.code = q.code LEFT JOIN al ON al.name = q.name GROUP BY id)
+SELECT id, CASE WHEN by_code IS NOT NULL THEN by_code WHEN candidates = 1 THEN one WHEN candidates > 1 AND here = 1 THEN near END AS entity, CASE WHEN by_code IS NOT NULL OR candidates = 1 THEN 'high' WHEN candidates > 1 AND here = 1 THEN 'medium' ELSE 'low' END AS confidence,
+CASE WHEN by_code IS NOT NULL THEN 'code' WHEN candidates = 1 THEN 'alias' WHEN candidates > 1 AND here = 1 THEN 'context' WHEN candidates > 1 THEN 'alias_ambiguous' ELSE 'fuzzy' END AS layer, candidates FROM g""")
+def resolve_names(spark, sf):
+    s, i = src.table(spark, sf, "supplier"), F.col("c_custkey")
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    key = F.col("s_suppkey")
+    aliases = s.select(named("N", F.col("s_nationkey")).alias("alias"), key.alias("entity")).unionByName(s.select(named("U", key).alias("alias"), key.alias("entity")))
+    asked = src.table(spark, sf, "customer").select(i.alias("id"), F.when(i % 7 == 0, named("C", i % 150)).alias("code"), F.when(i % 3 == 0, named("U", i % 120)).otherwise(named("N", F.col("c_nationkey"))).alias("name"), F.array(i % 100 + 1, i % 37 + 1).alias("context"))
+    return en.resolve_names(asked, s.select(named("C", key).alias("code"), key.alias("entity")), aliases)
+
+
 TRI = "list_distinct([substr('  ' || lower({x}) || ' ', i, 3) for i in generate_series(1, length({x}) + 1)])"
 
 
