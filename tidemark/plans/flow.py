@@ -229,10 +229,12 @@ def directory_write(spark, sf):
     return folds.directory_write(a)
 
 
-@query("hashed_embeddings")
+@query("hashed_embeddings", """WITH h AS (SELECT item_id, sha256(text || '|0') AS h FROM benchmark), v AS (SELECT item_id, list_transform(range(0, 8), lambda k: CAST('0x' || substr(h, 8 * k + 7, 2) || substr(h, 8 * k + 5, 2) || substr(h, 8 * k + 3, 2) || substr(h, 8 * k + 1, 2) AS UBIGINT) / 2147483648.0 - 1) AS v FROM h),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT item_id, round(v[1] / n, 4) AS first, round(v[8] / n, 4) AS last, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 4) AS norm FROM n""")
 def hashed_embeddings(spark, sf):
-    v = folds.hashed_embedding(F.col("text"), 8)
-    return src.table(spark, sf, "benchmark").select("item_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    v = src.table(spark, sf, "benchmark").select("item_id", folds.hashed_embedding(F.col("text"), 8).alias("v"))
+    place = lambda k: F.round(F.element_at("v", k).cast("double"), 4)
+    return v.select("item_id", place(1).alias("first"), place(8).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
 
 # Tables ------------------------------------------------------------------------------------------------------------

@@ -341,7 +341,8 @@ def alerts_from_quality(spark, sf):
     return m.select("metric", "source", day_text("partition_day").alias("day"), F.when(F.col("metric") == "error", "critical").when(F.col("value") > 60, "warning").otherwise("info").alias("severity"))
 
 
-@query("alert_cooldown")
+@query("alert_cooldown", """WITH RECURSIVE o AS (SELECT user_id AS key, event_id, floor(epoch(ts)) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'error'),
+r AS (SELECT key, event_id, k, sec AS last, false AS suppressed FROM o WHERE k = 1 UNION ALL SELECT o.key, o.event_id, o.k, CASE WHEN o.sec - last >= 21600 THEN o.sec ELSE last END, o.sec - last < 21600 FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1) SELECT key, event_id, suppressed FROM r""")
 def alert_cooldown(spark, sf):
     e = src.table(spark, sf, "events").filter("event_type = 'error'").select(F.col("user_id").alias("key"), "ts", "event_id")
     return ql.cooldown(e)

@@ -188,7 +188,9 @@ def chunk_split(spark, sf):
     return d.select("doc_id", "piece", F.length("content").alias("n"), F.sha2("content", 256).alias("digest"))
 
 
-@query("chunk_merge")
+@query("chunk_merge", f"""WITH RECURSIVE {BLOCKS}, o AS (SELECT doc_id, page, ordinal, length(content) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS k FROM doc_block),
+r AS (SELECT doc_id, k, ordinal, n, 0 AS run, n AS len, CASE WHEN n < 120 THEN page END AS open_page FROM o WHERE k = 1 UNION ALL SELECT doc_id, k, ordinal, n, CASE WHEN fits THEN run ELSE run + 1 END, CASE WHEN fits THEN len + n + 1 ELSE n END, CASE WHEN fits THEN open_page WHEN n < 120 THEN page END FROM (SELECT o.*, run, len, open_page, coalesce(open_page = o.page, false) AND o.n < 120 AND len + o.n <= 400 AS fits FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1))
+SELECT doc_id, run, min(ordinal) AS first_ordinal, count(*) AS n_blocks, CAST(sum(n) + count(*) - 1 AS BIGINT) AS n FROM r GROUP BY doc_id, run""")
 def chunk_merge(spark, sf):
     return sq.merge_short(src.doc_block(spark, sf)).select("doc_id", "run", "first_ordinal", "n_blocks", F.length("content").alias("n"))
 
