@@ -312,7 +312,7 @@ def label_texts(texts: list[str | None], model: dict, penalty: float, spans: boo
     return names, shares, found
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float = 8.0, spans: bool = False, batch_chars: int = 1 << 20) -> DataFrame:
+def identify(docs: DataFrame, model: dict, text: str = "text", penalty: float = 8.0, spans: bool = False, batch_chars: int = 1 << 19) -> DataFrame:
     """docs with lang_pred string, score double and, if asked for, lang_spans array<struct<char_from, char_to, lang>>.
 
     Units are words, cut where the script changes and after PIECE characters, so that text without spaces has as many as

@@ -22,6 +22,7 @@ CACHE_WORDS = 400_000
 SLACK = 6.0
 TILE = 512
 HUB_GROUP = 64
+BROADCAST_BYTES = 64_000_000
 TILE_SHINGLES = 4_000_000
 # Odd 64-bit factors for mixing, and the constant of the expected collisions of registers.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -331,6 +332,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     """
     h = F.xxhash64(F.col(text))
     first = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(h).alias("_h"), F.max(h).alias("_last")).filter("_h <> _last").drop("_last")
+    first = written(first, "shared-ids")  # a row per id that has several texts; broadcast within a bound, so that texts stay where they are
+    first = F.broadcast(first) if 16 * first.count() <= BROADCAST_BYTES else first
     own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col, text), 2)
     keyed = docs.join(first, F.col(id_col).cast("long") == F.col("_id"), "left")
     keyed = keyed.withColumn("_key", F.when(F.col(id_col).isNull() | (h != F.col("_h")), own).otherwise(F.col(id_col).cast("long"))).drop("_id", "_h")
