@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, token_output, toxicity, warc
+from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, minhash_dedup, mixing, spelling_variants, token_output, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -64,6 +64,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     c = f"regexp_replace(lower(t), {quote('(?m)' + license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
@@ -122,10 +130,33 @@ c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
 SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON vec_id = a LEFT JOIN c ON vec_id = node"""
 
 
+FILL_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || substr(x, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(x, 9, 8))::BIGINT % (len(u) + 1) AS b, ('0x' || substr(x, 25, 8))::BIGINT % 100 < 50 AS spm FROM d),
+c AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+array_to_string(list_slice(u, 1, least(a, b)), '') AS p, array_to_string(list_slice(u, least(a, b) + 1, greatest(a, b)), '') AS m, array_to_string(list_slice(u, greatest(a, b) + 1, n), '') AS s FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+VARIANT_SQL = r"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS k))),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS i, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+o AS (SELECT i, w, count(*) AS n FROM r WHERE length(w) >= 7 GROUP BY ALL),
+b AS (SELECT i, w, n, hex(encode(i || ':' || w)) AS x FROM o),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT)), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1])), 4294967295) AS h FROM b, tab),
+v AS MATERIALIZED (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v),
+wild AS (SELECT word, n, substr(word, 1, p - 1) || '*' || substr(word, p + 1) AS k FROM p),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, p - 1) || substr(word, p + 1) AS k FROM p),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.k = b.k AND a.word <> b.word UNION ALL SELECT c.word, v.word, v.n FROM cut c JOIN v ON c.k = v.word UNION ALL SELECT v.word, c.word, c.n FROM cut c JOIN v ON c.k = v.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(a := -m, b := other)) AS best FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.a >= 10 * v.n THEN best.b END AS form, CASE WHEN -best.a >= 10 * v.n THEN -best.a END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+g AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM f UNION ALL SELECT g.word, coalesce(f.form, g.root), f.form IS NULL FROM g JOIN f ON g.root = f.word WHERE NOT g.done)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON f.word = g.word AND g.done"""
+
+
 def queries() -> dict:
-    named = [op1_license_scan, op2_mixture, op3_embedding_dedup, op4_toxicity, op5_token_output, op6_decontamination, op7_language_id, op8_chat_format, op9_minhash_dedup, op10_warc, decontamination_proximity]
+    named = [op1_license_scan, op2_mixture, op3_embedding_dedup, op4_toxicity, op5_token_output, op6_decontamination, op7_language_id, op8_chat_format, op9_minhash_dedup, op10_warc, op11_fill_in_middle, op12_spelling_variants, decontamination_proximity]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op3_embedding_dedup": EMBEDDING_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op8_chat_format": CHAT_SQL, "op10_warc": WARC_SQL}
+    return {"op1_license_scan": license_sql(), "op3_embedding_dedup": EMBEDDING_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op8_chat_format": CHAT_SQL, "op10_warc": WARC_SQL, "op11_fill_in_middle": FILL_SQL, "op12_spelling_variants": VARIANT_SQL}
