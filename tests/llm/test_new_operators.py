@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_in_middle, spelling_variants
+from tidemark.llm import fill_in_middle, personal_data, spelling_variants
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -150,6 +150,87 @@ def test_spelling_variants_of_generated_and_long_words(spark):
     assert result(spelling_variants.spelling_variants(docs(spark, rows))) == want
 
 
+# 13 ----------------------------------------------------------------------------------------------------------------
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum((2 * int(c) - 9 * (int(c) > 4)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_by_hand(text):
+    out = []
+    for rank, (kind, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else None, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(out)]
+
+
+def card_number(rng, n=16):
+    d = "4" + "".join(map(str, rng.integers(0, 10, n - 2)))
+    return next(d + str(k) for k in range(10) if luhn(d + str(k)))
+
+
+TRICKY = [
+    "a@b.c@d.e", "a@b@c.d", "a@b.c_d@e.f", "x@y", "@.a@b.c.", "é.m@x.yz,q%+-@A-b.c-d..e", "1.2.3.4.5.6.7.8", "256.1.1.1 1.256.1.1", "001.0002.0255.00000255 0000256.1.1.1", "91.2.3.4", "1.2.3", "4 4 4 4 4 4 4 4 4 4 4 4 4 4", "4495589438270767 42.73.240.87",
+    "4495-5894-3827-0767", "4495 5894  3827 0767", "449558943827076", "+1 (864) 555-2588", "+1 (864) 555-2588 4334548892224301", "+1+22222222222", "+1 864 5552588)", "+(1) 2", "++1234567890123", "+12345678901234567", "\U0001f600 +1 (864) 555-2588 é a@b.cd", "1@2.3.4.5 1.1.1.1@a.b", "4495589438270767@x.com",
+    None, "", " ", "@", "+", "1", "1-1", "a@b.c" * 3,
+]
+
+
+def test_personal_data_base_rules(spark):
+    rng = np.random.default_rng(3)
+    pieces = ["a", "b.c", "@", "@d", ".e", ".", " ", "-", "+", "1", "22", "255", "256", ".7", "(", ")", "4495589438270767", "é", "_", "\n", "555", "0"]
+    rows = [(k, t) for k, t in enumerate(TRICKY)] + [(1000 + k, "".join(pieces[j] for j in rng.integers(0, len(pieces), 40))) for k in range(1500)]
+    rows += [(None, TRICKY[7]), (None, None), (3, TRICKY[3]), (3, "other a@b.cd"), (7000, "a" * 1_000_000), (7001, "1 " * 400_000), (7002, "1." * 400_000), (7003, "1.2.3.4 " * 20_000), (7004, "+1 " + " " * 500_000), (7005, "9" * 500_000), (7006, "a@" * 200_000), (7007, "x.y-" * 200_000 + "@b.c")]
+    d = docs(spark, rows).withColumnRenamed("source", "i").withColumnRenamed("lang", "rule").withColumn("start", F.lit("mine"))
+    got = personal_data.personal_data(d).collect()
+    want = Counter((i, *(sum(s.startswith(k) for s in b) for k in PATTERNS), sha(",".join(b))) for i, t in rows for b in [base_by_hand(t)])
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
+    by = {r.doc_id: set(r.spans.split(",")) - {""} for r in got if r.doc_id not in (None, 3)}
+    assert all(set(base_by_hand(t)) <= by[i] for i, t in rows if i in by)
+    assert all(r.n_added == len(set(r.spans.split(",")) - {""}) - r.n_email - r.n_ip - r.n_card - r.n_phone for r in got)
+    none = personal_data.personal_data(d.limit(0))
+    assert none.count() == 0 and none.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
+def test_personal_data_adds_disguised_spans_and_leaves_clean_texts(spark):
+    rng = np.random.default_rng(11)
+    plain = lambda n: " ".join(f"{w}" for w in rng.choice(["the", "at", "of", "meeting", "then", "house", "dot", "call", "once"], n))
+    make = [
+        lambda: f"{rng.choice(['ann', 'bob.k', 'lee_x'])}.{rng.integers(10, 99)}@mail{rng.integers(1, 9)}.example.com", lambda: ".".join(map(str, rng.integers(1, 255, 4))), lambda: card_number(rng), lambda: f"+1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}",
+    ]
+    rows = [(k, f"{plain(12)} {make[k % 4]()} {plain(12)}.") for k in range(1600)]
+    planted = [
+        ("email", "jane.roe (at) example.org"), ("email", "bob [at] mail [dot] example [dot] com"), ("email", "kim.7 at mail dot example dot com"), ("ip", "10[.]20[.]30[.]40"), ("ip", "fe80::1ff:fe23:4567:890a"),
+        ("card", "4495589438270767 42"), ("card", "4495.5894.3827.0767"), ("phone", "(555) 123-4567"), ("phone", "555-123-4567"), ("phone", "+1 (864) 555-2588 4334548892224301"),
+    ]
+    rows += [(5000 + k, f"{plain(9)} {s} {plain(9)}") for k, (_, s) in enumerate(planted)]
+    clean = ["see you at home. Then call", "it was 2024-01-15 at 10:30:45 or so", "version 1.2.3 for 12.50 each, 1,234,567 in all", "order 20240115103045 of 19.10.2023", "cards like 4495.5894.3827.0768 fail", "ip 300[.]1[.]2[.]3 is none", "x @ 3.50 each"]
+    rows += [(6000 + k, f"{plain(9)} {s} {plain(9)}") for k, s in enumerate(clean)]
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in personal_data.personal_data(d).collect()}
+    hit = [kind in {s.split(":")[0] for s in got[5000 + k].spans.split(",")} for k, (kind, _) in enumerate(planted)]
+    assert sum(hit) >= 9, [p for p, h in zip(planted, hit, strict=True) if not h]
+    assert [got[6000 + k].spans for k in range(len(clean))] == [""] * len(clean)
+    assert sum(got[k].n_added for k in range(1600)) <= 2
+    out = {r.doc_id: r for r in personal_data.redact(d.withColumn("i", F.lit(1))).collect()}
+    texts = dict(rows)
+    for i, r in out.items():
+        t, at = texts[i], 0
+        want = ""
+        for s in filter(None, got[i].spans.split(",")):
+            kind, a, b = s.split(":")
+            want, at = want + t[at : int(a)] + f"[{kind.upper()}]", int(b)
+        assert r.text == want + t[at:] and r.i == 1
+
+
 # The registered queries ---------------------------------------------------------------------------------------------
 
 

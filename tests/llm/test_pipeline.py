@@ -83,4 +83,4 @@ def test_run_on_no_documents(spark, tmp_path, monkeypatch):
 
 def test_every_operator_has_one_query():
     names = list(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))

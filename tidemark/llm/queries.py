@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, minhash_dedup, mixing, spelling_variants, token_output, toxicity, warc
+from . import chat_format, decontaminate, embedding_dedup, fill_in_middle, language_id, license_scan, minhash_dedup, mixing, personal_data, spelling_variants, token_output, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -72,6 +72,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     c = f"regexp_replace(lower(t), {quote('(?m)' + license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
@@ -154,7 +158,7 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN g ON f.word = g.word AN
 
 
 def queries() -> dict:
-    named = [op1_license_scan, op2_mixture, op3_embedding_dedup, op4_toxicity, op5_token_output, op6_decontamination, op7_language_id, op8_chat_format, op9_minhash_dedup, op10_warc, op11_fill_in_middle, op12_spelling_variants, decontamination_proximity]
+    named = [op1_license_scan, op2_mixture, op3_embedding_dedup, op4_toxicity, op5_token_output, op6_decontamination, op7_language_id, op8_chat_format, op9_minhash_dedup, op10_warc, op11_fill_in_middle, op12_spelling_variants, op13_personal_data, decontamination_proximity]
     return {f.__name__: f for f in named}
 
 
