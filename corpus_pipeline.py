@@ -19,10 +19,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So null, empty and blank texts go; long ones are read whole, repeated rows are judged alike, no documents give none, and columns
     named as the operator's results keep their values.
     """
-    mine = {"lang_pred": "_lang_pred", "score": "_score"}
-    away = docs.withColumnsRenamed({k: v for k, v in mine.items() if k in docs.columns})
-    found = language_id.identify(away, language_id.learn(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*[F.col(mine.get(c, c)).alias(c) for c in docs.columns])
+    names = [f"c{k}" for k in range(len(docs.columns))]  # no name of the operator's can be among them
+    found = language_id.identify(docs.toDF(*names), language_id.learn(docs), text=names[docs.columns.index("text")])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null lang, source or id count as ''; null and empty texts as one token; rows that tie (equal ids) stay or go together; no
     documents give none.
     """
-    return mixing.mix(docs, mixing.corpus_weights(spark), mixing.corpus_domain()).select(docs.columns)
+    mine = ["doc_id", "text", "lang", "source"]
+    others = [c for c in docs.columns if c not in mine]
+    away = docs.select(*mine, F.struct(F.lit(0), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("others"))  # no name of the operator's can be among them
+    back = {c: F.col(f"others.c{k}") for k, c in enumerate(others)}
+    return mixing.mix(away, mixing.corpus_weights(spark), mixing.corpus_domain()).select(*[back.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

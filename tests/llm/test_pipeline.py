@@ -81,6 +81,26 @@ def test_run_on_no_documents(spark, tmp_path, monkeypatch):
     assert rows == [] and all(s.count() == 0 for s in stages)
 
 
+CLASHES = ["_id", "_h", "_i", "_key", "_last", "key", "row", "order", "r", "i", "h", "c0", "c1", "lang_pred", "_lang_pred", "score", "_score", "lang_spans", "epoch", "_mix_n", "_mix_full", "others", "kept", "component_id", "n_words", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60)
+    d = base.unionByName(base.limit(5)).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, d, SF).collect()
+        assert rows and rows[0].__fields__ == d.columns, name
+        assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, d, SF).count() == 65
+
+
+def test_of_equal_texts_the_same_row_stays(spark):
+    rows = [(1, "one two three four five six", lang, source, None) for lang in ("en", "de") for source in ("b", "a", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = {tuple(corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(r, schema), SF).collect()[0]) for r in (rows, rows[::-1])}
+    assert len(kept) == 1
+
+
 def test_every_operator_has_one_query():
     names = list(queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))

@@ -154,6 +154,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that aren't contaminated, as they are."""
-    bad = marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), items).filter("contaminated").select(F.col("i").alias("_i"), F.col("h").alias("_h")).distinct()
-    return docs.join(bad, (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_i")) & (F.xxhash64(text) == F.col("_h")), "left_anti")
+    """The rows of docs that aren't contaminated, as they are, whatever their columns' names."""
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    bad = marked(d, items).filter("contaminated").select(*DOC).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(f"`{text}`").alias("h"))
+    return rows.join(bad, DOC, "left_anti").select("row.*")

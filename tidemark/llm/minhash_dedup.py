@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, written
@@ -327,15 +327,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     """The rows of docs that stay where of each group of near-duplicates only that with the smallest id does.
 
     Every row takes part: rows with a null id, and those of an id whose text isn't the first of that id's by a hash, have a key of their own
-    beyond all ids, so they yield to rows with ids. Rows equal in id and text are one, of which one stays. Null and empty texts are
-    no duplicates of one another. No documents give none; other columns pass through as they are.
+    beyond all ids, so they yield to rows with ids. Rows equal in id and text are one, of which the first by a hash of the other columns stays. Null and
+    empty texts are no duplicates of one another. No documents give none; columns pass through as they are, whatever their names.
     """
-    h = F.xxhash64(F.col(text))
-    first = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(h).alias("_h"), F.max(h).alias("_last")).filter("_h <> _last").drop("_last")
+    h = F.xxhash64("text")
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (text, id_col) and "map<" not in kind]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text}`").alias("text"), F.xxhash64(*others or [F.lit(0)]).alias("order"))
+    first = d.filter("i is not null").groupBy("i").agg(F.min(h).alias("h"), F.max(h).alias("last")).filter("h <> last").drop("last")
     first = written(first, "shared-ids")  # a row per id that has several texts; broadcast within a bound, so that texts stay where they are
     first = F.broadcast(first) if 16 * first.count() <= BROADCAST_BYTES else first
-    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(11), id_col, text), 2)
-    keyed = docs.join(first, F.col(id_col).cast("long") == F.col("_id"), "left")
-    keyed = keyed.withColumn("_key", F.when(F.col(id_col).isNull() | (h != F.col("_h")), own).otherwise(F.col(id_col).cast("long"))).drop("_id", "_h")
-    kept = near_duplicates(keyed, width, percent, text, "_key").filter("kept").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.lit(11), "i", "text"), 2)
+    keyed = d.join(first, "i", "left").withColumn("key", F.when(F.col("i").isNull() | (h != F.col("h")), own).otherwise(F.col("i")))
+    kept = near_duplicates(keyed, width, percent, "text", "key").filter("kept").select(F.col("doc_id").alias("key"))
+    one = Window.partitionBy("key").orderBy("order")
+    return keyed.select("key", "row", "order").join(kept, "key", "left_semi").withColumn("r", F.row_number().over(one)).filter("r = 1").select("row.*")
