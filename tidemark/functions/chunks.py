@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,21 +21,23 @@ def pieces(text: str, size: int = SIZE, least: int = LEAST, overlap: int = OVERL
     White space at either end goes; a blank text has no piece. A piece ends after the last sentence end from `least` characters on, else at
     `size`. A last piece shorter than `least` joins the one before it where both fit `size`.
     """
-    text, cuts, start = text.strip(), [], 0
-    while start < len(text):
-        stop = start + size
-        if stop < len(text):
-            ends = [text.rfind(c, start + least, stop) for c in ENDERS]
-            stop = max(ends) + 1 or stop
-        cuts.append((start, min(stop, len(text))))
-        if stop >= len(text):
-            break
-        start = stop - overlap
-    if len(cuts) > 1:
-        (a, _), (c, d) = cuts[-2:]
-        if d - c < least and d - a <= size:
-            cuts[-2:] = [(a, d)]
-    return [text[a:b] for a, b in cuts]
+    text = text.strip()
+    ends = [m.end() for m in re.finditer(f"[{ENDERS}]", text)]
+
+    def stop(start: int) -> int:
+        full = start + size
+        if full >= len(text):
+            return len(text)
+        last = bisect_right(ends, full) - 1  # the last sentence end within reach, if it isn't too near
+        return ends[last] if last >= 0 and ends[last] > start + least else full
+
+    stops = [stop(0)]
+    while stops[-1] < len(text):
+        stops.append(stop(stops[-1] - overlap))
+    starts = [0, *(s - overlap for s in stops[:-1])]
+    if len(stops) > 1 and stops[-1] - starts[-1] < least and stops[-1] - starts[-2] <= size:
+        del stops[-2], starts[-1]
+    return [text[a:b] for a, b in zip(starts, stops, strict=True) if b]
 
 
 def split_texts(docs: DataFrame, key: str, text: str) -> DataFrame:

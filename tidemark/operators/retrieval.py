@@ -76,27 +76,6 @@ def vector_topk(vectors: DataFrame, questions: DataFrame, key: str = "vec_id", k
     return reduce(DataFrame.unionByName, [top(p, key, k) for p in cosine_pairs(vectors, questions, key, block)])
 
 
-def sign_codes(vector: Column, bits: int) -> Column:
-    """A code for every `bits` components: their place and signs. Vectors of a small angle share many."""
-    sign = lambda x: F.when(x >= 0, "1").otherwise("0")
-    parts = F.sequence(F.lit(0), F.floor(F.size(vector) / bits).cast("int") - 1)
-    return F.transform(parts, lambda t: F.concat(t.cast("string"), F.lit(":"), F.array_join(F.transform(F.slice(vector, t * bits + 1, bits), sign), "")))
-
-
-def sign_index(vectors: DataFrame, bits: int, key: str = "vec_id") -> DataFrame:
-    """(code, key): an index of every vector by the signs of its components, `bits` at a time."""
-    return vectors.select(key, F.explode(sign_codes(F.col("embedding"), bits)).alias("code"))
-
-
-def index_topk(index: DataFrame, vectors: DataFrame, questions: DataFrame, bits: int, key: str = "vec_id", k: int = 10) -> DataFrame:
-    """(qid, key, score, rank): the best k by cosine among the vectors that share a code with the question. More bits: fewer candidates, less recall."""
-    asked = questions.select("qid", F.explode(sign_codes(F.col("embedding"), bits)).alias("code"))
-    met = index.join(asked, "code").select("qid", key).distinct()
-    v = vectors.select(key, normalised(F.col("embedding").cast("array<double>")).alias("v"))
-    q = questions.select("qid", normalised(F.col("embedding").cast("array<double>")).alias("qv"))
-    return top(met.join(v, key).join(q, "qid").select("qid", key, F.round(dot(F.col("v"), F.col("qv")), 6).alias("score")), key, k)
-
-
 def rrf(lexical: DataFrame, vector: DataFrame, key: str, weights: tuple[float, float] = (0.6, 0.4), k: int = 60, limit: int = CANDIDATES) -> DataFrame:
     """Weighted reciprocal rank fusion of two ranked lists; a side without the row adds nothing; order by score, then key."""
     a = lexical.select("qid", key, F.col("rank").alias("lexical_rank"))
@@ -220,11 +199,3 @@ def containing(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> Da
     met = met.unionByName(short.crossJoin(docs.select(key)))
     found = met.join(docs.select(key, "text"), key).join(q.select("qid", "question"), "qid")
     return found.filter(F.col("text").contains(F.col("question"))).select("qid", key)
-
-
-def index_recall(approximate: DataFrame, exact: DataFrame, key: str) -> DataFrame:
-    """(recall, n): mean share of each question's exact hits that the index found; without questions 1."""
-    e = exact.select("qid", key).distinct()
-    a = approximate.select("qid", key, F.lit(1).alias("hit")).distinct()
-    per = e.join(a, ["qid", key], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("r"))
-    return per.agg(F.round(F.coalesce(F.avg("r"), F.lit(1.0)), 6).alias("recall"), F.count("*").alias("n"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .textops import NARROW, WIDE, numbers
 
-# Characters that change what a number means (scales and signs, denials, periods, currencies).
-CRITICAL = "亿万千百十元%‰增减升降涨跌负亏盈零〇一二三四五六七八九两不未无非否同环末初美港欧日"
+# Characters that change what a number means (scales and signs, denials, periods, currencies, comparisons and directions).
+CRITICAL = "亿万千百十元%‰增减升降涨跌负亏盈零〇一二三四五六七八九两不未无非否同环末初美港欧日≥≤<>▲▼△▽↑↓±"
 
 
 def critical_violations(texts: DataFrame, key: str, structured: str, source: str) -> DataFrame:
@@ -149,29 +149,34 @@ SYSTEMS = {
     "decimal3": r"^[0-9]{1,2}\.[0-9]{1,2}\.([0-9]{1,2})(?:\s+[^\s]|[^0-9.\s])", "decimal2": r"^[0-9]{1,2}\.([0-9]{1,2})(?:\s+[^\s]|[^0-9.\s])",
     "arabic": r"^([0-9]{1,2})[、．.](?:\s+[^\s]|[^0-9\s])", "arabic_paren": r"^[（(]([0-9]{1,2})[）)]\s*[^\s]",
 }
+#: Systems whose numbers may as well begin an amount.
+AMOUNTS = ("decimal3", "decimal2", "arabic")
 KEYWORD = f"^(?:(?:特别提示|重要提示|重要内容提示|释义|目录|备查文件目录|备查文件|风险提示)[：:]?|附件[一二三四五六七八九十0-9]{{0,3}}(?:[：:].{{0,30}})?)$"
-NUMBER_WITH_UNIT = r"^[0-9]{1,2}(?:\.[0-9]{1,2}){0,2}[、．.]?\s*(?:%|％|‰|倍|亿|万|元|股|个百分点)"
+# Units that make a number an amount: of one character, of several, and of one that also begins words, so no letter of a word may follow.
+UNIT, UNIT_WORDS, UNIT_OR_WORD = "亿万千百元%％倍个家人台年月日", "美元|港元|港币|日元|欧元|万股|亿股|万吨|万手|bp", "股吨次项点手户"
+NUMBER_WITH_UNIT = rf"^[0-9]{{1,2}}(?:\.[0-9]{{1,2}}){{0,2}}[、．.]?\s*(?:[{UNIT}]|{UNIT_WORDS}|[{UNIT_OR_WORD}](?:[^一-鿿]|$))"
 
 
-def cn_numeral(c: Column) -> Column:
-    """One to ninety-nine; null for anything else."""
-    digit = lambda x: F.when(x.isin("零", "〇"), 0).when((F.length(x) == 1) & (F.instr(F.lit(NUMERALS), x) > 0), F.instr(F.lit(NUMERALS), x))
-    tens, ones = F.split_part(c, F.lit("十"), F.lit(1)), F.split_part(c, F.lit("十"), F.lit(2))
-    return F.when(c.contains("十"), F.when(tens == "", 1).otherwise(digit(tens)) * 10 + F.when(ones == "", 0).otherwise(digit(ones))).otherwise(digit(c))
+def numeral(c: Column) -> Column:
+    """Decimal digits of one place or two, or one to ninety-nine in Chinese numerals; null for anything else."""
+    plain = F.translate(c, NUMERALS + "零〇", "12345678900")
+    by_place = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "^十", "1十"), "十$", "0"), "十", "")
+    written = c.rlike("^[0-9]{1,2}$") | c.rlike(f"^(?:[{NUMERALS}零〇]|[{NUMERALS}零〇]?十[{NUMERALS}零〇]?)$")
+    return F.when(written, by_place.cast("int"))
 
 
 def numbering(text: Column) -> tuple[Column, Column]:
-    """(system, ordinal) of a heading's number; nulls where there is none, or where the number is an amount with its unit. A keyword heading has ordinal 0."""
+    """(system, ordinal) of a heading's number; nulls where there is none, or where the number is an amount with its unit. A keyword heading has ordinal 0.
+
+    The first rule whose pattern fits decides: each is a struct of its name, whether the text fits, its number, and whether an amount would fit it too.
+    """
     s = F.regexp_replace(text, r"^\s+|\s+$", "")
-    system = F.when(s.rlike(KEYWORD), "keyword")
-    ordinal = F.when(s.rlike(KEYWORD), 0)
-    for name, p in SYSTEMS.items():
-        found = F.regexp_extract(s, p, 1)
-        n = cn_numeral(found) if name in ("chapter", "section", "cn", "cn_paren") else found.try_cast("int")
-        amount = s.rlike(NUMBER_WITH_UNIT) if name in ("decimal3", "decimal2", "arabic") else F.lit(False)
-        system = system.when(s.rlike(p), F.when(~amount & n.isNotNull(), name))
-        ordinal = ordinal.when(s.rlike(p), F.when(~amount, n))
-    return system, ordinal
+    amount = s.rlike(NUMBER_WITH_UNIT)
+    rule = lambda name, fits, n, barred: F.struct(F.lit(name).alias("system"), fits.alias("fits"), n.alias("ordinal"), barred.alias("barred"))
+    rules = [rule("keyword", s.rlike(KEYWORD), F.lit(0), F.lit(False))] + [rule(k, s.rlike(p), numeral(F.regexp_extract(s, p, 1)), amount if k in AMOUNTS else F.lit(False)) for k, p in SYSTEMS.items()]
+    first = F.get(F.filter(F.array(*rules), lambda r: r["fits"]), F.lit(0))
+    known = ~first["barred"] & first["ordinal"].isNotNull()
+    return F.when(known, first["system"]), F.when(known, first["ordinal"])
 
 
 # What a question must not say (it must stand alone, and ask for no advice), and what titles say.

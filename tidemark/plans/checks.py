@@ -162,13 +162,13 @@ def snapshot_replay(spark, sf):
 # Checks ------------------------------------------------------------------------------------------------------------
 
 
-@query("critical_characters", f"""WITH t AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '净利润同比增加１.2亿元，亏损减少' WHEN 1 THEN '不含税 3%' WHEN 2 THEN '增增减' ELSE p_name END AS a, CASE p_size % 3 WHEN 0 THEN '净利润同比增加1.2亿元' WHEN 1 THEN '含税3％ 不' ELSE '减增 增增' END AS b FROM part),
-x AS (SELECT id, 1 AS w, unnest(string_split(translate(a, '{tx.WIDE}', '{tx.NARROW}'), '')) AS ch FROM t UNION ALL SELECT id, -1, unnest(string_split(translate(b, '{tx.WIDE}', '{tx.NARROW}'), '')) FROM t), v AS (SELECT id, ch FROM x WHERE ch <> '' AND contains('{vf.CRITICAL}', ch) GROUP BY id, ch HAVING sum(w) > 0)
+@query("critical_characters", f"""WITH t AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '净利润同比增加１.2亿元，亏损减少' WHEN 1 THEN '不含税 3% ≥5 ↑▲' WHEN 2 THEN '增增减 ±<2>' ELSE p_name END AS a, CASE p_size % 3 WHEN 0 THEN '净利润同比增加1.2亿元 ≤5 ↓▼' WHEN 1 THEN '含税3％ 不 △▽' ELSE '减增 增增 <1>' END AS b FROM part),
+x AS (SELECT id, 1 AS w, unnest(string_split(translate(a, '{tx.WIDE}', '{tx.NARROW}'), '')) AS ch FROM t UNION ALL SELECT id, -1, unnest(string_split(translate(b, '{tx.WIDE}', '{tx.NARROW}'), '')) FROM t), v AS (SELECT id, ch FROM x WHERE ch <> '' AND contains('亿万千百十元%‰增减升降涨跌负亏盈零〇一二三四五六七八九两不未无非否同环末初美港欧日≥≤<>▲▼△▽↑↓±', ch) GROUP BY id, ch HAVING sum(w) > 0)
 SELECT t.id, coalesce(string_agg(ch, '' ORDER BY encode(ch)), '') AS violations FROM t LEFT JOIN v ON t.id = v.id GROUP BY t.id""")
 def critical_characters(spark, sf):
     s = F.col("p_size")
-    a = F.when(s % 4 == 0, "净利润同比增加１.2亿元，亏损减少").when(s % 4 == 1, "不含税 3%").when(s % 4 == 2, "增增减").otherwise(F.col("p_name"))
-    b = F.when(s % 3 == 0, "净利润同比增加1.2亿元").when(s % 3 == 1, "含税3％ 不").otherwise("减增 增增")
+    a = F.when(s % 4 == 0, "净利润同比增加１.2亿元，亏损减少").when(s % 4 == 1, "不含税 3% ≥5 ↑▲").when(s % 4 == 2, "增增减 ±<2>").otherwise(F.col("p_name"))
+    b = F.when(s % 3 == 0, "净利润同比增加1.2亿元 ≤5 ↓▼").when(s % 3 == 1, "含税3％ 不 △▽").otherwise("减增 增增 <1>")
     t = src.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), a.alias("a"), b.alias("b"))
     return vf.critical_violations(t, "id", "a", "b").select("id", F.array_join("violations", "").alias("violations"))
 
@@ -275,8 +275,8 @@ def validate_chunks(spark, sf):
     return vf.chunk_violations(d, d.select("doc_id").distinct().withColumn("page_count", F.lit(4)))
 
 
-HEADINGS = ["第一章 总则", "第十二节 管理层讨论", "二十一、重大事项", "（三）主要会计数据", "(九) 无", "1.2.3 研发投入", "3.5亿元", "3.5 营业收入", "1.5倍", "12、存货", "2.3", "（4）应收账款", "特别提示：", "附件三：名单", "第百章", "十、", "1. 概述", "10.25 其他", "正文 1.2", "  五．收入", "3.万元", "目录"]
-NO_AMOUNT = f"NOT regexp_matches(s, '{vf.NUMBER_WITH_UNIT}')"
+HEADINGS = ["第一章 总则", "第十二节 管理层讨论", "二十一、重大事项", "（三）主要会计数据", "(九) 无", "1.2.3 研发投入", "3.5亿元", "3.5 营业收入", "1.5倍", "12、存货", "2.3", "（4）应收账款", "特别提示：", "附件三：名单", "第百章", "十、", "1. 概述", "10.25 其他", "正文 1.2", "  五．收入", "3.万元", "目录", "3.5年", "1.2 美元", "2.1 股东情况", "2.1 股", "4.2 点", "4.2 点评", "1.3 万股", "12 次要事项", "7、次", "2.4 bp"]
+NO_AMOUNT = "NOT regexp_matches(s, '^[0-9]{1,2}([.][0-9]{1,2}){0,2}[、．.]?[ ]*([亿万千百元%％倍个家人台年月日]|美元|港元|港币|日元|欧元|万股|亿股|万吨|万手|bp|[股吨次项点手户]([^一-鿿]|$))')"
 SYSTEM_SQL = "CASE WHEN regexp_matches(s, '{k}') THEN 'keyword' ".format(k=vf.KEYWORD) + " ".join(f"WHEN regexp_matches(s, '{p}') THEN CASE WHEN {NO_AMOUNT if n in ('decimal3', 'decimal2', 'arabic') else 'true'} AND n_{n} IS NOT NULL THEN '{n}' END" for n, p in vf.SYSTEMS.items()) + " END"
 ORDINAL_SQL = "CASE WHEN regexp_matches(s, '{k}') THEN 0 ".format(k=vf.KEYWORD) + " ".join(f"WHEN regexp_matches(s, '{p}') THEN CASE WHEN {NO_AMOUNT if n in ('decimal3', 'decimal2', 'arabic') else 'true'} THEN n_{n} END" for n, p in vf.SYSTEMS.items()) + " END"
 DIGIT = f"CASE WHEN {{x}} IN ('零', '〇') THEN 0 WHEN length({{x}}) = 1 AND instr('{vf.NUMERALS}', {{x}}) > 0 THEN instr('{vf.NUMERALS}', {{x}}) END"
@@ -293,12 +293,14 @@ def numbering_classifier(spark, sf):
     return h.select("id", system.alias("system"), ordinal.cast("int").alias("ordinal"))
 
 
-@query("question_hygiene", f"WITH q AS (SELECT item_id, trim(CASE item_id % 5 WHEN 0 THEN substr(text, 1, 90) || '？' WHEN 1 THEN text || '?' WHEN 2 THEN '该公司' || substr(text, 1, 50) || '?' WHEN 3 THEN substr(text, 1, 50) || ' 目标价?' ELSE text END) AS q FROM benchmark) SELECT item_id, regexp_matches(q, '[？?]$') AND length(q) BETWEEN 8 AND 120 AND NOT regexp_matches(q, '{vf.DEICTIC}') AND NOT regexp_matches(q, '{vf.ADVICE}') AS ok FROM q")
+@query("question_hygiene", """WITH q AS (SELECT 'benchmark' AS kind, item_id AS id, trim(text || '?') AS q FROM benchmark UNION ALL SELECT 'part', p_partkey, trim(CASE p_partkey % 5 WHEN 0 THEN p_name || '？' WHEN 1 THEN p_name || ' ?' WHEN 2 THEN '该公司' || p_name || '?' WHEN 3 THEN p_name || ' 目标价?' ELSE p_name END) FROM part)
+SELECT kind, id, regexp_matches(q, '[？?]$') AND length(q) BETWEEN 8 AND 120 AND NOT regexp_matches(q, '这份|该公司|该报告|本公司|本期报告|上述|该文') AND NOT regexp_matches(q, '买入|卖出|增持|减持|推荐|目标价|评级|建议配置|仓位') AS ok FROM q""")
 def question_hygiene(spark, sf):
-    k = F.col("item_id") % 5
-    head = lambda n: F.substring("text", 1, n)
-    q = F.when(k == 0, F.concat(head(90), F.lit("？"))).when(k == 1, F.concat("text", F.lit("?"))).when(k == 2, F.concat(F.lit("该公司"), head(50), F.lit("?"))).when(k == 3, F.concat(head(50), F.lit(" 目标价?"))).otherwise(F.col("text"))
-    return src.table(spark, sf, "benchmark").select("item_id", vf.good_question(q).alias("ok"))
+    """Whole benchmark texts as questions, and questions about whole part names that end, point or advise in each way."""
+    k = F.col("p_partkey") % 5
+    q = F.when(k == 0, F.concat("p_name", F.lit("？"))).when(k == 1, F.concat("p_name", F.lit(" ?"))).when(k == 2, F.concat(F.lit("该公司"), "p_name", F.lit("?"))).when(k == 3, F.concat("p_name", F.lit(" 目标价?"))).otherwise(F.col("p_name"))
+    items = src.table(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), vf.good_question(F.concat("text", F.lit("?"))).alias("ok"))
+    return items.unionByName(src.table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), vf.good_question(q).alias("ok")))
 
 
 TITLES = ["2024年年度报告", "2024年年度报告摘要", "2024年第一季度报告", "2024年半年度报告的更正公告", "2024年半年度报告摘要（修订版）", "2024年度业绩预告", "年度报告（英文版）", "关于取消股东大会的公告", "2024年年度报告提示性公告", "董事会决议公告"]

@@ -79,11 +79,11 @@ def asof_latest_derivation(spark, sf):
     return bt.latest(src.doc_block(spark, sf), ["doc_type", "source", "page"], F.desc("block_id")).select("doc_type", "source", "page", "block_id")
 
 
-POLICY = """policy AS (SELECT p_partkey AS policy_id, CASE WHEN p_size % 7 <> 0 THEN p_brand END AS brand, p_type AS tier, TIMESTAMP '2024-01-01' + to_days(p_size) AS known_at FROM part WHERE p_size < 20)"""
+POLICY = """policy AS (SELECT p_partkey AS policy_id, CASE WHEN p_size % 7 <> 0 THEN p_brand END AS brand, p_type AS tier, TIMESTAMP '2024-01-01' + to_days(p_size) AS known_at FROM part)"""
 
 
 def policies(spark, sf):
-    p = src.table(spark, sf, "part").filter("p_size < 20")
+    p = src.table(spark, sf, "part")
     return p.select(F.col("p_partkey").alias("policy_id"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("brand"), F.col("p_type").alias("tier"), F.timestamp_seconds(F.lit(1704067200) + F.col("p_size") * 86400).alias("known_at"))
 
 

@@ -9,6 +9,7 @@ from ..operators import bitemporal as bt
 from ..operators import quality as ql
 from ..operators import retrieval as rt
 from ..operators import textops as tx
+from ..operators import vector_index as vi
 from ..sources import projections as src
 from ..sources.projections import ANNOUNCEMENT, BLOCK, DOCUMENT, PRICE, QUALITY, day_text, stamp
 
@@ -135,12 +136,13 @@ def rerank_overlap(spark, sf):
     return rt.rerank(c, "doc_id").select("qid", "doc_id", "rerank_score", "rerank_rank")
 
 
-@query("expand_evidence", f"""WITH {BM25}, {DOCUMENT}, {BLOCK}, t AS (SELECT qid, rank, block_id AS child_id, doc_id || '/' || page AS parent_id FROM lex JOIN doc_block USING (doc_id) WHERE rank <= 10 AND (ordinal = 0 OR ordinal = 45)), g AS (SELECT qid, parent_id, min(rank) AS position, arg_min(child_id, rank) AS cited, count(*) AS n_hits FROM t GROUP BY ALL),
+@query("expand_evidence", f"""WITH {BM25}, {DOCUMENT}, {BLOCK}, t AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, doc_id, ordinal) AS rank, block_id AS child_id, doc_id || '/' || page AS parent_id FROM lex JOIN doc_block USING (doc_id) WHERE rank <= 10), g AS (SELECT qid, parent_id, min(rank) AS position, arg_min(child_id, rank) AS cited, count(*) AS n_hits FROM t GROUP BY ALL),
 p AS (SELECT doc_id || '/' || page AS parent_id, string_agg(content, chr(10) || chr(10) ORDER BY ordinal) AS content FROM doc_block GROUP BY ALL) SELECT qid, parent_id, position, cited, n_hits, sha256(content) AS digest FROM g JOIN p USING (parent_id)""")
 def expand_evidence(spark, sf):
-    """The hits are a document's first block and its 46th, the parents its pages of 40 blocks."""
+    """The hits are all blocks of a question's ten best documents, the parents their pages."""
     b = src.doc_block(spark, sf).withColumn("parent_id", F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("page").cast("string")))
-    hits = lexical(spark, sf).filter("rank <= 10").join(b.filter("ordinal = 0 or ordinal = 45").select("doc_id", F.col("block_id").alias("child_id"), "parent_id"), "doc_id")
+    hits = lexical(spark, sf).filter("rank <= 10").join(b.select("doc_id", "ordinal", F.col("block_id").alias("child_id"), "parent_id"), "doc_id")
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "doc_id", "ordinal")))
     return rt.expand(hits, b.select("parent_id", F.col("block_id").alias("child_id"), "ordinal", "content")).select("qid", "parent_id", "position", "cited", "n_hits", F.sha2("content", 256).alias("digest"))
 
 
@@ -167,15 +169,30 @@ def term_count_search(spark, sf):
     return corpus(spark, sf).select("doc_id", rt.term_count(F.col("text"), ["tion", "und"]).alias("score"))
 
 
-CODES = "list_transform(range(0, len({e}) // 3), lambda t: t || ':' || array_to_string(list_transform(list_slice({e}, t * 3 + 1, t * 3 + 3), lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), ''))"
+@query("index_topk", f"WITH {VEC} SELECT qid, vec_id, score, rank FROM vec WHERE rank <= 10")
+def index_topk(spark, sf):
+    return vi.search(vi.build(src.table(spark, sf, "embeddings")), vector_questions(spark, sf))[0]
 
 
-@query("index_recall", f"""WITH {VEC}, c AS (SELECT vec_id, unnest({CODES.format(e='e')}) AS code FROM v), m AS (SELECT DISTINCT q.vec_id AS qid, c.vec_id FROM c JOIN c q ON c.code = q.code WHERE q.vec_id % 100 = 0),
-ap AS (SELECT qid, vec_id FROM (SELECT vs.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM vs JOIN m USING (qid, vec_id)) WHERE r <= 10), ex AS (SELECT qid, vec_id FROM vec WHERE rank <= 10)
-SELECT round(coalesce(avg(r), 1.0), 6) AS recall, count(*) AS n FROM (SELECT ex.qid, count(ap.vec_id) / count(*) AS r FROM ex LEFT JOIN ap ON ex.qid = ap.qid AND ex.vec_id = ap.vec_id GROUP BY ex.qid)""")
+@query("index_filtered_topk", f"WITH {VEC}, f AS (SELECT qid, vs.vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vs.vec_id) AS rank FROM vs JOIN embeddings USING (vec_id) WHERE label = 3 OR vec_id % 20 = 7) SELECT * FROM f WHERE rank <= 10")
+def index_filtered_topk(spark, sf):
+    """A filter that few vectors pass and the index doesn't know: it is asked deeper until ten of each question survive."""
+    v = src.table(spark, sf, "embeddings")
+    return vi.filtered_search(vi.build(v), vector_questions(spark, sf), v.filter("label = 3 or vec_id % 20 = 7"))
+
+
+@query("index_recall", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v),
+s AS (SELECT vec_id, e, list_max(list_transform(e, lambda x: abs(x))) / 127 AS scale FROM u), c AS (SELECT *, list_transform(e, lambda x: floor(x / scale + 0.5)) AS code FROM s),
+b AS (SELECT vec_id, e, scale, code, sqrt(list_sum(list_transform(list_zip(e, code), lambda z: (z[1] - z[2] * scale) ** 2))) AS err FROM c),
+p AS (SELECT q.vec_id AS qid, b.vec_id, list_inner_product(b.code, q.e) * b.scale AS s, b.err FROM b, u q WHERE q.vec_id % 100 = 0),
+t AS (SELECT qid, s - err AS bar FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s - err DESC) = 10), n AS (SELECT p.qid, count(*) AS n FROM p JOIN t ON p.qid = t.qid WHERE s + err >= bar - 0.000002 GROUP BY 1)
+SELECT 1.0 AS recall, count(*) AS n, round(avg(n / (SELECT count(*) FROM v)), 4) AS share FROM n""")
 def index_recall(spark, sf):
+    """Of the ten best by exact scan all are found; the SQL counts the candidates by the same bounds, as no cell of these vectors can be skipped."""
     v, q = src.table(spark, sf, "embeddings"), vector_questions(spark, sf)
-    return rt.index_recall(rt.index_topk(rt.sign_index(v, 3), v, q, 3), rt.vector_topk(v, q, k=10), "vec_id")
+    index = vi.build(v)
+    found, compared = vi.search(index, q)
+    return vi.recall(index, found, compared, rt.vector_topk(v, q, k=10))
 
 
 GOLD = "gold AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
