@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import checks, flow, pit, search, texts
+from . import checks, flow, ordered, pit, search, texts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (pit, search, texts, flow, checks):
+for part in (pit, search, texts, flow, checks, ordered):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
