@@ -11,6 +11,8 @@ from ..operators import tables as tb
 from ..sources import projections as src
 from ..sources import seeds
 from ..sources.projections import ANNOUNCEMENT, BLOCK, DOCUMENT, PRICE, QUALITY, day_text, stamp
+from ..sources.shared import shared_folder
+from ..streaming import commits, late
 from ..streaming import events as ev
 
 QUERIES: dict = {}
@@ -303,11 +305,28 @@ def table_backfill(spark, sf):
     return tb.backfill(g, b, "doc_id")
 
 
-@query("stream_corrections", """WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, ts, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events),
-r AS (SELECT user_id, event_type, event_id, k, 'inserted' AS outcome, ts AS ht, value AS hv FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.k, CASE WHEN abs(hv - o.value) < 1e-9 THEN 'skipped' WHEN o.ts > ht THEN 'corrected' ELSE 'out_of_order' END, CASE WHEN abs(hv - o.value) >= 1e-9 AND o.ts > ht THEN o.ts ELSE ht END, CASE WHEN abs(hv - o.value) >= 1e-9 AND o.ts > ht THEN o.value ELSE hv END FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.k = r.k + 1)
+@query("stream_corrections", f"""WITH RECURSIVE o AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 5 = 0 THEN ts - INTERVAL 3 DAY ELSE ts END AS known, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE ts < {CLOSED}),
+r AS (SELECT user_id, event_type, event_id, k, 'inserted' AS outcome, known AS ht, value AS hv FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_type, o.event_id, o.k, CASE WHEN abs(hv - o.value) < 1e-9 THEN 'skipped' WHEN o.known > ht THEN 'corrected' ELSE 'out_of_order' END, CASE WHEN abs(hv - o.value) >= 1e-9 AND o.known > ht THEN o.known ELSE ht END, CASE WHEN abs(hv - o.value) >= 1e-9 AND o.known > ht THEN o.value ELSE hv END FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.k = r.k + 1)
 SELECT user_id, event_id, outcome FROM r""")
 def stream_corrections(spark, sf):
-    return ev.run_to_end(ev.corrections(stream(spark, sf)))
+    """Every fifth value was known three days before it came."""
+    s = stream(spark, sf).withColumn("known", F.when(F.col("event_id") % 5 == 0, F.col("ts") - F.expr("INTERVAL 3 DAYS")).otherwise(F.col("ts")))
+    return ev.run_to_end(late.corrections(s), late.ROCKS)
+
+
+@query("committed_watermark", "SELECT count(*) AS rows, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS high FROM events")
+def committed_watermark(spark, sf):
+    """The events as a stream, loaded batch by batch, each committed after it is written."""
+    folder = shared_folder(spark)
+    commits.load(ev.event_stream(spark, f"{sf}/events.parquet"), folder, "ts")
+    return commits.watermark(spark, folder, "timestamp").select("rows", stamp("high").alias("high"))
+
+
+@query("cursor_ticks", "SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // greatest(50, (SELECT count(*) FROM customer) // 5) AS BIGINT) AS batch FROM customer")
+def cursor_ticks(spark, sf):
+    """Customers beyond a cursor, so many a tick, until none is left; fifty at the least, and a fifth of a larger table."""
+    c = src.table(spark, sf, "customer").select("c_custkey")
+    return commits.drain(c, "c_custkey", shared_folder(spark), max(50, c.count() // 5), lambda rows: rows).select("c_custkey", "batch")
 
 
 @query("seed_validation", "SELECT n_nationkey AS id, concat_ws(',', CASE WHEN length(n_name) < 5 THEN 'short_name' END, CASE WHEN n_regionkey > 3 THEN 'unknown_region' END) AS problems FROM nation")

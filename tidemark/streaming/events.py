@@ -1,4 +1,4 @@
-"""Structured Streaming over the events table: windows with watermarks, sessions, deduplication, and late corrections.
+"""Structured Streaming over the events table: windows with watermarks, sessions and deduplication.
 
 Each query runs to the end of what is there (availableNow), into Parquet in the shared folder, and returns what was
 written: a batch answer that a running stream would give as well. Only windows that the watermark has closed appear.
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_folder
 
 DELAY = "2 hours"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,8 +25,19 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", DELAY)
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
+def run_to_end(stream: DataFrame, provider: str | None = None) -> DataFrame:
+    """What the stream has written once it has read all there is. A provider of the state store is set for this query alone."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    before = spark.conf.get(PROVIDER)
+    if provider:
+        spark.conf.set(PROVIDER, provider)
+    try:
+        return to_end(stream, spark, folder)
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def to_end(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
@@ -46,41 +58,3 @@ def sessions(stream: DataFrame, gap: str) -> DataFrame:
 def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The first of equal events within the watermark. State is dropped as the watermark passes."""
     return stream.dropDuplicatesWithinWatermark(keys)
-
-
-def corrections(stream: DataFrame, horizon_days: int = 90) -> DataFrame:
-    """(user_id, event_id, outcome) of a stream of values per user and type: inserted, skipped, corrected, or out_of_order when known no later than what is held.
-
-    State is one value per key, kept between batches; within a batch rows count in order of event_id. A key that has been silent for
-    horizon_days of event time is forgotten as the watermark passes, and begins anew with its next value.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else None
-        out = []
-        for pdf in batches:
-            for r in pdf.sort_values("event_id").itertuples():
-                at = r.ts.value // 1000
-                if held is None:
-                    outcome = "inserted"
-                elif abs(held[1] - r.value) < 1e-9:
-                    outcome = "skipped"
-                elif at > held[0]:
-                    outcome = "corrected"
-                else:
-                    outcome = "out_of_order"
-                if outcome in ("inserted", "corrected"):
-                    held = (at, float(r.value))
-                out.append((r.user_id, r.event_id, outcome))
-        if held is not None:
-            state.update(held)
-            state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + horizon_days * 86_400_000)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "outcome"])
-
-    s = stream.select("user_id", "event_type", "event_id", "ts", "value")
-    return s.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_id long, outcome string", "at long, value double", "append", GroupStateTimeout.EventTimeTimeout)
