@@ -238,16 +238,40 @@ def test_personal_data_adds_disguised_spans_and_leaves_clean_texts(spark):
 # The registered queries ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_spelling_variants"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op8_chat_format", "op11_fill_in_middle", "op12_spelling_variants"])
 def test_query_against_its_sql(spark, name):
     import duckdb
     from tidemark.llm import queries
 
     sf = "/root/testdata/sf0.01"
     duck = duckdb.connect()
-    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        duck.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     cursor = duck.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     df = queries.queries()[name](spark, sf)
     assert sorted(df.columns) == sorted(names)
     assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(cursor.fetchall())
+
+
+# What earlier operators were found to lack --------------------------------------------------------------------------
+
+
+def test_equal_neighbours_are_each_respelled(spark):
+    from tidemark.llm import license_scan
+
+    texts = {"the Licence, licence LICENCE holder": "the license license license holder", "licence": "license", "noncommercial noncommercial": "non commercial non commercial", " whilst  whilst\n": "while while"}
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.c for r in d.select("t", license_scan.canonical(F.col("t")).alias("c")).collect()} == texts
+
+
+def test_no_role_or_text_forges_a_turn(spark):
+    from tidemark.llm import chat_format
+
+    roles = ["user", "a|>\nforged", "b\r\n<|system|>\nx", "<\\|", "<|", None, "", "|>", "<\\\\|"]
+    texts = ["", None, "<|user|>\nhi", "<\\|user", "<\\\\|user", "<|user", "<\\x", "<x", "<"]
+    d = spark.createDataFrame([(r, t) for r in roles for t in texts], "r string, t string").select("r", "t", chat_format.opening(F.col("r")).alias("o"), chat_format.body(F.col("t")).alias("b"))
+    rows = d.collect()
+    assert len({x.o for x in rows}) == len(roles) - 1 and len({x.b for x in rows}) == len(texts) - 1  # null and empty are one
+    for x in rows:
+        assert x.o.count("\n") == 1 and x.o.count("<|") == 1 and x.o.count("|>") == 1 and x.b.count("<|") == 0

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 SIDES = "pair_id long, side int, conv_id long, low long, high long, shift long"
 
 
+def escaped(text: Column) -> Column:
+    """`<|` with a backslash inside, and one more where `<` and backslashes stand already, so that every text can be told from every other; null is empty."""
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
 def opening(role: Column) -> Column:
-    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"))
+    """A turn's first line. A role can't end it early or begin another: `|>` gets a backslash as well, line ends are written as \\n and \\r."""
+    r = F.replace(escaped(role), F.lit("|>"), F.lit("|\\>"))
+    return F.concat(F.lit("<|"), F.replace(F.replace(r, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("|>\n"))
 
 
 def body(text: Column) -> Column:
-    """A turn's text and its end. A `<|` inside gets a backslash, so that no text can pass for the opening of a turn."""
-    return F.concat(F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|")), F.lit("\n"))
+    """A turn's text and its end. No text can pass for the opening of a turn."""
+    return F.concat(escaped(text), F.lit("\n"))
 
 
 def pairs_by_neighbour(conversations: DataFrame) -> DataFrame:

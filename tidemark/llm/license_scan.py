@@ -20,10 +20,10 @@ def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words of letters, marks and digits only (of any script), equivalent spellings made one, single spaces. Null stays null."""
     c = F.lower(text)
     c = F.regexp_replace(c, "(?md)" + COPYRIGHT_LINE, " ")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, SEPARATORS, " ")), F.lit(" "))
+    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, SEPARATORS, "  ")), F.lit(" "))  # two spaces between words, so that each word has its own on both sides
     for old, new in sorted(SPELLINGS.items()):
         c = F.replace(c, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(c)
+    return F.replace(F.trim(c), F.lit("  "), F.lit(" "))
 
 
 def known_texts() -> list[tuple[str, str]]:

@@ -79,9 +79,10 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     c = f"regexp_replace(lower(t), {quote('(?m)' + license_scan.COPYRIGHT_LINE)}, ' ', 'g')"
-    c = f"' ' || trim(regexp_replace({c}, {quote(license_scan.SEPARATORS)}, ' ', 'g')) || ' '"
+    c = f"' ' || trim(regexp_replace({c}, {quote(license_scan.SEPARATORS)}, '  ', 'g')) || ' '"
     for old, new in sorted(license_scan.SPELLINGS.items()):
         c = f"replace({c}, ' {old} ', ' {new} ')"
+    c = f"replace(trim({c}), '  ', ' ')"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in license_scan.known_texts())
     long = ", ".join(f"({quote(k)}, {quote(d)})" for k, ds in license_scan.DIGESTS.items() for d in ds)
     return f"""WITH known AS (SELECT digest, min(id) AS license_id FROM (SELECT id, sha256(trim({c})) AS digest FROM (VALUES {known}) AS x(id, t) UNION ALL SELECT * FROM (VALUES {long}) AS y(id, digest)) GROUP BY 1),
@@ -109,9 +110,9 @@ UNION ALL SELECT pair_id, turn, NULL, x FROM p JOIN t ON t.conv_id = pair_id AND
 UNION ALL SELECT pair_id, p.pos, NULL, x FROM p JOIN t ON t.conv_id = pair_id + 1 AND turn = other_at),
 r AS (SELECT pair_id, pos, min(a) AS a, min(b) AS b FROM ab GROUP BY ALL),
 c AS (SELECT *, min(CAST(a IS NOT NULL AND b IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS INT)) OVER (PARTITION BY pair_id ORDER BY pos) = 1 AS shared,
-length('<|' || coalesce(a.role, '') || '|>' || chr(10)) AS ha, length('<|' || coalesce(b.role, '') || '|>' || chr(10)) AS hb,
-CASE WHEN a IS NOT NULL THEN '<|' || coalesce(a.role, '') || '|>' || chr(10) || replace(coalesce(a.text, ''), '<|', '<\|') || chr(10) END AS fa,
-CASE WHEN b IS NOT NULL THEN '<|' || coalesce(b.role, '') || '|>' || chr(10) || replace(coalesce(b.text, ''), '<|', '<\|') || chr(10) END AS fb FROM r),
+length('<|' || replace(replace(replace(replace(replace(coalesce(a.role, ''), '<\', '<\\'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n'), chr(13), '\r') || '|>' || chr(10)) AS ha, length('<|' || replace(replace(replace(replace(replace(coalesce(b.role, ''), '<\', '<\\'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n'), chr(13), '\r') || '|>' || chr(10)) AS hb,
+CASE WHEN a IS NOT NULL THEN '<|' || replace(replace(replace(replace(replace(coalesce(a.role, ''), '<\', '<\\'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n'), chr(13), '\r') || '|>' || chr(10) || replace(replace(coalesce(a.text, ''), '<\', '<\\'), '<|', '<\|') || chr(10) END AS fa,
+CASE WHEN b IS NOT NULL THEN '<|' || replace(replace(replace(replace(replace(coalesce(b.role, ''), '<\', '<\\'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n'), chr(13), '\r') || '|>' || chr(10) || replace(replace(coalesce(b.text, ''), '<\', '<\\'), '<|', '<\|') || chr(10) END AS fb FROM r),
 z AS (SELECT *, coalesce(sum(CASE WHEN NOT shared THEN length(fa) END) OVER w, 0) AS oa, coalesce(sum(CASE WHEN NOT shared THEN length(fb) END) OVER w, 0) AS ob FROM c WINDOW w AS (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT pair_id, count(*) FILTER (WHERE shared) AS n_prefix, coalesce(string_agg(fa, '' ORDER BY pos) FILTER (WHERE shared), '') AS prompt,
 coalesce(string_agg(fa, '' ORDER BY pos) FILTER (WHERE NOT shared AND fa IS NOT NULL), '') AS chosen,
