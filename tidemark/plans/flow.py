@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..operators import increments as inc
 from ..operators import tables as tb
+from ..operators import word_boxes as wb
+from ..sources import blobs, listing, seeds
 from ..sources import projections as src
-from ..sources import seeds
 from ..sources.projections import ANNOUNCEMENT, BLOCK, DOCUMENT, PRICE, QUALITY, day_text, stamp
 from ..sources.shared import shared_folder
 from ..streaming import commits, late
@@ -329,6 +330,55 @@ def cursor_ticks(spark, sf):
     return commits.drain(c, "c_custkey", shared_folder(spark), max(50, c.count() // 5), lambda rows: rows).select("c_custkey", "batch")
 
 
+BISECTED = """RECURSIVE e AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), lim AS (SELECT greatest(20, count(*) // 60) AS lim FROM events), b AS (SELECT min(day) AS lo, max(day) AS hi FROM e),
+w AS (SELECT event_type, lo AS f, hi AS l, (SELECT sum(n) FROM e x WHERE x.event_type = k.event_type) AS records FROM (SELECT DISTINCT event_type FROM e) k, b
+UNION ALL SELECT event_type, f, l, coalesce((SELECT sum(n) FROM e x WHERE x.event_type = h.event_type AND x.day BETWEEN h.f AND h.l), 0) FROM (SELECT event_type, CASE s WHEN 0 THEN f ELSE f + CAST((l - f) // 2 AS INTEGER) + 1 END AS f, CASE s WHEN 0 THEN f + CAST((l - f) // 2 AS INTEGER) ELSE l END AS l FROM w, lim, (SELECT unnest([0, 1]) AS s) WHERE records > lim AND f < l) h)"""
+
+
+def bisected(spark, sf):
+    """The events by type and day as a listing that answers with so many rows at most: 20, or a sixtieth of a larger table."""
+    e = src.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"))
+    ends = e.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("n")).first()
+    windows = e.select("event_type").distinct().select("event_type", F.lit(ends["first"]).alias("first"), F.lit(ends["last"]).alias("last"))
+    return listing.bisected(windows, e, "event_type", "day", max(20, ends["n"] // 60))
+
+
+@query("bisected_windows", f"WITH {BISECTED} SELECT event_type, strftime(f, '%Y-%m-%d') AS first, strftime(l, '%Y-%m-%d') AS last, CAST(records AS BIGINT) AS records, CASE WHEN records <= lim THEN 'complete' WHEN f < l THEN 'truncated' ELSE 'overfull' END AS status FROM w, lim")
+def bisected_windows(spark, sf):
+    return bisected(spark, sf).select("event_type", day_text("first").alias("first"), day_text("last").alias("last"), "records", "status")
+
+
+@query("bisected_total", f"WITH {BISECTED} SELECT event_type, CAST(sum(records) FILTER (WHERE records <= lim) AS BIGINT) AS expected, count(*) FILTER (WHERE records > lim AND f = l) AS overfull FROM w, lim GROUP BY 1")
+def bisected_total(spark, sf):
+    return listing.expected_total(bisected(spark, sf), "event_type")
+
+
+@query("blob_round_trip", "SELECT page_id, sha256(html) AS digest, CAST(octet_length(encode(html)) AS BIGINT) AS size, true AS intact FROM pages WHERE html IS NOT NULL")
+def blob_round_trip(spark, sf):
+    """The pages' bytes, put into the store and read back."""
+    p, root = src.table(spark, sf, "pages").select("page_id", F.col("html").cast("binary").alias("data")), shared_folder(spark)
+    manifest = blobs.put(p, root, "pages")
+    back = blobs.get(spark, root, manifest).select("digest", F.octet_length("data").cast("long").alias("size"), "intact")
+    return p.filter("data is not null").select("page_id", F.sha2("data", 256).alias("digest")).join(back, "digest").select("page_id", "digest", "size", "intact")
+
+
+BOXES = "SELECT l_orderkey // 256 AS page, l_orderkey % 256 AS row, l_linenumber * 50 + l_partkey % 9 AS x0, l_linenumber * 50 + l_partkey % 9 + 6 + l_suppkey % 30 AS x1, CAST(l_partkey AS VARCHAR) AS text FROM lineitem"
+
+
+@query("word_grids", f"""WITH raw AS ({BOXES}), b AS (SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY row) AS row, x0, x1, text FROM raw),
+s AS (SELECT page, row, count(*) FILTER (WHERE nx - x1 >= 8) + 1 AS n FROM (SELECT *, lead(x0) OVER (PARTITION BY page, row ORDER BY x0, x1, text) AS nx FROM b) GROUP BY ALL),
+i AS (SELECT page, row, row - row_number() OVER (PARTITION BY page ORDER BY row) AS island FROM s WHERE n >= 2), g AS (SELECT page, row, min(row) OVER w AS region, count(*) OVER w AS rows FROM i WINDOW w AS (PARTITION BY page, island)),
+d AS (SELECT b.*, region, max(x1) OVER (PARTITION BY page, region ORDER BY x0, x1, b.row, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM b JOIN g USING (page, row) WHERE rows >= 3),
+c AS (SELECT *, sum(CASE WHEN reached IS NULL OR x0 - reached >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY page, region ORDER BY x0, x1, row, text ROWS UNBOUNDED PRECEDING) - 1 AS col FROM d),
+e AS (SELECT *, min(x0) OVER (PARTITION BY page, region, col) AS l, max(x1) OVER (PARTITION BY page, region, col) AS r, max(col) OVER (PARTITION BY page, region) AS cols FROM c)
+SELECT page, CAST(region AS INTEGER) AS region, CAST(row AS INTEGER) AS row, CAST(col AS BIGINT) AS col, l AS "left", r AS "right", string_agg(text, ' ' ORDER BY x0, x1, text) AS text FROM e WHERE cols >= 2 GROUP BY ALL""")
+def word_grids(spark, sf):
+    """Each order line is a word on its order's row, 256 orders a page; orders of one line end a table."""
+    k, x0 = F.col("l_orderkey"), F.col("l_linenumber") * 50 + F.col("l_partkey") % 9
+    w = src.table(spark, sf, "lineitem").select(F.floor(k / 256).alias("page"), F.dense_rank().over(Window.partitionBy(F.floor(k / 256)).orderBy(k % 256)).alias("row"), x0.alias("x0"), (x0 + 6 + F.col("l_suppkey") % 30).alias("x1"), F.col("l_partkey").cast("string").alias("text"))
+    return wb.word_grids(w, "page")
+
+
 @query("seed_validation", "SELECT n_nationkey AS id, concat_ws(',', CASE WHEN length(n_name) < 5 THEN 'short_name' END, CASE WHEN n_regionkey > 3 THEN 'unknown_region' END) AS problems FROM nation")
 def seed_validation(spark, sf):
     return seeds.validated(seeds.csv_round_trip(src.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), "n_name", "n_regionkey")), {"short_name": F.length("n_name") < 5, "unknown_region": F.col("n_regionkey").cast("int") > 3})
