@@ -154,3 +154,22 @@ def test_vector_index_of_few_rows(spark):
 def test_index_recall_within_a_tenth(spark):
     r = catalogue.QUERIES["index_recall"](spark, SF).first()
     assert r.recall >= 0.95 and r.share <= 0.1 and r.n > 0
+
+
+# Every verdict occurs ----------------------------------------------------------------------------------------------
+
+VERDICTS = {
+    "statement_page": ("statement", {True, False}), "description_check": ("problem", {"empty", "forbidden", "judging", None}), "skip_rules": ("skip", {"blank_page", "signature_tail", None}), "question_hygiene": ("ok", {True, False}), "bisected_windows": ("status", {"complete", "truncated"}),
+    "stream_corrections": ("outcome", {"inserted", "corrected", "out_of_order"}), "numbering_classifier": ("system", {None, "keyword", "chapter", "section", "cn", "cn_paren", "decimal3", "decimal2", "arabic", "arabic_paren"}),
+}
+
+
+@pytest.mark.parametrize("name", VERDICTS)
+def test_every_verdict_occurs(spark, name):
+    column, wanted = VERDICTS[name]
+    assert wanted <= {r[0] for r in catalogue.QUERIES[name](spark, SF).select(column).distinct().collect()}
+
+
+def test_savings_name_every_rule(spark):
+    rows = {r.rule: r for r in catalogue.QUERIES["skip_savings"](spark, SF).collect()}
+    assert set(rows) == {"blank_page", "signature_tail", "research_disclaimer_tail"} and all(r.matched > 0 for r in rows.values()) and rows["research_disclaimer_tail"].skipped == 0

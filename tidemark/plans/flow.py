@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from ..operators import increments as inc
+from ..operators import page_rules as pr
 from ..operators import tables as tb
 from ..operators import word_boxes as wb
 from ..sources import blobs, listing, seeds
@@ -15,6 +16,7 @@ from ..sources.projections import ANNOUNCEMENT, BLOCK, DOCUMENT, PRICE, QUALITY,
 from ..sources.shared import shared_folder
 from ..streaming import commits, late
 from ..streaming import events as ev
+from .texts import NUMS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,22 +150,51 @@ def markdown_plain(spark, sf):
     return src.table(spark, sf, "documents").select("doc_id", F.sha2(inc.plain(t), 256).alias("digest"))
 
 
-@query("statement_page", f"WITH {DOCUMENT}, {BLOCK}, p AS (SELECT doc_id, page, bool_or(regexp_matches(lower(content), 'statement')) AS titled, count(*) FILTER (WHERE regexp_matches(content, '[|]')) AS markers, CAST(sum(len(regexp_extract_all(content, '[0-9]+'))) AS BIGINT) AS n FROM doc_block GROUP BY ALL) SELECT doc_id, page, (titled OR markers >= 2) AND n >= 3 AS statement FROM p")
+STATEMENTS = """CASE l_orderkey % 5 WHEN 0 THEN 'Consolidated  Balance Sheet' WHEN 1 THEN '本期金额 期末余额' WHEN 2 THEN '本期金额 本期金额' WHEN 3 THEN '合并现金 流量表' ELSE 'notes' END"""
+
+
+@query("statement_page", f"""WITH p AS (SELECT l_orderkey, any_value({STATEMENTS}) || string_agg(concat(' ', l_partkey, ' ; ', l_suppkey, ' ; ', l_linenumber), '') AS text FROM lineitem GROUP BY l_orderkey), f AS (SELECT *, lower(regexp_replace(text, '\\s+', '', 'g')) AS flat FROM p)
+SELECT l_orderkey, (contains(flat, 'balancesheet') OR contains(flat, '现金流量表') OR CAST(contains(flat, '本期金额') AS INT) + CAST(contains(flat, '期末余额') AS INT) >= 2) AND len({NUMS.format(x='text')}) >= 20 AS statement FROM f""")
 def statement_page(spark, sf):
-    p = src.doc_block(spark, sf).groupBy("doc_id", "page").agg(F.bool_or(F.lower("content").rlike("statement")).alias("titled"), F.count_if(F.col("content").contains("|")).alias("markers"), F.sum(F.size(F.regexp_extract_all("content", F.lit("([0-9]+)"), 1))).alias("n"))
-    return p.select("doc_id", "page", ((F.col("titled") | (F.col("markers") >= 2)) & (F.col("n") >= 3)).alias("statement"))
+    """A page for each order, titled or marked by its key, with three numbers a line."""
+    d = src.table(spark, sf, "lineitem").selectExpr("l_orderkey", f"{STATEMENTS} AS head", "concat(' ', l_partkey, ' ; ', l_suppkey, ' ; ', l_linenumber) AS x")
+    p = d.groupBy("l_orderkey").agg(F.concat(F.max("head"), F.array_join(F.collect_list("x"), "")).alias("text"))
+    return p.select("l_orderkey", pr.statement_page(F.col("text")).alias("statement"))
+
+
+PAGES = {
+    "doc": "CAST(floor(o_orderkey / 64) AS BIGINT)", "page": "o_orderkey % 64", "kind": "CASE WHEN floor(o_orderkey / 64) % 3 = 0 THEN 'research_report' ELSE 'announcement' END", "images": "CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END", "curves": "CASE WHEN o_custkey % 11 = 0 THEN 2 ELSE 0 END",
+    "text": "CASE WHEN floor(o_orderkey / 64) % 10 = 7 THEN ' ' ELSE CASE o_custkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN '特此公告 某公司董事会 2024年1月5日' WHEN 2 THEN '免责声明：本报告仅供参考' WHEN 3 THEN concat('董事会 ', o_orderkey) WHEN 4 THEN '监事会 二〇二四年，以上公告所载内容真实、准确、完整，没有虚假记载、误导性陈述或者重大遗漏，特此公告' ELSE concat('法律声明 ', o_orderkey, ' ', o_custkey) END END",
+}
+ALL_PAGES = ", ".join(f"{e} AS {k}" for k, e in PAGES.items())
+SKIPS = f"""p AS (SELECT {ALL_PAGES} FROM orders), q AS (SELECT *, length(regexp_replace(text, '\\s+', '', 'g')) AS chars, len({NUMS.format(x="regexp_replace(text, '(19|20)[0-9][0-9]年[0-9]+月[0-9]+日', ' ')")}) = 0 AS bare, count(*) OVER (PARTITION BY doc) AS n, row_number() OVER (PARTITION BY doc ORDER BY page DESC) AS r FROM p),
+m AS (SELECT *, list_filter([CASE WHEN bare AND chars < 40 AND images = 0 AND curves = 0 THEN 'blank_page' END, CASE WHEN bare AND kind = 'announcement' AND n >= 2 AND r = 1 AND chars < 200 AND regexp_matches(text, '董事会|监事会|特此公告') THEN 'signature_tail' END, CASE WHEN bare AND kind = 'research_report' AND r <= 3 AND regexp_matches(text, '免责声明|分析师声明|法律声明|重要声明|特别声明') THEN 'research_disclaimer_tail' END], lambda x: x IS NOT NULL) AS matched FROM q),
+k AS (SELECT *, list_filter(matched, lambda x: x IN ('blank_page', 'signature_tail'))[1] AS s FROM m), z AS (SELECT doc, page, matched, CASE WHEN count(s) OVER (PARTITION BY doc) < n THEN s END AS skip FROM k)"""
+
 
+def skips(spark, sf):
+    """Eight orders or so are a document's pages, blank, signed, disclaiming or with numbers; every tenth document is blank throughout."""
+    pages = src.table(spark, sf, "orders").selectExpr(*[f"{e} AS {k}" for k, e in PAGES.items()])
+    return pr.skip_decisions(pages, "doc", ["blank_page", "signature_tail"])
 
-@query("skip_rules", f"WITH {DOCUMENT}, {BLOCK}, p AS (SELECT doc_id, page, bool_and(length(content) < 40) AS thin FROM doc_block GROUP BY ALL), s AS (SELECT *, thin AND page > 1 AS skip, bool_and(thin) OVER (PARTITION BY doc_id) AS whole FROM p) SELECT doc_id, page, skip AND NOT whole AS skipped FROM s")
+
+@query("skip_rules", f"WITH {SKIPS} SELECT doc, page, array_to_string(matched, ',') AS matched, skip FROM z")
 def skip_rules(spark, sf):
-    p = src.doc_block(spark, sf).groupBy("doc_id", "page").agg(F.bool_and(F.length("content") < 40).alias("thin"))
-    whole = F.bool_and("thin").over(Window.partitionBy("doc_id"))
-    return p.select("doc_id", "page", (F.col("thin") & (F.col("page") > 1) & ~whole).alias("skipped"))
+    return skips(spark, sf).select("doc", "page", F.array_join("matched", ",").alias("matched"), "skip")
+
+
+@query("skip_savings", f"WITH {SKIPS}, r AS (SELECT unnest(['blank_page', 'signature_tail', 'research_disclaimer_tail']) AS rule) SELECT rule, (SELECT count(*) FROM z WHERE list_contains(matched, rule)) AS matched, (SELECT count(*) FROM z WHERE skip = rule) AS skipped, round((SELECT count(*) FROM z WHERE skip = rule) * 0.1356, 4) AS saved FROM r")
+def skip_savings(spark, sf):
+    return pr.skip_savings(skips(spark, sf), 0.1356)
+
+
+DESCRIBED = """CASE p_partkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN concat(p_name, '建议买入') WHEN 2 THEN concat('列为项目、说明，共', p_size, '行。') WHEN 3 THEN concat('数据说明', p_name) WHEN 4 THEN concat('预计负债、', p_name) WHEN 5 THEN concat('预计', p_size, '年将继续增长') WHEN 6 THEN concat(p_name, '大幅增长') WHEN 7 THEN concat('收入承压 ', p_name) WHEN 8 THEN concat('同比增速 ', p_name) ELSE p_name END"""
 
 
-@query("description_check", "SELECT conv_id, turn, regexp_matches(lower(text), 'buy|sell|recommend|should') AS forbidden, regexp_matches(text, '[.!?]$') AS complete FROM conversations")
+@query("description_check", f"""SELECT p_partkey, CASE WHEN trim(x) = '' THEN 'empty' WHEN regexp_matches(x, '买入|卖出|增持|减持|推荐|目标价|评级|建议配置|仓位') THEN 'forbidden' WHEN regexp_matches(x, '(显示|说明|表明|反映|意味着|体现出)[^，。！？；、 ]') OR regexp_matches(x, '改善|恶化|强劲|疲软|亮眼|承压|超预期|不及预期')
+OR regexp_matches(x, '(预计|预期)[^，。！？；、 ]*(将|会|有望|增长|下滑|下降|上升|提升|回升|改善|恶化|扩大|收窄|盈利|亏损|上涨|下跌)|有望|将会|料将') OR regexp_matches(x, '(大幅|显著|明显)(增长|下滑|提升|下降)') THEN 'judging' END AS problem FROM (SELECT p_partkey, {DESCRIBED} AS x FROM part)""")
 def description_check(spark, sf):
-    return src.table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").rlike("buy|sell|recommend|should").alias("forbidden"), F.col("text").rlike("[.!?]$").alias("complete"))
+    return src.table(spark, sf, "part").selectExpr("p_partkey", f"{DESCRIBED} AS x").select("p_partkey", pr.description_problem(F.col("x")).alias("problem"))
 
 
 @query("gold_remap", f"WITH {DOCUMENT}, {BLOCK}, o AS (SELECT block_id AS old_id, doc_id, page, CASE WHEN block_id % 3 = 0 THEN substr(content, 1, 30) ELSE content END AS content FROM doc_block WHERE block_id % 7 = 0 AND length(content) > 30), n AS (SELECT block_id AS new_id, doc_id, page, content FROM doc_block WHERE block_id % 11 <> 0), j AS (SELECT old_id, new_id, CASE WHEN o.content = n.content THEN 0 ELSE 1 END AS r FROM o JOIN n ON o.doc_id = n.doc_id AND o.page = n.page AND contains(n.content, o.content)), b AS (SELECT old_id, arg_min(new_id, (r, new_id)) AS new_id, min(r) AS r FROM j GROUP BY 1) SELECT o.old_id, new_id, CASE r WHEN 0 THEN 'exact' WHEN 1 THEN 'overlap' ELSE 'lost' END AS state FROM o LEFT JOIN b ON o.old_id = b.old_id")

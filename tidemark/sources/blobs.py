@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -50,9 +51,16 @@ def put(blobs: DataFrame, root: str, name: str, data: str = "data") -> DataFrame
     return written(src.mapInArrow(run, "digest string, size long").distinct(), f"{root}/manifests/{name}")
 
 
+#: The digest of no bytes, whose file a scan of files passes over.
+EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 def get(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(digest, data, intact) of the stored blobs, or of those of wanted(digest); a wanted digest that isn't stored comes back with null data. intact says whether the bytes still have their digest."""
+    """(digest, data, intact) of the blobs that the manifests name, or of those of wanted(digest); a digest that isn't stored comes back with null data. intact says whether the bytes still have their digest."""
+    if wanted is None:
+        wanted = spark.read.schema("digest string, size long").option("recursiveFileLookup", True).parquet(f"{root}/manifests")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/blobs")
     d = files.select(F.element_at(F.split("path", "/"), -1).alias("digest"), F.col("content").alias("data")).filter(~F.col("digest").startswith("_"))
-    d = d.withColumn("intact", F.sha2("data", 256) == F.col("digest"))
-    return d if wanted is None else wanted.select("digest").distinct().join(d, "digest", "left")
+    d = wanted.select("digest").distinct().join(d, "digest", "left")
+    data = F.when(F.col("digest") == EMPTY, F.lit(b"")).otherwise(F.col("data"))
+    return d.select("digest", data.alias("data"), (F.sha2(data, 256) == F.col("digest")).alias("intact"))
