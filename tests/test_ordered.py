@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import dual as du
 from tidemark.operators import ordered as od
 from tidemark.operators import vector_index as vi
 from tidemark.plans import catalogue
@@ -173,3 +174,38 @@ def test_every_verdict_occurs(spark, name):
 def test_savings_name_every_rule(spark):
     rows = {r.rule: r for r in catalogue.QUERIES["skip_savings"](spark, SF).collect()}
     assert set(rows) == {"blank_page", "signature_tail", "research_disclaimer_tail"} and all(r.matched > 0 for r in rows.values()) and rows["research_disclaimer_tail"].skipped == 0
+
+
+def tags_by_hand(md):
+    parents = {"table": {""}, "thead": {"table"}, "tbody": {"table"}, "tr": {"table", "thead", "tbody"}, "td": {"tr"}, "th": {"tr"}}
+    found, stack, at = set(), [], 0
+    for m in [*re.finditer(r"(?is)<(/?)(table|thead|tbody|tr|td|th)\b([^>]*)>", md), None]:
+        text = re.sub(r"(?i)<br\b[^>]*>|\s+", "", md[at : m.start() if m else len(md)])
+        if stack and stack[-1] in ("table", "thead", "tbody", "tr") and text:
+            found.add("stray_text")
+        if m is None:
+            break
+        at, name = m.end(), m[2].lower()
+        if m[3].rstrip().endswith("/"):
+            found.add("self_closing")
+        elif m[1]:
+            if stack and stack[-1] == name:
+                stack.pop()
+            else:
+                found.add("unpaired")
+        else:
+            if (stack[-1] if stack else "") not in parents[name]:
+                found.add("misplaced")
+            stack.append(name)
+    return sorted(found | ({"unclosed"} if stack else set()))
+
+
+def test_tag_stack_against_a_slow_version(spark):
+    rng = np.random.default_rng(3)
+    pieces = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<TH colspan=2>", "</th>", "<tbody>", "</tbody>", "<td/>", "<br/>", " ", "x", "\n", "<b>"]
+    whole = "<table><tr><td>x</td></tr></table>"
+    texts = ["".join(pieces[k] for k in rng.integers(0, len(pieces), int(rng.integers(0, 14)))) for _ in range(1500)] + [whole, whole * 3, "<table><tbody><tr><td>x</td> <br> <th>y</th></tr></tbody></table> after", ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r.k: r.v for r in d.select("k", du.tag_violations(F.col("t")).alias("v")).collect()}
+    assert got == {k: tags_by_hand(t) for k, t in enumerate(texts)}
+    assert got[1500] == got[1501] == got[1502] == [] and {x for v in got.values() for x in v} == {"stray_text", "self_closing", "unpaired", "misplaced", "unclosed"}

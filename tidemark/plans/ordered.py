@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dual as du
 from ..operators import ordered as od
 from ..sources import projections as src
 from .texts import NUMS
@@ -132,3 +133,18 @@ def heading_alignment(spark, sf):
     title = F.when(k != 1, F.col("title")).when(F.col("n") == 0, F.substring("title", 1, 5)).otherwise(F.expr("substring(title, 6)"))
     found = found.select("doc", (F.col("ordinal") * 10 + F.when(k == 3, 15).otherwise(0) + F.col("n")).alias("ordinal"), title.alias("title"), level.alias("level"))
     return od.heading_alignment(gold, found, "doc")
+
+
+# Two parses of a page ----------------------------------------------------------------------------------------------
+
+P = "p_partkey % 11"
+ONE = "concat('<table><tr><th>项目</th><th>金额</th></tr><tr><td>', p_name, '</td><td>增 ', p_partkey, '.5 亿元</td></tr></table> 合计 ', p_size)"
+SECOND = f"""CASE {P} WHEN 1 THEN replace({ONE}, '</tr></table>', '</table>') WHEN 2 THEN ' <b></b> ' WHEN 3 THEN replace({ONE}, '.5 ', '.7 ') WHEN 4 THEN replace({ONE}, '增', '减') WHEN 5 THEN replace({ONE}, '<td>增', '<td colspan="2">增') WHEN 6 THEN concat('| 项目 | 金额 |', chr(10), '|---|---|', chr(10), '| ', p_name, ' | 增 ', p_partkey, '.5 亿元 |', chr(10), chr(10), '合计 ', p_size)
+WHEN 7 THEN replace({ONE}, '合计', '总共') WHEN 8 THEN replace({ONE}, '</th></tr>', '</th> x </tr>') WHEN 9 THEN concat({ONE}, ' and further words that the first of the two parses has not seen at all, which are many more than it has') WHEN 10 THEN replace(replace({ONE}, p_name, ''), '项目', p_name) ELSE {ONE} END"""
+
+
+@query("dual_verdict", f"""WITH r AS (SELECT p_partkey, CASE {P} WHEN 1 THEN 'markup' WHEN 2 THEN 'empty' WHEN 3 THEN 'numbers,tables,order,text' WHEN 4 THEN 'signs,tables,order,text' WHEN 5 THEN 'tables' WHEN 7 THEN 'text' WHEN 8 THEN 'markup' WHEN 9 THEN 'text,agreement' WHEN 10 THEN 'tables,text' ELSE '' END AS reasons FROM part) SELECT p_partkey, reasons = '' AS ok, reasons FROM r""")
+def dual_verdict(spark, sf):
+    """Second parses that differ from the first in known ways, or in nothing but that a table is drawn by bars; the SQL has the reasons by hand."""
+    p = src.table(spark, sf, "part").selectExpr("p_partkey", f"{ONE} AS a", f"{SECOND} AS b")
+    return du.dual_verdict(p, "p_partkey", "a", "b").select("p_partkey", "ok", F.array_join("reasons", ",").alias("reasons"))
