@@ -100,10 +100,16 @@ def fallback(requests: DataFrame, policies: DataFrame, key: str) -> DataFrame:
 
 
 def first_disclosure(periods: DataFrame, directory: DataFrame, include: str, exclude: str, months: int = 15) -> DataFrame:
-    """Earliest known_at of a directory row whose title names a report, published in (period_end, period_end + months]; superseded rows count."""
-    rows = directory.filter(F.col("title").rlike(include) & ~F.col("title").rlike(exclude))
-    j = periods.join(rows, (F.col("publish_date") > F.col("period_end")) & (F.col("publish_date") <= F.add_months("period_end", months)) & (periods["slot"] == rows["slot"]), "left")
-    return j.groupBy(periods["slot"], "period_end").agg(F.min(F.struct("known_at", "page_id")).alias("x")).select("slot", "period_end", F.col("x.page_id").alias("page_id"), F.col("x.known_at").alias("known_at"))
+    """Earliest known_at of a directory row whose title names a report, published in (period_end, period_end + months]; superseded rows count.
+
+    Rows meet periods by slot and month, of which a period has months + 1, so neither a slot nor a range is one task.
+    """
+    month = lambda c: F.trunc(c, "month")
+    rows = directory.filter(F.col("title").rlike(include) & ~F.col("title").rlike(exclude)).select("slot", "publish_date", "known_at", "page_id", month("publish_date").alias("_m"))
+    asked = periods.select("slot", "period_end", F.explode(F.sequence(month("period_end"), month(F.add_months("period_end", months)), F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+    met = asked.join(rows, ["slot", "_m"]).filter((F.col("publish_date") > F.col("period_end")) & (F.col("publish_date") <= F.add_months("period_end", months)))
+    first = met.groupBy("slot", "period_end").agg(F.min(F.struct("known_at", "page_id")).alias("x"))
+    return periods.select("slot", "period_end").distinct().join(first, ["slot", "period_end"], "left").select("slot", "period_end", F.col("x.page_id").alias("page_id"), F.col("x.known_at").alias("known_at"))
 
 
 def trading_day(prices: DataFrame, t: Column) -> DataFrame:

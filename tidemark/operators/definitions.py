@@ -90,10 +90,19 @@ def half_years(spans: DataFrame, days: int = 183) -> DataFrame:
 
 
 def backlog_order(docs: DataFrame, tiers: list[str], partition: str) -> DataFrame:
-    """docs(tier, publish_at, doc_id) with their place in a partition's backlog: by the tiers' order, newest first, then by id. A tier that isn't listed is an error."""
+    """docs(tier, publish_at, doc_id) with their place in a partition's backlog: by the tiers' order, newest first, then by id. A tier that isn't listed is an error.
+
+    Rows are counted by tier and day; a place is what stands on the days before, and the row's number on its own day, so no partition is sorted in one task.
+    """
     rank = F.map_from_arrays(F.array(*[F.lit(t) for t in tiers]), F.array(*[F.lit(i) for i in range(len(tiers))]))
     known = F.coalesce(rank[F.col("tier")], F.raise_error(F.concat(F.lit("no priority for tier "), "tier")).cast("int"))
-    return docs.withColumn("place", F.row_number().over(Window.partitionBy(partition).orderBy(known, F.desc("publish_at"), "doc_id")))
+    cell = [partition, "_tier", "_day"]
+    d = docs.withColumns({"_tier": known, "_day": F.coalesce(F.to_date("publish_at"), F.lit("0001-01-01").cast("date"))})
+    days = d.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(partition).orderBy("_tier", F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*cell, F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("publish_at"), "doc_id"))
+    return d.withColumn("_own", own).join(days, cell).withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).select(*docs.columns, "place")
 
 
 def collection_name(owner: Column, prefix: str = "doc_block_u_", size: int = 512) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import fold_sorted
 from ..sources.shared import shared_folder, written
 
 
@@ -82,17 +85,26 @@ def latest_metric(metrics: DataFrame, keys: list[str], by: Column) -> DataFrame:
 def cooldown(alerts: DataFrame, hours: int = 6) -> DataFrame:
     """Alerts with suppressed: an unsuppressed one of the same key silences those within the hours that follow it.
 
-    Which alerts silence depends on those before, so it is a fold over each key's alerts. Keys are cut at gaps of
-    more than the cooldown first, where the fold starts anew whatever came before: a task's group is one burst.
+    Which alerts silence depends on those before, so it is a fold over each key's alerts in order. Keys are cut at gaps of
+    the cooldown or more first, where the fold starts anew whatever came before; a burst streams through its task with one instant as its state.
     """
     span = hours * 3600
     w = Window.partitionBy("key").orderBy("at", "event_id")
-    d = alerts.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    d = alerts.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp"))).withColumn("moment", F.col("at"))
     d = d.withColumn("burst", F.sum(F.coalesce((F.col("at") - F.lag("at").over(w) >= span).cast("int"), F.lit(1))).over(w))
-    g = d.groupBy("key", "burst").agg(F.sort_array(F.collect_list(F.struct("at", "event_id"))).alias("xs"))
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,suppressed:boolean>>").alias("out"))
-    fold = F.aggregate("xs", start, lambda s, x: F.struct(F.when(x["at"] - s["last"] >= span, x["at"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(x["event_id"].alias("event_id"), (x["at"] - s["last"] < span).alias("suppressed")))).alias("out")))
-    return g.select("key", F.explode(fold["out"]).alias("x")).select("key", "x.event_id", "x.suppressed")
+
+    def start() -> Callable:
+        last = None
+
+        def step(at: int) -> bool:
+            nonlocal last
+            silent = last is not None and at - last < span
+            last = last if silent else at
+            return silent
+
+        return step
+
+    return fold_sorted(d, ["key", "burst"], ["at", "event_id"], "moment", "suppressed boolean", start).select("key", "event_id", "suppressed")
 
 
 def stratified_sample(df: DataFrame, strata: str, key: str, n: int, least: int, seed: str) -> DataFrame:

@@ -33,8 +33,8 @@ def paths(cells: DataFrame) -> DataFrame:
 def unit_markers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, unit): the one unit that the texts of a key name; two different ones are a conflict, hence none, and never a default."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({'|'.join(UNIT_SCALES)})"), 1)
-    g = texts.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(found)))).alias("units"))
-    return g.select(key, F.when(F.size("units") == 1, F.col("units")[0]).alias("unit"), (F.size("units") > 1).alias("conflict"))
+    g = texts.select(key, F.explode_outer(F.array_distinct(found)).alias("unit")).groupBy(key).agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    return g.select(key, F.when(F.col("low") == F.col("high"), F.col("low")).alias("unit"), F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("conflict"))
 
 
 def ratio_only(cells: DataFrame) -> DataFrame:
