@@ -21,7 +21,8 @@ def tag_violations(md: Column) -> Column:
     One walk over the tags in order, with the tags still open as its state: a tag must stand in one of its parents, an end must close the last one opened.
     """
     piece = lambda n: F.regexp_extract_all(md, F.lit(rf"(?is)(.*?)(?:{TAG}|\z)"), n)
-    steps = F.transform(piece(1), lambda text, k: F.struct(F.trim(F.regexp_replace(text, r"(?i)<br\b[^>]*>|\s+", "")).alias("text"), (F.get(piece(2), k) == "/").alias("ends"), F.lower(F.get(piece(3), k)).alias("name"), F.get(piece(4), k).rlike(r"/\s*$").alias("alone")))
+    halves = [F.zip_with(piece(k), piece(k + 1), lambda x, y: F.struct(x.alias("x"), y.alias("y"))) for k in (1, 3)]  # each group is found once, not once per tag
+    steps = F.zip_with(*halves, lambda u, v: F.struct(F.regexp_replace(u["x"], r"(?i)<br\b[^>]*>|\s+", "").alias("text"), (u["y"] == "/").alias("ends"), F.lower(v["x"]).alias("name"), v["y"].rlike(r"/\s*$").alias("alone")))
     parents = F.create_map(*[x for k, v in PARENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
     def walk(acc: Column, x: Column) -> Column:
