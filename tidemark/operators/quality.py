@@ -143,3 +143,14 @@ def regression_gate(before: DataFrame, after: DataFrame, group: str, cases: floa
 def strict_prefix(df: DataFrame, key: str, order: list[str], cost: str, limit: float) -> DataFrame:
     """Rows of each key in order while their running cost stays within the limit."""
     return df.withColumn("used", F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= limit)
+
+
+def baseline_gate(runs: DataFrame, suite: str, at: list[str], tolerance: float) -> DataFrame:
+    """(suite, at, metric, value, baseline, passed) of runs(suite, at, metrics map): each metric against the latest earlier run of the suite that has it, less the tolerance; the first passes.
+
+    A run never meets itself: the baseline ends before its row.
+    """
+    d = runs.select(suite, *at, F.explode("metrics").alias("metric", "value"))
+    before = F.lag("value").over(Window.partitionBy(suite, "metric").orderBy(*at))
+    d = d.withColumn("baseline", before)
+    return d.withColumn("passed", F.col("baseline").isNull() | (F.col("value") >= F.col("baseline") - tolerance))

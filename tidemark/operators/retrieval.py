@@ -199,3 +199,12 @@ def containing(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> Da
     met = met.unionByName(short.crossJoin(docs.select(key)))
     found = met.join(docs.select(key, "text"), key).join(q.select("qid", "question"), "qid")
     return found.filter(F.col("text").contains(F.col("question"))).select("qid", key)
+
+
+def config_problems(vector_guarantee: Column, fusion_k: Column, timeout: Column, max_chars: Column, top_k: Column, candidate_k: Column, w_lexical: Column, w_vector: Column, rrf_k: Column, boost: Column, growth: Column) -> Column:
+    """The names of the settings of a retrieval that can't work together, in a fixed order; empty for one that can. Null timeouts and lengths mean no limit."""
+    broken = {
+        "vector_guarantee": ~vector_guarantee.between(0, fusion_k), "rerank_timeout": timeout <= 0, "rerank_max_chars": max_chars <= 0, "top_k": top_k > fusion_k, "fusion_k": fusion_k > 2 * candidate_k,
+        "weights": (w_lexical <= 0) & (w_vector <= 0), "rrf_k": rrf_k <= 0, "period_boost": ~((boost >= 0) & (boost < 1)), "oversample_growth": growth < 2,
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import bitemporal as bt
 from ..operators import definitions as df
+from ..operators import finance as fn
+from ..operators import quality as ql
+from ..operators import retrieval as rt
 from ..operators import textops as tx
 from ..operators import verification as vf
 from ..sources import projections as src
@@ -311,3 +314,32 @@ def title_tier(spark, sf):
     """Titles of every kind, dealt to the pages, whose own are invented words."""
     title = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (F.col("page_id") % 10 + 1).cast("int"))
     return src.table(spark, sf, "pages").select("page_id", vf.title_tier(title).alias("tier"))
+
+
+# Gates, periods and settings ---------------------------------------------------------------------------------------
+
+
+@query("baseline_gate", "SELECT user_id, event_id, event_type AS metric, value, lag(value) OVER w AS baseline, coalesce(value >= lag(value) OVER w - 20, true) AS passed FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def baseline_gate(spark, sf):
+    """Events as runs of their user's suite, each with one metric."""
+    runs = src.table(spark, sf, "events").select("user_id", "ts", "event_id", F.create_map("event_type", "value").alias("metrics"))
+    return ql.baseline_gate(runs, "user_id", ["ts", "event_id"], 20.0).drop("ts")
+
+
+@query("full_years", """WITH g AS (SELECT o_custkey, min(last_day(o_orderdate)) AS lo, max(last_day(o_orderdate)) AS hi FROM orders GROUP BY 1), s AS (SELECT o_custkey, hi, unnest(generate_series(make_date(year(lo), 3, 1), hi, INTERVAL 3 MONTH)) AS m FROM g)
+SELECT o_custkey, strftime(last_day(m), '%Y-%m-%d') AS period_end FROM s WHERE last_day(m) <= hi""")
+def full_years(spark, sf):
+    o = src.table(spark, sf, "orders").select("o_custkey", F.last_day("o_orderdate").alias("period_end"))
+    return fn.full_years(o, "o_custkey").select("o_custkey", day_text("period_end").alias("period_end"))
+
+
+SETTINGS = "p_size % 60 - 5 AS guarantee, 50 - p_size % 3 * 20 AS fusion, CASE p_size % 4 WHEN 0 THEN NULL ELSE p_size % 4 - 1 END AS timeout, CASE p_size % 5 WHEN 0 THEN NULL ELSE p_size % 5 - 1 END AS chars, p_size AS top, 10 + p_partkey % 40 AS candidates, p_size % 2 AS lexical, p_size % 3 - 1 AS vector, p_partkey % 9 AS rrf, p_partkey % 7 - 1 AS boost, p_partkey % 5 AS growth"
+
+
+@query("config_problems", f"""WITH s AS (SELECT p_partkey, {SETTINGS} FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN guarantee < 0 OR guarantee > fusion THEN 'vector_guarantee' END, CASE WHEN timeout <= 0 THEN 'rerank_timeout' END, CASE WHEN chars <= 0 THEN 'rerank_max_chars' END, CASE WHEN top > fusion THEN 'top_k' END, CASE WHEN fusion > candidates * 2 THEN 'fusion_k' END,
+CASE WHEN lexical <= 0 AND vector <= 0 THEN 'weights' END, CASE WHEN rrf <= 0 THEN 'rrf_k' END, CASE WHEN boost < 0 OR boost >= 1 THEN 'period_boost' END, CASE WHEN growth < 2 THEN 'oversample_growth' END) AS problems FROM s""")
+def config_problems(spark, sf):
+    s = src.table(spark, sf, "part").selectExpr("p_partkey", *[x.strip() for x in SETTINGS.split(", ")])
+    c = F.col
+    p = rt.config_problems(c("guarantee"), c("fusion"), c("timeout"), c("chars"), c("top"), c("candidates"), c("lexical"), c("vector"), c("rrf"), c("boost"), c("growth"))
+    return s.select("p_partkey", F.array_join(p, ",").alias("problems"))
