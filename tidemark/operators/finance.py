@@ -151,5 +151,6 @@ def quarter_ends(last: Column, n: int) -> Column:
 def full_years(periods: DataFrame, key: str) -> DataFrame:
     """(key, period_end): every quarter's end from the first quarter of the year of a key's first period to its last period, so that each single quarter has the one before to be checked against."""
     g = periods.filter("period_end is not null").groupBy(key).agg(F.min("period_end").alias("first"), F.max("period_end").alias("last"))
-    months = F.sequence(F.make_date(F.year("first"), F.lit(3), F.lit(1)), "last", F.expr("INTERVAL 3 MONTH"))
+    march = F.make_date(F.year("first"), F.lit(3), F.lit(1))
+    months = F.sequence(march, F.greatest(march, F.col("last")), F.expr("INTERVAL 3 MONTH"))  # a key whose periods all end before March has no quarter's end
     return g.select(key, "last", F.explode(months).alias("m")).select(key, F.last_day("m").alias("period_end"), "last").filter("period_end <= last").drop("last")
