@@ -84,10 +84,12 @@ def resolve_names(asked: DataFrame, codes: DataFrame, aliases: DataFrame) -> Dat
     it is the only one. What is ambiguous or unknown has no entity: suggestions (fuzzy) are for people to confirm, never taken.
     """
     c = codes.groupBy("code").agg(F.min("entity").alias("_code"))
-    a = aliases.select(F.col("alias").alias("name"), F.col("entity").alias("_e")).distinct()
-    d = asked.join(c, "code", "left").join(a, "name", "left")
-    known = F.array_contains("context", F.col("_e"))
-    g = d.groupBy("id").agg(F.first("_code").alias("by_code"), F.count("_e").alias("candidates"), F.min("_e").alias("one"), F.count_if(known).alias("here"), F.min(F.when(known, F.col("_e"))).alias("near"))
+    a = aliases.select(F.col("alias").alias("name"), F.col("entity").alias("_e")).filter("_e is not null").distinct()
+    named = a.groupBy("name").agg(F.count("*").alias("_n"), F.min("_e").alias("_one"))
+    # an alias meets its entities once, when they are counted; a question then meets that one row, and only the entities of its own context
+    d = asked.join(c, "code", "left").join(named, "name", "left").groupBy("id").agg(F.first("_code", True).alias("by_code"), F.coalesce(F.sum("_n"), F.lit(0)).alias("candidates"), F.min("_one").alias("one"))
+    around = asked.filter("name is not null").select("id", "name", F.explode(F.array_distinct("context")).alias("_e")).join(a, ["name", "_e"])
+    g = d.join(around.groupBy("id").agg(F.count("*").alias("here"), F.min("_e").alias("near")), "id", "left")
     code, alone, near = F.col("by_code").isNotNull(), F.col("candidates") == 1, (F.col("candidates") > 1) & (F.col("here") == 1)
     entity = F.when(code, F.col("by_code")).when(alone, F.col("one")).when(near, F.col("near"))
     layer = F.when(code, "code").when(alone, "alias").when(near, "context").when(F.col("candidates") > 1, "alias_ambiguous").otherwise("fuzzy")
