@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import entities as en
 from tidemark.operators import finance as fin
+from tidemark.operators import retrieval as rt
 
 
 @contextmanager
@@ -48,3 +49,42 @@ def test_a_name_of_many_entities_is_not_met_with_all_of_them(spark):
     assert most_rows(spark, lambda: en.resolve_names(asked, codes, aliases)) <= 1600
     got = {tuple(r) for r in en.resolve_names(asked, codes, aliases).collect()}
     assert got == {(i, i, "medium", "context", 400) for i in range(400)}
+
+
+def test_cosine_of_odd_vectors_is_ranked_as_pair_by_pair(spark):
+    odd = [[0.0, 0.0], [1.0, 0.0], [1.0, 0.0], None, [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [3.0, 4.0], [-1.0, 0.0], [1.0], [], [0.0078125, 0.9999694824218750]]
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "vec_id long, embedding array<float>")
+    q = v.withColumnRenamed("vec_id", "qid")
+    d = "cast(embedding as array<double>)"
+    a, b = v.select("vec_id", rt.normalised(F.expr(d)).alias("a")), q.select("qid", rt.normalised(F.expr(d)).alias("b"))
+    want = rt.top(a.crossJoin(b).select("qid", "vec_id", F.round(rt.dot(F.col("a"), F.col("b")), 6).alias("score")), "vec_id", 4)
+    rows = lambda f: sorted(map(str, f.select("qid", "vec_id", "score", "rank").collect()))
+    assert rows(rt.vector_topk(v, q, k=4)) == rows(want)
+
+
+def test_blocks_of_scores_give_what_one_block_gives(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "the"]
+    docs = spark.createDataFrame([(i, " ".join(["the", words[i % 4], words[i * 7 % 4], *["x"] * (i % 9)])) for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"the {words[i % 5]} {words[i % 3]}") for i in range(20)] + [(20, None), (21, "nowhere")], "qid long, question string")
+    rows = lambda: sorted(map(tuple, rt.bm25(docs, asked, k=7).collect()))
+    one = rows()
+    for name, n in {"DOCS": 40, "ASKED": 3, "PAIRS": 50}.items():
+        monkeypatch.setattr(rt, name, n)
+    assert rows() == one
+    assert len(one) == 20 * 7
+
+
+def test_a_word_of_all_texts_and_questions_makes_no_pairs(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("the word").alias("text"))
+    asked = spark.range(400).select(F.col("id").alias("qid"), F.lit("the").alias("question"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    seen = []
+    real = rt.top
+    rt.top = lambda scored, key, k: seen.append(scored) or real(scored, key, k)
+    try:
+        assert rt.bm25(docs, asked, k=3).count() == 1200
+        rt.top = real
+        assert most_rows(spark, lambda: seen[0]) <= 4000
+    finally:
+        rt.top = real
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
