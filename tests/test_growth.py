@@ -5,6 +5,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sequential as sq
+from tidemark.operators import dual as du
 from tidemark.operators import entities as en
 from tidemark.operators import finance as fin
 from tidemark.operators import retrieval as rt
@@ -88,3 +90,24 @@ def test_a_word_of_all_texts_and_questions_makes_no_pairs(spark):
     finally:
         rt.top = real
     assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+def test_pages_of_one_file_are_judged_by_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id", "concat('<b>', id, '</b>') AS a", "concat('', id) AS b").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    got = du.dual_verdict(pages, "id", "a", "b")
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    assert got.filter("ok").count() == 40
+
+
+def test_short_blocks_of_many_documents_are_walked_over_in_one_pass(spark):
+    b = spark.range(60_000).selectExpr("id div 3 AS doc_id", "int(id % 3) AS ordinal", "1 AS page", "'ab' AS content").unionByName(spark.createDataFrame([(None, 0, 1, "x"), (None, 1, 2, "y")], "doc_id long, ordinal int, page int, content string"))
+    merged = sq.merge_short(b)
+    assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [tuple(r) for r in merged.filter("doc_id is null or doc_id in (0, 19999)").collect()]
+        assert merged.count() == 20_002
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(rows, key=str) == [(0, 0, 0, 3, "ab\nab\nab"), (19999, 0, 0, 3, "ab\nab\nab"), (None, 0, 0, 1, "x"), (None, 1, 1, 1, "y")]

@@ -74,8 +74,10 @@ def dual_verdict(pages: DataFrame, key: str, first: str, second: str) -> DataFra
     empty, numbers, signs, tables, order, text, agreement.
 
     numbers and signs compare as multisets, tables row by row, order the stream of numbers and signs, text the letters and digits in sequence; agreement is the lower
-    share of either's characters that the other has. Row by row, without a shuffle; a null parse is an empty one.
+    share of either's characters that the other has. Row by row, dealt over all cores first: a small file of many pages is one task's work otherwise; a null parse is an empty one.
     """
+    spark = pages.sparkSession
+    pages = pages.select(key, first, second).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     a, b = (F.coalesce(F.col(c), F.lit("")) for c in (first, second))
     d = pages.select(key, F.array(*map(tag_violations, (a, b))).alias("tags"), table_rows(a).alias("ra"), table_rows(b).alias("rb"), plain_text(a).alias("a"), plain_text(b).alias("b"))
     d = d.select("*", stream(F.col("a")).alias("sa"), stream(F.col("b")).alias("sb"), content(F.col("a")).alias("ca"), content(F.col("b")).alias("cb"))
