@@ -1,10 +1,12 @@
-"""Rules that depend on all before them: per document in sorted groups, and small parsers as Arrow UDFs."""
+"""Rules that depend on all before them: per document in sorted order, and small parsers as Arrow UDFs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,24 +17,37 @@ SHORT, FULL = 120, 400
 def merge_short(blocks: DataFrame, short: int = SHORT, full: int = FULL) -> DataFrame:
     """(doc_id, run, first_ordinal, n_blocks, content): runs of short blocks of a page are joined until `full` characters.
 
-    A group is one document, in order of its blocks; the state is the open run.
+    Documents are dealt by their id and sorted with their blocks, and a task walks over its rows once: the state is the open run, whatever the
+    number of documents or of a document's blocks.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        open_page = None
-        for r in pdf.sort_values("ordinal").itertuples():
-            n = len(r.content)
-            if out and open_page == r.page and n < short and out[-1][3] + n <= full:
-                out[-1][2] += 1
-                out[-1][3] += n + 1
-                out[-1][4].append(r.content)
-            else:
-                out.append([len(out), r.ordinal, 1, n, [r.content]])
-                open_page = r.page if n < short else None
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "run": [x[0] for x in out], "first_ordinal": [x[1] for x in out], "n_blocks": [x[2] for x in out], "content": ["\n".join(x[4]) for x in out]})
-
-    return blocks.select("doc_id", "ordinal", "page", "content").groupBy("doc_id").applyInPandas(merge, "doc_id long, run int, first_ordinal int, n_blocks int, content string")
+    names = ["doc_id", "run", "first_ordinal", "n_blocks", "content"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run, at, open_page = None, None, None  # [doc_id, run, first_ordinal, n_blocks, contents], its length
+
+        def closed(runs: list[list]) -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*runs, strict=True)] or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns[:4], ["\n".join(x) for x in columns[4]]], [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=names)
+
+        for b in batches:
+            done = []
+            for doc, ordinal, page, content in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                n = len(content)
+                new = open_run is None or open_run[0] != doc
+                if not new and open_page is not None and open_page == page and n < short and at + n <= full:
+                    open_run[3] += 1
+                    open_run[4].append(content)
+                    at += n + 1
+                    continue
+                if open_run is not None:
+                    done.append(open_run)
+                open_run, at, open_page = [doc, 0 if new else open_run[1] + 1, ordinal, 1, [content]], n, page if n < short else None
+            yield closed(done)
+        if open_run is not None:
+            yield closed([open_run])
+
+    dealt = blocks.select(F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), F.col("page").cast("int"), "content").repartition("doc_id").sortWithinPartitions("doc_id", "ordinal", "page", "content")
+    return dealt.mapInArrow(merge, "doc_id long, run int, first_ordinal int, n_blocks int, content string")
 
 
 def heading_consistency(blocks: DataFrame) -> DataFrame:
