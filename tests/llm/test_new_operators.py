@@ -275,3 +275,12 @@ def test_no_role_or_text_forges_a_turn(spark):
     assert len({x.o for x in rows}) == len(roles) - 1 and len({x.b for x in rows}) == len(texts) - 1  # null and empty are one
     for x in rows:
         assert x.o.count("\n") == 1 and x.o.count("<|") == 1 and x.o.count("|>") == 1 and x.b.count("<|") == 0
+
+
+def test_every_base_span_is_learned_from(spark, tmp_path):
+    from tidemark.llm import personal_data as pd13
+
+    docs = spark.range(5_000).selectExpr("id AS i", "id AS h", "concat('write to u', id, '@host', id % 7, '.example.org now') AS text")
+    spans = pd13.with_overlaps(pd13.located(pd13.proposals(docs, pd13.DOC, pd13.RULES), pd13.DOC), pd13.DOC)
+    own = pd13.examples(spans, f"file://{tmp_path}/x").filter(r"y = 1 and match rlike '^u[0-9]+@host[0-6][.]example[.]org$'")
+    assert own.select("match").distinct().count() == 5_000
