@@ -111,3 +111,34 @@ def test_short_blocks_of_many_documents_are_walked_over_in_one_pass(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(rows, key=str) == [(0, 0, 0, 3, "ab\nab\nab"), (19999, 0, 0, 3, "ab\nab\nab"), (None, 0, 0, 1, "x"), (None, 1, 1, 1, "y")]
+
+
+def test_words_are_counted_where_texts_are_read(spark, monkeypatch):
+    odd = ["One two, one", None, "", " - ", "ÀÉ ß ÿÇ İI Σς naïve 9x", "a  b a\n\tb", "东西 x"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    monkeypatch.setattr(rt, "SPLIT", 40)
+    got = rt.word_counts(docs, "doc_id", F.lower("text"), rt.WORD_ENDS)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    ts = F.coalesce(rt.tokens(F.col("text")), F.array().cast("array<string>"))
+    want = docs.select("doc_id", F.size(ts).alias("len"), F.explode(F.concat(ts, F.array(F.lit("")))).alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(got) == rows(want)
+
+
+def test_a_repeated_key_is_one_document(spark):
+    asked = spark.createDataFrame([(1, "red one")], "qid long, question string")
+    once = spark.createDataFrame([(1, "red one red one"), (2, "one blue")], "doc_id long, text string")
+    twice = spark.createDataFrame([(1, "red one"), (1, "red one"), (2, "one blue")], "doc_id long, text string")
+    counts = lambda d: sorted((r.doc_id, r.term, r.tf) for r in rt.postings(d, asked).filter("term <> ''").collect())
+    assert counts(twice) == counts(once) == [(1, "one", 2), (1, "red", 2), (2, "one", 1)]
+
+
+def test_tasks_of_block_pairs_grow_with_the_blocks(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('the ', id % 7) AS text")
+    asked = spark.range(20).selectExpr("id AS qid", "concat('the ', id % 7) AS question")
+    monkeypatch.setattr(rt, "DOCS", 10)
+    monkeypatch.setattr(rt, "ASKED", 5)
+    seen, real = [], rt.top
+    monkeypatch.setattr(rt, "top", lambda scored, key, k: seen.append(scored) or real(scored, key, k))
+    assert rt.bm25(docs, asked, k=3).count() == 60
+    assert seen[0].rdd.getNumPartitions() == 120
