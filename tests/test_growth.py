@@ -1,5 +1,6 @@
 """Queries whose work must not grow faster than their input, and inputs at the edges."""
 
+import re
 from contextlib import contextmanager
 from datetime import date
 
@@ -142,3 +143,13 @@ def test_tasks_of_block_pairs_grow_with_the_blocks(spark, monkeypatch):
     monkeypatch.setattr(rt, "top", lambda scored, key, k: seen.append(scored) or real(scored, key, k))
     assert rt.bm25(docs, asked, k=3).count() == 60
     assert seen[0].rdd.getNumPartitions() == 120
+
+
+def test_words_are_read_once_after_the_rarest_are_known(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('so the word ', id % 5, ' is here') AS text")
+    asked = spark.createDataFrame([(1, "the word 3 is"), (2, "here"), (3, "word 9 is")], "qid long, question string")
+    with fixed_plan(spark):
+        found = rt.containing(docs, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*term#", plan)) == 1
+    assert sorted(map(tuple, found.collect())) == sorted([(1, i) for i in range(50) if i % 5 == 3] + [(2, i) for i in range(50)])
