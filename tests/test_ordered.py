@@ -209,3 +209,25 @@ def test_tag_stack_against_a_slow_version(spark):
     got = {r.k: r.v for r in d.select("k", du.tag_violations(F.col("t")).alias("v")).collect()}
     assert got == {k: tags_by_hand(t) for k, t in enumerate(texts)}
     assert got[1500] == got[1501] == got[1502] == [] and {x for v in got.values() for x in v} == {"stray_text", "self_closing", "unpaired", "misplaced", "unclosed"}
+
+
+LOST, INVENTED = ["layer", "output", "header", "chart_text", "table_words"], ["stored", "unexpanded", "layer", "image", "adjacent", "title"]
+
+
+def test_numbers_are_accounted_where_their_texts_are_read(spark):
+    t = spark.createDataFrame([(1, "12 345"), (None, "7 7"), (2, None)], "k long, a string")
+    for f, names in ((od.missing_numbers, ["reference", "candidate", "layer", "stripped", "figure_text"]), (od.lost_numbers, LOST), (od.invented_numbers, INVENTED)):
+        got = f(t.select("k", *[(F.col("a") if i == 0 else F.lit("")).alias(n) for i, n in enumerate(names)]), "k")
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r.k: r[1] for r in got.collect()} == ({1: 2, None: 2, 2: 0} if f is not od.lost_numbers else {1: 0, None: 0, 2: 0})
+
+
+def test_digits_within_runs_are_those_that_a_search_finds():
+    runs = {str(7**i)[: i % 23 + 1] for i in range(1, 200)} | {"9" * 200, ""}
+    asked = {r[i : i + n] for r in list(runs)[:60] for i in (0, 3) for n in (1, 2, 5, 70) if r[i : i + n]} | {"0000001", "9" * 201, "12345"}
+    assert od.within(asked, runs) == {x for x in asked if any(x in r for r in runs)}
+
+
+def test_lines_of_an_order_are_shuffled_once(spark):
+    plan = catalogue.QUERIES["missing_numbers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

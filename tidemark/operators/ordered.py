@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textops import NARROW, WIDE, numbers
@@ -61,15 +62,30 @@ def heal(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[0-9])[ \t]*([.,])[ \t]*(?=[0-9])", "$1")
 
 
-def token_counts(texts: DataFrame, key: str, sides: dict[str, Column]) -> DataFrame:
-    """(key, token, a count per side): how often each number occurs on each side of a row, by one explode and partial sums."""
-    tagged = F.array(*[F.struct(F.lit(k).alias("side"), numbers(F.coalesce(c, F.lit(""))).alias("tokens")) for k, c in sides.items()])
-    d = texts.select(key, F.explode(tagged).alias("s")).select(key, "s.side", F.explode("s.tokens").alias("token"))
-    return d.groupBy(key, "token").agg(*[F.count_if(F.col("side") == k).alias(k) for k in sides])
+def accounted(texts: DataFrame, key: str, sides: list[Column], names: list[str], f: Callable[..., tuple]) -> DataFrame:
+    """(key, a count per name): f of each row's lists of numbers, one list a side. Each row is judged where it is read: nothing is shuffled."""
+    d = texts.select(key, *[c.alias(f"side{i}") for i, c in enumerate(sides)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [f(*lists) for lists in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True)]
+            counts = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts], names=[key, *names])
+
+    return d.mapInArrow(run, ", ".join([f"`{key}` {d.schema[0].dataType.simpleString()}", *[f"{n} long" for n in names]]))
+
+
+def numbers_of(text: Column) -> Column:
+    return numbers(F.coalesce(text, F.lit("")))
 
 
-def beyond(a: Column, b: Column) -> Column:
-    return F.greatest(a - b, F.lit(0))
+def dealt(amount: int, *has: int) -> list[int]:
+    """An amount dealt in order: each takes what is left up to what it has; the last one is what stays."""
+    out = []
+    for h in has:
+        out.append(min(amount, h))
+        amount -= out[-1]
+    return [*out, amount]
 
 
 def value_key(token: Column) -> Column:
@@ -80,17 +96,9 @@ def value_key(token: Column) -> Column:
     return F.when(t.startswith(".") | (t == ""), F.concat(F.lit("0"), t)).otherwise(t)
 
 
-def taken(amount: Column, steps: list[tuple[str, Column]]) -> list[Column]:
-    """Amounts dealt in order: each step takes what is left up to what it has; the last column is what stays."""
-    out, rest = [], amount
-    for name, has in steps:
-        part = F.least(rest, has)
-        out.append(part.alias(name))
-        rest = rest - part
-    return [*out, rest.alias("rest")]
-
-
 INVENTED = ["merge_expansion", "spacing_artifact", "image_ocr", "chart_title_year", "adjacent_page", "list_number_merge", "format_variant", "value_absent"]
+#: A list's number that was joined to a year.
+LIST_YEAR = re.compile(r"[0-9]{1,2}\.(?:19|20)[0-9]{2}")
 
 
 def invented_numbers(texts: DataFrame, key: str) -> DataFrame:
@@ -99,20 +107,26 @@ def invented_numbers(texts: DataFrame, key: str) -> DataFrame:
     Each number's surplus is dealt to the classes in order, the first that can take it: repeated by unfolding merged cells; gone once spaces within
     numbers are closed; in an image; in a chart's title; on a neighbouring page; a list number joined to a year; the same value in another form; nowhere. The classes add up to excess.
     """
-    sides = {k: F.col(k) for k in ("stored", "unexpanded", "layer", "image", "adjacent", "title")} | {"healed": heal(F.col("unexpanded"))}
-    c = token_counts(texts, key, sides)
-    c = c.withColumn("value", value_key(F.col("token")))
-    c = c.withColumn("known", F.max((F.col("layer") > 0).cast("int")).over(Window.partitionBy(key, "value")))
-    raw = beyond(F.col("unexpanded"), F.col("layer"))
-    plain = F.least(raw, beyond(F.col("healed"), F.col("layer")))
-    c = c.select(key, "token", "known", beyond(beyond(F.col("stored"), F.col("layer")), raw).alias("merge_expansion"), (raw - plain).alias("spacing_artifact"), *taken(plain, [("image_ocr", F.col("image")), ("chart_title_year", F.col("title")), ("adjacent_page", F.col("adjacent"))]))
-    joined = F.col("token").rlike(r"^[0-9]{1,2}\.(?:19|20)[0-9]{2}$")
-    rest = F.col("rest")
-    c = c.withColumns({"list_number_merge": F.when(joined, rest).otherwise(0), "format_variant": F.when(~joined & (F.col("known") == 1), rest).otherwise(0), "value_absent": F.when(~joined & (F.col("known") == 0), rest).otherwise(0)})
-    g = c.groupBy(key).agg(*[F.sum(k).cast("long").alias(k) for k in INVENTED])
-    zero = [F.coalesce(k, F.lit(0)).alias(k) for k in INVENTED]
-    total = sum((F.coalesce(k, F.lit(0)) for k in INVENTED[1:]), F.coalesce(INVENTED[0], F.lit(0)))
-    return texts.select(key).join(g, key, "left").select(key, total.alias("excess"), *zero)
+    sides = [numbers_of(F.col(k)) for k in ("stored", "unexpanded", "layer", "image", "title", "adjacent")] + [numbers_of(heal(F.col("unexpanded")))]
+    values = [F.transform(sides[i], value_key) for i in (1, 2)]
+    return accounted(texts, key, [*sides, *values], ["excess", *INVENTED], invented)
+
+
+def invented(stored: list, unexpanded: list, layer: list, image: list, title: list, adjacent: list, healed: list, values: list, known: list) -> tuple:
+    value, known = dict(zip(unexpanded, values, strict=True)), set(known)
+    stored, unexpanded, layer, image, title, adjacent, healed = map(Counter, (stored, unexpanded, layer, image, title, adjacent, healed))
+    total = dict.fromkeys(INVENTED, 0)
+    for x in stored | unexpanded:
+        raw = max(unexpanded[x] - layer[x], 0)
+        total["merge_expansion"] += max(stored[x] - layer[x] - raw, 0)
+        plain = min(raw, max(healed[x] - layer[x], 0))
+        total["spacing_artifact"] += raw - plain
+        *parts, rest = dealt(plain, image[x], title[x], adjacent[x])
+        for name, part in zip(("image_ocr", "chart_title_year", "adjacent_page"), parts, strict=True):
+            total[name] += part
+        if rest:
+            total["list_number_merge" if LIST_YEAR.fullmatch(x) else "format_variant" if value[x] in known else "value_absent"] += rest
+    return (sum(total.values()), *total.values())
 
 
 def lost_numbers(texts: DataFrame, key: str) -> DataFrame:
@@ -120,15 +134,18 @@ def lost_numbers(texts: DataFrame, key: str) -> DataFrame:
 
     Each number's shortfall is dealt in order: to headers and footers, to charts, to words within tables, and what is left is other.
     """
-    c = token_counts(texts, key, {k: F.col(k) for k in ("layer", "output", "header", "chart_text", "table_words")})
-    c = c.select(key, *taken(beyond(F.col("layer"), F.col("output")), [("header_footer", F.col("header")), ("chart", F.col("chart_text")), ("inside_table", F.col("table_words"))])).withColumnRenamed("rest", "other")
-    names = ["header_footer", "chart", "inside_table", "other"]
-    g = c.groupBy(key).agg(*[F.sum(k).cast("long").alias(k) for k in names])
-    return texts.select(key).join(g, key, "left").select(key, *[F.coalesce(k, F.lit(0)).alias(k) for k in names])
+    sides = [numbers_of(F.col(k)) for k in ("layer", "output", "header", "chart_text", "table_words")]
+    return accounted(texts, key, sides, ["header_footer", "chart", "inside_table", "other"], lost)
+
 
+def lost(layer: list, output: list, *places: list) -> tuple:
+    n, has, places = Counter(layer), Counter(output), [Counter(p) for p in places]
+    parts = [dealt(max(n[x] - has[x], 0), *[p[x] for p in places]) for x in n]
+    return tuple(sum(p[i] for p in parts) for i in range(len(places) + 1))
 
-#: Runs of digits are indexed by all their pieces of up to so many digits.
-GRAM = 3
+
+#: Digits longer than this are searched one by one.
+LONG = 64
 
 
 def digit_runs(text: Column) -> Column:
@@ -136,30 +153,38 @@ def digit_runs(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(heal(folded(text)), F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), 1), lambda x: F.regexp_replace(x, "[^0-9]", ""))
 
 
-def grams(run: Column, size: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1))), lambda i: F.substr(run, i, size)))
+def within(asked: set[str], runs: set[str]) -> set[str]:
+    """Those of asked that stand within a run. Those of one length are met by all pieces of that length, so numbers and runs aren't paired."""
+    lengths, out = defaultdict(set), set()
+    for x in asked:
+        lengths[len(x)].add(x)
+    for n, some in lengths.items():
+        if n > LONG or len(some) == 1:
+            out.update(x for x in some if any(x in r for r in runs))
+        else:
+            out.update(r[i : i + n] for r in runs for i in range(len(r) - n + 1) if r[i : i + n] in some)
+    return out
 
 
 def missing_numbers(texts: DataFrame, key: str) -> DataFrame:
     """(key, total, hit, figure, unexplained, decor, tokenization, absent) of texts(key, reference, candidate, layer, stripped, figure_text): what became of the reference's numbers.
 
     What the candidate lacks is dealt in order: numbers of stripped figures, numbers that the text layer has beyond the candidate, numbers of stripped
-    headers; the rest is tokenization where its digits stand within a longer run of digits, else absent. Runs are found through an index of
-    their pieces of GRAM digits: a number meets the runs of its text that share its first piece, and only those are searched.
+    headers; the rest is tokenization where its digits stand within a longer run of digits, else absent.
     """
-    c = token_counts(texts, key, {"reference": heal(F.col("reference")), **{k: F.col(k) for k in ("candidate", "layer", "stripped", "figure_text")}})
-    lack, spare = beyond(F.col("reference"), F.col("candidate")), beyond(F.col("layer"), F.col("candidate"))
-    d = c.select(key, "token", "reference", F.least("reference", "candidate").alias("hit"), *taken(lack, [("figure", F.col("figure_text")), ("unexplained", spare), ("decor", F.col("stripped"))]))
-    size = lambda x: F.least(F.length(x), F.lit(GRAM))
-    digits = F.regexp_replace("token", "[^0-9]", "")
-    asked = d.filter("rest > 0").select(key, "token", digits.alias("digits"), F.left(digits, size(digits)).alias("gram"))
-    runs = texts.select(key, F.explode(F.concat(*[digit_runs(F.col(k)) for k in ("layer", "stripped", "figure_text")])).alias("run")).distinct()
-    index = runs.select(key, "run", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), size(F.col("run"))), lambda n: grams(F.col("run"), n)))).alias("gram"))
-    held = asked.join(index, [key, "gram"]).filter(F.col("run").contains(F.col("digits"))).select(key, "token").distinct().withColumn("held", F.lit(True))
-    d = d.join(held, [key, "token"], "left").withColumns({"tokenization": F.when(F.col("held"), F.col("rest")).otherwise(0), "absent": F.when(F.col("held"), 0).otherwise(F.col("rest"))})
-    names = ["hit", "figure", "unexplained", "decor", "tokenization", "absent"]
-    g = d.groupBy(key).agg(F.sum("reference").alias("total"), *[F.sum(k).cast("long").alias(k) for k in names])
-    return texts.select(key).join(g, key, "left").select(key, *[F.coalesce(k, F.lit(0)).alias(k) for k in ("total", *names)])
+    sides = [numbers_of(c) for c in (heal(F.col("reference")), *[F.col(k) for k in ("candidate", "layer", "stripped", "figure_text")])]
+    runs = F.concat(*[digit_runs(F.col(k)) for k in ("layer", "stripped", "figure_text")])
+    return accounted(texts, key, [*sides, runs], ["total", "hit", "figure", "unexplained", "decor", "tokenization", "absent"], missing)
+
+
+def missing(reference: list, candidate: list, layer: list, stripped: list, figure: list, runs: list) -> tuple:
+    n, has, layer, stripped, figure = map(Counter, (reference, candidate, layer, stripped, figure))
+    parts = {x: dealt(n[x], has[x], figure[x], max(layer[x] - has[x], 0), stripped[x]) for x in n}
+    digits = {x: re.sub("[^0-9]", "", x) for x, p in parts.items() if p[-1]}
+    held = within(set(digits.values()), set(runs))
+    split = sum(parts[x][-1] for x, d in digits.items() if d in held)
+    hit, found, unexplained, decor, rest = (sum(p[i] for p in parts.values()) for i in range(5))
+    return len(reference), hit, found, unexplained, decor, split, rest - split
 
 
 # Headings ----------------------------------------------------------------------------------------------------------

@@ -24,8 +24,8 @@ def query(name: str, sql: str | None = None):
 
 
 def order_texts(spark, sf, pieces: dict[str, str]):
-    """(l_orderkey, a text per piece): the pieces of an order's lines in order, joined by bars."""
-    d = src.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {k}" for k, e in pieces.items()])
+    """(l_orderkey, a text per piece): the pieces of an order's lines in order, joined by bars. Lines are shuffled as they are, before the pieces are made of them."""
+    d = src.table(spark, sf, "lineitem").repartition("l_orderkey").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {k}" for k, e in pieces.items()])
     g = d.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", *pieces))).alias("x"))
     return g.select("l_orderkey", *[F.array_join(F.col(f"x.{k}"), " ; ").alias(k) for k in pieces])
 
