@@ -2,7 +2,9 @@
 
 import datetime as dt
 from collections import Counter
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,50 @@ def test_ticks_take_up_after_the_last_commit(spark, tmp_path):
     assert seen[1] == seen[2] and [len(x) for x in seen] == [50, 50, 50, 30]
     assert sorted((r.batch, r.id) for r in got.collect()) == [(k // 100, k) for k in range(0, 260, 2)]
     assert commits.tick(table, "id", 258)[1] == 258 and commits.tick(table.limit(0), "id", None)[1] is None
+
+
+class Memory:
+    """One group's state and timers."""
+
+    def __init__(self):
+        self.lists, self.timers = {}, []
+
+    def getListState(self, name, schema):  # noqa: N802
+        rows = self.lists.setdefault(name, [])
+        put = lambda new: (rows.clear(), rows.extend(new))
+        return SimpleNamespace(get=lambda: iter(list(rows)), appendList=rows.extend, put=put, clear=rows.clear)
+
+    def listTimers(self):  # noqa: N802
+        return iter(list(self.timers))
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+
+def test_users_of_one_state_keep_their_own_values_and_ends():
+    memory, c = Memory(), late.Corrections(1_000)
+    c.init(memory)
+
+    def come(*rows):
+        list(c.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["ts", "event_id", "user_id", "event_type", "known", "value"])]), None))
+
+    def close(at):
+        assert len(memory.timers) == 1 and memory.timers.pop() <= at
+        out = c.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: at), None)
+        return [tuple(r) for d in out for r in d.itertuples(index=False)]
+
+    come((3000, 2, 1, "a", 3, 5.0), (2000, 1, 2, "a", 2, 5.0), (1000, 3, 1, None, 1, 5.0), (900_000, 4, 2, "a", 9, 6.0))
+    assert close(10) == [(1, 3, "inserted"), (2, 1, "inserted"), (1, 2, "inserted")] and memory.timers == [900]
+    come((9000, 5, 1, "a", 9, 5.0))
+    assert close(20) == [(1, 5, "skipped")]
+    assert close(1005) == [(2, 4, "corrected")]  # the key (1, None) is forgotten, the others not yet
+    assert {r[:2] for r in memory.lists["held"]} == {(1, "a"), (2, "a")} and memory.timers == [1009]
+    assert close(2500) == [] and not memory.lists["held"] and not memory.timers
+
+
+def test_neighbouring_users_share_a_group_and_far_ones_do_not(spark, tmp_path):
+    s = files(spark, tmp_path / "in", [(1, START, 1, "a", 1.0)], 1).withColumn("known", F.col("ts"))
+    assert "shiftright(user_id" in late.corrections(s)._jdf.queryExecution().logical().toString()
