@@ -4,6 +4,7 @@ import re
 from contextlib import contextmanager
 from datetime import date
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import sequential as sq
@@ -11,6 +12,7 @@ from tidemark.operators import dual as du
 from tidemark.operators import entities as en
 from tidemark.operators import finance as fin
 from tidemark.operators import retrieval as rt
+from tidemark.operators import vector_index as vi
 
 
 @contextmanager
@@ -153,3 +155,25 @@ def test_words_are_read_once_after_the_rarest_are_known(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet \[[^\]]*term#", plan)) == 1
     assert sorted(map(tuple, found.collect())) == sorted([(1, i) for i in range(50) if i % 5 == 3] + [(2, i) for i in range(50)])
+
+
+def test_lengths_of_vectors_are_found_once(spark):
+    v = F.array(*[F.col("id") + float(i) for i in range(3)])
+    d = spark.range(3).select(v.alias("v"))
+    text = d.select(rt.normalised(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    inside = text[text.index("THEN"):]
+    assert "zip_with" in inside and "transform(" not in inside
+    got = [r[0] for r in d.unionByName(spark.createDataFrame([(None,), ([None, 1.0],), ([0.0, 0.0],), ([],)], "v array<double>")).select(rt.normalised(F.col("v"))).collect()]
+    norm = lambda x: [c / sum(y * y for y in x) ** 0.5 for c in x]
+    assert got == [norm([i, i + 1.0, i + 2.0]) for i in range(3)] + [None, [None, 1.0], [0.0, 0.0], []]
+
+
+def test_questions_of_one_block_may_want_different_numbers(spark):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    q = v.filter("vec_id < 40").withColumnRenamed("vec_id", "qid").select("qid", rt.normalised(F.col("embedding")).alias("qv"))
+    index = vi.build(v)
+    every = vi.probes(index, q).withColumn("k", F.lit(3) + (F.col("qid") % 2).cast("int") * 500)
+    hits = vi.scan(index, every, q, 40)
+    by = {r.qid: r.n for r in hits.groupBy("qid").agg(F.countDistinct("key").alias("n")).collect()}
+    assert all(by[i] == 400 for i in range(1, 40, 2)) and all(3 <= by[i] <= 400 for i in range(0, 40, 2)) and min(by.values()) < 400

@@ -140,11 +140,11 @@ def scan(index: VectorIndex, ask: DataFrame, questions: DataFrame, n_questions:
                 s = (codes @ q.T) * scales[:, None]
                 room = errors[:, None] * np.sqrt((q**2).sum(1))
                 low, high = s - room, s + room
-                for j in range(len(qids)):
-                    k = int(ks[j])
-                    bar = np.partition(low[:, j], -k)[-k] if len(keys) >= k else -np.inf
-                    at = np.flatnonzero(high[:, j] >= bar - SLACK)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qids[j])), pa.array(keys[at]), pa.array(low[at, j]), pa.array(high[at, j])], names=["qid", "key", "low", "high"])
+                bar = np.full(len(qids), -np.inf)
+                for k in np.unique(ks[ks <= len(keys)]):
+                    bar[ks == k] = np.partition(low[:, ks == k], len(keys) - k, axis=0)[len(keys) - k]
+                j, at = np.nonzero((high >= bar - SLACK).T)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[j]), pa.array(keys[at]), pa.array(low[at, j]), pa.array(high[at, j])], names=["qid", "key", "low", "high"])
 
     return met.mapInArrow(run, "qid long, key long, low double, high double")
 
