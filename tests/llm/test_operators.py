@@ -390,6 +390,41 @@ def test_proximity_against_brute_force(spark):
     assert decontaminate.proximity_matches(d.limit(0), b, 2).count() == 0
 
 
+def shuffled_rows(spark, run) -> int:
+    """Rows that stages write to shuffles while run() runs, where no table is small enough to be broadcast unasked."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), so_far()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    return sum(n for k, n in so_far().items() if k not in before)
+
+
+def test_proximity_shuffles_only_the_rarest_words(spark, monkeypatch):
+    """An item's common words are in all texts, its rare ones in few; the same without any broadcast, with null and shared ids."""
+    common = lambda k, n: words(n, k, 20)
+    items = [(k, f"{common(k, 4)} rare{k} {common(k + 50, 3)} odd{k} {common(k + 90, 3)}") for k in range(3)] + [(7, "odd1"), (8, "rare2 rare2 w1 rare2")]
+    near = [f"{common(i, 15 + i)} {' '.join(sorted(items[i % 3][1].split()))} {common(i, 7)}" for i in range(20)]
+    texts = [(i, common(200 + i, 60)) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(near)] + [(None, near[4]), (None, near[5]), (1000, near[7]), (1001, near[1]), (2000, "rare2 w1 w2 rare2"), (2001, "odd1"), (2002, "rare0 " + common(1, 30) + " odd0")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), docs(spark, texts)
+    want, got = nearest_by_hand(texts, items, 3, 9), {}
+    find = lambda: got.update({(r.doc_id, r.item_id, r.first): r.distance for r in decontaminate.proximity_matches(d, b, 3, 9).collect()})
+    assert shuffled_rows(spark, find) < sum(len(t.split()) for _, t in texts) / 5
+    assert got == want and len(want) > 50 and {None, 1000, 2000, 2001} <= {k[0] for k in want}
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    got.clear()
+    find()
+    assert got == want
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 

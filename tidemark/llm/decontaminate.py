@@ -13,6 +13,8 @@ WINDOW = 13
 BROADCAST_BYTES = 64_000_000
 #: Stands for a null id in joins, and for the end of a document among its postings (no word is empty).
 NO_ID, END = -(1 << 63), ""
+#: Farther than any two words of a context stand apart.
+FAR = 1 << 30
 DOC = ["i", "h"]
 
 
@@ -35,6 +37,11 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return w.select("item_id", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("first", "words"))
 
 
+def document_key(text: str = "text", id_col: str = "doc_id") -> list[Column]:
+    """(i, h): the id (NO_ID for null) and a hash of the text, by which a document is known."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text).alias("h")]
+
+
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, folder: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Positional postings (i, h, term, pos) of the given terms in all documents, stored in the shared folder. terms has distinct rows.
 
@@ -44,7 +51,7 @@ def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, folder: str, te
     term; a run for a benchmark stores those of the benchmark.
     """
     w = F.concat(F.coalesce(word_list(F.col(text)), F.array().cast("array<string>")), F.array(F.lit(END)))
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text).alias("h"), F.posexplode(w).alias("pos", "term"))
+    d = docs.select(*document_key(text, id_col), F.posexplode(w).alias("pos", "term"))
     wanted = terms.unionByName(terms.sparkSession.createDataFrame([(END,)], "term string"))
     return written(d.join(small(wanted, n_terms + 1, 64), "term").select(*DOC, "term", "pos"), "postings", folder)
 
@@ -64,10 +71,11 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return windows.join(two, ["item_id", "first"])
 
 
-def indexed(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
-    """(windows, anchors, postings, folder): the benchmark's windows, those that may occur with their rarest terms, and the index over all their terms."""
+def indexed(docs: DataFrame, items: DataFrame, window: int, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(windows, anchors, postings, folder): the benchmark's windows, those that may occur with their rarest terms, and the index over all their terms. With once, a window has each of its words once."""
     folder = shared_folder(docs.sparkSession)
-    windows = written(benchmark_windows(items, window), "windows", folder)
+    windows = benchmark_windows(items, window)
+    windows = written(windows.withColumn("words", F.array_distinct("words")) if once else windows, "windows", folder)
     terms = written(windows.select(F.explode("words").alias("term")).distinct(), "terms", folder)
     postings = build_index(docs, terms, terms.count(), folder)
     ask = written(anchored(windows, term_counts(postings, terms)), "anchors", folder)
@@ -103,27 +111,51 @@ def intersect(ask: DataFrame, postings: DataFrame, folder: str) -> DataFrame:
     return full.unionByName(both.filter("n <= 2").select(*by))
 
 
+def places(ask: DataFrame, postings: DataFrame, slop: int, span: int, folder: str) -> DataFrame:
+    """(i, h, cell, pair): the cells of `span` words in which a window's rarest word stands with the second rarest near enough. pair is a hash of the two.
+
+    Only the postings of those words are shuffled, in narrow rows; the second ones are met in the cells that they may stand in, and add no rows.
+    """
+    cell = lambda x: F.floor(x / span).cast("int")
+    pairs = written(ask.groupBy("pair", "a_term", "b_term").agg((F.max("n") + slop).alias("reach")), "pairs", folder)
+    n = pairs.count()
+    lead = postings.join(small(pairs.withColumnRenamed("a_term", "term"), n, 160), "term").select(*DOC, "pos", "pair", "b_term", "reach")
+    lead = lead.withColumn("c", F.explode(F.sequence(cell(F.col("pos") - F.col("reach") + 1), cell(F.col("pos") + F.col("reach") - 1))))
+    other = pairs.select(F.col("b_term").alias("term")).distinct()
+    second = postings.join(small(other, n, 64), "term", "left_semi").select(F.col("i").alias("i2"), F.col("h").alias("h2"), F.col("term").alias("t2"), F.col("pos").alias("p2"), cell(F.col("pos")).alias("c2"))
+    same = (F.col("i") == F.col("i2")) & (F.col("h") == F.col("h2")) & (F.col("b_term") == F.col("t2")) & (F.col("c") == F.col("c2"))
+    near = lead.join(second, same & (F.abs(F.col("pos") - F.col("p2")) < F.col("reach")), "left_semi")
+    return written(near.select(*DOC, cell(F.col("pos")).alias("cell"), "pair").distinct(), "places", folder)
+
+
+def least_span(words: str, around: str, most: Column) -> Column:
+    """Length of the shortest run in the array `around` that has all of the distinct words; null where none of at most `most` has."""
+    hits = F.filter(F.transform(around, lambda y, k: F.struct(F.array_position(words, y).alias("word"), k.alias("at"))), lambda x: x["word"] > 0)
+    start = F.struct(F.array_repeat(F.lit(-FAR), F.size(words)).alias("last"), F.lit(0).alias("at"), F.lit(FAR).alias("best"))
+    best = lambda s: F.least(s["best"], s["at"] - F.array_min(s["last"]) + 1)
+    seen = lambda s, x: F.transform(s["last"], lambda v, j: F.when(j + 1 == x["word"], x["at"]).otherwise(v))
+    return F.aggregate(hits, start, lambda s, x: F.struct(seen(s, x).alias("last"), x["at"].alias("at"), best(s).alias("best")), lambda s: F.when(best(s) <= most, best(s)))
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, first, distance): windows all of whose words stand within n + slop words of the document, in any order; distance is the least such span's length.
 
-    Spans begin at an occurrence of any of the window's words; a word counts once however often the window has it. The rarest
-    word's postings lead; the others are met in cells as wide as a span can be, the neighbouring ones included. Null texts and texts without words
-    match nothing; repeated rows give their matches once, rows of one id with different texts that of the nearest.
+    A word counts once however often the window has it. The postings of each window's two rarest words say where it may be: in a cell as wide as
+    a span can be, so that all its spans there lie in the cell and its neighbours. Those words are cut from the document's text, and windows are judged
+    where they are cut, so that only matches leave a task; so docs is read twice. Null texts and texts without words match nothing; repeated rows give their matches once, rows of one id with different texts that of the nearest.
     """
-    _, ask, postings, _ = indexed(docs, items, window)
+    _, ask, postings, folder = indexed(docs, items, window, once=True)
     span = window + slop
-    ask = ask.select("item_id", "first", "n", F.array_distinct("words").alias("words"), F.col("a_term").alias("term"))
-    near = postings.join(ask, "term").select("item_id", "first", "n", "words", *DOC, F.col("pos").alias("at"), F.floor(F.col("pos") / span).alias("cell"))
-    here = F.floor(F.col("pos") / span)
-    other = postings.filter(F.col("term") != END).select(*DOC, "term", "pos", F.explode(F.array(here - 1, here, here + 1)).alias("cell"))
-    hits = near.join(other, [*DOC, "cell"]).filter(F.array_contains("words", F.col("term")) & (F.abs(F.col("pos") - F.col("at")) < F.col("n") + slop))
-    by = [*DOC, "item_id", "first", "n", "words", "at"]
-    frame = Window.partitionBy(*by).orderBy("pos").rangeBetween(Window.currentRow, span - 1)
-    spans = hits.select(*by, "term", F.col("pos").cast("int").alias("pos")).distinct().withColumn("inside", F.collect_list(F.struct("pos", "term")).over(frame))
-    ends = F.transform("words", lambda x: F.array_min(F.transform(F.filter("inside", lambda y: y["term"] == x), lambda y: y["pos"])))
-    spans = spans.withColumn("ends", ends).filter(~F.exists("ends", lambda x: x.isNull())).withColumn("distance", F.array_max("ends") - F.col("pos") + 1)
-    out = spans.filter(F.col("distance") <= F.col("n") + slop).groupBy("i", "item_id", "first").agg(F.min("distance").alias("distance"))
-    return out.select(F.nullif("i", F.lit(NO_ID)).alias("doc_id"), "item_id", "first", "distance")
+    second = F.coalesce("b_term", "a_term")
+    ask = ask.select("item_id", "first", "n", "words", "a_term", second.alias("b_term"), F.xxhash64("a_term", second).alias("pair"))
+    near = places(ask, postings, slop, span, folder)
+    by_doc = near.groupBy(*DOC).agg(F.collect_list(F.struct("cell", "pair")).alias("near"))
+    texts = docs.select(*document_key(), "text").join(small(by_doc, near.count(), 64), DOC).select("i", "near", word_list(F.col("text")).alias("w"))
+    around = lambda x: F.struct(x["pair"].alias("pair"), F.slice("w", F.greatest(F.lit(1), (x["cell"] - 1) * span + 1), F.lit(3 * span)).alias("around"))
+    cut = texts.select("i", F.inline(F.transform("near", around)))
+    found = cut.join(small(ask.drop("a_term", "b_term"), ask.count(), 64 * (window + 4)), "pair").filter(F.forall("words", lambda x: F.array_contains("around", x)))
+    out = found.groupBy(F.nullif("i", F.lit(NO_ID)).alias("doc_id"), "item_id", "first").agg(F.min(least_span("words", "around", F.col("n") + slop)).alias("distance"))
+    return out.filter("distance is not null")
 
 
 def marked(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
