@@ -390,6 +390,15 @@ def test_proximity_against_brute_force(spark):
     assert decontaminate.proximity_matches(d.limit(0), b, 2).count() == 0
 
 
+def test_proximity_of_items_that_share_an_id(spark):
+    items = [(1, "a b c"), (1, "x y z"), (1, "x y"), (1, "y x y"), (1, "x y z")]
+    texts = [(1, "a b c"), (2, "x y z"), (3, "q q x z y"), (4, "x a y"), (5, "y y"), (6, "c q q b a")]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), docs(spark, texts)
+    want = nearest_by_hand(texts, items, 1, 13)
+    rows = decontaminate.proximity_matches(d, b, 1).collect()
+    assert {(r.doc_id, r.item_id, r.first): r.distance for r in rows} == want and len(rows) == len(want) == 4
+
+
 def shuffled_rows(spark, run) -> int:
     """Rows that stages write to shuffles while run() runs, where no table is small enough to be broadcast unasked."""
     sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway

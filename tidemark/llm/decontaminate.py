@@ -61,24 +61,25 @@ def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """windows with their two rarest places: (…, a, a_term, b, b_term); b is null in a window of one word. Windows with a term that no document has are left out."""
-    t = windows.select("item_id", "first", "n", F.posexplode("words").alias("at", "term")).join(counts, "term")
-    r = F.row_number().over(Window.partitionBy("item_id", "first").orderBy("df", "at"))
-    t = t.withColumns({"r": r, "least": F.min("df").over(Window.partitionBy("item_id", "first"))}).filter("least > 0 and r <= 2")
+def anchored(windows: DataFrame, counts: DataFrame, by: tuple[str, ...] = ("item_id", "first")) -> DataFrame:
+    """windows, known by `by`, with their two rarest places: (…, a, a_term, b, b_term); b is null in a window of one word. Windows with a term that no document has are left out."""
+    t = windows.select(*by, F.posexplode("words").alias("at", "term")).join(counts, "term")
+    r = F.row_number().over(Window.partitionBy(*by).orderBy("df", "at"))
+    t = t.withColumns({"r": r, "least": F.min("df").over(Window.partitionBy(*by))}).filter("least > 0 and r <= 2")
     pick = lambda k, c: F.max(F.when(F.col("r") == k, F.col(c)))
-    two = t.groupBy("item_id", "first").agg(pick(1, "at").alias("a"), pick(1, "term").alias("a_term"), pick(2, "at").alias("b"), pick(2, "term").alias("b_term"))
-    return windows.join(two, ["item_id", "first"])
+    two = t.groupBy(*by).agg(pick(1, "at").alias("a"), pick(1, "term").alias("a_term"), pick(2, "at").alias("b"), pick(2, "term").alias("b_term"))
+    return windows.join(two, [*by])
 
 
 def indexed(docs: DataFrame, items: DataFrame, window: int, once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, str]:
-    """(windows, anchors, postings, folder): the benchmark's windows, those that may occur with their rarest terms, and the index over all their terms. With once, a window has each of its words once."""
+    """(windows, anchors, postings, folder): the benchmark's windows, those that may occur with their rarest terms, and the index over all their terms. With once, a window has each of its words once, and items may share an id."""
     folder = shared_folder(docs.sparkSession)
     windows = benchmark_windows(items, window)
     windows = written(windows.withColumn("words", F.array_distinct("words")) if once else windows, "windows", folder)
     terms = written(windows.select(F.explode("words").alias("term")).distinct(), "terms", folder)
     postings = build_index(docs, terms, terms.count(), folder)
-    ask = written(anchored(windows, term_counts(postings, terms)), "anchors", folder)
+    counts = term_counts(postings, terms)
+    ask = written(anchored(windows, counts, ("item_id", "first", "words")) if once else anchored(windows, counts), "anchors", folder)
     return windows, ask, postings, folder
 
 
